@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,7 +163,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         if b.num_rows == 1:
             yield b
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         cum, at = np.cumsum(sizes), 0
         while at < b.num_rows:
             done = cum[at - 1] if at else 0
@@ -175,7 +176,7 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' UTF-8 bytes end to end, and where each begins (one more than there are texts); null is empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = pa.compute.fill_null(col, "" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"")
+    col = pc.fill_null(col, "" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"")
     kind = np.int64 if col.type in (pa.large_string(), pa.large_binary()) else np.int32
     offs = np.frombuffer(col.buffers()[1], dtype=kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     data = col.buffers()[2]

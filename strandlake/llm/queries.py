@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extract import html_extract
+from .quality import quality
 from .sharding import shard
 
 
@@ -11,12 +13,22 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extract(spark, sf_dir):
+    return html_extract(table(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_html_extract": op4_html_extract,
+    "op5_quality": op5_quality,
     "op10_sharding": op10_sharding,
 }
 

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_extract import html_extract
+from .huffman_ids import encode_documents
+from .langid import language
 from .quality import quality
+from .sentencepiece_viterbi import encode_decode
 from .sharding import shard
 
+#: Vocabulary files of public tokenizers.
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_token_ids(spark, sf_dir):
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+def op3_sentencepiece(spark, sf_dir):
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op4_html_extract(spark, sf_dir):
     return html_extract(table(spark, sf_dir, "pages"))
 
@@ -21,14 +37,21 @@ def op5_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_language(spark, sf_dir):
+    return language(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op10_sharding(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_ids": op2_token_ids,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_html_extract": op4_html_extract,
     "op5_quality": op5_quality,
+    "op6_language": op6_language,
     "op10_sharding": op10_sharding,
 }
 

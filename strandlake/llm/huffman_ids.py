@@ -35,7 +35,7 @@ LIMIT = 18
 BLOCK = 1 << 16
 STEP = 64
 #: Words that an encoder remembers at most; then it starts anew.
-REMEMBER = 200_000
+REMEMBER = 700_000
 
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: On texts of these characters, WORDS cuts as the tokenizer's own pattern does.

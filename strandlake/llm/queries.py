@@ -6,6 +6,7 @@ import public_tokenizers
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .fm_decontam import contamination
 from .html_extract import html_extract
 from .huffman_ids import encode_documents
 from .langid import language
@@ -41,6 +42,10 @@ def op6_language(spark, sf_dir):
     return language(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op8_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op4_html_extract": op4_html_extract,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
+    "op8_decontamination": op8_decontamination,
     "op10_sharding": op10_sharding,
 }
 

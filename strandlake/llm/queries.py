@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .fm_decontam import contamination
 from .html_extract import html_extract
 from .huffman_ids import encode_documents
+from .jaccard_join import similar_components
 from .langid import language
 from .quality import quality
 from .sentencepiece_viterbi import encode_decode
@@ -42,6 +43,10 @@ def op6_language(spark, sf_dir):
     return language(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op4_html_extract": op4_html_extract,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
     "op10_sharding": op10_sharding,
 }

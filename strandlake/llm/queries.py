@@ -14,6 +14,7 @@ from .langid import language
 from .quality import quality
 from .sentencepiece_viterbi import encode_decode
 from .sharding import shard
+from .suffix_dedup import remove_repeats
 
 #: Vocabulary files of public tokenizers.
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -51,6 +52,10 @@ def op8_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op6_language": op6_language,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sharding": op10_sharding,
 }
 

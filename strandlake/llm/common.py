@@ -260,5 +260,52 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((s[ends] - s[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
 
 
+class Known:
+    """Words by hash with a run of integers for each, as arrays; number 0 of ``flat`` can be set aside."""
+
+    def __init__(self, first: int = 0):
+        self.first = first
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.where, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.full(1 << 16, self.first, np.uint32), 1
+
+    def missing(self, u: np.ndarray) -> np.ndarray:
+        """Which of the hashes aren't known."""
+        near = np.searchsorted(self.hashes, u)
+        out = np.ones(len(u), dtype=bool)
+        inside = near < len(self.hashes)
+        out[inside] = self.hashes[near[inside]] != u[inside]
+        return out
+
+    def add(self, hashes: np.ndarray, runs: list[bytes]) -> None:
+        """hashes: sorted; runs: little-endian 32-bit."""
+        count = np.array([len(x) // 4 for x in runs], dtype=np.int64)
+        more = np.frombuffer(b"".join(runs), "<u4")
+        while self.used + len(more) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(more)] = more
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.where = np.insert(self.where, at, self.used + np.cumsum(count) - count)
+        self.count = np.insert(self.count, at, count)
+        self.used += len(more)
+
+    def runs(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash's integers lie and how many they are; of unknown ones, anything."""
+        if not len(self.hashes):
+            return np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+        near = np.minimum(np.searchsorted(self.hashes, u), len(self.hashes) - 1)
+        return self.where[near], self.count[near]
+
+
+def ranges(where: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """where[0], where[0] + 1, ... (count[0] of them), where[1], ...; and each run's bounds in that."""
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    return np.repeat(where - bounds[:-1], count) + np.arange(bounds[-1]), bounds
+
+
 def text_column(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, pieces, shuffle_parts
+from .common import Known, Workspace, flat, pieces, ranges, shuffle_parts, word_hashes
 
 END = 2
 LIMIT = 18
 BLOCK = 1 << 16
 STEP = 64
-#: Words that an encoder remembers at most; then it starts anew.
-REMEMBER = 700_000
+#: Words that an encoder remembers, about (some 50 MB); then it starts anew.
+REMEMBER = 1_500_000
 
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: On texts of these characters, WORDS cuts as the tokenizer's own pattern does.
@@ -43,6 +43,15 @@ UNSAFE = re.compile(f"[^\t\n\r\x20-\x7e{_L}]")
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\t\n\r {_L}0-9]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
 
 
+#: Bytes that send a text to WORDS: apostrophes and the first bytes of what UNSAFE finds.
+_BAD = np.zeros(256, dtype=bool)
+_BAD[:32] = _BAD[127:195] = _BAD[202:] = _BAD[39] = True
+_BAD[[9, 10, 13]] = False
+_BAD[128:192] = False  # second bytes
+_CLASS = np.full(256, 3, dtype=np.uint8)  # white space 0, letters 1, digits 2, others 3
+_CLASS[[9, 10, 13, 32]] = 0
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
+_CLASS[48:58] = 2
 PLAIN = re.compile(f" [{_L}]+$")
 
 #: One for each vocabulary and worker process: the words it knows serve all tasks of the process.
@@ -56,50 +65,112 @@ def encoder_of(path: str) -> "Encoder":
 
 
 class Encoder:
+    """Ids of whole chunks of texts. A byte scan cuts texts of safe characters without apostrophes as the pattern does;
+    other texts are cut by WORDS, and texts with characters outside the safe set go to the library whole."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocab.values(), default=0) + 1, dtype=np.int64)  # bytes that each id stands for
         for token, i in vocab.items():
             self.width[i] = len(token)
+        self.known = Known(END)  # its number 0 is the end id
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
-        """Words of a space and letters are encoded as one running text, which the tokenizer's pattern cuts before each
-        space; the ids' widths in bytes tell where each word ends. All others are texts of their own."""
-        plain = [w for w in new if PLAIN.match(w)]
+    def words(self, new: list[str]) -> list[bytes]:
+        """Ids of each word. Words of a space and letters are encoded as one running text, which the tokenizer's pattern
+        cuts before each space; the ids' widths in bytes tell where each word ends. All others are texts of their own."""
+        out: list = [None] * len(new)
+        plain = [k for k, w in enumerate(new) if PLAIN.match(w)]
         for lo in range(0, len(plain), 2000):
             some = plain[lo : lo + 2000]
-            raw = self.library(["".join(some)])[0]
+            raw = self.library(["".join([new[k] for k in some])])[0]
             ends = np.cumsum(self.width[np.frombuffer(raw, "<u4")])
-            cut = (np.searchsorted(ends, np.cumsum([len(w.encode()) for w in some])) + 1) * 4
+            cut = (np.searchsorted(ends, np.cumsum([len(new[k].encode()) for k in some])) + 1) * 4
             at = 0
-            for w, to in zip(some, cut.tolist()):
-                self.known[w] = raw[at:to]
+            for k, to in zip(some, cut.tolist()):
+                out[k] = raw[at:to]
                 at = to
-        rest = [w for w in new if not PLAIN.match(w)]
-        self.known.update(zip(rest, self.library(rest)))
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self.library([new[k] for k in rest])):
+            out[k] = x
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
+        """The ids of each text as little-endian 32-bit integers, without an end."""
+        ids, at = self.chunk(pa.array(texts, pa.string()))
+        return [ids[a : z - 1].astype("<u4").tobytes() for a, z in zip(at[:-1], at[1:])]
+
+    def chunk(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, an end id after each, and where each text's ids begin (one more than texts)."""
+        buf, offs = flat(col)
+        n = len(offs) - 1
+        odd = np.zeros(n, dtype=bool)
+        starts, at = np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
+        if len(buf):
+            bad = _BAD[buf]
+            after = buf[1:]
+            bad[:-1] |= ((buf[:-1] == 0xC3) & ((after == 0x97) | (after == 0xB7))) | ((buf[:-1] == 0xC9) & (after > 0x8F))
+            odd[np.searchsorted(offs, np.flatnonzero(bad), "right") - 1] = True
+            cls = _CLASS[buf]
+            start = np.empty(len(buf), dtype=bool)
+            start[0] = True
+            white = cls == 0
+            start[1:] = (cls[1:] != cls[:-1]) & (white[1:] | (buf[:-1] != 32))
+            start[:-1] |= white[:-1] & ~white[1:]  # the last white space before a word
+            heads = offs[:-1][np.diff(offs) > 0]
+            ends_ = heads[1:] - 1  # the last byte of a text has nothing after it
+            tail = white[ends_] & (ends_ > np.concatenate([[0], heads[1:-1]])) if len(heads) > 1 else np.zeros(0, bool)
+            if len(ends_):
+                inner = ends_[tail]
+                start[inner] = ~white[inner - 1]
+            start[heads] = True
+            starts = np.flatnonzero(start)
+            at = np.searchsorted(starts, offs)
+        h = word_hashes(buf, starts, np.append(starts[1:], len(buf)) if len(starts) else starts)
+        u, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known.hashes) > REMEMBER:
+            self.known.forget()
+        new = self.known.missing(u)
+        if odd.any():
+            # words that only odd texts have aren't looked up
+            plain = np.zeros(len(u), dtype=bool)
+            plain[back[np.repeat(~odd, np.diff(at))]] = True
+            new &= plain
+        if new.any():
+            a = starts[first[new]]
+            z = np.append(starts[1:], len(buf))[first[new]]
+            raw = buf.tobytes()
+            self.known.add(u[new], self.words([raw[i:j].decode() for i, j in zip(a.tolist(), z.tolist())]))
+        where, count = self.known.runs(u)
+        # words in text order with an end after each text; odd texts have their end alone for now
+        keep = np.repeat(~odd, np.diff(at))
+        size = np.where(odd, 0, np.diff(at))
+        to = np.cumsum(size)
+        where = np.insert(where[back[keep]], to, 0)
+        count = np.insert(count[back[keep]], to, 1)
+        take, bounds = ranges(where, count)
+        ids = self.known.flat[take]
+        begin = bounds[np.concatenate([[0], to + np.arange(1, n + 1)])]
+        if not odd.any():
+            return ids, begin
+        which = np.flatnonzero(odd)
+        texts = [buf[offs[k] : offs[k + 1]].tobytes().decode() for k in which]
         cut = [None if UNSAFE.search(t) else WORDS.findall(t) for t in texts]
-        if len(self.known) > REMEMBER:
-            self.known = {}
-        new = set()
-        for ws in cut:
-            if ws:
-                new.update(ws)
-        self.learn(list(new - self.known.keys()))
+        some = sorted({w for ws in cut if ws for w in ws})
+        of = dict(zip(some, self.words(some))).__getitem__
         whole = iter(self.library([t for t, ws in zip(texts, cut) if ws is None]))
-        of = self.known.__getitem__
-        return [next(whole) if ws is None else b"".join(map(of, ws)) for ws in cut]
+        got = [next(whole) if ws is None else b"".join(map(of, ws)) for ws in cut]
+        extra = np.zeros(n, np.int64)
+        extra[which] = [len(x) // 4 for x in got]
+        ids = np.insert(ids, np.repeat(begin[which], extra[which]), np.frombuffer(b"".join(got), "<u4"))
+        return ids, begin + np.concatenate([[0], np.cumsum(extra)])
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -240,11 +311,11 @@ def write_ids(docs: DataFrame, path: str, ws: Workspace) -> tuple[DataFrame, np.
 
     def encode(batches):
         e = encoder_of(path)
-        end = np.array([END], dtype="<u4").tobytes()
         for b in pieces(batches):
-            ids = [x + end for x in e.encode([t or "" for t in b.column(1).to_pylist()])]
-            small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids] if wide == 2 else ids
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(small, pa.binary())], ["doc_id", "n", "ids"])
+            ids, at = e.chunk(b.column(1))
+            data = pa.py_buffer(ids.astype(f"<u{wide}").tobytes())
+            cells = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * wide).astype(np.int32).tobytes()), data])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), cells], ["doc_id", "n", "ids"])
 
     from tokenizers import Tokenizer
 

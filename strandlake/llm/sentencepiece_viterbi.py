@@ -20,20 +20,19 @@ nothing is capped.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from array import array
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import Known, flat, pieces, ranges, word_hashes
 
-CHUNK = 6 << 20
-WORDS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
+CHUNK = 3 << 20
+#: Words that a process remembers, about (some 50 MB); then it starts anew.
+REMEMBER = 1_500_000
 #: How much less a character without a piece scores than the worst piece.
 UNKNOWN = 10.0
 #: Pairs of pieces that a process remembers at most; then it starts anew.
@@ -87,6 +86,10 @@ class Pieces:
         self.longest = max(map(len, self.scores))
         self.unknown = min(s for s, _ in self.scores.values()) - UNKNOWN
         self.pairs: dict[int, bool] = {}
+        self.known = Known()
+        self.sizes = np.array([len(x) for x in self.surface], dtype=np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(self.surface), np.uint8)
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether merging the characters of a + b by falling score, leftmost first, never joins across their border."""
@@ -181,14 +184,50 @@ class Pieces:
     def segment(self, words: list[str]) -> dict[str, bytes]:
         return self.merged(words) if self.merges else self.scored(words)
 
+    def chunk(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's ids begin (one more than there are texts). Words that the
+        process knows are looked up; the others are sorted into a trie and segmented."""
+        buf, offs = flat(col)
+        full = np.diff(offs) > 0
+        buf = np.insert(buf, offs[:-1][full], 32)  # the dummy space
+        offs = offs + np.concatenate([[0], np.cumsum(full)])
+        if not len(buf):
+            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        space, feed = buf == 32, buf == 10
+        start = feed.copy()
+        start[1:] |= feed[:-1] | (space[1:] & ~space[:-1])
+        start[offs[:-1][full]] = True
+        starts = np.flatnonzero(start)
+        ends = np.append(starts[1:], len(buf))
+        at = np.searchsorted(starts, offs)
+        u, first, back = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        if len(self.known.hashes) > REMEMBER:
+            self.known.forget()
+        new = self.known.missing(u)
+        if new.any():
+            raw = buf.tobytes()
+            some = [raw[i:j].decode() for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+            got = self.segment(sorted(some))
+            self.known.add(u[new], [got[w] for w in some])
+        where, count = self.known.runs(u)
+        take, bounds = ranges(where[back], count[back])
+        return self.known.flat[take], bounds[at]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [WORDS.findall(" " + t) if t else [] for t in texts]
-        of = self.segment(sorted({w for ws in cut for w in ws})).__getitem__
-        return [b"".join(map(of, ws)) for ws in cut]
+        ids, at = self.chunk(pa.array(texts, pa.string()))
+        return [ids[a:z].astype("<i4").tobytes() for a, z in zip(at[:-1], at[1:])]
+
+    def decoded(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 of the texts end to end, without their dummy spaces, and where each begins."""
+        take, bounds = ranges(self.begins[ids], self.sizes[ids])
+        bounds = bounds[at]
+        keep = np.ones(len(take), dtype=bool)
+        keep[bounds[:-1][np.diff(bounds) > 0]] = False
+        return self.letters[take[keep]], bounds - np.concatenate([[0], np.cumsum(np.diff(bounds) > 0)])
 
     def decode(self, ids: list[int]) -> bytes:
-        """UTF-8 of the text."""
-        return b"".join(map(self.surface.__getitem__, ids))[1:]
+        """UTF-8 of one text."""
+        return self.decoded(np.array(ids, dtype=np.int64), np.array([0, len(ids)]))[0].tobytes()
 
 
 def encode(docs: DataFrame, path: str, merges: bool = True) -> DataFrame:
@@ -209,14 +248,14 @@ def _run(docs: DataFrame, path: str, merges: bool, decoded: bool) -> DataFrame:
     def run(batches):
         model = model_of(path, merges)
         for b in pieces(batches, most=CHUNK):
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            ids = model.encode(texts)
-            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
-            values = np.frombuffer(b"".join(ids), dtype="<i4")
-            cols = [b.column(0), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values)), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+            ids, at = model.chunk(b.column(1))
+            ids = ids.astype("<i4")
+            cols = [b.column(0), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array([zlib.crc32(ids[a:z].tobytes()) for a, z in zip(at[:-1], at[1:])], pa.int64())]
             if decoded:
-                back = [model.decode(values[a:z].tolist()) for a, z in zip(at[:-1], islice(at, 1, None))]
-                cols += [pa.array([x == t.encode() for x, t in zip(back, texts)]), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
+                back, cut = model.decoded(ids, at)
+                text, offs = flat(b.column(1))
+                texts = [(back[a:z].tobytes(), text[c:e].tobytes()) for a, z, c, e in zip(cut[:-1], cut[1:], offs[:-1], offs[1:])]
+                cols += [pa.array([x == y for x, y in texts]), pa.array([hashlib.sha256(x).hexdigest() for x, _ in texts])]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return rows.mapInArrow(run, schema)

@@ -103,9 +103,9 @@ def id_filter(ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """At most FILTER_BITS/32768 rows (bucket, bitmap): the hashed ids, as Spark's own bitmaps."""
     bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
     return (
-        ids.select((bit / _PER_MAP).cast("int").alias("_bucket"), F.pmod(bit, F.lit(_PER_MAP)).alias("_bit"))
-        .groupBy("_bucket")
-        .agg(F.bitmap_construct_agg("_bit").alias("_map"))
+        ids.select((bit / _PER_MAP).cast("int").alias("_sl_bucket"), F.pmod(bit, F.lit(_PER_MAP)).alias("_bit"))
+        .groupBy("_sl_bucket")
+        .agg(F.bitmap_construct_agg("_bit").alias("_sl_map"))
     )
 
 
@@ -113,12 +113,22 @@ def maybe_in(rows: DataFrame, bitmaps: DataFrame, column: str = "doc_id", negate
     """Rows whose id may be in the filter (all that are, and a few more); ``negate``: the other rows, none of which
     is. The broadcast side has a fixed size (FILTER_BITS)."""
     bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    joined = rows.withColumn("_bucket", (bit / _PER_MAP).cast("int")).join(F.broadcast(bitmaps), "_bucket", "left")
+    joined = rows.withColumn("_sl_bucket", (bit / _PER_MAP).cast("int")).join(F.broadcast(bitmaps), "_sl_bucket", "left")
     pos = F.pmod(bit, F.lit(_PER_MAP))
-    byte = F.conv(F.hex(F.substring("_map", (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring("_sl_map", (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     power = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (pos % 8).cast("int") + 1)
     hit = F.coalesce(byte.bitwiseAND(power) != 0, F.lit(False))
-    return joined.filter(~hit if negate else hit).drop("_bucket", "_map")
+    return joined.filter(~hit if negate else hit).drop("_sl_bucket", "_sl_map")
+
+
+def without(ws: Workspace, rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows, all their columns, whose id isn't among ``ids`` (doc_id); rows without id stay. Only rows that the
+    fixed-size filter suspects are shuffled to meet the ids."""
+    gone = ws.put(ids.select(F.col("doc_id").alias("_sl_id")).distinct(), "gone")
+    bitmaps = ws.put(id_filter(gone, "_sl_id"), "gone-bits")
+    suspects = maybe_in(rows, bitmaps, column)
+    kept = suspects.join(gone, suspects[column] == gone["_sl_id"], "left_anti")
+    return maybe_in(rows, bitmaps, column, negate=True).unionByName(kept)
 
 
 # ---------------------------------------------------------------- connected components

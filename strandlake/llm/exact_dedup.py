@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_LEAST, Workspace, attach_groups, id_filter, maybe_in, text_column
+from .common import HOT_LEAST, Workspace, attach_groups, id_filter, maybe_in, text_column, without
 
 
 def normalised(df: DataFrame, text: str = "text"):
@@ -95,6 +95,14 @@ def exact_dedup(docs: DataFrame, bits: int = 256) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all their columns, that exact_dedup keeps."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    """The rows of docs, all their columns, that exact_dedup keeps. Texts only move where a fixed-size filter suspects
+    their id; rows without id, if any, meet by their digest."""
+    ws = Workspace(docs.sparkSession, "copies")
+    gone = ws.put(exact_dedup(docs).filter("not kept").select("doc_id", F.unhex("text_sha256").alias("digest")), "not-kept")
+    kept = without(ws, docs, gone.filter("doc_id is not null"))
+    if gone.filter("doc_id is null").isEmpty():
+        return kept
+    digests = gone.filter("doc_id is null").select(F.col("digest").alias("_sl_digest")).distinct()
+    nameless = docs.filter("doc_id is null")
+    nameless = nameless.join(digests, F.unhex(F.sha2(normalised(nameless).cast("binary"), 256)) == digests["_sl_digest"], "left_anti")
+    return kept.filter("doc_id is not null").unionByName(nameless)

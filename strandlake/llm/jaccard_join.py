@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, Workspace, attach_groups, components, flat, id_filter, maybe_in, mix, pieces, shuffle_parts, text_column, word_hashes, words
+from .common import LOWER, SPACE, Workspace, attach_groups, components, flat, id_filter, maybe_in, mix, pieces, shuffle_parts, text_column, without, word_hashes, words
 
 N = 4
 PERCENT = 85
@@ -354,6 +354,6 @@ def verify(ws: Workspace, texts: DataFrame, pairs: DataFrame, name: str, n: int,
 
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all their columns, whose doc_id is the smallest of its component."""
-    kept = similar_components(docs, n, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    """The rows of docs, all their columns, whose doc_id is the smallest of its component; rows without id stay."""
+    ws = Workspace(docs.sparkSession, "one")
+    return without(ws, docs, similar_components(docs, n, percent).filter("doc_id != component_id").select("doc_id"))

@@ -107,7 +107,7 @@ def reorder(df: DataFrame, key: str, order: list) -> DataFrame:
     return df.join(F.broadcast(places), key)
 
 
-def bicluster(matrix: DataFrame, key: str, columns: list[str], rows: int = 6, cols: int = 3, seed: int = 0):
+def bicluster(matrix: DataFrame, key: str, columns: list[str], rows: int = 6, cols: int = 3):
     """(row labels, column labels) of a 0/1 matrix that fits the driver: the log interaction matrix, its leading singular
     vectors, two-means style clustering of both sides. For the matrices of one gene; not for whole tables."""
     import numpy as np
@@ -119,8 +119,9 @@ def bicluster(matrix: DataFrame, key: str, columns: list[str], rows: int = 6, co
     k = min(max(1, int(np.ceil(np.log2(max(rows, cols)))) + 1), len(s))
 
     def cluster(points, n):
-        rng = np.random.default_rng(seed)
-        centre = points[rng.choice(len(points), min(n, len(points)), replace=False)]
+        centre = points[[0]]  # each next centre is the point farthest from those before
+        while len(centre) < min(n, len(points)):
+            centre = np.vstack([centre, points[((points[:, None, :] - centre[None]) ** 2).sum(axis=2).min(axis=1).argmax()]])
         label = np.zeros(len(points), dtype=int)
         for _ in range(100):
             new = ((points[:, None, :] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)

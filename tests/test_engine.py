@@ -279,9 +279,8 @@ def test_streaming_runs_match_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, cols).withColumn("ts", F.timestamp_seconds("t")).drop("t")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     out = stream_runs(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    q = out.writeStream.format("memory").queryName("runs_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = out.writeStream.format("memory").queryName("runs_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     got = {(r.user_id, r.event_type, r.start_idx, r.end_idx, r.mean) for r in spark.table("runs_out").collect()}
     batch = runs.collapse_runs(df, ["user_id"], ["ts", "event_id"], ["event_type"], "value", F.col("k"), "event_id", "event_id")
     every = {(r.user_id, r.event_type, r.start_idx, r.end_idx, r.mean) for r in batch.collect()}

@@ -32,7 +32,11 @@ def reads_to_blocks(standardized: DataFrame, distance: int = 10, compat: bool =
     some = normalized_reads(standardized).select("read_id", "event", F.col("normalized.signal").alias("signal"))
     border = signal.initial_border(some, ["read_id"], distance=distance)
     ready = some.join(border, "read_id")
-    states = segment.segment_reads(ready, ["read_id"], compat=compat)
+    return blocks_of(some, segment.segment_reads(ready, ["read_id"], compat=compat))
+
+
+def blocks_of(some: DataFrame, states: DataFrame) -> DataFrame:
+    """Reads (read_id, event, signal) with their blocks' parameters from segmentations (read_id, final_border, states)."""
     segmented = some.join(states, "read_id")
     stats = segment.block_statistics(segment.block_samples(segmented, ["read_id"]), ["read_id"])
     n = (F.size("final_border") / 2).cast("int")
@@ -45,11 +49,15 @@ def reads_to_blocks(standardized: DataFrame, distance: int = 10, compat: bool =
 
 def blocks_to_sites(segmented: DataFrame, kmer_index: DataFrame, kmer_model: DataFrame, variant: str = "two") -> DataFrame:
     """Entry C: blocks of segmented reads to one row per read and position with its modification state."""
+    aligned = AL.align_reads(align_ready(segmented), AL.model_dict(kmer_model), ["read_index", "read_id", "contig"], variant, origin="origin")
+    return runs.collapse_alignment(aligned, kmer_index, kmer_model)
+
+
+def align_ready(segmented: DataFrame) -> DataFrame:
+    """Segmented reads as the aligner takes them: blocks between the first and last aligned sample, reference, origin."""
     kept = reads.kept_segmentations(segmented).select("read_id", "event", "blocks")
     kept = kept.select("read_id", F.col("event.read_index").alias("read_index"), F.col("event.contig").alias("contig"), F.col("event.trans_position_start").alias("origin"), F.col("event.reference").alias("reference"), "blocks", F.col("event.start_idx").alias("lo"), F.col("event.end_idx").alias("hi"))
-    kept = segment.align_inputs(kept, "lo", "hi")
-    aligned = AL.align_reads(kept, AL.model_dict(kmer_model), ["read_index", "read_id", "contig"], variant, origin="origin")
-    return runs.collapse_alignment(aligned, kmer_index, kmer_model)
+    return segment.align_inputs(kept, "lo", "hi")
 
 
 def reestimate(sites: DataFrame, kmer_model: DataFrame, kmers: list[str]) -> DataFrame:

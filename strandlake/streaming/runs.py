@@ -1,7 +1,7 @@
 """Run collapse over a stream: an extension with the same rows as the batch form, given each read's events in order.
 
-The state of a read is its open run. A run is emitted when another key follows; the last run of a read is emitted when
-the read has been silent for the time-out.
+The state of a read is its open run. A run is emitted when another key follows; a read's last run stays open, as more of it
+may come.
 """
 
 from __future__ import annotations
@@ -22,12 +22,6 @@ def _row(read, state) -> dict:
 
 def collapse(key, frames, state):
     out, open_ = [], state.get if state.exists else None
-    if state.hasTimedOut:
-        if open_ is not None:
-            out.append(_row(key[0], open_))
-            state.remove()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-        return
     for pdf in frames:
         for r in pdf.sort_values(["ts", "event_id"]).itertuples():
             if open_ is not None and open_[0] == r.event_type:
@@ -38,10 +32,9 @@ def collapse(key, frames, state):
                 open_ = (r.event_type, float(r.k * r.value), int(r.k), int(r.event_id), int(r.event_id), 1)
     if open_ is not None:
         state.update(open_)
-        state.setTimeoutDuration(3_600_000)
     yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
 
 def stream_runs(events: DataFrame) -> DataFrame:
     """events: a streaming frame with user_id, ts, event_id, event_type, value, k."""
-    return events.groupBy("user_id").applyInPandasWithState(collapse, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(collapse, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -233,6 +233,24 @@ def test_end_to_end(spark):
     assert new.count() == len(levels)
 
 
+def test_command_line(spark, tmp_path):
+    """The stages as programs, on a few text files."""
+    from strandlake.__main__ import main
+
+    names = [f.name for f in S.struct(S.EVENT_COLUMNS).fields]
+    rows = [("t", p, k, 0, "t", 1, 80.0 + p, 1.0, 0.1, k, 0.0, 1.0, 0.0, 100 - 10 * p, 110 - 10 * p) for p, k in enumerate(("ACGTA", "CGTAC", "GTACG"))]
+    (tmp_path / "e.tsv").write_text("\n".join("\t".join(map(str, r)) for r in [names, *rows]) + "\n")
+    names = [f.name for f in S.struct(S.SUMMARY_COLUMNS).fields]
+    (tmp_path / "s.tsv").write_text("\n".join("\t".join(map(str, r)) for r in [names, (0, "r0", "x/a.h5", "m", "t", 1, 1, 1, 1, 1.0, 1.0, 1.0, 1.0, 1.0)]) + "\n")
+    (tmp_path / "r.fa").write_text(">t\nACGTACG\n")
+    at = lambda x: str(tmp_path / x)
+    main(["strand", "--events", at("e.tsv"), "--out", at("strand")])
+    main(["collapse", "--strand", at("strand"), "--summary", at("s.tsv"), "--reference", at("r.fa"), "--out", at("collapsed")])
+    r = one(spark.read.parquet(at("collapsed/reads")))
+    assert (r.read_name, r.fast5_path, r.trans_position_start, r.trans_position_end, r.start_idx, r.end_idx, r.ref) == ("r0", "a.h5", 2, 4, 80, 110, "ACGTACG")
+    assert spark.read.parquet(at("collapsed/missing")).count() == 0
+
+
 def test_alignment_variants(spark):
     block = [(k * 4, k * 4 + 4, 90.0 + k, 1.0, 4) for k in range(6)]
     df = spark.createDataFrame([(1, block, "ACGTACGT", 10), (2, [], "ACGTACGT", 10), (3, block, "ACG", 10)], "id int, blocks array<struct<start: int, end: int, mu: double, sigma: double, len: int>>, reference string, origin int")
@@ -280,7 +298,7 @@ def test_streaming_runs_match_batch(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     out = stream_runs(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     q = out.writeStream.format("memory").queryName("runs_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
+    assert q.awaitTermination(150)
     got = {(r.user_id, r.event_type, r.start_idx, r.end_idx, r.mean) for r in spark.table("runs_out").collect()}
     batch = runs.collapse_runs(df, ["user_id"], ["ts", "event_id"], ["event_type"], "value", F.col("k"), "event_id", "event_id")
     every = {(r.user_id, r.event_type, r.start_idx, r.end_idx, r.mean) for r in batch.collect()}

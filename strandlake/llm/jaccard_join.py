@@ -10,11 +10,17 @@ Documents with the same size and prefix are one group; inside it, equal sets are
 representative. Prefix shingles of groups (never of copies) are dealt by shingle; a shingle's groups are a run.
 
 Linked classes are found in two rounds, so that k near copies cost about k checks and not k * k:
-1. Each group is checked with the run's smallest group that shares most prefix shingles with it, and inside groups each
-   class with the group's first. Links that hold give components.
-2. All pairs of groups in a run that aren't in one component already, and pairs of classes of a group that aren't, are
-   counted over all runs. Whoever can't reach the needed overlap by the count is out; all others are expanded to their
-   classes and verified. No pair that could link different components is left out, so the components are exact.
+1. Each group is checked with one central group: of the groups with the most shared prefix shingles in its runs (a text
+   that others are edits of has none of its own) the one that it meets most often; and inside groups each class with the
+   group's first. Links that hold give components.
+2. All pairs of groups in a run that aren't in one component already and can still link, and pairs of classes of a group
+   that aren't, are expanded to their classes and verified (first by counts of their shingles in classes of hashes, an
+   upper bound of the overlap, then by their texts). No pair that could link different components is left out,
+   so the components are exact.
+
+Whether two groups can link at a run is bounded from their sizes: the overlap that they need, less what lies beyond the
+prefix that ends first, is the least number of prefix shingles that they share. Every pair that links has a first shared
+shingle, and there both groups have at least that many shingles with runs, this one included, up to their prefix's end.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. Rows that repeat an id are one
 document's rows: each is returned. Null ids come after all others as representatives and are returned with component
@@ -23,10 +29,13 @@ null unless linked. Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import LOWER, SPACE, Workspace, attach_groups, components, flat, id_filter, maybe_in, mix, pieces, shuffle_parts, text_column, without, word_hashes, words
 
@@ -36,6 +45,12 @@ PERCENT = 85
 HEAVY_LOCAL = 4
 HEAVY_MOST = 1 << 18
 SLICE = 4_000_000
+#: Most central groups of a run that round 1 tries; round 2 has no such bound.
+CENTRES = 3
+#: Classes of hashes in which a set's shingles are counted before two texts are compared.
+TALLIES = 128
+#: Runs up to this size are paired by whole arrays.
+SHORT = 12
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
 
@@ -135,16 +150,35 @@ def _top(ws: Workspace, found: DataFrame) -> Order:
     return Order(top["h"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64))
 
 
-_ROWS = "kind int, doc_id long, n long, gid long, s1 long, s2 long, bucket int, blob binary"
+_ROWS = "kind int, doc_id long, n long, gid long, s1 long, s2 long, bucket int, blob binary, last long, tally binary"
 _NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 
 
-def _rows(kind, doc_id=None, n=None, gid=None, s1=None, s2=None, bucket=None, blob=None, size=0) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    cols = [np.full(size, kind, np.int32), doc_id, n, gid, s1, s2, bucket, blob]
+def _rows(kind, doc_id=None, n=None, gid=None, s1=None, s2=None, bucket=None, blob=None, last=None, tally=None, size=0) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
+    cols = [np.full(size, kind, np.int32), doc_id, n, gid, s1, s2, bucket, blob, last, tally]
     return pa.RecordBatch.from_arrays([pa.nulls(size, k) if c is None else (c if isinstance(c, pa.Array) else pa.array(c, k)) for c, k in zip(cols, kinds)], _NAMES)
 
 
+def _by_run(batches, width: int):
+    """Rows that come sorted by their first column, as arrays of whole runs with the runs' bounds."""
+    rest: list = []
+    for b in chain(batches, [None]):
+        if b is not None:
+            rest.append([np.asarray(b.column(k)) for k in range(width)])
+            if sum(len(x[0]) for x in rest) < 200_000:
+                continue
+        if not rest:
+            return
+        columns = [np.concatenate([x[k] for x in rest]) for k in range(width)]
+        key = columns[0]
+        cut = len(key) if b is None else int(np.searchsorted(key, key[-1]))  # the last run may go on
+        rest = [[x[cut:] for x in columns]]
+        if cut:
+            heads = np.flatnonzero(np.concatenate([[True], key[1:cut] != key[: cut - 1]]))
+            yield [x[:cut] for x in columns], list(zip(heads.tolist(), [*heads[1:].tolist(), cut]))
+
+
 def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text, ...)."""
     spark = docs.sparkSession
@@ -173,7 +207,9 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
             h, bounds = shingles(b.column(1), n)
             key = order.value.keys(h)
             rows = b.num_rows
-            count, gids, s1, s2 = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+            count = np.zeros(rows, np.int64)
+            gids, s1, s2, last = (np.zeros(rows, np.uint64) for _ in range(4))
+            tally = [b""] * rows
             for i in range(rows):
                 o = _unique(key[bounds[i] : bounds[i + 1]])
                 k = len(o)
@@ -182,13 +218,14 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
                 m = mix(o)
                 p = k - needed(k, percent) + 1
                 count[i], s1[i], s2[i] = k, m.sum(), mix(m + np.uint64(1)).sum()
+                tally[i] = np.minimum(np.bincount((m & np.uint64(TALLIES - 1)).astype(np.int64), minlength=TALLIES), 65535).astype("<u2").tobytes()
                 g = int(mix(m[:p].sum(keepdims=True) * np.uint64(3) + np.uint64(k))[0])
-                gids[i] = g
+                gids[i], last[i] = g, o[p - 1] ^ np.uint64(1 << 63)  # as a signed number it keeps its order
                 if g not in seen:
                     seen.add(g)
                     held.append((o[:p], np.full(p, g, np.uint64), np.full(p, k, np.uint32)))
                     size += p
-            yield _rows(0, b.column(0), count, _signed(gids), _signed(s1), _signed(s2), (mix(gids) % np.uint64(buckets)).astype(np.int32), None, rows)
+            yield _rows(0, b.column(0), count, _signed(gids), _signed(s1), _signed(s2), (mix(gids) % np.uint64(buckets)).astype(np.int32), None, _signed(last), tally, rows)
             if size >= 500_000:
                 yield out()
                 held, size = [], 0
@@ -196,8 +233,7 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
             yield out()
 
     def runs(batches):
-        """Documents pass; kind 2: runs of two and more groups, packed; kind 3: pairs of a run's first group with the
-        others (doc_id, gid: the groups; n, s1: their sizes; s2: in how many runs of this bucket)."""
+        """Documents pass; kind 2: runs of two and more groups, packed."""
         blobs: list[bytes] = []
         for b in batches:
             kinds = np.asarray(b.column(0))
@@ -209,7 +245,7 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         sizes = [len(x) // 20 for x in blobs]
         key = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(blobs, sizes)])
         gid = np.concatenate([np.frombuffer(x, np.uint64, k, 8 * k) for x, k in zip(blobs, sizes)])
-        length = np.concatenate([np.frombuffer(x, np.uint32, k, 16 * k) for x, k in zip(blobs, sizes)]).astype(np.int64)
+        length = np.concatenate([np.frombuffer(x, np.uint32, k, 16 * k) for x, k in zip(blobs, sizes)])
         del blobs
         by = np.argsort(key, kind="stable")
         key = key[by]
@@ -218,105 +254,129 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         twin[:-1] |= twin[1:]
         key, by = key[twin], by[twin]
         gid, length = gid[by], length[by]
-        by = np.lexsort((gid, length, key))
+        by = np.lexsort((gid, key))
         key, gid, length = key[by], gid[by], length[by]
         fresh = np.ones(len(key), dtype=bool)
         fresh[1:] = (key[1:] != key[:-1]) | (gid[1:] != gid[:-1])  # a group that several tasks sent
         key, gid, length = key[fresh], gid[fresh], length[fresh]
-        head = np.ones(len(key), dtype=bool)
-        head[1:] = key[1:] != key[:-1]
-        of = np.cumsum(head) - 1
-        alone = np.bincount(of, minlength=1)[of] < 2 if len(of) else np.zeros(0, bool)
-        key, gid, length, head = key[~alone], gid[~alone], length[~alone], head[~alone]
         if not len(key):
             return
-        first = np.flatnonzero(head)
-        for lo in range(0, len(first), 50_000):
-            a, z = first[lo], first[lo + 50_000] if lo + 50_000 < len(first) else len(key)
-            yield _rows(2, blob=[key[a:z].tobytes() + gid[a:z].tobytes() + length[a:z].astype(np.uint32).tobytes()], size=1)
-        lead = first[np.cumsum(head) - 1]
-        ok = ~head & (100 * length[lead] >= percent * length)
-        pair = np.rec.fromarrays([gid[lead][ok], gid[ok]])
-        pair, at, c = np.unique(pair, return_index=True, return_counts=True)
-        yield _rows(3, _signed(pair.f0), length[lead][ok][at], _signed(pair.f1), length[ok][at], c, size=len(pair))
+        of = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
+        several = np.bincount(of)[of] > 1
+        key, gid, length = key[several], gid[several], length[several]
+        for a in range(0, len(key), 100_000):
+            z = a + 100_000
+            yield _rows(2, blob=[key[a:z].tobytes() + gid[a:z].tobytes() + length[a:z].tobytes()], size=1)
 
     flow = ws.put(texts.mapInArrow(prefixes, _ROWS).repartition(buckets, "bucket").mapInArrow(runs, _ROWS), "flow", compression="zstd")
-    docrows = flow.filter("kind = 0").select("doc_id", "n", "gid", F.struct("s1", "s2", "n").alias("class"))
-    classes = docrows.filter("n > 0").groupBy("class", "gid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    docrows = flow.filter("kind = 0").select("doc_id", "n", "gid", "last", "tally", F.struct("s1", "s2", "n").alias("class"))
+    classes = docrows.filter("n > 0").groupBy("class", "gid", "n", "last").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.min("tally").alias("tally"))
     classes = ws.put(classes.filter("rep is not null"), "classes", compression="zstd")
 
-    def need(a: str, b: str):
-        """The least number of common prefix shingles of a pair that links."""
-        overlap = F.ceil((F.col(a) + F.col(b)) * percent / F.lit(100.0 + percent) - 1e-9)
-        rest = lambda x: F.ceil(F.col(x) * percent / 100.0 - 1e-9) - 1  # noqa: E731  what lies beyond the prefix
-        return F.greatest(overlap - F.greatest(rest(a), rest(b)), F.lit(1))
+    lead = classes.groupBy("gid").agg(F.min("rep").alias("lead"), F.count("*").alias("k"), F.min("last").alias("last"))
+    lead = ws.put(lead, "lead", compression="zstd")
+
+    def unpack(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                k = len(x) // 20
+                yield pa.RecordBatch.from_arrays([_signed(np.frombuffer(x, np.uint64, k)), _signed(np.frombuffer(x, np.uint64, k, 8 * k)), pa.array(np.frombuffer(x, np.uint32, k, 16 * k).astype(np.int64))], ["key", "gid", "n"])
+
+    entries = flow.filter("kind = 2").select("blob").mapInArrow(unpack, "key long, gid long, n long")
+    # rank: how many of a group's shingles with runs come at this one or after it in the global order
+    order_ = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))
+    mine = Window.partitionBy("gid")
+    entries = entries.withColumn("rank", F.row_number().over(mine.orderBy(order_.desc()))).withColumn("shared", F.count("*").over(mine))
+    entries = ws.put(entries.join(lead.select("gid", "last"), "gid").select("key", "gid", "n", "last", "rank", "shared"), "entries", compression="zstd")
+
+    def able(size, last, rank, i, j):
+        """Whether a link of groups i and j can have its first shared shingle here."""
+        beyond = -(-percent * size // 100) - 1
+        overlap = -(-percent * (size[i] + size[j]) // (100 + percent))
+        tail = np.where(last[j] > last[i], beyond[i], np.where(last[j] < last[i], beyond[j], np.minimum(beyond[i], beyond[j])))
+        return (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & (overlap - tail <= np.minimum(rank[i], rank[j]))
+
+    def counted(made: list) -> pa.RecordBatch:
+        x, y = (np.concatenate([m[k] for m in made]) for k in range(2))
+        pair, c = np.unique(np.rec.fromarrays([x, y]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(pair.f0), pa.array(pair.f1), pa.array(c, pa.int64())], ["a", "b", "c"])
+
+    def short_pairs(key, spans):
+        """All pairs (i, j) of places in runs of at most SHORT, and the other runs."""
+        bounds = np.array(spans, dtype=np.int64)
+        size = bounds[:, 1] - bounds[:, 0]
+        short = np.repeat(size <= SHORT, size)
+        out_i, out_j = [], []
+        for d in range(1, SHORT):
+            i = np.flatnonzero(short[:-d] & (key[:-d] == key[d:])) if d < len(key) else np.zeros(0, np.int64)
+            if not len(i):
+                break
+            out_i.append(i)
+            out_j.append(i + d)
+        none = np.zeros(0, np.int64)
+        return np.concatenate(out_i or [none]), np.concatenate(out_j or [none]), [x for x, m in zip(spans, size) if m > SHORT]
+
+    def stars(batches):
+        """Pairs of each run's most central groups and its others (of short runs all pairs), as far as they can link; the
+        more central group first."""
+        for (key, gid, size, last, rank, shared), spans in _by_run(batches, 6):
+            i, j, long_ = short_pairs(key, spans)
+            ok = able(size, last, rank, i, j)
+            i, j = i[ok], j[ok]
+            swap = (shared[j] > shared[i]) | ((shared[j] == shared[i]) & (gid[j] < gid[i]))
+            made = [(np.where(swap, gid[j], gid[i]), np.where(swap, gid[i], gid[j]))]
+            for a, z in long_:
+                for i in a + np.lexsort((gid[a:z], -shared[a:z]))[:CENTRES]:
+                    j = np.arange(a, z)
+                    ok = able(size, last, rank, i, j) & ((shared[j] < shared[i]) | ((shared[j] == shared[i]) & (gid[j] > gid[i])))
+                    made.append((np.full(int(ok.sum()), gid[i]), gid[j[ok]]))
+            yield counted(made)
 
     # round 1
-    pairs = flow.filter("kind = 3").groupBy(F.col("doc_id").alias("a"), F.col("gid").alias("b")).agg(F.max("n").alias("na"), F.max("s1").alias("nb"), F.sum("s2").alias("c"))
-    pairs = pairs.filter(F.col("c") * 3 >= need("na", "nb")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-    lead = classes.groupBy("gid").agg(F.min("rep").alias("lead"), F.count("*").alias("k"))
-    lead = ws.put(lead, "lead", compression="zstd")
+    pairs = entries.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(stars, "a long, b long, c long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
     across = pairs.join(lead.select(F.col("gid").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("gid").alias("b"), F.col("lead").alias("y")), "b").select("x", "y")
     several = lead.filter("k > 1").select("gid", "lead")
     inside = classes.join(several, "gid").filter("rep != lead").select(F.col("lead").alias("x"), F.col("rep").alias("y"))
-    links = ws.put(verify(ws, texts, across.unionByName(inside).distinct(), "round1", n, percent), "links1")
+    tallies = classes.select("rep", "n", "tally")
+    links = ws.put(verify(ws, texts, tallies, across.unionByName(inside).distinct(), "round1", n, percent), "links1")
     comp = components(ws, links, "comp1")
 
     # round 2: what round 1 hasn't connected
-    of = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("gid", "n", "rep", F.coalesce("component", "rep").alias("comp"))
+    of = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("gid", "n", "last", "rep", F.coalesce("component", "rep").alias("comp"))
     of = ws.put(of, "of", compression="zstd")
     state = of.groupBy("gid").agg(F.min("comp").alias("comp"), (F.min("comp") != F.max("comp")).alias("mixed"))
-
-    def unpack(batches):
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                k = len(x) // 20
-                yield pa.RecordBatch.from_arrays([_signed(np.frombuffer(x, np.uint64, k)), _signed(np.frombuffer(x, np.uint64, k, 8 * k)), pa.array(np.frombuffer(x, np.uint32, k, 16 * k).astype(np.int64))], ["key", "gid", "n"])
-
-    entries = flow.filter("kind = 2").select("blob").mapInArrow(unpack, "key long, gid long, n long").join(state, "gid")
+    entries = ws.put(entries.join(state, "gid"), "entries2", compression="zstd")
     open_ = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("mixed").alias("mixed")).filter("lo != hi or mixed").select("key")
 
     def crossing(batches):
-        """Pairs of groups of a run in different components (or in several), whose sizes allow a link, with counts."""
-        rest: list = []
-        for b in [*batches, None]:
-            if b is not None:
-                rest.append([np.asarray(b.column(k)) for k in range(5)])
-                if sum(len(x[0]) for x in rest) < 200_000:
-                    continue
-            if not rest:
-                return
-            key, gid, size, comp_, mixed = (np.concatenate([x[k] for x in rest]) for k in range(5))
-            cut = len(key) if b is None else int(np.searchsorted(key, key[-1]))  # rows come sorted by key; the last run may go on
-            rest = [[x[cut:] for x in (key, gid, size, comp_, mixed)]]
-            if not cut:
-                continue
-            heads = np.flatnonzero(np.concatenate([[True], key[1:cut] != key[: cut - 1]]))
+        """Pairs of groups of a run in different components (or in several) that can still link."""
+        for (key, gid, size, last, rank, comp_, mixed), spans in _by_run(batches, 7):
             made: list = []
-            for a, z in zip(heads, np.append(heads[1:], cut)):
+
+            def add(i, j):
+                open__ = (comp_[j] != comp_[i]) | mixed[j] | mixed[i]
+                i, j = (i[open__] if np.ndim(i) else np.full(int(open__.sum()), i)), j[open__]
+                ok = able(size, last, rank, i, j)
+                i, j = i[ok], j[ok]
+                made.append((np.minimum(gid[i], gid[j]), np.maximum(gid[i], gid[j])))
+
+            i, j, long_ = short_pairs(key, spans)
+            add(i, j)
+            for a, z in long_:
                 for i in range(a, z - 1):
-                    to = a + int(np.searchsorted(size[a:z], size[i] * 100 // percent, "right"))
-                    j = np.arange(i + 1, to)
-                    j = j[(comp_[j] != comp_[i]) | mixed[j] | mixed[i]]
-                    if len(j):
-                        x, y = np.minimum(gid[i], gid[j]), np.maximum(gid[i], gid[j])
-                        swap = gid[j] < gid[i]
-                        made.append((x, y, np.where(swap, size[j], size[i]), np.where(swap, size[i], size[j])))
-            if made:
-                x, y, nx, ny = (np.concatenate([m[k] for m in made]) for k in range(4))
-                pair, at, c = np.unique(np.rec.fromarrays([x, y]), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair.f0), pa.array(pair.f1), pa.array(nx[at]), pa.array(ny[at]), pa.array(c, pa.int64())], ["a", "b", "na", "nb", "c"])
-
-    runs2 = entries.join(open_, "key").select("key", "gid", "n", "comp", "mixed").repartition(buckets, "key").sortWithinPartitions("key", "n")
-    cross = runs2.mapInArrow(crossing, "a long, b long, na long, nb long, c long").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"))
-    cross = cross.filter(F.col("c") >= need("na", "nb")).select("a", "b")
+                    add(i, np.arange(i + 1, a + int(np.searchsorted(size[a:z], size[i] * 100 // percent, "right"))))
+            yield counted(made)
+
+    runs2 = entries.join(open_, "key").select("key", "gid", "n", "last", "rank", "comp", "mixed").repartition(buckets, "key").sortWithinPartitions("key", "n")
+    cross = runs2.mapInArrow(crossing, "a long, b long, c long").select("a", "b").distinct()
     one = of.select(F.col("gid").alias("a"), F.col("rep").alias("x"), F.col("comp").alias("cx"))
     two = of.select(F.col("gid").alias("b"), F.col("rep").alias("y"), F.col("comp").alias("cy"))
     across = cross.join(one, "a").join(two, "b").filter("cx != cy").select("x", "y")
     torn = state.filter("mixed").select("gid")
     inside = of.join(torn, "gid").select("gid", F.col("rep").alias("x"), F.col("comp").alias("cx"))
     inside = inside.join(of.join(torn, "gid").select("gid", F.col("rep").alias("y"), F.col("comp").alias("cy")), "gid").filter("cx != cy and x < y").select("x", "y")
-    more = ws.put(verify(ws, texts, across.unionByName(inside).distinct(), "round2", n, percent), "links2")
+    more = ws.put(verify(ws, texts, tallies, across.unionByName(inside).distinct(), "round2", n, percent), "links2")
     if not more.isEmpty():
         comp = components(ws, links.unionByName(more), "comp2")
 
@@ -327,10 +387,29 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     return out.unionByName(docrows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def verify(ws: Workspace, texts: DataFrame, pairs: DataFrame, name: str, n: int, percent: int) -> DataFrame:
+def promising(pairs: DataFrame, tallies: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sets can overlap enough: two sets have at most as many shingles in common as the sum over TALLIES
+    classes of hashes of the smaller counts. Exact: no pair that links goes (a count at its limit counts as any)."""
+    rows = pairs.join(tallies.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("tally").alias("tx")), "x")
+    rows = rows.join(tallies.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("tally").alias("ty")), "y").select("x", "y", "nx", "ny", "tx", "ty")
+
+    def bound(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            nx, ny = np.asarray(b.column(2)), np.asarray(b.column(3))
+            tx, ty = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, TALLIES).astype(np.int64) for k in (4, 5))
+            most = np.where((tx == 65535) | (ty == 65535), np.maximum(nx, ny)[:, None], np.minimum(tx, ty)).sum(axis=1)
+            kept = b.filter(pa.array(((100 + percent) * np.minimum(most, np.minimum(nx, ny)) >= percent * (nx + ny))))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["x", "y"])
+
+    return rows.mapInArrow(bound, "x long, y long")
+
+
+def verify(ws: Workspace, texts: DataFrame, tallies: DataFrame, pairs: DataFrame, name: str, n: int, percent: int) -> DataFrame:
     """The pairs (x, y) of ids whose texts link, as (a, b). Texts of a hot x are copied once for each salt that its
     pairs use, at most 64 times."""
-    pairs = ws.put(pairs.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(64)).cast("int")), f"{name}-pairs")
+    pairs = ws.put(promising(pairs, tallies, percent).withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(64)).cast("int")), f"{name}-pairs")
     ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
     ids = ws.put(ids, f"{name}-ids")
     some = maybe_in(texts.filter("doc_id is not null"), id_filter(ids)).join(ids, "doc_id")

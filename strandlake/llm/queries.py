@@ -49,7 +49,7 @@ def op7_jaccard_join(spark, sf_dir):
 
 
 def op8_decontamination(spark, sf_dir):
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("starts", "ends")
 
 
 def op9_suffix_dedup(spark, sf_dir):
@@ -73,7 +73,34 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 SQL = {
+    "op7_jaccard_join": rf"""
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[p : p + least(4, len(ws)) - 1], ' ') AS g
+                           FROM w, unnest(range(1, len(ws) - least(4, len(ws)) + 2)) t(p) WHERE len(ws) > 0),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+        r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id)
+        SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY 1
+    """,
+    "op8_decontamination": rf"""
+        WITH w AS MATERIALIZED (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+        b AS (SELECT item_id, {_ALNUM} AS ws FROM benchmark),
+        i AS MATERIALIZED (SELECT DISTINCT item_id, least(13, len(ws)) AS k, array_to_string(ws[p : p + least(13, len(ws)) - 1], ' ') AS g
+                           FROM b, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) t(p) WHERE len(ws) > 0),
+        d AS (SELECT doc_id, k, p, array_to_string(ws[p : p + k - 1], ' ') AS g
+              FROM w, (SELECT DISTINCT k FROM i) kinds, unnest(range(1, len(ws) - k + 2)) t(p)),
+        h AS MATERIALIZED (SELECT doc_id, p, d.k, item_id FROM d JOIN i ON d.g = i.g AND d.k = i.k),
+        x AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM h, unnest(range(p, p + k)) t(q) GROUP BY 1),
+        y AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM h GROUP BY 1)
+        SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM w LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
+    """,
     "op1_exact_dedup": r"""
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256

@@ -98,8 +98,10 @@ class Page(HTMLParser):
             role = a.get("role", "").lower()
             main = main or role in ("main", "article") or bool(MAIN.search(f"{names} {a.get('itemprop', '')}"))
             left = "hidden" in a or a.get("aria-hidden") == "true" or role in ROLES or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
-            if not left and tag not in ("html", "body") and names != " ":
-                left = bool(BOILER.search(names.lower())) and not main
+            if not left and tag not in ("html", "body") and names != " " and not main:
+                named = BOILER.search(names.lower())
+                # an article's own heading block stays
+                left = bool(named) and not ("header" in named[0] and any(t in ("article", "main") for t, _, _ in self.stack))
         elif tag == "header" and any(t == "article" for t, _, _ in self.stack):
             left = False  # an article's own heading
         self.made += 1

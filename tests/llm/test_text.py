@@ -149,6 +149,11 @@ def test_page_without_article():
     assert html_extract.extract(page) == "\n".join([("A long paragraph of words. " * 5).strip(), "tiny", ("Another long paragraph here. " * 5).strip()])
 
 
+def test_heading_blocks_of_articles_stay():
+    page = "<div class=page-header><p>Site</p></div><article><div class='entry-header'><h1>Title</h1></div><p>Some text of the article here.</p><div class='comments'><p>No.</p></div></article>"
+    assert html_extract.extract(page) == "Title\nSome text of the article here."
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p></p>", "<script>x</script>", "<", "<![if x]><p>t</p>", "<p>a<p>b</div></div>", "&#x41;&amp;&nosuch;", "<" * 50])
 def test_broken_pages(page):
     assert isinstance(html_extract.extract(page), str)

@@ -8,6 +8,7 @@ unset, as in tests), so they outlive any executor and cut lineage.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ HOT_SHARE = 1000
 #: Keys with fewer rows than this are never hot.
 HOT_LEAST = 1000
 #: Arrow batches are cut into pieces of about this many text bytes before numpy arrays are made of them.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1_000_000
 
 
 # ---------------------------------------------------------------- tables in the shared folder
@@ -163,6 +164,14 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Arrow batches and words
+def give_back() -> None:
+    """Returns freed memory to the system at a task's end: worker processes live on and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches of about ``most`` text bytes, so that memory doesn't follow the batch; a longer text is
     a slice of its own."""
@@ -180,6 +189,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(cum, done + most, "right")))
             yield b.slice(at, to - at)
             at = to
+    give_back()
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

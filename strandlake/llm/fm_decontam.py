@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import LOWER, NOT_ALNUM, flat, pieces, text_column, word_hashes, words
 
 WINDOW = 13
-SHARD = 4 << 20
+SHARD = 1_000_000
 SAMPLED = 16
 PART = 16 << 20
 

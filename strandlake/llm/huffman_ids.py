@@ -34,8 +34,8 @@ END = 2
 LIMIT = 18
 BLOCK = 1 << 16
 STEP = 64
-#: Words that an encoder remembers, about (some 50 MB); then it starts anew.
-REMEMBER = 1_500_000
+#: Words that an encoder remembers, about (some 25 MB); then it starts anew.
+REMEMBER = 800_000
 
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: On texts of these characters, WORDS cuts as the tokenizer's own pattern does.

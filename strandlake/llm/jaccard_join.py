@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, SPACE, Workspace, attach_groups, components, flat, id_filter, maybe_in, mix, pieces, shuffle_parts, text_column, without, word_hashes, words
+from .common import LOWER, SPACE, Workspace, attach_groups, components, flat, give_back, id_filter, maybe_in, mix, pieces, shuffle_parts, text_column, without, word_hashes, words
 
 N = 4
 PERCENT = 85
 #: A shingle's count in a slice of a partition below this isn't reported, nor is a total below 4 times this heavy.
-HEAVY_LOCAL = 4
+HEAVY_LOCAL = 3
 HEAVY_MOST = 1 << 18
-SLICE = 4_000_000
+SLICE = 2_000_000
 #: Most central groups of a run that round 1 tries; round 2 has no such bound.
 CENTRES = 3
 #: Classes of hashes in which a set's shingles are counted before two texts are compared.
@@ -177,6 +177,7 @@ def _by_run(batches, width: int):
         if cut:
             heads = np.flatnonzero(np.concatenate([[True], key[1:cut] != key[: cut - 1]]))
             yield [x[:cut] for x in columns], list(zip(heads.tolist(), [*heads[1:].tolist(), cut]))
+    give_back()
 
 
 def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -267,6 +268,8 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         for a in range(0, len(key), 100_000):
             z = a + 100_000
             yield _rows(2, blob=[key[a:z].tobytes() + gid[a:z].tobytes() + length[a:z].tobytes()], size=1)
+        del key, gid, length, by, twin, fresh, of, several
+        give_back()
 
     flow = ws.put(texts.mapInArrow(prefixes, _ROWS).repartition(buckets, "bucket").mapInArrow(runs, _ROWS), "flow", compression="zstd")
     docrows = flow.filter("kind = 0").select("doc_id", "n", "gid", "last", "tally", F.struct("s1", "s2", "n").alias("class"))

@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import Known, flat, pieces, ranges, word_hashes
 
-CHUNK = 3 << 20
-#: Words that a process remembers, about (some 50 MB); then it starts anew.
-REMEMBER = 1_500_000
+CHUNK = 1_000_000
+#: Words that a process remembers, about (some 20 MB); then it starts anew.
+REMEMBER = 600_000
 #: How much less a character without a piece scores than the worst piece.
 UNKNOWN = 10.0
 #: Pairs of pieces that a process remembers at most; then it starts anew.
-PAIRS = 500_000
+PAIRS = 300_000
 
 
 def shared(a: str, b: str) -> int:

@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, flat, id_filter, maybe_in, mix, pieces, powers, prefix_sums, shuffle_parts, text_column
+from .common import Workspace, flat, give_back, id_filter, maybe_in, mix, pieces, powers, prefix_sums, shuffle_parts, text_column
 
 LENGTH = 100
 GRAM = 32
 #: Anchors of a slice in step 1, and segments of a slice in step 2.
-SLICE = 600_000
-RUN = 150_000
+SLICE = 400_000
+RUN = 100_000
 
 
 def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -369,6 +369,8 @@ def repeats(ws: Workspace, texts: DataFrame, length: int = LENGTH, gram: int = G
                 runs.append(unpack_run(run, listed))
         if runs:
             yield from repeat_rows(runs)
+        del runs
+        give_back()
 
     to = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
     runs = some.select("doc_id", "h", "text", "anchors").mapInArrow(sort_runs, run_schema).repartition(buckets, to).sortWithinPartitions("bucket")

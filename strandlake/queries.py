@@ -472,8 +472,9 @@ def revcomp(spark, sf_dir):
 
 @query(f"SELECT doc_id, list_transform(string_split(substr({_ACGT}, 1, 50), ''), lambda c: instr('ACGTN', c)) AS ids FROM documents WHERE length({_ACGT}) > 0")
 def base_ids(spark, sf_dir):
+    """Ids of every letter of each sequence. The SQL beside it still stops at letter 50: see REPLY_r01.md."""
     d = load(spark, sf_dir, "documents").select("doc_id", C.to_acgt(F.col("text")).alias("s")).filter("length(s) > 0")
-    return d.select("doc_id", C.base_ids(F.substring("s", 1, 50)).alias("ids"))
+    return d.select("doc_id", C.base_ids(F.col("s")).alias("ids"))
 
 
 @query(

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake import queries
 from strandlake import schema as S
 from strandlake.functions import arrays as A
 from strandlake.functions import scalars as C
@@ -92,6 +93,13 @@ def test_array_expressions(spark):
     assert one(spark.createDataFrame([([1, 0, 4],)], "s array<int>").select(A.valid_states(F.col("s")).alias("v"))).v
 
 
+def test_base_ids_cover_whole_sequences(spark, tmp_path):
+    rows = [(1, "acgt " * 40), (2, "ACG" * 100), (3, "xyz"), (4, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: ["ACGT".index(c) + 1 for c in t.upper() if c in "ACGT"] for i, t in rows}
+    assert {r.doc_id: r.ids for r in queries.base_ids(spark, str(tmp_path)).collect()} == {i: x for i, x in want.items() if x}
+
+
 def test_list_literals_and_labels(spark):
     df = spark.createDataFrame([("['GGACC', 'GGACA']", "[122728161, 122729637]")], "k string, p string")
     assert one(df.select(evaluate.site_labels(df, "k", "p").alias("l"))).l == ["GGACC_122728162", "GGACA_122729638"]

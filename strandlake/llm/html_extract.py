@@ -2,7 +2,9 @@
 
 The standard library's parser streams events into blocks (lines): each has its text, the number of tags since the line
 before and the open elements. Elements that are never article text (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments; by tag, role, or words of class and id) are left out as they open.
+adverts, scripts, styles, reader comments; by tag, role, or words of class and id) are left out as they open. Inside an
+article or main element only whole words of CLEAR count, and no heading or section goes by the slug that is its id.
+A form is left out unless it holds an article or main element or more than half of the text.
 The ratio of text to tags per line is smoothed with a Gaussian kernel, and a two-means threshold splits lines into
 content and rest. The region is the article or main element with the most smoothed content; in pages without such, the
 deepest element that holds REGION of the content. All lines of the region are returned in page order: short paragraphs
@@ -35,16 +37,25 @@ BLOCK = frozenset(
     "head header hgroup html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul caption".split()
 )
 NEVER = frozenset(
-    "script style noscript template head title nav footer aside form iframe object svg math canvas audio video map select option textarea button input dialog menu".split()
+    "script style noscript template head title nav footer aside iframe object svg math canvas audio video map select option textarea button input dialog menu".split()
 )
 #: An open element of the first kind ends when one of the second opens in the same block.
 CLOSES = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog toolbar".split())
 BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|sidebars?|side-?nav|menus?|nav|navbar|navigation|breadcrumbs?|comments?|"
     r"comment-?list|respond|repl(?:y|ies)|disqus|discussion|cookies?|consent|gdpr|notices?|alerts?|banners?|popups?|modals?|overlay|newsletters?|subscri(?:be|ption)|signup|login|"
     r"share|sharing|social|related|recommend(?:ed|ations)?|footers?|footer-\w+|site-?header|page-?header|masthead|header|topbar|toolbar|pagination|pager|widgets?|search|skip-?link|outbrain|taboola)(?:$|[\s_-])"
 )
+#: Inside articles only these whole words of a class, or of the id of what is no section, name boilerplate.
+CLEAR = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising ad-slot ad-container ad-banner sponsored sponsor sponsors promo promos sidebar sidebars sidenav side-nav nav navbar navigation post-navigation "
+    "breadcrumb breadcrumbs comments comments-area comments-section comment-list commentlist comment-form respond disqus disqus_thread cookie-notice cookie-banner cookie-consent "
+    "newsletter newsletter-signup newsletter-form share sharing share-buttons share-links share-bar social-share social-sharing social-links social-icons social-buttons "
+    "related-posts related-articles related-links related-stories recommended-posts recommended-articles footer entry-footer post-footer article-footer pagination pager toolbar widget widgets "
+    "subscribe signup popup modal skip-link outbrain taboola".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 MAIN = re.compile(r"(?:^|\s)(?:articleBody|article-?body|post-?content|entry-?content|article-?content|main-?content)(?:$|\s)")
 
 
@@ -58,6 +69,7 @@ class Page(HTMLParser):
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.made = 0
         self.kind: dict[int, bool] = {}  # element -> whether it is an article or main element
+        self.forms: set[int] = set()  # what they hold decides at the end of the page
 
     def line(self) -> None:
         if self.parts:
@@ -67,6 +79,16 @@ class Page(HTMLParser):
                 self.lines.append((text, self.tags, tuple(n for t, n, _ in self.stack if t in BLOCK)))
                 self.tags = 0
 
+    def named_out(self, tag: str, classes: str, name: str) -> bool:
+        """Whether class and id name boilerplate. Headings never do; the id of a section is a slug of its heading."""
+        if tag in HEADINGS or not BOILER.search(f"{classes} {name}"):
+            return False
+        words = set(classes.split())
+        section = tag == "section" or "section" in words
+        if any(self.kind[n] for _, n, _ in self.stack):
+            return not CLEAR.isdisjoint(words if section else words | set(name.split()))
+        return not section or bool(BOILER.search(classes)) or name in CLEAR
+
     def pop_to(self, k: int) -> None:
         for _, _, left in self.stack[k:]:
             self.out -= left
@@ -91,21 +113,22 @@ class Page(HTMLParser):
                 if t in BLOCK:
                     break
         left = tag in NEVER or tag == "header"
-        main = tag in ("article", "main")
+        main, form = tag in ("article", "main"), tag == "form"
         if attrs and not left:
             a = {k: v or "" for k, v in attrs}
             names = f"{a.get('class', '')} {a.get('id', '')}"
             role = a.get("role", "").lower()
             main = main or role in ("main", "article") or bool(MAIN.search(f"{names} {a.get('itemprop', '')}"))
-            left = "hidden" in a or a.get("aria-hidden") == "true" or role in ROLES or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
-            if not left and tag not in ("html", "body") and names != " " and not main:
-                named = BOILER.search(names.lower())
-                # an article's own heading block stays
-                left = bool(named) and not ("header" in named[0] and any(t in ("article", "main") for t, _, _ in self.stack))
+            form = form or role == "form"
+            left = "hidden" in a or a.get("aria-hidden") == "true" or role in ROLES and not (role == "alert" and any(self.kind[n] for _, n, _ in self.stack)) or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
+            if not left and tag not in ("html", "body") and names != " " and not main and not form:
+                left = self.named_out(tag, a.get("class", "").lower(), a.get("id", "").lower())
         elif tag == "header" and any(t == "article" for t, _, _ in self.stack):
             left = False  # an article's own heading
         self.made += 1
         self.kind[self.made] = main
+        if form:
+            self.forms.add(self.made)
         self.stack.append((tag, self.made, left))
         self.out += left
 
@@ -133,6 +156,30 @@ class Page(HTMLParser):
             self.parts.append(data)
 
 
+def without_forms(page: Page) -> list[tuple[str, int, tuple[int, ...]]]:
+    """The lines that lie in no form, but for forms that hold an article or main element or most of the text."""
+    lines, forms = page.lines, page.forms
+    if not forms:
+        return lines
+    whole = sum(len(t) for t, _, _ in lines)
+    size = dict.fromkeys(forms, 0)
+    holds = set()
+    for t, _, path in lines:
+        for k, n in enumerate(path):
+            if n in forms:
+                size[n] += len(t)
+                if any(page.kind[x] for x in path[k:]):
+                    holds.add(n)
+    gone = {n for n in forms if n not in holds and 2 * size[n] <= whole}
+    out, tags = [], 0
+    for t, k, path in lines:
+        tags += k
+        if gone.isdisjoint(path):
+            out.append((t, tags, path))
+            tags = 0
+    return out
+
+
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     """Gaussian smoothing over lines; at the ends the kernel is renormalised."""
     reach = math.ceil(3 * sigma)
@@ -172,7 +219,7 @@ def extract(html: str | None) -> str:
         page.feed(html.replace("<![", "&lt;!["))
         page.close()
     page.line()
-    lines = page.lines
+    lines = without_forms(page)
     if not lines:
         return ""
     dense = smoothed([len(t) / max(1, tags) for t, tags, _ in lines])

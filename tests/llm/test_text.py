@@ -154,6 +154,27 @@ def test_heading_blocks_of_articles_stay():
     assert html_extract.extract(page) == "Title\nSome text of the article here."
 
 
+def test_slugs_in_articles_are_no_boilerplate():
+    parts = ["<h1>Title</h1>", "<section id='discussion'><p>What it means.</p></section>", "<h2 id='related-work'>Related work</h2>", "<section id='social-history'><p>History.</p></section>", "<div class='section' id='comments'><p>Remarks.</p></div>"]
+    parts += ["<div id='job-search'><p>Jobs.</p></div>", "<p class='alert'>Take care.</p>", "<div class='alert alert-info' role='alert'>Note.</div>"]
+    page = "<article>" + "".join(parts) + "<div id='comments'><p>No.</p></div><div class='ad'>No.</div><ul class='related-posts'><li>No.</li></ul></article>"
+    want = "Title\nWhat it means.\nRelated work\nHistory.\nRemarks.\nJobs.\nTake care.\nNote."
+    assert html_extract.extract(page) == want
+    assert html_extract.extract(page.replace("article>", "main>")) == want
+    assert html_extract.extract("<body><section id='discussion'><p>What it means.</p></section></body>") == "What it means."
+    assert all(html_extract.BOILER.search(w) for w in html_extract.CLEAR)
+
+
+def test_forms_that_hold_the_text_stay():
+    form = "<form action='x'><p>Your name</p><input name='n'><button>Send</button></form>"
+    article = f"<article><h1>Title</h1><p>Some text of the article here.</p>{form}</article>"
+    want = "Title\nSome text of the article here."
+    assert html_extract.extract(f"<body>{article}</body>") == want
+    assert html_extract.extract(f"<body><form id='aspnetForm'><div class='nav'>x</div>{article}</form></body>") == want
+    text = "A long paragraph of words. " * 5
+    assert html_extract.extract(f"<body><form><div><p>{text}</p><p>{text}</p></div></form><p>x</p></body>").count("A long") == 10
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p></p>", "<script>x</script>", "<", "<![if x]><p>t</p>", "<p>a<p>b</div></div>", "&#x41;&amp;&nosuch;", "<" * 50])
 def test_broken_pages(page):
     assert isinstance(html_extract.extract(page), str)

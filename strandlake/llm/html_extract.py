@@ -6,9 +6,11 @@ adverts, scripts, styles, reader comments; by tag, role, or words of class and i
 article or main element only whole words of CLEAR count, and no heading or section goes by the slug that is its id.
 A form is left out unless it holds an article or main element or more than half of the text.
 The ratio of text to tags per line is smoothed with a Gaussian kernel, and a two-means threshold splits lines into
-content and rest. The region is the article or main element with the most smoothed content; in pages without such, the
-deepest element that holds REGION of the content. All lines of the region are returned in page order: short paragraphs
-between long ones are not dropped.
+content and rest. The region is the article or main element with the most smoothed content, with its sibling articles;
+in pages without such, the deepest element that holds REGION of the content, grown towards the root: at each parent the
+blocks beside it join unless they are boilerplate (most of their text is links, or a rights notice). Where a parent has
+such blocks, those that join have prose or lie between others that join or are headings before them. All lines of the
+region are returned in page order: short paragraphs between long ones are not dropped.
 
 White space inside a block becomes one space (a <br> is white space), blocks are joined by a line feed, character
 references are decoded. Null and empty html, and pages without text, give the empty string. Nothing is capped. Rows
@@ -30,6 +32,10 @@ from .common import pieces
 #: Share of the content's smoothed mass that a region without article or main element has to hold.
 REGION = 0.75
 SIGMA = 1.5
+#: A line is prose if it has so many letters outside links, or is a sentence.
+PROSE = 80
+SENTENCE = re.compile(r"\S+\s+\S+\s.*[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019)\]]*$", re.S)
+RIGHTS = re.compile(r"^\W*(?:\u00a9|\(c\)|copyright\b)|\ball rights reserved\b", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -66,9 +72,12 @@ class Page(HTMLParser):
         self.out = 0  # open elements that are left out
         self.parts: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []  # text, tags before it, open blocks from the root 0, characters in links
+        self.linked = 0
         self.made = 0
-        self.kind: dict[int, bool] = {}  # element -> whether it is an article or main element
+        self.kind: dict[int, bool] = {0: False}  # element -> whether it is an article or main element
+        self.headings: set[int] = set()
+        self.links: set[int] = set()
         self.forms: set[int] = set()  # what they hold decides at the end of the page
 
     def line(self) -> None:
@@ -76,8 +85,9 @@ class Page(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                self.lines.append((text, self.tags, tuple(n for t, n, _ in self.stack if t in BLOCK)))
+                self.lines.append((text, self.tags, (0, *(n for t, n, _ in self.stack if t in BLOCK)), self.linked))
                 self.tags = 0
+            self.linked = 0
 
     def named_out(self, tag: str, classes: str, name: str) -> bool:
         """Whether class and id name boilerplate. Headings never do; the id of a section is a slug of its heading."""
@@ -129,6 +139,10 @@ class Page(HTMLParser):
         self.kind[self.made] = main
         if form:
             self.forms.add(self.made)
+        if tag in HEADINGS:
+            self.headings.add(self.made)
+        elif tag == "a" and any(k == "href" for k, _ in attrs):
+            self.links.add(self.made)
         self.stack.append((tag, self.made, left))
         self.out += left
 
@@ -154,17 +168,19 @@ class Page(HTMLParser):
     def handle_data(self, data):
         if not self.out:
             self.parts.append(data)
+            if self.links and any(n in self.links for _, n, _ in self.stack):
+                self.linked += len(" ".join(data.split()))
 
 
-def without_forms(page: Page) -> list[tuple[str, int, tuple[int, ...]]]:
+def without_forms(page: Page) -> list[tuple[str, int, tuple[int, ...], int]]:
     """The lines that lie in no form, but for forms that hold an article or main element or most of the text."""
     lines, forms = page.lines, page.forms
     if not forms:
         return lines
-    whole = sum(len(t) for t, _, _ in lines)
+    whole = sum(len(t) for t, *_ in lines)
     size = dict.fromkeys(forms, 0)
     holds = set()
-    for t, _, path in lines:
+    for t, _, path, _ in lines:
         for k, n in enumerate(path):
             if n in forms:
                 size[n] += len(t)
@@ -172,10 +188,10 @@ def without_forms(page: Page) -> list[tuple[str, int, tuple[int, ...]]]:
                     holds.add(n)
     gone = {n for n in forms if n not in holds and 2 * size[n] <= whole}
     out, tags = [], 0
-    for t, k, path in lines:
+    for t, k, path, linked in lines:
         tags += k
         if gone.isdisjoint(path):
-            out.append((t, tags, path))
+            out.append((t, tags, path, linked))
             tags = 0
     return out
 
@@ -207,6 +223,63 @@ def threshold(values: list[float]) -> float:
     return (a + b) / 2
 
 
+def clutter(some: list[tuple[str, int, tuple[int, ...], int]]) -> bool:
+    """Whether most of a block's text is links, or all of it rights notices and links."""
+    return 2 * sum(k for *_, k in some) > sum(len(t) for t, *_ in some) or all(2 * k > len(t) or RIGHTS.search(t) for t, _, _, k in some)
+
+
+def prose(line: tuple[str, int, tuple[int, ...], int]) -> bool:
+    text, _, _, linked = line
+    return 2 * linked <= len(text) and not RIGHTS.search(text) and (len(text) - linked >= PROSE or bool(SENTENCE.match(text)))
+
+
+def children(lines, path: tuple[int, ...], at: int) -> list[list[int]]:
+    """The lines below the element path[at], by its children in page order; a line of its own is a block."""
+    blocks: dict[int, list[int]] = {}
+    for i, (_, _, p, _) in enumerate(lines):
+        if len(p) > at and p[at] == path[at]:
+            blocks.setdefault(p[at + 1] if len(p) > at + 1 else -1 - i, []).append(i)
+    return list(blocks.values())
+
+
+def with_siblings(page: Page, lines, region: int) -> set[int]:
+    """Lines of an article or main element and of the articles beside it (each alone in its wrappers, if any)."""
+    keep = {i for i, line in enumerate(lines) if region in line[2]}
+    path = lines[min(keep)][2]
+    at = path.index(region)
+    while at and sum(1 for _, _, p, _ in lines if len(p) >= at and p[at - 1] == path[at - 1]) == len(keep):
+        at -= 1
+    if at:
+        for block in children(lines, path, at - 1):
+            some = [lines[i] for i in block]
+            shared = set(some[0][2][at:]).intersection(*(p for _, _, p, _ in some))
+            if any(page.kind[n] for n in shared) and not clutter(some):
+                keep.update(block)
+    return keep
+
+
+def grown(page: Page, lines, region: int) -> set[int]:
+    """Lines of a region and of the blocks beside it and its ancestors that are no boilerplate."""
+    keep = {i for i, line in enumerate(lines) if region in line[2]}
+    path = lines[min(keep)][2]
+    for at in range(path.index(region) - 1, -1, -1):
+        blocks = children(lines, path, at)
+        inside = [not keep.isdisjoint(b) for b in blocks]
+        bad = [not k and clutter([lines[i] for i in b]) for k, b in zip(inside, blocks)]
+        if any(bad):
+            good = [k or not x and any(prose(lines[i]) for i in b) for k, x, b in zip(inside, bad, blocks)]
+            first, last = good.index(True), len(good) - good[::-1].index(True)
+            while first and not bad[first - 1] and all(not page.headings.isdisjoint(lines[i][2]) for i in blocks[first - 1]):
+                first -= 1
+            joins = [first <= k < last and not x for k, x in enumerate(bad)]
+        else:
+            joins = [True] * len(blocks)
+        for b, join, k in zip(blocks, joins, inside):
+            if join and not k:
+                keep.update(b)
+    return keep
+
+
 def extract(html: str | None) -> str:
     if not html:
         return ""
@@ -222,11 +295,11 @@ def extract(html: str | None) -> str:
     lines = without_forms(page)
     if not lines:
         return ""
-    dense = smoothed([len(t) / max(1, tags) for t, tags, _ in lines])
+    dense = smoothed([len(t) / max(1, tags) for t, tags, *_ in lines])
     cut = threshold(dense)
     mass: dict[int, float] = {}
     whole = 0.0
-    for (text, _, path), d in zip(lines, dense):
+    for (text, _, path, _), d in zip(lines, dense):
         m = d * len(text) if d >= cut else 0.0
         whole += m
         for n in path:
@@ -234,14 +307,17 @@ def extract(html: str | None) -> str:
     named = [n for n in mass if page.kind[n]]
     if named:
         # of nested elements with the same content the outer one, as page order has it first
-        region = max(named, key=lambda n: (mass[n], -n))
-    else:
-        holds = [n for n in mass if mass[n] >= REGION * whole]
-        region = max(holds) if holds and whole else None
-        if region is not None and sum(1 for _, _, p in lines if p and p[-1] == region) == len([1 for _, _, p in lines if region in p]) == 1:
+        keep = with_siblings(page, lines, max(named, key=lambda n: (mass[n], -n)))
+    elif whole:
+        region = max(n for n in mass if mass[n] >= REGION * whole)
+        under = [p for _, _, p, _ in lines if region in p]
+        if len(under) == 1 and under[0][-1] == region and region:
             # a region of one block: its parent holds the other blocks of the text
-            region = next((p[-2] for _, _, p in lines if region in p and len(p) > 1), region)
-    return "\n".join(t for t, _, p in lines if region is None or region in p)
+            region = under[0][-2]
+        keep = grown(page, lines, region)
+    else:
+        keep = set(range(len(lines)))
+    return "\n".join(line[0] for i, line in enumerate(lines) if i in keep)
 
 
 def html_extract(pages: DataFrame) -> DataFrame:

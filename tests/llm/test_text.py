@@ -175,6 +175,31 @@ def test_forms_that_hold_the_text_stay():
     assert html_extract.extract(f"<body><form><div><p>{text}</p><p>{text}</p></div></form><p>x</p></body>").count("A long") == 10
 
 
+def test_all_sections_of_pages_without_article():
+    def p(k, n):
+        return (f"word{k} " * n)[: n - 1] + "."
+
+    a, b, c = p(1, 800), p(2, 800), p(3, 300)
+    story = f"<div class=story><section><p>{a}</p><p>{b}</p></section><section><p>{c}</p></section></div>"
+    assert html_extract.extract(f"<html><body>{story}</body></html>") == f"{a}\n{b}\n{c}"
+    links = "<div class=top><a href=1>Home page</a> <a href=2>All the news</a></div>"
+    rights = "<div class=bottom><p>\u00a9 2020 Somebody. All rights reserved.</p></div>"
+    assert html_extract.extract(f"<html><body>{links}{story}{rights}</body></html>") == f"{a}\n{b}\n{c}"
+    flat = f"{links}<h1>Title</h1><section><p>{a}</p><p>{b}</p></section><h2>More</h2><section><p>{c}</p></section>{rights}"
+    assert html_extract.extract(f"<html><body>{flat}</body></html>") == f"Title\n{a}\n{b}\nMore\n{c}"
+    assert html_extract.extract(f"<p>{a}</p><p>{c}</p>") == f"{a}\n{c}"
+    assert html_extract.extract("<body><h2 id='related-work'>Related work</h2><section id='discussion'><p>What it means.</p></section></body>") == "Related work\nWhat it means."
+
+
+def test_sibling_articles():
+    a, b = "A long paragraph of words. " * 20, "Another one. "
+    want = "\n".join([a.strip(), b.strip()])
+    for wrap in ("{}", "<div class=item>{}</div>"):
+        page = "<body><div class=feed>" + "".join(wrap.format(f"<article><p>{t}</p></article>") for t in (a, b)) + "<div>Unnamed rest</div></div></body>"
+        assert html_extract.extract(page) == want
+    assert html_extract.extract(f"<body><article><p>{a}</p></article><article><a href=1>Read this next</a></article></body>") == a.strip()
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p></p>", "<script>x</script>", "<", "<![if x]><p>t</p>", "<p>a<p>b</div></div>", "&#x41;&amp;&nosuch;", "<" * 50])
 def test_broken_pages(page):
     assert isinstance(html_extract.extract(page), str)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_LEAST, Workspace, attach_groups, id_filter, maybe_in, text_column, without
+from .common import HOT_LEAST, Workspace, attach_groups, id_filter, maybe_in, text_column
 
 
 def normalised(df: DataFrame, text: str = "text"):
@@ -99,7 +99,12 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     their id; rows without id, if any, meet by their digest."""
     ws = Workspace(docs.sparkSession, "copies")
     gone = ws.put(exact_dedup(docs).filter("not kept").select("doc_id", F.unhex("text_sha256").alias("digest")), "not-kept")
-    kept = without(ws, docs, gone.filter("doc_id is not null"))
+    # an id that repeats with different texts loses only the rows whose text is a copy
+    named = ws.put(gone.filter("doc_id is not null").select(F.col("doc_id").alias("_sl_id"), F.col("digest").alias("_sl_text")).distinct(), "gone")
+    bitmaps = ws.put(id_filter(named, "_sl_id"), "gone-bits")
+    suspects = maybe_in(docs, bitmaps)
+    same = (suspects["doc_id"] == named["_sl_id"]) & (F.unhex(F.sha2(normalised(suspects).cast("binary"), 256)) == named["_sl_text"])
+    kept = maybe_in(docs, bitmaps, negate=True).unionByName(suspects.join(named, same, "left_anti"))
     if gone.filter("doc_id is null").isEmpty():
         return kept
     digests = gone.filter("doc_id is null").select(F.col("digest").alias("_sl_digest")).distinct()

@@ -50,6 +50,12 @@ def plain_keep(rows, i, t):
     return i == min((a for a in ids if a is not None), default=None)
 
 
+def test_copies_go_by_row(spark):
+    rows = [(1, "a"), (5, "a"), (5, "b"), (6, "b"), (7, "c"), (7, "c"), (7, None), (None, "a"), (None, "d")]
+    kept = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, "a"), (5, "b"), (7, "c"), (7, "c"), (7, None), (None, "d")])
+
+
 def test_index_grows(spark, docs, rows):
     """A second memtable and compaction: level 1 covers both, and a lookup finds only what is there."""
     ws = common.Workspace(spark, "test")

@@ -2,7 +2,7 @@
 
 The vocabulary's pieces (and every single byte) cover a marked word, its bytes after one marker, in many ways. Each
 language has a probability for every piece; a forward pass over the byte positions sums the probability of all
-segmentations of a word, for all languages at once, and a text's score is the sum of its words' logarithms plus the
+segmentations of a word, for all languages at once and rescaled so that no word underflows, and a text's score is the sum of its words' logarithms plus the
 logarithm of the language's share. Probabilities come from expected piece counts: a forward and a backward pass over the
 training words under a uniform prior over pieces, whose posterior counts are added up per language and smoothed.
 
@@ -30,6 +30,8 @@ SMOOTH = 0.05
 PER_BYTE = 24.0
 MARK = 32
 _SLOTS = 1 << 19
+#: Forward sums outside of this range are scaled to 1 and their logarithm is kept, so that no word underflows.
+LOW, HIGH = 1e-60, 1e60
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -161,11 +163,18 @@ class Model:
             n, longest = hi - lo, int(lens[lo])
             alpha = np.zeros((longest + 1, n, len(self.langs)))
             alpha[0] = 1.0
+            shift = np.zeros((n, len(self.langs)))
             base = at[lo]
             for j, found in self.lattice.edges(m[base : at[hi - 1] + lens[hi - 1]], at[lo:hi] - base, lens[lo:hi]):
                 for rows, i, ids in found:
                     alpha[j, rows] += alpha[i, rows] * scaled[ids]
-            score[lo:hi] = np.log(np.maximum(alpha[lens[lo:hi], np.arange(n)], 1e-300))
+                live = alpha[j, : len(found[0][0])]  # single bytes reach all words that are as long
+                r, k = np.nonzero(((live < LOW) & (live > 0)) | (live > HIGH))
+                if len(r):
+                    by = live[r, k]
+                    shift[r, k] += np.log(by)
+                    alpha[max(0, j - self.lattice.longest) : j + 1, r, k] /= by
+            score[lo:hi] = np.log(np.maximum(alpha[lens[lo:hi], np.arange(n)], 1e-300)) + shift
         np.add.at(out, of[order], score)
         return out
 
@@ -202,16 +211,26 @@ def expected(lattice: Lattice, buf, starts, ends, weight: np.ndarray) -> np.ndar
         n, longest, base = hi - lo, int(lens[lo]), at[lo]
         w = weight[of[order[lo:hi]]]
         steps = list(lattice.edges(m[base : at[hi - 1] + lens[hi - 1]], at[lo:hi] - base, lens[lo:hi]))
-        alpha, beta = np.zeros((longest + 1, n)), np.zeros((longest + 1, n))
+        alpha, beta, scale = np.zeros((longest + 1, n)), np.zeros((longest + 1, n)), np.zeros((longest + 1, n))
         alpha[0] = 1.0
+        moved = longest + 1  # the first position that is scaled
         for j, found in steps:
+            scale[j] = scale[j - 1]
             for rows, i, _ in found:
-                alpha[j, rows] += alpha[i, rows] * uniform[j - i]
+                step = alpha[i, rows] * uniform[j - i]
+                alpha[j, rows] += step * np.exp(scale[i, rows] - scale[j, rows]) if j > moved else step
+            far = np.flatnonzero(((alpha[j] < LOW) & (alpha[j] > 0)) | (alpha[j] > HIGH))
+            if len(far):
+                moved = min(moved, j)
+                scale[j, far] += np.log(alpha[j, far])
+                alpha[j, far] = 1.0
         whole = alpha[lens[lo:hi], np.arange(n)]
         beta[lens[lo:hi], np.arange(n)] = 1.0 / np.maximum(whole, 1e-300)
         for j, found in reversed(steps):
             for rows, i, ids in found:
                 back = beta[j, rows] * uniform[j - i]
+                if j >= moved:
+                    back *= np.exp(scale[i, rows] - scale[j, rows])
                 beta[i, rows] += back
                 post = alpha[i, rows] * back
                 for k in range(w.shape[1]):

@@ -298,6 +298,32 @@ def test_expected_counts_add_up():
     assert np.allclose(sizes @ got, [4 + 12, 6 + 9])  # every byte and mark is covered once by each word's pieces
 
 
+def test_long_words_do_not_underflow():
+    vocab = langid.vocabulary(PIECES)
+    lattice = langid.Lattice(vocab)
+    number = {p: i for i, p in enumerate(vocab)}
+    words = ["កខគឃងចឆជ" * 8, "ກຂຄງຈ" * 12, "-" * 190, "the"]
+    raw = "".join(words).encode()
+    sizes = np.array([len(w.encode()) for w in words])
+    assert sizes.max() <= langid.SLICE
+    ends = np.cumsum(sizes)
+    buf = np.frombuffer(raw, np.uint8)
+    lens = np.array([len(p) for p in vocab])
+    for k in range(len(words)):  # every byte and the mark are covered once, in a block alone and among others
+        alone = langid.expected(lattice, buf, (ends - sizes)[k : k + 1], ends[k : k + 1], np.ones((1, 1)))
+        assert np.allclose(lens @ alone, sizes[k] + 1)
+    weight = np.eye(len(words))
+    assert np.allclose(lens @ langid.expected(lattice, buf, ends - sizes, ends, weight), sizes + 1)
+    prob = np.random.default_rng(1).random((len(vocab), 2)) / 1e6
+    got = langid.Model(["a", "b"], np.zeros(2), prob, lattice).log_words(buf, ends - sizes, ends)
+    for k, w in enumerate(words):
+        b = b" " + w.encode()
+        alpha = [np.zeros(2)]
+        for j in range(1, len(b) + 1):
+            alpha.append(np.logaddexp.reduce([alpha[i] + np.log(prob[number[b[i:j]]]) for i in range(max(0, j - lattice.longest), j) if b[i:j] in number]))
+        assert np.allclose(got[k], alpha[-1])
+
+
 def test_language_held_out(spark):
     r = random.Random(1)
     words = {"en": "the of and thing reation with".split(), "de": "der und nicht ung sch für".split(), "fr": "le de que ment eau très".split()}

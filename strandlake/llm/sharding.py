@@ -4,8 +4,9 @@ Rows of equal text form a group. A group that is large in bytes, tokens or rows
 are fewer than 3 * SMALL of them) is an item of its own; all others are bundled by their digest into BUNDLES items, so
 what the driver sees has a fixed size at any input. Items, largest first, go to the shard where the dot product of their
 vector (bytes, tokens, rows, each as a share of a shard's room) with the shard's residual capacity is highest among
-those where they fit; where none fits, to the one that they overfill least. A group above the room of SPLIT of a shard
-is cut into parts by the hash of the doc_id, as no packing could balance it whole.
+those where they fit; where none fits, to the one that they overfill least. Groups above the room of SPLIT of a shard
+are packed first; those that would then take a shard above its room in bytes are cut into parts by the hash of the
+doc_id, as law `bytes` can't hold with them whole. All other groups stay in one shard.
 
 Law `bytes`: the shards' sizes are near equal. Slots: 0, 1, ... in each shard, by the item's place and then by doc_id;
 each chunk of rows that is numbered in one task has at most 1/NUMBERED of all rows, about.
@@ -29,9 +30,9 @@ SPLIT = 0.25
 NUMBERED = 4096
 
 
-def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item (rows of vectors: bytes, tokens, rows)."""
-    total = np.maximum(vectors.sum(axis=0), 1).astype(float)
+def pack(vectors: np.ndarray, shards: int, total: np.ndarray | None = None) -> np.ndarray:
+    """The shard of each item (rows of vectors: bytes, tokens, rows); total: of all items, if these are the first."""
+    total = np.maximum(vectors.sum(axis=0) if total is None else total, 1).astype(float)
     share = vectors / total * shards
     left = np.ones((shards, vectors.shape[1]))
     out = np.zeros(len(vectors), dtype=int)
@@ -47,6 +48,22 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def too_large(vectors: np.ndarray, shards: int, total: np.ndarray) -> list[int]:
+    """The groups (rows of vectors: bytes, tokens, rows) that have to be cut: while a shard is above its room in bytes,
+    the smallest group of several rows there."""
+    whole = list(range(len(vectors)))
+    cut = []
+    while whole:
+        at = pack(vectors[whole], shards, total)
+        used = np.bincount(at, weights=vectors[whole, 0], minlength=shards)
+        over = [i for i, k in zip(whole, at) if used[k] * shards > total[0] and vectors[i, 2] > 1]
+        if not over:
+            break
+        cut.append(min(over, key=lambda i: (vectors[i, 0], -i)))
+        whole.remove(cut[-1])
+    return cut
+
+
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of docs (doc_id, text, ...)."""
     spark = docs.sparkSession
@@ -65,7 +82,10 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     all_bytes, all_tokens, all_rows = (x or 0 for x in groups.agg(F.sum("bytes"), F.sum("tokens"), F.sum("n")).first())
     big = (F.col("bytes") * SMALL > all_bytes) | (F.col("tokens") * SMALL > all_tokens) | (F.col("n") * SMALL > all_rows)
     room = max(all_bytes / shards, 1)
-    parts = F.when(F.col("bytes") > SPLIT * room, F.ceil(F.col("bytes") / (SPLIT * room / 4))).otherwise(F.lit(1)).cast("int")
+    # fewer than shards / SPLIT groups
+    large = groups.filter(F.col("bytes") > SPLIT * room).select(F.hex("digest").alias("name"), "bytes", "tokens", "n").orderBy("name").toPandas()
+    cut = too_large(large[["bytes", "tokens", "n"]].to_numpy(dtype=float), shards, np.array([all_bytes, all_tokens, all_rows], dtype=float))
+    parts = F.when(F.hex("digest").isin([large["name"][i] for i in cut]), F.ceil(F.col("bytes") / (SPLIT * room / 4))).otherwise(F.lit(1)).cast("int")
     bundle = F.pmod(F.xxhash64("digest"), F.lit(BUNDLES)).cast("int")
     groups = groups.select("digest", "n", F.when(big, F.hex("digest")).otherwise(F.concat(F.lit("b"), bundle)).alias("base"), F.when(big & (F.col("n") > 1), F.least(parts, F.col("n").cast("int"))).otherwise(F.lit(1)).alias("parts"))
     placed = attach_groups(rows, groups, "digest", "n", all_rows)

@@ -437,6 +437,24 @@ def test_shards_keep_groups(spark):
     assert all(len(s) == 1 for s in at.values())
 
 
+@pytest.mark.parametrize("groups, share, cut", [(1, 0.10, 0), (9, 0.10, 1), (1, 0.3, 1)])
+def test_shards_cut_only_what_does_not_fit(spark, groups, share, cut):
+    r = random.Random(9)
+    rows = [(100_000 + 1000 * g + i, f"{g:099d}") for g in range(groups) for i in range(500)]
+    rest = int(groups * 50_000 * (1 - groups * share) / (groups * share))
+    while rest > 0:
+        rows.append((len(rows), f"{len(rows)} " + "w" * r.randrange(1, 190)))
+        rest -= len(rows[-1][1]) + 1
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    at, sizes = {}, {}
+    for x in got:
+        sizes[x.shard] = sizes.get(x.shard, 0) + x.size
+        if x.doc_id >= 100_000:
+            at.setdefault((x.doc_id - 100_000) // 1000, set()).add(x.shard)
+    assert len(got) == len(rows) and sum(len(s) > 1 for s in at.values()) == cut
+    assert len(sizes) == 8 and max(sizes.values()) <= 1.02 * min(sizes.values())
+
+
 def test_shards_edges(clash, empty):
     assert sharding.shard(empty).count() == 0
     assert sharding.shard(clash).count() == clash.count()

@@ -2,9 +2,10 @@
 
 Every task's rows are a memtable: it is flushed as a run sorted by digest, a Parquet file with a Bloom filter on the
 digest (level 0). Compaction merges all runs into level 1, one entry for each digest with the smallest id and the
-number of rows; partial aggregates keep a digest with a third of all rows from being one task's work. A row is looked
-up by its digest; if its entry names another row (a hit), the two texts are compared byte by byte. Texts that differ
-under one digest are grouped by the text itself.
+number of rows; partial aggregates keep a digest with a third of all rows from being one task's work. All rows
+meet their entries in a join of level 0 with level 1, which doesn't consult the filters: they serve `lookup`, for a few
+digests. If a row's entry names another row (a hit), the two texts are compared byte by byte. Texts that differ under
+one digest are grouped by the text itself.
 
 Texts are equal when identical after each run of ASCII white space becomes one space. Null is the empty text. Of equal
 texts, the smallest id stays; rows without an id stay only where no row of their group has one. Rows that repeat an id

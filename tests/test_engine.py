@@ -100,6 +100,13 @@ def test_base_ids_cover_whole_sequences(spark, tmp_path):
     assert {r.doc_id: r.ids for r in queries.base_ids(spark, str(tmp_path)).collect()} == {i: x for i, x in want.items() if x}
 
 
+def test_common_tags_are_of_all_users(spark, tmp_path):
+    rows = [(2, "click", 500.0), (2, "view", 1.0), (3, "odd", 500.0), (5, "low", 2.0)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.kmer: r.common for r in queries.common_kmer_tag(spark, str(tmp_path)).collect()}
+    assert got == {"click": 1, "view": 0, "odd": 1, "low": 0}
+
+
 def test_list_literals_and_labels(spark):
     df = spark.createDataFrame([("['GGACC', 'GGACA']", "[122728161, 122729637]")], "k string, p string")
     assert one(df.select(evaluate.site_labels(df, "k", "p").alias("l"))).l == ["GGACC_122728162", "GGACA_122729638"]

@@ -1,14 +1,15 @@
 """What several operators share: tables in the shared folder, group look-ups that survive hot keys,
-fixed-size id filters, and the vectorised word scanner.
+id filters of a bounded size, sizes of exchanges that follow the data, and the vectorised word scanner.
 
-Tables are written below ``spark.checkpoint.dir`` (read from the session; a folder of our own only where it is
-unset, as in tests), so they outlive any executor and cut lineage.
+Tables are written below ``spark.checkpoint.dir`` (read from the session; in local mode, where that is unset, a
+folder of our own), so they outlive any executor and cut lineage.
 """
 
 from __future__ import annotations
 
 import atexit
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,9 +30,12 @@ CHUNK_BYTES = 1_000_000
 
 # ---------------------------------------------------------------- tables in the shared folder
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where driver and executors are one
+    process, one of our own will do; on a cluster a machine's own folder won't, so an unset one is an error there."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: it names the folder that driver and executors share")
         at = getattr(spark, "_strandlake_dir", None)
         if at is None:
             at = "file://" + tempfile.mkdtemp(prefix="strandlake-")
@@ -46,9 +50,11 @@ class Workspace:
     reads any more. What a returned frame still reads is deleted when the driver ends.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/strandlake-{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.drop)
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+        """root: a folder to stay in; tables there outlive the driver."""
+        self.spark, self.root = spark, root or f"{shared_dir(spark)}/strandlake-{name}-{uuid.uuid4().hex[:12]}"
+        if root is None:
+            atexit.register(self.drop)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -61,6 +67,11 @@ class Workspace:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         return reader.parquet(self.path(table))
 
+    def exists(self, table: str) -> bool:
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(self.path(table))
+        return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
     def drop(self, *tables: str) -> None:
         try:
             sc = self.spark.sparkContext
@@ -79,6 +90,27 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Text bytes that a bucket stands for; where that makes more than BUCKETS buckets, up to LARGER.
+BUCKET, BUCKETS, LARGER = 16 << 20, 1 << 14, 64 << 20
+#: Most partitions of an exchange by bucket; partitions that get several buckets hold one at a time.
+PARTITIONS = 1 << 15
+
+
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    return df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
+
+
+def bucket_count(spark: SparkSession, size: int) -> int:
+    """How many buckets for texts of that many bytes: a bucket's share of them stays the same as they grow."""
+    return max(shuffle_parts(spark), min(size // BUCKET, BUCKETS), size // LARGER, 1)
+
+
+def dealt(df: DataFrame, bucket: Column, buckets: int) -> DataFrame:
+    """Rows by bucket (a number), an equal number of buckets to each partition."""
+    parts = min(buckets, PARTITIONS)
+    return df.repartitionById(parts, F.pmod(bucket, F.lit(parts)).cast("int"))
+
+
 # ---------------------------------------------------------------- groups with hot keys
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """Left-joins each row's group (unique ``key``, ``n`` rows) without sending a hot key's rows to one task.
@@ -95,41 +127,63 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: i
 
 
 # ---------------------------------------------------------------- fixed-size filter of ids
-#: Bits of an id filter: 2 MB whatever the input; more ids only let more rows through, never fewer.
-FILTER_BITS = 1 << 24
+#: An id filter has FILTER_EACH bits for each id, but at least FILTER_LEAST and at most FILTER_MOST (16 MB, which is what
+#: is broadcast). Beyond FILTER_MOST / 2 ids or so it lets most rows through: these are then shuffled to meet the ids, as
+#: all would be without a filter; no row is lost at any size.
+FILTER_EACH, FILTER_LEAST, FILTER_MOST = 8, 1 << 20, 1 << 27
 _PER_MAP = 32768  # bits of one bitmap of bitmap_construct_agg
 
 
-def id_filter(ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """At most FILTER_BITS/32768 rows (bucket, bitmap): the hashed ids, as Spark's own bitmaps."""
-    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    return (
-        ids.select((bit / _PER_MAP).cast("int").alias("_sl_bucket"), F.pmod(bit, F.lit(_PER_MAP)).alias("_bit"))
-        .groupBy("_sl_bucket")
-        .agg(F.bitmap_construct_agg("_bit").alias("_sl_map"))
-    )
+class IdFilter:
+    """The hashed ids as Spark's own bitmaps, a row (bucket, bitmap) for each _PER_MAP bits that has any."""
+
+    def __init__(self, ids: DataFrame, column: str = "doc_id", ws: Workspace | None = None, name: str = "bits", n: int | None = None):
+        """n: how many ids there are about, if that is known."""
+        n = ids.count() if n is None else n
+        self.bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_EACH * n - 1).bit_length() if n else 0))
+        bit = self.bit(column)
+        maps = ids.select((bit / _PER_MAP).cast("int").alias("b"), F.pmod(bit, F.lit(_PER_MAP)).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
+        self.maps = ws.put(maps, name) if ws else maps
+
+    def bit(self, column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.bits))
+
+
+def id_filter(ids: DataFrame, column: str = "doc_id", ws: Workspace | None = None, name: str = "bits", n: int | None = None) -> IdFilter:
+    return IdFilter(ids, column, ws, name, n)
+
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A name that no column of df has."""
+    names = {c.lower() for c in df.columns}
+    while stem.lower() in names:
+        stem += "_"
+    return stem
 
-def maybe_in(rows: DataFrame, bitmaps: DataFrame, column: str = "doc_id", negate: bool = False) -> DataFrame:
+
+def maybe_in(rows: DataFrame, ids: IdFilter, column: str = "doc_id", negate: bool = False) -> DataFrame:
     """Rows whose id may be in the filter (all that are, and a few more); ``negate``: the other rows, none of which
-    is. The broadcast side has a fixed size (FILTER_BITS)."""
-    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    joined = rows.withColumn("_sl_bucket", (bit / _PER_MAP).cast("int")).join(F.broadcast(bitmaps), "_sl_bucket", "left")
+    is. The broadcast side is bounded by FILTER_MOST. All columns of rows stay, whatever their names."""
+    bucket, bitmap = free_name(rows, "_sl_bucket"), free_name(rows, "_sl_map")
+    bit = ids.bit(column)
+    maps = ids.maps.select(F.col("b").alias(bucket), F.col("m").alias(bitmap))
+    joined = rows.withColumn(bucket, (bit / _PER_MAP).cast("int")).join(F.broadcast(maps), bucket, "left")
     pos = F.pmod(bit, F.lit(_PER_MAP))
-    byte = F.conv(F.hex(F.substring("_sl_map", (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(bitmap, (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     power = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (pos % 8).cast("int") + 1)
     hit = F.coalesce(byte.bitwiseAND(power) != 0, F.lit(False))
-    return joined.filter(~hit if negate else hit).drop("_sl_bucket", "_sl_map")
+    return joined.filter(~hit if negate else hit).select(*rows.columns)
 
 
 def without(ws: Workspace, rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """The rows, all their columns, whose id isn't among ``ids`` (doc_id); rows without id stay. Only rows that the
-    fixed-size filter suspects are shuffled to meet the ids."""
-    gone = ws.put(ids.select(F.col("doc_id").alias("_sl_id")).distinct(), "gone")
-    bitmaps = ws.put(id_filter(gone, "_sl_id"), "gone-bits")
-    suspects = maybe_in(rows, bitmaps, column)
-    kept = suspects.join(gone, suspects[column] == gone["_sl_id"], "left_anti")
-    return maybe_in(rows, bitmaps, column, negate=True).unionByName(kept)
+    filter suspects are shuffled to meet the ids."""
+    own = free_name(rows, "_sl_id")
+    gone = ws.put(ids.select(F.col("doc_id").alias(own)).filter(F.col(own).isNotNull()).distinct(), "gone")
+    bits = id_filter(gone, own, ws, "gone-bits")
+    suspects = maybe_in(rows, bits, column)
+    kept = suspects.join(gone, suspects[column] == gone[own], "left_anti")
+    return maybe_in(rows, bits, column, negate=True).unionByName(kept)
 
 
 # ---------------------------------------------------------------- connected components
@@ -271,54 +325,157 @@ def words(buf: np.ndarray, offs: np.ndarray, sep: np.ndarray) -> tuple[np.ndarra
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, the same wherever they stand."""
-    if not len(starts):
+#: Words of more bytes than this are hashed one by one, by a cryptographic hash.
+LONG = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def eight(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of buf on, as one number each (zeros beyond the end); a view of one copy."""
+    return view_of(np.concatenate([buf, np.zeros(8, np.uint8)]))
+
+
+def view_of(padded: np.ndarray) -> np.ndarray:
+    return np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+
+
+def word_hashes(load: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of a buffer (load: its ``eight``), the same wherever they stand. Different words of up
+    to seven bytes have different hashes; of longer ones equal hashes prove nothing: see ``distinct`` and ``Words``."""
+    n = ends - starts
+    if not len(n):
         return np.zeros(0, np.uint64)
-    s = prefix_sums(buf)
-    _, inv = powers(len(buf) + 1)
-    return mix((s[ends] - s[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    h = mix((load[starts] & _MASKS[np.minimum(n, 8)]) ^ (np.minimum(n, 8).astype(np.uint64) << np.uint64(56)))
+    live, k = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while len(live):
+        h[live] = mix(h[live] * np.uint64(_BASE) + (load[starts[live] + k] & _MASKS[np.minimum(n[live] - k, 8)]))
+        k += 8
+        live = live[n[live] > k]
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(_raw(load, int(starts[i]), int(ends[i])), digest_size=8).digest(), "little")
+    return h
+
+
+def _raw(load: np.ndarray, start: int, end: int) -> bytes:
+    whole = (end - start) // 8 * 8
+    tail = load[start + whole : start + whole + 1].tobytes()[: end - start - whole]
+    return load[start : start + whole : 8].tobytes() + tail
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from ``at`` on in one buffer are those from ``bt`` on in another (a, b: their ``eight``)."""
+    out = np.ones(len(n), dtype=bool)
+    live, k = np.flatnonzero((n > 0) & (n <= LONG)), 0
+    while len(live):
+        same = ((a[at[live] + k] ^ b[bt[live] + k]) & _MASKS[np.minimum(n[live] - k, 8)]) == 0
+        out[live[~same]] = False
+        k += 8
+        live = live[same & (n[live] > k)]
+    for i in np.flatnonzero(n > LONG).tolist():
+        s, t, m = int(at[i]), int(bt[i]), int(n[i])
+        out[i] = np.array_equal(a[s : s + m - 7 : 8], b[t : t + m - 7 : 8]) and a[s + m - 8] == b[t + m - 8]
+    return out
+
+
+def distinct(load: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words, told apart by their bytes: their hashes (sorted), an occurrence of each, and the word of each
+    occurrence. Every occurrence is compared with its hash's first one, by bytes; words that differ are split."""
+    u, first, back = np.unique(word_hashes(load, starts, ends), return_index=True, return_inverse=True)
+    n, rep = ends - starts, first[back]
+    other = n[rep] != n
+    long_ = np.flatnonzero(~other & (n > 7))  # up to seven bytes the hash is the word
+    other[long_] = ~same_bytes(load, starts[long_], load, starts[rep[long_]], n[long_])
+    if other.any():
+        more: dict[bytes, int] = {}
+        places = []
+        for i in np.flatnonzero(other).tolist():
+            word = _raw(load, int(starts[i]), int(ends[i]))
+            if word not in more:
+                more[word] = len(u) + len(more)
+                places.append(i)
+            rep[i], back[i] = i, more[word]
+        u, first = np.concatenate([u, u[np.searchsorted(u, word_hashes(load, starts[places], ends[places]))]]), np.concatenate([first, places])
+        by = np.argsort(u, kind="stable")
+        to = np.empty(len(by), dtype=np.int64)
+        to[by] = np.arange(len(by))
+        u, first, back = u[by], first[by], to[back]
+    return u, first, back
+
+
+class Words:
+    """Words that can be looked up by hash; a hit is only one if the stored bytes are the same."""
+
+    def __init__(self):
+        self.forget()
 
+    def forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)  # sorted; different words may share one
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.letters, self.end = np.zeros(1 << 12, np.uint8), 0
+        self.load = view_of(self.letters)
+
+    def find(self, load: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The place of each word among the stored ones, -1 for those that aren't."""
+        n = ends - starts
+        out, near = np.full(len(h), -1, dtype=np.int64), np.searchsorted(self.hashes, h)
+        open_ = np.flatnonzero(near < len(self.hashes))
+        while len(open_):
+            open_ = open_[self.hashes[near[open_]] == h[open_]]
+            e = near[open_]
+            same = self.size[e] == n[open_]
+            long_ = np.flatnonzero(same & (n[open_] > 7))
+            same[long_] = same_bytes(load, starts[open_[long_]], self.load, self.begin[e[long_]], n[open_[long_]])
+            out[open_[same]] = e[same]
+            open_ = open_[~same]
+            near[open_] += 1
+            open_ = open_[near[open_] < len(self.hashes)]
+        return out
 
-class Known:
-    """Words by hash with a run of integers for each, as arrays; number 0 of ``flat`` can be set aside."""
+    def place(self, h: np.ndarray, words_: list[bytes]) -> np.ndarray:
+        """Adds words (h: their hashes, sorted); where they go among the hashes so far."""
+        raw, n = np.frombuffer(b"".join(words_), np.uint8), np.array([len(w) for w in words_], dtype=np.int64)
+        if self.end + len(raw) + 8 > len(self.letters):
+            grown = np.zeros(2 * (self.end + len(raw)) + 8, np.uint8)
+            grown[: self.end] = self.letters[: self.end]
+            self.letters, self.load = grown, view_of(grown)
+        self.letters[self.end : self.end + len(raw)] = raw
+        at = np.searchsorted(self.hashes, h)
+        self.hashes = np.insert(self.hashes, at, h)
+        self.begin = np.insert(self.begin, at, self.end + np.cumsum(n) - n)
+        self.size = np.insert(self.size, at, n)
+        self.end += len(raw)
+        return at
+
+
+class Known(Words):
+    """Words with a run of integers for each; number 0 of ``flat`` can be set aside."""
 
     def __init__(self, first: int = 0):
         self.first = first
-        self.forget()
+        super().__init__()
 
     def forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
+        super().forget()
         self.where, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.full(1 << 16, self.first, np.uint32), 1
 
-    def missing(self, u: np.ndarray) -> np.ndarray:
-        """Which of the hashes aren't known."""
-        near = np.searchsorted(self.hashes, u)
-        out = np.ones(len(u), dtype=bool)
-        inside = near < len(self.hashes)
-        out[inside] = self.hashes[near[inside]] != u[inside]
-        return out
-
-    def add(self, hashes: np.ndarray, runs: list[bytes]) -> None:
-        """hashes: sorted; runs: little-endian 32-bit."""
+    def add(self, h: np.ndarray, words_: list[bytes], runs: list[bytes]) -> None:
+        """h: sorted; runs: little-endian 32-bit."""
         count = np.array([len(x) // 4 for x in runs], dtype=np.int64)
         more = np.frombuffer(b"".join(runs), "<u4")
         while self.used + len(more) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(more)] = more
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, at, hashes)
+        at = self.place(h, words_)
         self.where = np.insert(self.where, at, self.used + np.cumsum(count) - count)
         self.count = np.insert(self.count, at, count)
         self.used += len(more)
 
-    def runs(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each hash's integers lie and how many they are; of unknown ones, anything."""
+    def runs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the integers of the words at these places lie and how many they are; none for -1."""
         if not len(self.hashes):
-            return np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
-        near = np.minimum(np.searchsorted(self.hashes, u), len(self.hashes) - 1)
-        return self.where[near], self.count[near]
+            return np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        return self.where[at], np.where(at < 0, 0, self.count[at])
 
 
 def ranges(where: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

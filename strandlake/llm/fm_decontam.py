@@ -7,10 +7,11 @@ loses no occurrence. Its suffix array (prefix doubling) gives the Burrows-Wheele
 answers rank queries. All windows search backward together; the rows that remain are located by walking to the next
 sampled suffix position. Occurrences are merged into spans of words per document.
 
-The test set is broadcast in parts of about PART bytes, each a pass over the same rows without a shuffle, so its size
-needs no bound. Null and empty texts have no words and no hits. Items without id or words are left out; rows of one
-item id are one item. An empty table on either side is allowed. Rows that repeat have the same result. Extra columns are
-ignored.
+The test set is broadcast in parts of about PART bytes of text (a broadcast is a few times that), one after the other, each a
+pass over the same rows without a shuffle; passes but the last are written. So its size needs no bound. Null and empty
+texts have no words and no hits; long texts are slices of their own. Items without id or words are left out; rows of one
+item id are one item. Ties don't arise: each item that occurs counts. An empty table on either side is allowed. Rows
+that repeat have the same result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,38 +22,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_ALNUM, flat, pieces, text_column, word_hashes, words
+from .common import LOWER, NOT_ALNUM, Words, Workspace, distinct, eight, flat, pieces, ranges, text_column, word_hashes, words
 
 WINDOW = 13
 SHARD = 1_000_000
 SAMPLED = 16
-PART = 16 << 20
+PART = 8 << 20
 
 
 class Windows:
-    """The windows of items as rows of word numbers (1, 2, ...), grouped by length."""
+    """The windows of items, by length: a sorted array of the different rows of word numbers (1, 2, ...), and the pairs
+    of row and item, sorted by row. Words are looked up by hash and bytes."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
-        items = [(i, t) for i, t in items if i is not None and t]
-        buf, offs = flat(pa.array([t for _, t in items], pa.string()))
+    def __init__(self, items: pa.Array, text: pa.Array, window: int = WINDOW):
+        buf, offs = flat(text)
         buf = LOWER[buf]
         starts, ends, at = words(buf, offs, NOT_ALNUM)
-        h = word_hashes(buf, starts, ends)
-        self.hashes = np.unique(h)
-        number = np.searchsorted(self.hashes, h) + 1
-        by_length: dict[int, tuple[list, list]] = {}
-        for k, (item, _) in enumerate(items):
-            a, z = int(at[k]), int(at[k + 1])
-            if z > a:
-                n = min(window, z - a)
-                rows, of = by_length.setdefault(n, ([], []))
-                for s in range(a, z - n + 1):
-                    rows.append(number[s : s + n])
-                    of.append(item)
+        load = eight(buf)
+        u, first, back = distinct(load, starts, ends)
+        self.words = Words()
+        raw = buf.tobytes()
+        self.words.place(u, [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist())])
+        number = np.append(back.astype(np.int32) + 1, np.int32(0))
+        ids = np.asarray(items).astype(np.int64)
+        size = np.diff(at)
         self.by_length = {}
-        for n, (rows, of) in by_length.items():
-            rows, back = np.unique(np.array(rows), axis=0, return_inverse=True)
-            self.by_length[n] = (rows, np.array(of, dtype=np.int64), back.ravel())
+        for n in np.unique(np.minimum(size, window)).tolist():
+            if not n:
+                continue
+            some = np.flatnonzero(size == n if n < window else size >= n)
+            place, bounds = ranges(at[some], size[some] - n + 1)
+            owner = np.repeat(ids[some], np.diff(bounds))
+            # windows as numbers, one word after the other; the rows are only made for the different ones
+            key = number[place].astype(np.int64)
+            for k in range(1, n):
+                key = np.unique(key * (len(u) + 1) + number[place + k], return_inverse=True)[1]
+            _, one, row = np.unique(key, return_index=True, return_inverse=True)
+            rows = number[place[one][:, None] + np.arange(n)[None, :]]
+            by = np.lexsort((owner, row))
+            row, owner = row[by], owner[by]
+            fresh = np.ones(len(row), dtype=bool)
+            fresh[1:] = (row[1:] != row[:-1]) | (owner[1:] != owner[:-1])
+            row, owner = row[fresh], owner[fresh]
+            self.by_length[n] = rows, np.searchsorted(row, np.arange(len(rows) + 1)).astype(np.int64), owner
         self.shortest = min(self.by_length, default=window)
 
 
@@ -143,11 +155,11 @@ def hits(col: pa.Array, w: Windows) -> tuple[np.ndarray, list[list[tuple[int, in
     spans: list = [[] for _ in range(n)]
     items: list = [set() for _ in range(n)]
     counts = np.diff(at)
-    if not len(starts) or not len(w.hashes):
+    if not len(starts) or not w.by_length:
         return counts, spans, items
-    h = word_hashes(buf, starts, ends)
-    near = np.minimum(np.searchsorted(w.hashes, h), len(w.hashes) - 1)
-    known = w.hashes[near] == h
+    load = eight(buf)
+    near = w.words.find(load, starts, ends, word_hashes(load, starts, ends))
+    known = near >= 0
     # runs of known words inside a text, long enough for the shortest window
     head = np.zeros(len(starts) + 1, dtype=bool)
     head[at] = True
@@ -169,7 +181,7 @@ def hits(col: pa.Array, w: Windows) -> tuple[np.ndarray, list[list[tuple[int, in
     word_at[place] = word
     index = FMIndex(text)
     cover = np.zeros(len(starts) + 1, dtype=np.int64)
-    for length, (patterns, of, back) in w.by_length.items():
+    for length, (patterns, cut, owner) in w.by_length.items():
         which, pos = index.search(patterns)
         if not len(which):
             continue
@@ -178,12 +190,8 @@ def hits(col: pa.Array, w: Windows) -> tuple[np.ndarray, list[list[tuple[int, in
         np.add.at(cover, first + length, -1)
         doc = np.searchsorted(at, first, "right") - 1
         pair = np.unique(np.column_stack([doc, which]), axis=0)
-        owners: dict[int, list[int]] = {}
-        found = np.isin(back, pair[:, 1])
-        for p, i in zip(back[found].tolist(), of[found].tolist()):
-            owners.setdefault(p, []).append(i)
         for d, p in pair.tolist():
-            items[d].update(owners[p])
+            items[d].update(owner[cut[p] : cut[p + 1]].tolist())
     hit = np.cumsum(cover[:-1]) > 0
     opens = hit & (head[:-1] | np.concatenate([[True], ~hit[:-1]]))
     closes = hit & (head[1:] | np.concatenate([~hit[1:], [True]]))
@@ -208,32 +216,52 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 _FOUND = {"n_words": T.LongType(), "starts": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType()), "items": T.ArrayType(T.LongType())}
 
 
-def test_sets(benchmark: DataFrame, part: int, window: int) -> list[Windows]:
-    """The benchmark's windows in parts of about ``part`` bytes of text."""
+def part_count(benchmark: DataFrame, part: int) -> int:
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // part))
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    out = []
-    for k in range(parts):
-        some = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else rows
-        out.append(Windows([tuple(r) for r in some.collect()], window))
-    return out
+    return max(1, -(-size // part))
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+
+
+def part_numbers(benchmark: DataFrame, parts: int) -> list[int]:
+    """The parts that have items; at least one."""
+    if parts == 1:
+        return [0]
+    return sorted(r.k for r in items_of(benchmark).select(F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("k")).distinct().collect()) or [0]
+
+
+def test_set(benchmark: DataFrame, k: int, parts: int, window: int) -> Windows:
+    """The windows of one of the parts that the items are dealt to by hash. An item whose rows differ is in one part."""
+    rows = items_of(benchmark)
+    some = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else rows
+    got = some.toArrow().combine_chunks()
+    columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in got.columns]
+    return Windows(columns[0], columns[1].cast(pa.string()), window)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep: str = "", part: int = PART, window: int = WINDOW) -> DataFrame:
-    """docs with the columns of _FOUND (names begin with ``keep``); one pass for each part of the test set."""
+def scan(ws: Workspace, docs: DataFrame, benchmark: DataFrame, keep: str = "", part: int = PART, window: int = WINDOW) -> DataFrame:
+    """docs with the columns of _FOUND (names begin with ``keep``). Parts of the test set run one after another, each a
+    pass over docs that adds to what the passes before found: the driver and the tasks hold one part."""
     spark = docs.sparkSession
-    out = docs
+    out, shared = docs, None
     at = docs.columns.index("text")
     width = len(docs.columns)
-    for k, w in enumerate(test_sets(benchmark, part, window)):
-        shared = spark.sparkContext.broadcast(w)
+    parts = part_count(benchmark, part)
+    for k, number in enumerate(part_numbers(benchmark, parts)):
+        if shared is not None:  # the passes so far are written, so that their part can go
+            out = ws.put(out, f"part-{k}", compression="zstd")
+            shared.unpersist()
+            if k > 1:
+                ws.drop(f"part-{k - 1}")
+        shared = spark.sparkContext.broadcast(test_set(benchmark, number, parts, window))
         schema = out.schema
         if not k:
             schema = T.StructType([*schema.fields, *(T.StructField(keep + x, kind) for x, kind in _FOUND.items())])
 
         def run(batches, shared=shared, first=not k, columns=[f.name for f in schema]):
-            for b in pieces(batches, "text", SHARD):
+            for b in pieces(batches, columns[at], SHARD):
                 counts, spans, items = hits(b.column(at).cast(pa.string()), shared.value)
                 cols = list(b.columns[:width])
                 if not first:
@@ -255,7 +283,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, part: int = PART) -> Da
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, starts, ends) for every row of docs; starts and
     ends are the merged spans, in words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    found = scan(rows, benchmark, part=part).withColumn("n_hit", _hit())
+    found = scan(Workspace(docs.sparkSession, "contamination"), rows, benchmark, part=part).withColumn("n_hit", _hit())
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select(
         "doc_id",
@@ -270,6 +298,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, part: int = PART) -> Da
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all their columns, that aren't contaminated; no join."""
-    found = scan(docs, benchmark, keep="_fm_").withColumn("_fm_hit", _hit("_fm_"))
-    return found.filter(~((F.col("_fm_hit") > 0) & (20 * F.col("_fm_hit") >= F.col("_fm_n_words")))).select(docs.columns)
+    """The rows of docs, all their columns, that aren't contaminated; no join. Columns of docs keep their names, whatever
+    these are: the scan's own begin with a prefix that no column of docs has."""
+    own = "_fm"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    found = scan(Workspace(docs.sparkSession, "clean"), docs, benchmark, keep=own)
+    hit = _hit(own)
+    return found.filter(~((hit > 0) & (20 * hit >= F.col(own + "n_words")))).select(docs.columns)

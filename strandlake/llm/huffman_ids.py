@@ -8,12 +8,14 @@ checkpoint, the number of bits since the one before. Decoding looks LIMIT bits u
 block at once.
 
 Block payload, little-endian: b"HUF1", documents u32, ids u64; then for all documents doc_id i64, ids u32, code
-bytes u32; then checkpoints u16; then code bytes. The code book is a table (id, length).
-
-Words (the pieces that the tokenizer's pattern cuts a text into) are encoded once per chunk by the library and then
-looked up; texts with characters outside a safe set go to the library whole. Strings of special tokens in a text are
-ordinary text. Null and empty texts have the end id alone. Null ids come first; rows that repeat an id stay in one file
-next to each other. An empty table gives no files and no rows. Extra columns are ignored.
+bytes u32; then checkpoints u16; then code bytes. A folder of ids holds the blocks (``files``) and the code book
+(``code``: id, length), which is all that the reader needs.
+
+Words (the pieces that the tokenizer's pattern cuts a text into) are encoded once by the library and then looked up by
+hash and bytes; texts with characters outside a safe set go to the library whole. Strings of special tokens in a text are
+ordinary text. Null and empty texts have the end id alone; long texts are encoded whole. Null ids come first; rows that
+repeat an id (ties) stay in one file next to each other, in the order of their ids' numbers and codes. An empty table gives
+no blocks and no rows. Extra columns are ignored. Files are as many as their ids ask for, about SHARD each.
 """
 
 from __future__ import annotations
@@ -25,15 +27,17 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Known, Workspace, flat, pieces, ranges, shuffle_parts, word_hashes
+from .common import Known, Workspace, distinct, eight, flat, pieces, ranges, shuffle_parts
 
 END = 2
 LIMIT = 18
 BLOCK = 1 << 16
 STEP = 64
+#: Ids of a file, about, and most files.
+SHARD, SHARDS = 1 << 22, 1 << 15
 #: Words that an encoder remembers, about (some 25 MB); then it starts anew.
 REMEMBER = 800_000
 
@@ -133,22 +137,24 @@ class Encoder:
             start[heads] = True
             starts = np.flatnonzero(start)
             at = np.searchsorted(starts, offs)
-        h = word_hashes(buf, starts, np.append(starts[1:], len(buf)) if len(starts) else starts)
-        u, first, back = np.unique(h, return_index=True, return_inverse=True)
+        load, ends = eight(buf), np.append(starts[1:], len(buf)) if len(starts) else starts
+        u, first, back = distinct(load, starts, ends)
         if len(self.known.hashes) > REMEMBER:
             self.known.forget()
-        new = self.known.missing(u)
+        a, z = starts[first], ends[first]
+        places = self.known.find(load, a, z, u)
+        new = places < 0
         if odd.any():
             # words that only odd texts have aren't looked up
             plain = np.zeros(len(u), dtype=bool)
             plain[back[np.repeat(~odd, np.diff(at))]] = True
             new &= plain
         if new.any():
-            a = starts[first[new]]
-            z = np.append(starts[1:], len(buf))[first[new]]
             raw = buf.tobytes()
-            self.known.add(u[new], self.words([raw[i:j].decode() for i, j in zip(a.tolist(), z.tolist())]))
-        where, count = self.known.runs(u)
+            some = [raw[i:j] for i, j in zip(a[new].tolist(), z[new].tolist())]
+            self.known.add(u[new], some, self.words([w.decode() for w in some]))
+            places = self.known.find(load, a, z, u)
+        where, count = self.known.runs(places)
         # words in text order with an end after each text; odd texts have their end alone for now
         keep = np.repeat(~odd, np.diff(at))
         size = np.where(odd, 0, np.diff(at))
@@ -303,9 +309,12 @@ def read_block(code: Code, payload: bytes) -> tuple[np.ndarray, np.ndarray, np.n
 _NULL = -(1 << 63)
 
 
+BLOCKS = "shard int, block int, start long, payload binary"
+
+
 def write_ids(docs: DataFrame, path: str, ws: Workspace) -> tuple[DataFrame, np.ndarray]:
-    """Writes the files of docs (doc_id, text, ...); returns their table (shard, block, start, payload) and the code
-    lengths, which are also written beside them."""
+    """Writes the files of docs (doc_id, text, ...) and the code book into ws; returns their table (shard, block, start,
+    payload) and the code lengths."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -323,7 +332,7 @@ def write_ids(docs: DataFrame, path: str, ws: Workspace) -> tuple[DataFrame, np.
     wide = 2 if vocab <= 1 << 16 else 4
     ids = ws.put(rows.mapInArrow(encode, "doc_id long, n long, ids binary"), "ids", compression="zstd")
 
-    shards = max(8, shuffle_parts(spark))
+    shards = max(8, shuffle_parts(spark), min(SHARDS, (ids.agg(F.sum("n")).first()[0] or 0) // SHARD))
     bounds = np.unique(np.array(ids.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards) or [], dtype=np.float64)).astype(np.int64)
 
     def count(batches):
@@ -381,8 +390,8 @@ def write_ids(docs: DataFrame, path: str, ws: Workspace) -> tuple[DataFrame, np.
         if held:
             yield out()
 
-    coded = ids.mapInArrow(code_rows, "shard int, doc_id long, n long, marks binary, code binary").repartition(shards, "shard").sortWithinPartitions("shard", "doc_id")
-    files = ws.put(coded.mapInArrow(blocks, "shard int, block int, start long, payload binary"), "files", compression="uncompressed")
+    coded = ids.mapInArrow(code_rows, "shard int, doc_id long, n long, marks binary, code binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n", "code")
+    files = ws.put(coded.mapInArrow(blocks, BLOCKS), "files", compression="uncompressed")
     ws.drop("ids")
     return files, lengths
 
@@ -408,7 +417,18 @@ def read_ids(files: DataFrame, lengths: np.ndarray, with_ids: bool = False) -> D
     return files.select("start", "payload").mapInArrow(run, schema)
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Writes all documents and reads the files back."""
-    files, lengths = write_ids(docs, path, Workspace(docs.sparkSession, "huffman"))
-    return read_ids(files, lengths)
+def load_ids(spark: SparkSession, at: str, with_ids: bool = False) -> DataFrame:
+    """The documents of a folder that ``encode_documents`` has written; needs nothing but its files."""
+    book = spark.read.schema("id int, length int").parquet(f"{at}/code").toArrow()  # at most a row for each id of the vocabulary
+    ids, length = book.column(0).to_numpy(), book.column(1).to_numpy()
+    lengths = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+    lengths[ids] = length
+    return read_ids(spark.read.schema(BLOCKS).parquet(f"{at}/files"), lengths, with_ids)
+
+
+def encode_documents(docs: DataFrame, path: str, out: str | None = None) -> DataFrame:
+    """Writes all documents into the folder ``out`` and reads its files back. Without ``out`` the folder is a temporary one
+    in the shared folder, deleted when the driver ends."""
+    ws = Workspace(docs.sparkSession, "huffman", out)
+    write_ids(docs, path, ws)
+    return load_ids(docs.sparkSession, ws.root)

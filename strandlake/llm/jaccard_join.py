@@ -6,8 +6,10 @@ similarity is at least PERCENT / 100. All shingles have one global order, freque
 shingle among the first of each (the prefix filter). Frequencies come from all documents; the order only has to be the
 same for all, so the list of frequent shingles can be bounded (HEAVY_MOST) without touching the result.
 
-Documents with the same size and prefix are one group; inside it, equal sets are one class with the smallest doc_id as
-representative. Prefix shingles of groups (never of copies) are dealt by shingle; a shingle's groups are a run.
+Documents with the same size and prefix are one group; inside it, documents with the same sequence of words (by a 128-bit
+cryptographic digest) are one class with the smallest doc_id as representative. Prefix shingles of groups (never of
+copies) are dealt by shingle; a shingle's groups are a run. Shingles are numbered by 63-bit hashes up to here; whether two
+texts link is decided by their words, compared byte by byte.
 
 Linked classes are found in two rounds, so that k near copies cost about k checks and not k * k:
 1. Each group is checked with one central group: of the groups with the most shared prefix shingles in its runs (a text
@@ -19,16 +21,20 @@ Linked classes are found in two rounds, so that k near copies cost about k check
    so the components are exact.
 
 Whether two groups can link at a run is bounded from their sizes: the overlap that they need, less what lies beyond the
-prefix that ends first, is the least number of prefix shingles that they share. Every pair that links has a first shared
-shingle, and there both groups have at least that many shingles with runs, this one included, up to their prefix's end.
-
-Null and empty texts, and texts without words, have an empty set and link with nothing. Rows that repeat an id are one
-document's rows: each is returned. Null ids come after all others as representatives and are returned with component
-null unless linked. Extra columns are ignored; an empty table gives no rows.
+shorter prefix, must be among the shingles from this one on. A run of over TILE groups isn't one task's: in round 1 its
+central group is found by an aggregate and joined to its groups; in round 2 its groups are cut into tiles by hash, and
+each pair of tiles is a task's. Buckets and partitions follow the bytes of the texts; a partition holds a bucket at a time.
+
+Null and empty texts, and texts without words, have an empty set and link with nothing; long texts are taken whole. Ties
+(groups that are equally central) are broken by the groups' hashes, and don't touch the result. Rows that repeat an id
+and its text are one document; rows that repeat an id with another text are rows of their own with the component of
+their text, but where both are the smallest id of their class the id is one node. Null ids come after all others as
+representatives and are returned with component null unless linked. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import chain
 
 import numpy as np
@@ -37,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, SPACE, Workspace, attach_groups, components, flat, give_back, id_filter, maybe_in, mix, pieces, shuffle_parts, text_column, without, word_hashes, words
+from .common import HOT_LEAST, LOWER, PARTITIONS, SPACE, Workspace, attach_groups, bucket_count, components, dealt, distinct, eight, flat, give_back, id_filter, maybe_in, mix, pieces, ranges, text_bytes, text_column, without, word_hashes, words
 
 N = 4
 PERCENT = 85
@@ -45,28 +51,40 @@ PERCENT = 85
 HEAVY_LOCAL = 3
 HEAVY_MOST = 1 << 18
 SLICE = 2_000_000
+#: Keys of heavy shingles begin here; they have several documents, so their groups are dealt by group to all buckets.
+HEAVY = np.uint64(1 << 63)
 #: Most central groups of a run that round 1 tries; round 2 has no such bound.
 CENTRES = 3
 #: Classes of hashes in which a set's shingles are counted before two texts are compared.
 TALLIES = 128
-#: Runs up to this size are paired by whole arrays.
-SHORT = 12
+#: Runs up to this size are paired by whole arrays, runs above TILE by tiles in different tasks.
+SHORT, TILE = 12, 4096
+#: Copies at most that are made of a text so that its pairs aren't one task's.
+SALTS = 4096
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
 
-def shingles(col: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """63-bit hashes of all shingles (not distinct yet), and each text's bounds in them."""
+def _cut(col: pa.Array, n: int):
+    """The texts' bytes in lower case with their words, and for each shingle its first word and how many it has."""
     buf, offs = flat(col)
     buf = LOWER[buf]
     starts, ends, at = words(buf, offs, SPACE)
-    m = word_hashes(buf, starts, ends)
     count = np.diff(at)
     size = np.where(count >= n, count - n + 1, np.minimum(count, 1))
-    bounds = np.concatenate([[0], np.cumsum(size)])
+    first, bounds = ranges(at[:-1], size)
+    return buf, starts, ends, at, first, np.minimum(np.repeat(count, size), n), bounds
+
+
+def shingles(col: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
+    """63-bit hashes of all shingles (not distinct yet), and each text's bounds in them."""
+    return _hashed(_cut(col, n), n)
+
+
+def _hashed(parts, n: int) -> tuple[np.ndarray, np.ndarray]:
+    buf, starts, ends, _, first, have, bounds = parts
+    m = word_hashes(eight(buf), starts, ends)
     if not len(m):
         return np.zeros(0, np.uint64), bounds
-    first = np.repeat(at[:-1], size) + np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
-    have = np.minimum(np.repeat(count, size), n)
     h = have.astype(np.uint64)
     for k in range(n):
         inside = k < have
@@ -74,6 +92,35 @@ def shingles(col: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return mix(h) >> np.uint64(1), bounds
 
 
+def sequences(parts) -> np.ndarray:
+    """A 128-bit digest of each text's words (joined by one space), as two numbers."""
+    buf, starts, ends, at, *_ = parts
+    take, bounds = ranges(starts, ends - starts + 1)
+    joined = np.append(buf, np.uint8(32))[take]
+    joined[bounds[1:] - 1] = 32
+    cut = bounds[at]
+    raw = b"".join([hashlib.blake2b(joined[a:z], digest_size=16).digest() for a, z in zip(cut[:-1], cut[1:])])
+    return np.frombuffer(raw, "<u8").reshape(-1, 2)
+
+
+def linked(x: pa.Array, y: pa.Array, n: int, percent: int) -> np.ndarray:
+    """Whether the texts of each pair link; shingles are compared by their words, and these by their bytes."""
+    rows = len(x)
+    buf, starts, ends, _, first, have, bounds = _cut(pa.concat_arrays([x, y]), n)
+    if not len(starts):
+        return np.zeros(rows, dtype=bool)
+    number = np.append(distinct(eight(buf), starts, ends)[2] + 1, 0)
+    key = number[first]
+    for k in range(1, n):
+        key = np.unique(key * len(number) + np.where(k < have, number[np.minimum(first + k, len(starts))], 0), return_inverse=True)[1]
+    owner = np.repeat(np.arange(2 * rows) % rows, np.diff(bounds))
+    split, width = bounds[rows], int(key.max(initial=0)) + 1
+    px, py = _unique(owner[:split] * width + key[:split]), _unique(owner[split:] * width + key[split:])
+    both = np.bincount(np.intersect1d(px, py, assume_unique=True) // width, minlength=rows)
+    every = np.bincount(px // width, minlength=rows) + np.bincount(py // width, minlength=rows) - both
+    return (both > 0) & (100 * both >= percent * every)
+
+
 def needed(n: int, percent: int) -> int:
     """The least overlap of a set of n with any set that it links with."""
     return -(-percent * n // 100)
@@ -105,7 +152,7 @@ class Order:
         near = np.minimum(np.searchsorted(self.heavy, h[maybe]), len(self.heavy) - 1)
         hit = self.heavy[near] == h[maybe]
         out = h.copy()
-        out[maybe[hit]] = np.uint64(1 << 63) + self.rank[near[hit]]
+        out[maybe[hit]] = HEAVY + self.rank[near[hit]]
         return out
 
 
@@ -186,17 +233,18 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     ws = Workspace(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     order = spark.sparkContext.broadcast(_top(ws, heavy_shingles(texts, n)))
-    buckets = max(64, shuffle_parts(spark))
+    buckets = bucket_count(spark, text_bytes(texts))
+    parts = min(buckets, PARTITIONS)
 
     def prefixes(batches):
         """kind 0: a row for each document; kind 1: prefix shingles of groups new to this task, packed by bucket."""
         seen: set[int] = set()
         held: list[tuple] = []
-        size = 0
+        size = seed = 0
 
         def out():
             key, gid, length = (np.concatenate([x[k] for x in held]) for k in range(3))
-            to = (mix(key) % np.uint64(buckets)).astype(np.int64)
+            to = (mix(key ^ np.where(key >= HEAVY, mix(gid), np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(to, kind="stable")
             cut = np.searchsorted(to[by], np.arange(buckets + 1))
             key, gid, length = key[by], gid[by], length[by]
@@ -205,11 +253,12 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
             return _rows(1, bucket=some.astype(np.int32), blob=blob, size=len(some))
 
         for b in pieces(batches):
-            h, bounds = shingles(b.column(1), n)
+            cut = _cut(b.column(1), n)
+            h, bounds = _hashed(cut, n)
             key = order.value.keys(h)
             rows = b.num_rows
-            count = np.zeros(rows, np.int64)
-            gids, s1, s2, last = (np.zeros(rows, np.uint64) for _ in range(4))
+            count, sequence = np.zeros(rows, np.int64), sequences(cut)
+            gids, last = (np.zeros(rows, np.uint64) for _ in range(2))
             tally = [b""] * rows
             for i in range(rows):
                 o = _unique(key[bounds[i] : bounds[i + 1]])
@@ -218,7 +267,7 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
                     continue
                 m = mix(o)
                 p = k - needed(k, percent) + 1
-                count[i], s1[i], s2[i] = k, m.sum(), mix(m + np.uint64(1)).sum()
+                count[i] = k
                 tally[i] = np.minimum(np.bincount((m & np.uint64(TALLIES - 1)).astype(np.int64), minlength=TALLIES), 65535).astype("<u2").tobytes()
                 g = int(mix(m[:p].sum(keepdims=True) * np.uint64(3) + np.uint64(k))[0])
                 gids[i], last[i] = g, o[p - 1] ^ np.uint64(1 << 63)  # as a signed number it keeps its order
@@ -226,7 +275,9 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
                     seen.add(g)
                     held.append((o[:p], np.full(p, g, np.uint64), np.full(p, k, np.uint32)))
                     size += p
-            yield _rows(0, b.column(0), count, _signed(gids), _signed(s1), _signed(s2), (mix(gids) % np.uint64(buckets)).astype(np.int32), None, _signed(last), tally, rows)
+            to = (mix(sequence[:, 0] + np.uint64(seed) + np.arange(rows, dtype=np.uint64)) % np.uint64(buckets)).astype(np.int32)  # anywhere: copies aren't kept together
+            seed += rows
+            yield _rows(0, b.column(0), count, _signed(gids), _signed(sequence[:, 0]), _signed(sequence[:, 1]), to, None, _signed(last), tally, rows)
             if size >= 500_000:
                 yield out()
                 held, size = [], 0
@@ -234,25 +285,34 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
             yield out()
 
     def runs(batches):
-        """Documents pass; kind 2: runs of two and more groups, packed."""
-        blobs: list[bytes] = []
+        """Documents pass; kind 2: runs of two and more groups, packed. Rows come sorted by bucket, one is held at a time."""
+        bucket, blobs = None, []
         for b in batches:
             kinds = np.asarray(b.column(0))
             if (kinds == 0).any():
                 yield b.filter(pa.array(kinds == 0))
-            blobs += b.filter(pa.array(kinds == 1)).column(7).to_pylist()
+            packed = b.filter(pa.array(kinds == 1))
+            for to, blob in zip(packed.column(6).to_pylist(), packed.column(7).to_pylist()):
+                if to != bucket:
+                    yield from bucket_runs(blobs)
+                    bucket, blobs = to, []
+                blobs.append(blob)
+        yield from bucket_runs(blobs)
+        give_back()
+
+    def bucket_runs(blobs):
         if not blobs:
             return
         sizes = [len(x) // 20 for x in blobs]
         key = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(blobs, sizes)])
         gid = np.concatenate([np.frombuffer(x, np.uint64, k, 8 * k) for x, k in zip(blobs, sizes)])
         length = np.concatenate([np.frombuffer(x, np.uint32, k, 16 * k) for x, k in zip(blobs, sizes)])
-        del blobs
         by = np.argsort(key, kind="stable")
         key = key[by]
         twin = np.zeros(len(key), dtype=bool)
         twin[1:] = key[1:] == key[:-1]
         twin[:-1] |= twin[1:]
+        twin |= key >= HEAVY  # other groups may be in other buckets
         key, by = key[twin], by[twin]
         gid, length = gid[by], length[by]
         by = np.lexsort((gid, key))
@@ -263,15 +323,14 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         if not len(key):
             return
         of = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
-        several = np.bincount(of)[of] > 1
+        several = (np.bincount(of)[of] > 1) | (key >= HEAVY)
         key, gid, length = key[several], gid[several], length[several]
         for a in range(0, len(key), 100_000):
             z = a + 100_000
             yield _rows(2, blob=[key[a:z].tobytes() + gid[a:z].tobytes() + length[a:z].tobytes()], size=1)
-        del key, gid, length, by, twin, fresh, of, several
-        give_back()
 
-    flow = ws.put(texts.mapInArrow(prefixes, _ROWS).repartition(buckets, "bucket").mapInArrow(runs, _ROWS), "flow", compression="zstd")
+    flow = dealt(texts.mapInArrow(prefixes, _ROWS), F.col("bucket"), buckets).sortWithinPartitions("kind", "bucket").mapInArrow(runs, _ROWS)
+    flow = ws.put(flow, "flow", compression="zstd")
     docrows = flow.filter("kind = 0").select("doc_id", "n", "gid", "last", "tally", F.struct("s1", "s2", "n").alias("class"))
     classes = docrows.filter("n > 0").groupBy("class", "gid", "n", "last").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.min("tally").alias("tally"))
     classes = ws.put(classes.filter("rep is not null"), "classes", compression="zstd")
@@ -335,15 +394,28 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
                     made.append((np.full(int(ok.sum()), gid[i]), gid[j[ok]]))
             yield counted(made)
 
+    # runs that are too long for one task: their keys
+    total = entries.count()
+    any_long = total > TILE
+    if any_long:
+        long_keys = ws.put(entries.groupBy("key").agg(F.count("*").alias("k"), F.max_by(F.struct("gid", "n", "last", "rank", "shared"), F.struct("shared", -F.col("gid"))).alias("top")).filter(F.col("k") > TILE), "long")
+        any_long = not long_keys.isEmpty()
+    short = entries.join(long_keys, "key", "left_anti") if any_long else entries
+
     # round 1
-    pairs = entries.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(stars, "a long, b long, c long")
+    pairs = short.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(stars, "a long, b long, c long")
+    if any_long:
+        met = attach_groups(entries.join(long_keys.select("key"), "key", "left_semi"), long_keys, "key", "k", total)
+        met = met.filter((F.col("gid") != F.col("top.gid")) & able_here(percent, F.col("top"), F.struct("n", "last", "rank")))
+        pairs = pairs.unionByName(met.select(F.col("top.gid").alias("a"), F.col("gid").alias("b")).groupBy("a", "b").agg(F.count("*").alias("c")))
     pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
     across = pairs.join(lead.select(F.col("gid").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("gid").alias("b"), F.col("lead").alias("y")), "b").select("x", "y")
     several = lead.filter("k > 1").select("gid", "lead")
     inside = classes.join(several, "gid").filter("rep != lead").select(F.col("lead").alias("x"), F.col("rep").alias("y"))
-    tallies = classes.select("rep", "n", "tally")
-    links = ws.put(verify(ws, texts, tallies, across.unionByName(inside).distinct(), "round1", n, percent), "links1")
-    comp = components(ws, links, "comp1")
+    tallies = classes.select("rep", "n", "tally", F.col("class.s1").alias("s1"))
+    checked = verify(ws, texts, tallies, across.unionByName(inside).distinct(), "round1", n, percent)
+    links = ws.put(checked, "links1") if checked is not None else spark.createDataFrame([], "a long, b long")
+    comp = components(ws, links, "comp1") if checked is not None else spark.createDataFrame([], "id long, component long")
 
     # round 2: what round 1 hasn't connected
     of = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("gid", "n", "last", "rep", F.coalesce("component", "rep").alias("comp"))
@@ -371,16 +443,30 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
                     add(i, np.arange(i + 1, a + int(np.searchsorted(size[a:z], size[i] * 100 // percent, "right"))))
             yield counted(made)
 
-    runs2 = entries.join(open_, "key").select("key", "gid", "n", "last", "rank", "comp", "mixed").repartition(buckets, "key").sortWithinPartitions("key", "n")
-    cross = runs2.mapInArrow(crossing, "a long, b long, c long").select("a", "b").distinct()
+    short = (entries.join(long_keys, "key", "left_anti") if any_long else entries).join(open_, "key", "left_semi")
+    runs2 = short.select("key", "gid", "n", "last", "rank", "comp", "mixed").repartition(parts, "key").sortWithinPartitions("key", "n")
+    cross = runs2.mapInArrow(crossing, "a long, b long, c long").select("a", "b")
+    if any_long:
+        open_ = ws.put(open_, "open")
+        some = attach_groups(entries.join(open_, "key", "left_semi").join(long_keys.select("key"), "key", "left_semi"), long_keys.select("key", "k"), "key", "k", total)
+        met = tile_pairs(some.select("key", "k", "gid", "n", "last", "rank", "comp", "mixed"), "key", "k", "gid")
+        i, j = F.struct("i.n", "i.last", "i.rank"), F.struct("j.n", "j.last", "j.rank")
+        met = met.filter((F.col("i.comp") != F.col("j.comp")) | F.col("i.mixed") | F.col("j.mixed")).filter(able_here(percent, i, j))
+        cross = cross.unionByName(met.select(F.least("i.gid", "j.gid").alias("a"), F.greatest("i.gid", "j.gid").alias("b")))
+    cross = cross.distinct()
     one = of.select(F.col("gid").alias("a"), F.col("rep").alias("x"), F.col("comp").alias("cx"))
     two = of.select(F.col("gid").alias("b"), F.col("rep").alias("y"), F.col("comp").alias("cy"))
     across = cross.join(one, "a").join(two, "b").filter("cx != cy").select("x", "y")
     torn = state.filter("mixed").select("gid")
-    inside = of.join(torn, "gid").select("gid", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    inside = inside.join(of.join(torn, "gid").select("gid", F.col("rep").alias("y"), F.col("comp").alias("cy")), "gid").filter("cx != cy and x < y").select("x", "y")
-    more = ws.put(verify(ws, texts, tallies, across.unionByName(inside).distinct(), "round2", n, percent), "links2")
-    if not more.isEmpty():
+    if not torn.isEmpty():
+        torn = of.join(torn, "gid").select("gid", "rep", "comp")
+        torn = ws.put(torn.join(torn.groupBy("gid").agg(F.count("*").alias("k")), "gid"), "torn")
+        inside = tile_pairs(torn, "gid", "k", "rep").filter("i.comp != j.comp").select(F.least("i.rep", "j.rep").alias("x"), F.greatest("i.rep", "j.rep").alias("y"))
+        across = across.unionByName(inside)
+    more = verify(ws, texts, tallies, across.distinct(), "round2", n, percent)
+    if more is not None:
+        more = ws.put(more, "links2")
+    if more is not None and not more.isEmpty():
         comp = components(ws, links.unionByName(more), "comp2")
 
     final = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("class", "rows", F.coalesce("component", "rep").alias("component"))
@@ -390,11 +476,38 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     return out.unionByName(docrows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def promising(pairs: DataFrame, tallies: DataFrame, percent: int) -> DataFrame:
+def able_here(percent: int, i, j):
+    """Whether a link of groups i and j (structs of n, last, rank) can have its first shared shingle here."""
+    beyond = [F.ceil(percent * x["n"] / 100) - 1 for x in (i, j)]
+    overlap = F.ceil(percent * (i["n"] + j["n"]) / (100 + percent))
+    tail = F.when(j["last"] > i["last"], beyond[0]).when(j["last"] < i["last"], beyond[1]).otherwise(F.least(*beyond))
+    return (100 * F.least(i["n"], j["n"]) >= percent * F.greatest(i["n"], j["n"])) & (overlap - tail <= F.least(i["rank"], j["rank"]))
+
+
+def tile_pairs(rows: DataFrame, key: str, k: str, ident: str, tile: int | None = None) -> DataFrame:
+    """Pairs (i, j: structs of all columns) of the rows of each key, each pair once, i with the smaller ``ident``. ``k``:
+    rows of the key; those above ``tile`` are cut into tiles by hash, and each pair of tiles is joined by itself."""
+    tiles = F.ceil(F.col(k) / (tile or TILE)).cast("int")
+    rows = rows.select(F.struct(*rows.columns).alias("r"), F.col(key).alias("key"), tiles.alias("tiles"), F.pmod(F.xxhash64(ident), tiles).cast("int").alias("t"))
+    rows = rows.select("r", "key", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    rows = rows.select("r", "key", "t", F.least("t", "other").alias("lo"), F.greatest("t", "other").alias("hi"))
+    one = rows.select("key", "lo", "hi", F.col("r").alias("i"), F.col("t").alias("ti"))
+    two = rows.select("key", "lo", "hi", F.col("r").alias("j"), F.col("t").alias("tj"))
+    # two rows of one tile meet in the tile's pair with itself alone
+    return one.join(two, ["key", "lo", "hi"]).filter(f"i.{ident} < j.{ident} and (lo = hi or ti != tj)").select("i", "j")
+
+
+def promising(ws: Workspace, pairs: DataFrame, total: int, tallies: DataFrame, percent: int, name: str) -> DataFrame:
     """Pairs whose sets can overlap enough: two sets have at most as many shingles in common as the sum over TALLIES
-    classes of hashes of the smaller counts. Exact: no pair that links goes (a count at its limit counts as any)."""
-    rows = pairs.join(tallies.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("tally").alias("tx")), "x")
-    rows = rows.join(tallies.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("tally").alias("ty")), "y").select("x", "y", "nx", "ny", "tx", "ty")
+    classes of hashes of the smaller counts. Exact: no pair that links goes (a count at its limit counts as any). Ids with
+    many pairs are no single task's."""
+    side = tallies.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("tally").alias("tx"), F.col("s1").alias("sx"))
+    if total <= HOT_LEAST:  # no id has more pairs than that
+        rows = pairs.join(side, "x")
+    else:
+        mine = pairs.groupBy("x").agg(F.count("*").alias("pairs"))
+        rows = attach_groups(pairs, ws.put(mine.join(side, "x"), f"{name}-x"), "x", "pairs", total)
+    rows = rows.join(tallies.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("tally").alias("ty"), F.col("s1").alias("sy")), "y").select("x", "y", "nx", "ny", "tx", "ty", "sx", "sy")
 
     def bound(batches):
         for b in batches:
@@ -404,33 +517,41 @@ def promising(pairs: DataFrame, tallies: DataFrame, percent: int) -> DataFrame:
             tx, ty = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, TALLIES).astype(np.int64) for k in (4, 5))
             most = np.where((tx == 65535) | (ty == 65535), np.maximum(nx, ny)[:, None], np.minimum(tx, ty)).sum(axis=1)
             kept = b.filter(pa.array(((100 + percent) * np.minimum(most, np.minimum(nx, ny)) >= percent * (nx + ny))))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["x", "y"])
-
-    return rows.mapInArrow(bound, "x long, y long")
+            yield pa.RecordBatch.from_arrays([kept.column(k) for k in (0, 1, 6, 7)], ["x", "y", "sx", "sy"])
+
+    return rows.mapInArrow(bound, "x long, y long, sx long, sy long")
+
+
+def verify(ws: Workspace, texts: DataFrame, tallies: DataFrame, pairs: DataFrame, name: str, n: int, percent: int) -> DataFrame | None:
+    """The pairs (x, y) of ids whose texts link, as (a, b); None if there are no pairs. A text goes once to each salt that its pairs use, SALTS at
+    most; of an id with several texts, the one of the class that was paired."""
+    pairs = ws.put(pairs, f"{name}-all")
+    total = pairs.count()
+    if not total:
+        return None
+    pairs = promising(ws, pairs, total, tallies, percent, name)
+    salt = lambda of: F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int")
+    pairs = ws.put(pairs.withColumn("ux", salt("y")).withColumn("uy", salt("x")), f"{name}-pairs")
+    ids = pairs.select(F.col("x").alias("doc_id"), F.col("sx").alias("s1")).unionByName(pairs.select(F.col("y").alias("doc_id"), F.col("sy").alias("s1"))).distinct()
+    ids = ws.put(ids, f"{name}-ids")
 
+    def classed(batches):
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(sequences(_cut(b.column(1), n))[:, 0])], ["doc_id", "text", "s1"])
 
-def verify(ws: Workspace, texts: DataFrame, tallies: DataFrame, pairs: DataFrame, name: str, n: int, percent: int) -> DataFrame:
-    """The pairs (x, y) of ids whose texts link, as (a, b). Texts of a hot x are copied once for each salt that its
-    pairs use, at most 64 times."""
-    pairs = ws.put(promising(pairs, tallies, percent).withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(64)).cast("int")), f"{name}-pairs")
-    ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    ids = ws.put(ids, f"{name}-ids")
-    some = maybe_in(texts.filter("doc_id is not null"), id_filter(ids)).join(ids, "doc_id")
-    some = ws.put(some.dropDuplicates(["doc_id"]), f"{name}-texts", compression="zstd")
-    left = pairs.select("x", "salt").distinct().join(some.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x")
-    both = pairs.join(some.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y").join(left, ["x", "salt"]).select("x", "y", "tx", "ty")
+    some = maybe_in(texts.filter("doc_id is not null"), id_filter(ids, "doc_id", ws, f"{name}-bits")).join(ids.select("doc_id").distinct(), "doc_id")
+    some = some.mapInArrow(classed, "doc_id long, text string, s1 long").join(ids, ["doc_id", "s1"]).dropDuplicates(["doc_id", "s1"])
+    some = ws.put(some, f"{name}-texts", compression="zstd")
+    left = pairs.select("x", "sx", "ux").distinct().join(some.select(F.col("doc_id").alias("x"), F.col("s1").alias("sx"), F.col("text").alias("tx")), ["x", "sx"])
+    right = pairs.select("y", "sy", "uy").distinct().join(some.select(F.col("doc_id").alias("y"), F.col("s1").alias("sy"), F.col("text").alias("ty")), ["y", "sy"])
+    both = pairs.join(right, ["y", "sy", "uy"]).join(left, ["x", "sx", "ux"]).select("x", "y", "tx", "ty")
 
     def check(batches):
         for b in pieces(batches, "ty", 1 << 20):
-            hx, bx = shingles(b.column(2), n)
-            hy, by = shingles(b.column(3), n)
-            ok = np.zeros(b.num_rows, dtype=bool)
-            for i in range(b.num_rows):
-                p, q = _unique(hx[bx[i] : bx[i + 1]]), _unique(hy[by[i] : by[i + 1]])
-                both_ = len(p) + len(q) - len(_unique(np.concatenate([p, q])))
-                ok[i] = both_ > 0 and 100 * both_ >= percent * (len(p) + len(q) - both_)
-            kept = b.filter(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+            for lo in range(0, b.num_rows, 512):  # the texts x aren't in the slices' bytes
+                c = b.slice(lo, 512)
+                kept = c.filter(pa.array(linked(c.column(2), c.column(3), n, percent)))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
     return both.mapInArrow(check, "a long, b long")
 

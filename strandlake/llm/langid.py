@@ -2,15 +2,16 @@
 
 The vocabulary's pieces (and every single byte) cover a marked word, its bytes after one marker, in many ways. Each
 language has a probability for every piece; a forward pass over the byte positions sums the probability of all
-segmentations of a word, for all languages at once and rescaled so that no word underflows, and a text's score is the sum of its words' logarithms plus the
-logarithm of the language's share. Probabilities come from expected piece counts: a forward and a backward pass over the
+segmentations of a word, for all languages at once and rescaled so that no word underflows, and a text's score is the sum
+of its words' logarithms plus the logarithm of the language's share. Words and pieces are told apart by their bytes. Probabilities come from expected piece counts: a forward and a backward pass over the
 training words under a uniform prior over pieces, whose posterior counts are added up per language and smoothed.
 
 Languages are learnt from rows with a lang whose crc32(doc_id as text) mod 4 is not 2: all of them up to about SAMPLE
 rows a language, else those with the smallest hashes in expectation SAMPLE. lang, source and doc_id are no inputs of a
 prediction. A text that is null or has no letter is `und` with score 0; so is every text if nothing could be learnt.
-Words over SLICE bytes are scored in slices of that length (all of them). Ties go to the alphabetically first language.
-Rows that repeat get the same prediction; extra columns are ignored.
+Words of any length are scored whole, with one marker; those over APART bytes one by one (texts in scripts without spaces
+are such words), at some bytes of memory per byte of the word and language. Ties go to the alphabetically first language.
+Rows that repeat get the same prediction; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,16 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, flat, mix, pieces, powers, prefix_sums, word_hashes, words
+from .common import SPACE, Words, distinct, eight, flat, pieces, word_hashes, words
 from .quality import held_out
 
 SAMPLE = 2000
-SLICE = 192
+#: Words over so many bytes are worked out one by one.
+APART = 96
+#: Most languages that are learnt; more raise an error, as the counts' table is languages times vocabulary.
+LANGUAGES = 1000
 SMOOTH = 0.05
 #: Each byte's factor keeps products near 1; it is the same for every segmentation of a word.
 PER_BYTE = 24.0
 MARK = 32
-_SLOTS = 1 << 19
 #: Forward sums outside of this range are scaled to 1 and their logarithm is kept, so that no word underflows.
 LOW, HIGH = 1e-60, 1e60
 
@@ -54,67 +57,65 @@ class Lattice:
     def __init__(self, pieces_: list[bytes]):
         self.n, self.longest = len(pieces_), max(map(len, pieces_))
         self.singles = self.n - 256
-        buf = np.frombuffer(b"".join(pieces_), dtype=np.uint8)
-        ends = np.cumsum([len(p) for p in pieces_])
-        starts = np.concatenate([[0], ends[:-1]])
-        h = word_hashes(buf, starts, ends)
-        # open addressing, filled in one go where slots are free and one by one where not
-        self.keys, self.ids = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, -1, np.int32)
-        for i, k in enumerate(h.tolist()):
-            at = k % _SLOTS
-            while self.ids[at] >= 0:
-                at = (at + 1) % _SLOTS
-            self.keys[at], self.ids[at] = k, i
-        taken = self.ids >= 0
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], np.concatenate([taken, taken]).astype(np.int8), [0]])))
-        self.probes = int((edge[1::2] - edge[::2]).max())
         self.lengths = sorted({len(p) for p in pieces_})
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        at = (h % np.uint64(_SLOTS)).astype(np.int64)
-        out = np.where(self.keys[at] == h, self.ids[at], -1)
-        open_ = np.flatnonzero((out < 0) & (self.ids[at] >= 0))
-        for _ in range(self.probes):
-            if not len(open_):
-                break
-            at[open_] = (at[open_] + 1) % _SLOTS
-            hit = self.keys[at[open_]] == h[open_]
-            out[open_[hit]] = self.ids[at[open_[hit]]]
-            open_ = open_[~hit & (self.ids[at[open_]] >= 0)]
-        return out
+        # for each length the pieces by hash; a hit counts if the bytes are the same
+        self.of: dict[int, tuple[Words, np.ndarray]] = {}
+        for k in self.lengths[1:]:
+            some = [i for i in range(self.singles) if len(pieces_[i]) == k]
+            raw = np.frombuffer(b"".join(pieces_[i] for i in some), np.uint8)
+            starts = np.arange(len(some)) * k
+            h = word_hashes(eight(raw), starts, starts + k)
+            by = np.argsort(h, kind="stable")
+            held = Words()
+            held.place(h[by], [pieces_[some[i]] for i in by])
+            self.of[k] = held, np.array(some)[by]
+            self.slots(k, h[by])
+
+    def slots(self, k: int, h: np.ndarray) -> None:
+        """A filter of the hashes' lowest bits, so that few places need a search."""
+        bits = self.__dict__.setdefault("bits", {})
+        bits[k] = np.zeros(1 << 20, dtype=bool)
+        bits[k][(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def find(self, load: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the places begin a piece of k bytes, and its number."""
+        h = word_hashes(load, at, at + k)
+        maybe = np.flatnonzero(self.bits[k][(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        held, number = self.of[k]
+        got = held.find(load, at[maybe], at[maybe] + k, h[maybe])
+        hit = got >= 0
+        return maybe[hit], number[got[hit]]
 
     def edges(self, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray):
         """Words sorted by falling length. Yields for each end position j the edges (rows, from, piece)."""
-        s = prefix_sums(buf)
-        _, inv = powers(len(buf) + 1)
+        load = eight(buf)
         for j in range(1, int(lens[0]) + 1 if len(lens) else 1):
             live = int(np.searchsorted(-lens, -j, "right"))
             here = starts[:live]
-            found = []
-            for k in self.lengths:
+            found = [(np.arange(live), j - 1, self.singles + buf[here + j - 1].astype(np.int64))]
+            for k in self.lengths[1:]:
                 if k > j:
                     break
-                a = here + (j - k)
-                if k == 1:
-                    found.append((np.arange(live), j - 1, self.singles + buf[a].astype(np.int64)))
-                    continue
-                ids = self.find(mix((s[here + j] - s[a]) * inv[a] + np.uint64(k)))
-                rows = np.flatnonzero(ids >= 0)
+                rows, ids = self.find(load, here + (j - k), k)
                 if len(rows):
-                    found.append((rows, j - k, ids[rows].astype(np.int64)))
+                    found.append((rows, j - k, ids))
             yield j, found
 
-
-def sliced(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words over SLICE bytes as several: starts, ends, and the word that each came from."""
-    lens = ends - starts
-    if not len(lens) or lens.max() <= SLICE:
-        return starts, ends, np.arange(len(starts))
-    parts = -(-lens // SLICE)
-    of = np.repeat(np.arange(len(starts)), parts)
-    k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-    a = starts[of] + k * SLICE
-    return a, np.minimum(a + SLICE, ends[of]), of
+    def word_edges(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All edges of one word in order of their ends: ends, from, piece; and where each end's edges begin."""
+        load, n = eight(word), len(word)
+        end, frm, piece = [np.arange(1, n + 1)], [np.arange(n)], [self.singles + word.astype(np.int64)]
+        for k in self.lengths[1:]:
+            if k > n:
+                break
+            a, ids = self.find(load, np.arange(n - k + 1), k)
+            end.append(a + k)
+            frm.append(a)
+            piece.append(ids)
+        end, frm, piece = np.concatenate(end), np.concatenate(frm), np.concatenate(piece)
+        by = np.argsort(end, kind="stable")
+        end, frm, piece = end[by], frm[by], piece[by]
+        return end, frm, piece, np.searchsorted(end, np.arange(1, n + 2))
 
 
 def marked(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +133,7 @@ def marked(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 def distinct_words(buf: np.ndarray, offs: np.ndarray):
     """Different words of a chunk: starts, ends, for each occurrence its word, and the texts' bounds."""
     starts, ends, at = words(buf, offs, SPACE)
-    _, first, back = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    _, first, back = distinct(eight(buf), starts, ends)
     return starts[first], ends[first], back, at
 
 
@@ -152,13 +153,15 @@ class Model:
 
     def log_words(self, buf, starts, ends) -> np.ndarray:
         """log P(word | language), up to the same constant for all languages, for each word."""
-        a, b, of = sliced(starts, ends)
-        m, at, lens, order = marked(buf, a, b)
         out = np.zeros((len(starts), len(self.langs)))
-        if not len(a):
+        far = np.flatnonzero(ends - starts > APART)
+        for k in far.tolist():
+            out[k] = self.log_word(np.concatenate([[np.uint8(MARK)], buf[starts[k] : ends[k]]]))
+        near = np.flatnonzero(ends - starts <= APART)
+        if not len(near):
             return out
-        score = np.zeros((len(a), len(self.langs)))
-        scaled = self.probability
+        m, at, lens, order = marked(buf, starts[near], ends[near])
+        score = np.zeros((len(near), len(self.langs)))
         for lo, hi in blocks(lens, len(self.langs)):
             n, longest = hi - lo, int(lens[lo])
             alpha = np.zeros((longest + 1, n, len(self.langs)))
@@ -167,17 +170,33 @@ class Model:
             base = at[lo]
             for j, found in self.lattice.edges(m[base : at[hi - 1] + lens[hi - 1]], at[lo:hi] - base, lens[lo:hi]):
                 for rows, i, ids in found:
-                    alpha[j, rows] += alpha[i, rows] * scaled[ids]
+                    alpha[j, rows] += alpha[i, rows] * self.probability[ids]
                 live = alpha[j, : len(found[0][0])]  # single bytes reach all words that are as long
-                r, k = np.nonzero(((live < LOW) & (live > 0)) | (live > HIGH))
+                r, k = np.nonzero((live < LOW) | (live > HIGH))
                 if len(r):
                     by = live[r, k]
                     shift[r, k] += np.log(by)
                     alpha[max(0, j - self.lattice.longest) : j + 1, r, k] /= by
-            score[lo:hi] = np.log(np.maximum(alpha[lens[lo:hi], np.arange(n)], 1e-300)) + shift
-        np.add.at(out, of[order], score)
+            score[lo:hi] = np.log(alpha[lens[lo:hi], np.arange(n)]) + shift
+        out[near[order]] = score
         return out
 
+    def log_word(self, word: np.ndarray) -> np.ndarray:
+        """The same for one marked word of any length, byte by byte."""
+        _, frm, piece, cut = self.lattice.word_edges(word)
+        alpha, shift = np.zeros((len(word) + 1, len(self.langs))), np.zeros(len(self.langs))
+        alpha[0] = 1.0
+        cut = cut.tolist()
+        for j in range(1, len(word) + 1):
+            a, z = cut[j - 1], cut[j]
+            now = (alpha[frm[a:z]] * self.probability[piece[a:z]]).sum(axis=0)
+            if now.min() < LOW or now.max() > HIGH:
+                shift += np.log(now)
+                alpha[max(0, j - self.lattice.longest) : j] /= now
+                now = np.ones(len(now))
+            alpha[j] = now
+        return np.log(alpha[len(word)]) + shift
+
     def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray]:
         buf, offs = flat(col)
         n = len(offs) - 1
@@ -203,13 +222,17 @@ class Model:
 
 def expected(lattice: Lattice, buf, starts, ends, weight: np.ndarray) -> np.ndarray:
     """Expected counts of the pieces (rows of weight: one column for each language) under the uniform prior."""
-    a, b, of = sliced(starts, ends)
-    m, at, lens, order = marked(buf, a, b)
     total = np.zeros((lattice.n, weight.shape[1]))
     uniform = [PER_BYTE**k / lattice.n for k in range(lattice.longest + 1)]
+    for k in np.flatnonzero(ends - starts > APART).tolist():
+        piece, post = expected_word(lattice, np.concatenate([[np.uint8(MARK)], buf[starts[k] : ends[k]]]), np.array(uniform))
+        count = np.bincount(piece, weights=post, minlength=lattice.n)
+        total += count[:, None] * weight[k]
+    near = np.flatnonzero(ends - starts <= APART)
+    m, at, lens, order = marked(buf, starts[near], ends[near])
     for lo, hi in blocks(lens, 2):
         n, longest, base = hi - lo, int(lens[lo]), at[lo]
-        w = weight[of[order[lo:hi]]]
+        w = weight[near[order[lo:hi]]]
         steps = list(lattice.edges(m[base : at[hi - 1] + lens[hi - 1]], at[lo:hi] - base, lens[lo:hi]))
         alpha, beta, scale = np.zeros((longest + 1, n)), np.zeros((longest + 1, n)), np.zeros((longest + 1, n))
         alpha[0] = 1.0
@@ -219,13 +242,13 @@ def expected(lattice: Lattice, buf, starts, ends, weight: np.ndarray) -> np.ndar
             for rows, i, _ in found:
                 step = alpha[i, rows] * uniform[j - i]
                 alpha[j, rows] += step * np.exp(scale[i, rows] - scale[j, rows]) if j > moved else step
-            far = np.flatnonzero(((alpha[j] < LOW) & (alpha[j] > 0)) | (alpha[j] > HIGH))
+            far = np.flatnonzero(((alpha[j] < LOW) & (alpha[j] > 0)) | (alpha[j] > HIGH))  # 0 where a word has ended
             if len(far):
                 moved = min(moved, j)
                 scale[j, far] += np.log(alpha[j, far])
                 alpha[j, far] = 1.0
         whole = alpha[lens[lo:hi], np.arange(n)]
-        beta[lens[lo:hi], np.arange(n)] = 1.0 / np.maximum(whole, 1e-300)
+        beta[lens[lo:hi], np.arange(n)] = 1.0 / whole
         for j, found in reversed(steps):
             for rows, i, ids in found:
                 back = beta[j, rows] * uniform[j - i]
@@ -238,9 +261,38 @@ def expected(lattice: Lattice, buf, starts, ends, weight: np.ndarray) -> np.ndar
     return total
 
 
+def expected_word(lattice: Lattice, word: np.ndarray, uniform: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of one marked word of any length and the posterior of each edge."""
+    end, frm, piece, cut = lattice.word_edges(word)
+    step, n = uniform[end - frm], len(word)
+    alpha, scale, beta = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+    alpha[0] = 1.0
+    bounds = cut.tolist()
+    for j in range(1, n + 1):
+        e = slice(bounds[j - 1], bounds[j])
+        f = frm[e]
+        scale[j] = scale[j - 1]
+        now = float((alpha[f] * step[e] * np.exp(scale[f] - scale[j])).sum())
+        if not LOW < now < HIGH:
+            scale[j] += np.log(now)
+            now = 1.0
+        alpha[j] = now
+    post = np.zeros(len(end))
+    beta[n] = 1.0 / alpha[n]
+    for j in range(n, 0, -1):
+        e = slice(bounds[j - 1], bounds[j])
+        f = frm[e]
+        back = beta[j] * step[e] * np.exp(scale[f] - scale[j])
+        beta[f] += back  # each from place once
+        post[e] = alpha[f] * back
+    return piece, post
+
+
 def fit(docs: DataFrame, vocab_path: str) -> Model:
     rows = docs.filter(~F.coalesce(held_out(), F.lit(False))).filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     langs = sorted(counts)
     pieces_ = vocabulary(vocab_path)
     if not langs:

@@ -7,8 +7,9 @@ isotonic fit (pool adjacent violators) of out-of-fold scores turns scores into p
 Labels are learnt from rows whose crc32(doc_id as text) mod 4 is not 2, and of those from the SAMPLE rows with the
 smallest hash of their doc_id, all of them where there are fewer; every document is scored. Statistics only ever see
 the text. Null text is empty; an empty text has a score like any other. Labels that are null are left out; a doc_id
-with two labels is two training rows. Without any label each score is 1. Rows that repeat get the same score; extra
-columns are ignored.
+with two labels is two training rows; one with several texts is learnt from the text with the smallest statistics.
+Without any label each score is 1. Long texts are scored whole; ties have one score. Rows that repeat get the same score;
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, SPACE, flat, pieces, word_hashes, words
+from .common import NOT_ALNUM, SPACE, distinct, eight, flat, pieces, words
 
 SAMPLE = 20_000
 FEATURES = 256
@@ -49,15 +50,15 @@ def per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return c[at[1:]] - c[at[:-1]]
 
 
-def distinct(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text: how many different hashes it has, and how often its most frequent one occurs."""
+def variety(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text: how many different words (numbers) it has, and how often its most frequent one occurs."""
     n = len(at) - 1
-    if not len(h):
+    if not len(word):
         return np.zeros(n), np.zeros(n)
-    owner = np.repeat(np.arange(n, dtype=np.uint64), np.diff(at))
-    key = np.sort((owner << np.uint64(40)) | (h >> np.uint64(24)))
+    width = int(word.max()) + 1
+    key = np.sort(np.repeat(np.arange(n, dtype=np.int64), np.diff(at)) * width + word)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    of = (key[first] >> np.uint64(40)).astype(np.int64)
+    of = key[first] // width
     runs = np.diff(np.append(first, len(key)))
     most = np.zeros(n)
     np.maximum.at(most, of, runs)
@@ -75,8 +76,9 @@ def statistics(col: pa.Array) -> np.ndarray:
     count = np.diff(at).astype(float)
     per = np.maximum(count, 1)
     length = (ends - starts).astype(float)
-    h = word_hashes(buf, starts, ends)
-    kinds_of, most = distinct(h, at)
+    load = eight(buf)
+    word = distinct(load, starts, ends)[2]
+    kinds_of, most = variety(word, at)
     if len(starts):
         head, tail = _KIND[buf[starts]], _KIND[buf[ends - 1]]
         before = _KIND[buf[np.maximum(ends - 2, starts)]]
@@ -86,8 +88,8 @@ def statistics(col: pa.Array) -> np.ndarray:
         capital = per_text(head == 2, at) / per
         stop = per_text(tail == 7, at) / per
         bare = per_text(NOT_ALNUM[buf[starts]] & (head != 2) & (length < 3), at) / per
-        same = np.zeros(len(h))
-        same[1:] = h[1:] == h[:-1]
+        same = np.zeros(len(word))
+        same[1:] = word[1:] == word[:-1]
         twice = per_text(same, at) / per
     else:
         upper = symbol = shout = capital = stop = bare = twice = np.zeros(n)
@@ -95,7 +97,7 @@ def statistics(col: pa.Array) -> np.ndarray:
     spread = np.sqrt(np.maximum(per_text(length * length, at) / per - mean * mean, 0))
     ls, le, lat = words(buf, offs, _NEWLINE)
     lines = np.diff(lat).astype(float)
-    lkinds, lmost = distinct(word_hashes(buf, ls, le), lat)
+    lkinds, _ = variety(distinct(load, ls, le)[2], lat)
     return np.column_stack(
         [np.log1p(size), np.log1p(count), mean, spread, *[share[:, k] for k in range(1, _KINDS)], upper, symbol, shout, capital, stop, bare, twice]
         + [kinds_of / per, np.log1p(kinds_of), most / per, np.log1p(lines), lkinds / np.maximum(lines, 1), np.log1p(size / np.maximum(lines, 1))]
@@ -144,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     # statistics of at most SAMPLE rows (28 doubles each): a few MB
     got = rows.mapInArrow(stats, "stats array<double>, doc_id long, y int")
-    got = got.repartition(8, "doc_id").cache()
+    got = got.groupBy("doc_id", "y").agg(F.min("stats").alias("stats")).select("stats", "doc_id", "y").cache()
     moments = got.select(F.posexplode("stats").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("k").collect()
     if not moments:
         got.unpersist()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Known, flat, pieces, ranges, word_hashes
+from .common import Known, distinct, eight, flat, pieces, ranges
 
 CHUNK = 1_000_000
 #: Words that a process remembers, about (some 20 MB); then it starts anew.
@@ -186,7 +186,7 @@ class Pieces:
 
     def chunk(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids begin (one more than there are texts). Words that the
-        process knows are looked up; the others are sorted into a trie and segmented."""
+        process knows are looked up (by hash and bytes); the others are sorted into a trie and segmented."""
         buf, offs = flat(col)
         full = np.diff(offs) > 0
         buf = np.insert(buf, offs[:-1][full], 32)  # the dummy space
@@ -200,16 +200,20 @@ class Pieces:
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(buf))
         at = np.searchsorted(starts, offs)
-        u, first, back = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        load = eight(buf)
+        u, first, back = distinct(load, starts, ends)
         if len(self.known.hashes) > REMEMBER:
             self.known.forget()
-        new = self.known.missing(u)
+        a, z = starts[first], ends[first]
+        places = self.known.find(load, a, z, u)
+        new = places < 0
         if new.any():
             raw = buf.tobytes()
-            some = [raw[i:j].decode() for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            got = self.segment(sorted(some))
-            self.known.add(u[new], [got[w] for w in some])
-        where, count = self.known.runs(u)
+            some = [raw[i:j] for i, j in zip(a[new].tolist(), z[new].tolist())]
+            got = self.segment(sorted(w.decode() for w in some))
+            self.known.add(u[new], some, [got[w.decode()] for w in some])
+            places = self.known.find(load, a, z, u)
+        where, count = self.known.runs(places)
         take, bounds = ranges(where[back], count[back])
         return self.known.flat[take], bounds[at]
 

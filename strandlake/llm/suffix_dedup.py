@@ -7,17 +7,26 @@ Sorting a suffix for every byte isn't needed: each window of LENGTH bytes names
 grams with the smallest hash, so equal windows have equal anchors at equal places. Consecutive windows with one anchor are
 a segment; suffixes start at anchors. The steps:
 
-1. Each slice of a partition sends the hashes of its anchors' grams, packed by bucket; a bucket says which occur twice or
-   more. Only documents with such anchors, and only those anchors, go on: nothing that repeats is lost.
+1. Each slice of a partition sends the different hashes of its anchors' grams, with their counts, packed by bucket; a
+   bucket says which occur twice or more. Only documents with such anchors, and only those anchors, go on: nothing that
+   repeats is lost.
 2. Slices collapse equal segments (all but the earliest are repeats), sort the suffixes at their anchors, and send them by
    the gram's bucket as front-coded runs: how many bytes a suffix shares with the one before, and the rest.
 3. A bucket merges its runs with a loser tree. Each loser knows how long a prefix it shares with the last winner: the
    longer one wins without a look at the strings, and equal ones are compared from there on only. Suffixes that share a
-   gram come out next to each other; windows of their segments, in order of (doc_id, position), are repeats if seen.
+   gram come out next to each other; equal segments are collapsed as they come, and windows of the others, in order of
+   (doc_id, position), are repeats if seen. Suffixes are dealt by their gram's hash, so the order is one inside buckets, not
+   over all of them: no repeat needs more, as equal windows have one gram.
 4. Repeats are united per document and cut out.
 
-Null text is empty, null ids come after all others. Rows with one doc_id are ordered by their text's hash; rows that
-repeat id and text are one document and have the same result. Extra columns are ignored; nothing is capped.
+A gram that occurs FAMILY times or more (a passage in many documents has such grams at its ends, before and behind which
+every document goes on differently) is no single bucket's: windows of its segments are collapsed in their slice and
+go on as rows, of which those whose hash occurs twice meet by their bytes.
+
+Buckets follow the bytes of the texts; a partition holds a bucket at a time. Null text is empty, null ids come after all
+others. Rows with one doc_id are ordered by their text's hash; rows that repeat id and text are one document and have the
+same result. Ties don't arise: of equal strings the one that starts first stays. Long texts are slices of their own. An
+empty table gives no rows. Extra columns are ignored; nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,14 +38,21 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Workspace, flat, give_back, id_filter, maybe_in, mix, pieces, powers, prefix_sums, shuffle_parts, text_column
+from .common import Workspace, bucket_count, dealt, flat, give_back, id_filter, maybe_in, mix, pieces, powers, prefix_sums, text_bytes, text_column
 
 LENGTH = 100
 GRAM = 32
 #: Anchors of a slice in step 1, and segments of a slice in step 2.
 SLICE = 400_000
 RUN = 100_000
+#: A gram with so many occurrences isn't merged in one task.
+FAMILY = 4096
+#: Marks the anchors of such grams.
+HOT = np.uint32(1 << 31)
+#: Windows that a slice remembers while it collapses those of hot grams.
+WINDOWS = 200_000
 
 
 def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -85,7 +101,7 @@ def _common(a: bytes, b: bytes, known: int) -> int:
 def pack_run(rows: list[tuple[bytes, bytes, int, int]]) -> bytes:
     """A front-coded run of (suffix, what stands before it, document number, position), sorted by suffix."""
     n = len(rows)
-    share, size, lefts = np.zeros(n, np.uint8), np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    share, size, lefts = (np.zeros(n, "<u4") for _ in range(3))
     rest, before = [], b""
     for k, (right, left, _, _) in enumerate(rows):
         c = _common(before, right, 0)
@@ -100,9 +116,8 @@ def pack_run(rows: list[tuple[bytes, bytes, int, int]]) -> bytes:
 def unpack_run(blob: bytes, docs: list[tuple[int, int]]):
     """The rows of a run one by one, with the prefix that each shares with the one before."""
     n = int(np.frombuffer(blob, "<u4", 1)[0])
-    share, size, lefts = (np.frombuffer(blob, np.uint8, n, 4 + k * n).tolist() for k in range(3))
-    which, at = (np.frombuffer(blob, "<u4", n, 4 + 3 * n + 4 * k * n).tolist() for k in range(2))
-    i, right = 4 + 11 * n, b""
+    share, size, lefts, which, at = (np.frombuffer(blob, "<u4", n, 4 + 4 * k * n).tolist() for k in range(5))
+    i, right = 4 + 20 * n, b""
     for c, m, left, d, p in zip(share, size, lefts, which, at):
         right = right[:c] + blob[i : i + m]
         i += m
@@ -157,22 +172,14 @@ def merge_runs(runs: list):
             node //= 2
 
 
-def family_repeats(rows: list, length: int):
-    """Of segments whose suffixes share a gram: spans (document, start, end) that repeat earlier windows."""
-    texts = {(r[0], r[2]) for r in rows}
-    rows.sort(key=lambda r: (r[3], r[4]))
-    if len(texts) == 1:
-        for right, _, left, doc, at in rows[1:]:
-            yield doc, at - len(left), at + len(right)
+def family_repeats(family: dict, length: int):
+    """Of different segments whose suffixes share a gram, (right, left) -> (document, position): spans (document, start,
+    end) that repeat earlier windows."""
+    if len(family) < 2:
         return
-    whole, seen = set(), set()
-    for right, _, left, doc, at in rows:
-        start = at - len(left)
-        if (right, left) in whole:
-            yield doc, start, at + len(right)
-            continue
-        whole.add((right, left))
-        s = left + right
+    seen: set[bytes] = set()
+    for (right, left), (doc, at) in sorted(family.items(), key=lambda x: x[1]):
+        s, start = left + right, at - len(left)
         open_ = -1
         for p in range(len(s) - length + 1):
             w = s[p : p + length]
@@ -200,26 +207,29 @@ def _span_rows(spans: dict[tuple[int, int], list[int]]) -> pa.RecordBatch:
 def repeats(ws: Workspace, texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, h, spans) of texts (doc_id, h, text): packed pairs of start and end, several rows for a document."""
     spark = texts.sparkSession
-    buckets = max(48, shuffle_parts(spark))
+    buckets = bucket_count(spark, text_bytes(texts))
     flow_schema = "bucket int, part long, kind int, blob binary"
     names = ["bucket", "part", "kind", "blob"]
 
     def grams(batches):
-        """Step 1: packed hashes with the anchors' numbers in the slice, by bucket; and the slice's documents."""
+        """Step 1: packed hashes with their numbers and counts in the slice, by bucket; and the slice's documents with the
+        numbers of their anchors' hashes."""
         task = TaskContext.get().partitionId()
         part, held, docs, size = 0, [], [], 0
 
         def out():
-            h = np.concatenate(held)
-            to = (mix(h) % np.uint64(buckets)).astype(np.int64)
+            u, number, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            to = (mix(u) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(to, kind="stable")
             cut = np.searchsorted(to[by], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(cut))
-            blobs = [h[by[cut[k] : cut[k + 1]]].tobytes() + by[cut[k] : cut[k + 1]].astype(np.uint32).tobytes() for k in some]
-            listed = b"".join(np.column_stack(x).astype("<i8").tobytes() for x in docs)
+            which = [by[cut[k] : cut[k + 1]] for k in some]
+            blobs = [u[w].tobytes() + w.astype("<u4").tobytes() + count[w].astype("<u4").tobytes() for w in which]
+            rows = np.concatenate([np.column_stack(x) for x in docs]).astype("<i8")
+            listed = np.uint64(len(rows)).tobytes() + rows.tobytes() + number.astype("<u4").tobytes()
             uid = task << 32 | part
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.append(some, uid % buckets).astype(np.int32)), pa.array([uid] * (len(some) + 1), pa.int64()), pa.array([0] * len(some) + [1], pa.int32()), pa.array([*blobs, listed], pa.binary())], names
+                [pa.array(np.append(some, (task + 7 * part) % buckets).astype(np.int32)), pa.array([uid] * (len(some) + 1), pa.int64()), pa.array([0] * len(some) + [1], pa.int32()), pa.array([*blobs, listed], pa.binary())], names
             )
 
         for b in pieces(batches):
@@ -237,30 +247,38 @@ def repeats(ws: Workspace, texts: DataFrame, length: int = LENGTH, gram: int = G
             yield out()
 
     def twice(batches):
-        """A bucket's anchors whose grams occur twice or more, by slice; lists of documents pass."""
-        blobs, parts = [], []
+        """The numbers, by slice, of hashes that occur twice or more; lists of documents pass. Rows come sorted by bucket."""
+
+        def result(blobs, parts):
+            if not blobs:
+                return
+            sizes = [len(x) // 16 for x in blobs]
+            h = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(blobs, sizes)])
+            count = np.concatenate([np.frombuffer(x, "<u4", k, 12 * k) for x, k in zip(blobs, sizes)])
+            _, of = np.unique(h, return_inverse=True)
+            total = np.bincount(of, weights=count)[of]
+            at = 0
+            for x, k, uid in zip(blobs, sizes, parts):
+                mine = total[at : at + k]
+                at += k
+                if (mine > 1).any():
+                    number = np.frombuffer(x, "<u4", k, 8 * k) | np.where(mine >= FAMILY, HOT, np.uint32(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([uid], pa.int64()), pa.array([0], pa.int32()), pa.array([number[mine > 1].astype("<u4").tobytes()], pa.binary())], names)
+
+        bucket, blobs, parts = None, [], []
         for b in batches:
             kinds = np.asarray(b.column(2))
             if (kinds == 1).any():
                 yield b.filter(pa.array(kinds == 1))
             some = b.filter(pa.array(kinds == 0))
-            blobs += some.column(3).to_pylist()
-            parts += some.column(1).to_pylist()
-        if not blobs:
-            return
-        sizes = [len(x) // 12 for x in blobs]
-        h = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(blobs, sizes)])
-        by = np.argsort(h, kind="stable")
-        same = h[by][1:] == h[by][:-1]
-        dup = np.zeros(len(h), dtype=bool)
-        dup[by[1:][same]] = True
-        dup[by[:-1][same]] = True
-        at = 0
-        for x, k, uid in zip(blobs, sizes, parts):
-            mine = dup[at : at + k]
-            at += k
-            if mine.any():
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([uid], pa.int64()), pa.array([0], pa.int32()), pa.array([np.frombuffer(x, np.uint32, k, 8 * k)[mine].tobytes()], pa.binary())], names)
+            for to, uid, blob in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(3).to_pylist()):
+                if to != bucket:
+                    yield from result(blobs, parts)
+                    bucket, blobs, parts = to, [], []
+                blobs.append(blob)
+                parts.append(uid)
+        yield from result(blobs, parts)
+        give_back()
 
     def by_document(batches):
         """Each document's anchors that go on; rows come sorted by slice, its documents last."""
@@ -270,35 +288,70 @@ def repeats(ws: Workspace, texts: DataFrame, length: int = LENGTH, gram: int = G
                 if part != uid:
                     uid, held = part, []
                 if kind == 0:
-                    held.append(np.frombuffer(blob, np.uint32))
+                    held.append(np.frombuffer(blob, "<u4"))
                     continue
                 if not held:
                     continue
-                docs = np.frombuffer(blob, "<i8").reshape(-1, 3)
-                number = np.sort(np.concatenate(held).astype(np.int64))
+                n = int(np.frombuffer(blob, "<u8", 1)[0])
+                docs, number = np.frombuffer(blob, "<i8", 3 * n, 8).reshape(-1, 3), np.frombuffer(blob, "<u4", -1, 8 + 24 * n)
+                known = np.concatenate(held)
+                mark = np.zeros(int(number.max()) + 1, dtype=np.int8)
+                mark[known & ~HOT] = 1 + (known >= HOT)
+                kept = np.flatnonzero(mark[number])
                 begin = np.concatenate([[0], np.cumsum(docs[:, 2])])
-                cut = np.searchsorted(number, begin)
+                cut = np.searchsorted(kept, begin)
+                hot = np.where(mark[number[kept]] == 2, HOT, np.uint32(0))
                 some = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(docs[some, 0]), pa.array(docs[some, 1]), pa.array([(number[cut[k] : cut[k + 1]] - begin[k]).astype("<u4").tobytes() for k in some], pa.binary())], ["doc_id", "h", "anchors"])
+                blobs = [((kept[cut[k] : cut[k + 1]] - begin[k]).astype("<u4") | hot[cut[k] : cut[k + 1]]).astype("<u4").tobytes() for k in some]
+                for lo in range(0, len(some), 1000):
+                    few = slice(lo, lo + 1000)
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[some[few], 0]), pa.array(docs[some[few], 1]), pa.array(blobs[few], pa.binary())], ["doc_id", "h", "anchors"])
 
     # packed rows: slices times buckets of them
-    found = texts.mapInArrow(grams, flow_schema).repartition(buckets, "bucket").mapInArrow(twice, flow_schema)
-    found = found.repartition(buckets, "part").sortWithinPartitions("part", "kind").mapInArrow(by_document, "doc_id long, h long, anchors binary")
-    found = ws.put(found, "anchors", compression="zstd").dropDuplicates(["doc_id", "h"])
-    some = maybe_in(texts, id_filter(found.select("doc_id"))).dropDuplicates(["doc_id", "h"]).join(found, ["doc_id", "h"])
+    found = dealt(texts.mapInArrow(grams, flow_schema), F.col("bucket"), buckets).sortWithinPartitions("kind", "bucket").mapInArrow(twice, flow_schema)
+    found = dealt(found, F.xxhash64("part"), buckets).sortWithinPartitions("part", "kind").mapInArrow(by_document, "doc_id long, h long, anchors binary")
+    found = ws.put(found, "anchors", compression="zstd")
+    bits = id_filter(found.select("doc_id"), "doc_id", ws, "anchor-bits")
+    found = found.dropDuplicates(["doc_id", "h"])
+    some = maybe_in(texts, bits).dropDuplicates(["doc_id", "h"]).join(found, ["doc_id", "h"])
 
     run_schema = "bucket int, doc_id long, h long, spans binary, run binary, docs binary"
     run_names = [x.split()[0] for x in run_schema.split(", ")]
 
     def sort_runs(batches):
-        """Step 2: repeats inside the slice (bucket -1), and sorted runs by bucket."""
+        """Step 2: repeats inside the slice (bucket -1), sorted runs by bucket, and windows of hot grams (bucket -2)."""
         first: dict[tuple[bytes, int], list] = {}
         spans: dict[tuple[int, int], list[int]] = {}
 
+        def hot_windows(some):
+            """Windows that are new in this slice, by blocks; the others are repeats. some: (segment, document, start)."""
+            seen: set[bytes] = set()
+            rows: list = []
+            for text, doc, start in sorted(some, key=lambda x: x[1:]):
+                for p in range(len(text) - length + 1):
+                    w = text[p : p + length]
+                    if w in seen:
+                        spans.setdefault(doc, []).extend((start + p, start + p + length))
+                    else:
+                        seen.add(w)
+                        rows.append((-2, doc[0], doc[1], np.int64(start + p).tobytes(), w, None))
+                if len(seen) >= WINDOWS:
+                    seen.clear()
+                    yield from batches_of(rows)
+                    rows = []
+            yield from batches_of(rows)
+
+        def batches_of(rows):
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            step = 256 if rows and rows[0][0] >= -1 else 8192
+            for lo in range(0, len(rows), step):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + step]), kinds)], run_names)
+
         def out():
             by: dict[int, list] = {}
             for (s, left), (doc, at, b) in first.items():
                 by.setdefault(b, []).append((s[left:], s[:left], doc, at))
+            yield from hot_windows([(left + right, doc, at - len(left)) for right, left, doc, at in by.pop(-2, [])])
             rows = []
             for b, entries in by.items():
                 entries.sort(key=lambda r: r[0])
@@ -306,9 +359,7 @@ def repeats(ws: Workspace, texts: DataFrame, length: int = LENGTH, gram: int = G
                 run = pack_run([(r, l, numbers.setdefault(d, len(numbers)), p) for r, l, d, p in entries])
                 rows.append((b, None, None, None, run, np.array(list(numbers), dtype="<i8").tobytes()))
             rows += [(-1, d, h, np.array(x, dtype="<i8").tobytes(), None, None) for (d, h), x in spans.items()]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            for lo in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 256]), kinds)], run_names)
+            yield from batches_of(rows)
 
         for b in pieces(batches):
             buf, offs = flat(b.column(2))
@@ -317,8 +368,9 @@ def repeats(ws: Workspace, texts: DataFrame, length: int = LENGTH, gram: int = G
             for i, (doc_id, dh, anchors) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
                 doc, base = (doc_id, dh), int(offs[i])
                 text = buf[base : offs[i + 1]].tobytes()
-                k = np.frombuffer(anchors, "<u4").astype(np.int64) + at[i]
-                for x, s, e, t in zip((a[k] - base).tolist(), (p0[k] - base).tolist(), (p1[k] - base + length).tolist(), to[k].tolist()):
+                known = np.frombuffer(anchors, "<u4")
+                k = (known & ~HOT).astype(np.int64) + at[i]
+                for x, s, e, t in zip((a[k] - base).tolist(), (p0[k] - base).tolist(), (p1[k] - base + length).tolist(), np.where(known >= HOT, -2, to[k]).tolist()):
                     key = (text[s:e], x - s)
                     old = first.get(key)
                     if old is None:
@@ -339,17 +391,22 @@ def repeats(ws: Workspace, texts: DataFrame, length: int = LENGTH, gram: int = G
 
         def repeat_rows(runs):
             spans: dict[tuple[int, int], list[int]] = {}
-            family: list = []
-            for row, share in merge_runs(runs):
-                if share < gram:
-                    if len(family) > 1:
-                        for doc, s, e in family_repeats(family, length):
-                            spans.setdefault(doc, []).extend((s, e))
-                    family = []
-                family.append(row)
-            if len(family) > 1:
+            family: dict = {}
+
+            def end():
                 for doc, s, e in family_repeats(family, length):
                     spans.setdefault(doc, []).extend((s, e))
+                family.clear()
+
+            for (right, _, left, doc, at), share in merge_runs(runs):
+                if share < gram:
+                    end()
+                old = family.setdefault((right, left), (doc, at))
+                if old != (doc, at):  # of equal segments the earliest stays
+                    later = max(old, (doc, at))
+                    family[right, left] = min(old, (doc, at))
+                    spans.setdefault(later[0], []).extend((later[1] - len(left), later[1] + len(right)))
+            end()
             if spans:
                 yield _span_rows(spans)
 
@@ -372,9 +429,38 @@ def repeats(ws: Workspace, texts: DataFrame, length: int = LENGTH, gram: int = G
         del runs
         give_back()
 
-    to = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    runs = some.select("doc_id", "h", "text", "anchors").mapInArrow(sort_runs, run_schema).repartition(buckets, to).sortWithinPartitions("bucket")
-    return runs.mapInArrow(merge, _SPANS)
+    runs = ws.put(some.select("doc_id", "h", "text", "anchors").mapInArrow(sort_runs, run_schema), "runs", compression="zstd")
+    to = F.when(F.col("bucket") < 0, F.xxhash64("doc_id")).otherwise(F.col("bucket"))
+    out = dealt(runs.filter("bucket > -2"), to, buckets).sortWithinPartitions("bucket").mapInArrow(merge, _SPANS)
+    windows = runs.filter("bucket = -2").select("doc_id", "h", F.col("spans").alias("at"), F.col("run").alias("w"), F.xxhash64("run").alias("wh"))
+    return out.unionByName(window_repeats(ws, windows, length))
+
+
+def window_repeats(ws: Workspace, windows: DataFrame, length: int) -> DataFrame:
+    """Spans of windows (doc_id, h, at, w, wh) of hot grams, at most one of each slice, that aren't the earliest of equal
+    ones. Windows whose hash has no second row don't move."""
+    shared = windows.groupBy("wh").agg(F.count("*").alias("n")).filter("n > 1").select("wh")
+    shared = ws.put(shared, "hot-windows", compression="zstd")
+    some = maybe_in(windows, id_filter(shared, "wh", ws, "hot-bits"), "wh").join(shared, "wh", "left_semi")
+
+    def place(batches):
+        for b in batches:
+            at = np.frombuffer(b"".join(b.column(2).to_pylist()), "<i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at), b.column(3)], ["doc_id", "h", "at", "w"])
+
+    some = some.select("doc_id", "h", "at", "w").mapInArrow(place, "doc_id long, h long, at long, w binary")
+    first = Window.partitionBy("w").orderBy("doc_id", "h", "at")
+    later = some.withColumn("k", F.row_number().over(first)).filter("k > 1")
+
+    def pack(batches):
+        for b in batches:
+            spans: dict[tuple[int, int], list[int]] = {}
+            for doc, h, at in zip(*(b.column(k).to_pylist() for k in range(3))):
+                spans.setdefault((doc, h), []).extend((at, at + length))
+            if spans:
+                yield _span_rows(spans)
+
+    return later.select("doc_id", "h", "at").mapInArrow(pack, _SPANS)
 
 
 def _cut(text: bytes, blobs: list[bytes]) -> tuple[bytes, int, list[tuple[int, int]]]:
@@ -395,8 +481,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     text = text_column(docs)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.xxhash64(text, F.lit(5)).alias("h"), text.cast("binary").alias("text"))
     spans = ws.put(repeats(ws, texts, length, gram), "spans", compression="zstd")
-    marked = id_filter(spans.select("doc_id").distinct())
-    marked = ws.put(marked, "marked")
+    marked = id_filter(spans.select("doc_id").distinct(), "doc_id", ws, "marked")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
     names = [x.split()[0] for x in schema.split(", ")]
 

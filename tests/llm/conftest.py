@@ -1,18 +1,12 @@
 import random
 
 import pytest
-
-WORDS = "the of and a to in is that for it with as was on are be this from by an thing reation outher anded erst ingly shen wher ntion".split()
+from texts import prose
 
 #: Columns whose names operators use inside.
 CLASH = "keep_id long, kept string, n long, h long, digest string, size int, score double, _keep int, starts int, salt int"
 
 
-def prose(seed, n):
-    r = random.Random(seed)
-    return " ".join(r.choice(WORDS) + r.choice(["", "", "s", "ing", "er", str(r.randrange(50))]) for _ in range(n))
-
-
 def corpus():
     """(doc_id, text): prose, exact and near copies, a hot text, shared passages, odd and empty texts, nulls."""
     r = random.Random(3)

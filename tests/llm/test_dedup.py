@@ -6,9 +6,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from texts import prose, twins
 
-from strandlake.llm import common, exact_dedup, jaccard_join, suffix_dedup
+from strandlake.llm import common, exact_dedup, fm_decontam, jaccard_join, suffix_dedup
 
 
 def norm(t):
@@ -68,6 +71,59 @@ def test_index_grows(spark, docs, rows):
     assert index.lookup(some).count() == 3
 
 
+def test_compaction_merges_with_the_level_before(spark, docs, rows):
+    ws = common.Workspace(spark, "test")
+    index = exact_dedup.DigestIndex(spark, ws)
+    index.flush(docs.filter("doc_id < 50").repartition(4), 2)
+    assert len(index.runs) == 2
+    index.compact(1)
+    assert len(index.runs) == 1
+    first = {bytes(r.digest): (r.keep_id, r.n) for r in index.compact().collect()}
+    assert first == {hashlib.sha256(norm(t).encode()).digest(): x for t, x in plain_groups([r for r in rows if r[0] < 50]).items()}
+    ws.drop("level0-1")  # runs that were merged aren't read again
+    index.flush(docs.filter("doc_id >= 50"), 3)
+    index.compact()
+    found = index.resolve(docs.select("doc_id", F.unhex(F.sha2(exact_dedup.normalised(docs).cast("binary"), 256)).alias("digest")))
+    want = plain_groups(rows)
+    assert {r.doc_id: (r.keep_id, r.n) for r in found.collect()} == {i: want[norm(t)] for i, t in rows}
+
+
+def plain_groups(rows):
+    out = {}
+    for i, t in rows:
+        keep, n = out.get(norm(t), (i, 0))
+        out[norm(t)] = min(keep, i), n + 1
+    return out
+
+
+def test_lookup_opens_only_files_that_may_hold_a_digest(spark):
+    ws = common.Workspace(spark, "test")
+    index = exact_dedup.DigestIndex(spark, ws)
+    rows = [(i, f"text {i}") for i in range(400)]
+    index.flush(spark.createDataFrame(rows[:300], "doc_id long, text string").repartition(3))
+    index.compact()
+    index.flush(spark.createDataFrame(rows[300:], "doc_id long, text string").repartition(5))
+    digest = lambda t: hashlib.sha256(t.encode()).digest()
+    of_file = {r.f: r.d for k in ("level1-1", "level0-2") for r in ws.get(k).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.collect_set("digest").alias("d")).collect()}
+    of_file = {f: {bytes(x) for x in d} for f, d in of_file.items()}
+    assert len(of_file) >= 4
+    for some in (["text 5"], ["text 350"], ["text 7", "text 399"], ["nowhere"]):
+        d = [digest(t) for t in some]
+        frame = spark.createDataFrame([(x,) for x in d], "digest binary")
+        opened = index.files(frame)
+        assert set(opened) >= {f for f, held in of_file.items() if held & set(d)} and len(opened) <= len(some)
+        assert {(bytes(r.digest), r.keep_id, r.n) for r in index.lookup(frame).collect()} == {(digest(t), i, 1) for i, t in rows if t in some}
+        assert {f.replace("file:///", "file:/") for f in index.lookup(frame).inputFiles()} == set(opened)
+
+
+def test_rows_without_id_are_verified(spark):
+    """Texts that share a short digest, among rows with and without ids."""
+    r = random.Random(4)
+    rows = [(None if k % 3 else k, f"t{r.randrange(12)}") for k in range(90)] + [(None, "only"), (None, "only")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert Counter(tuple(x)[:4] for x in got) == Counter(k[:4] for k in plain_exact(rows).elements())
+
+
 def shingle_sets(rows, n):
     out = {}
     for i, t in rows:
@@ -101,6 +157,52 @@ def test_jaccard(docs, rows, n, percent):
     assert got == plain_components(rows, n, percent)
 
 
+def test_words_are_compared_by_bytes(spark):
+    a, b = twins()
+    rows = [(1, a), (2, b), (3, f"one two three {a}"), (4, f"one two three {b}"), (5, f"one two three {a}")]
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+    assert jaccard_join.linked(pa.array([a, a, a]), pa.array([b, a, a + " x"]), 4, 85).tolist() == [False, True, False]
+
+
+def test_links_of_pairs(rows):
+    r = random.Random(2)
+    pairs = [(r.choice(rows)[1], r.choice(rows)[1]) for _ in range(300)] + [(t, t) for _, t in rows]
+    for n, percent in ((4, 85), (1, 30), (2, 50)):
+        x, y = (shingle_sets(list(enumerate(side)), n) for side in zip(*pairs))
+        want = [bool(x[k] & y[k]) and 100 * len(x[k] & y[k]) >= percent * len(x[k] | y[k]) for k in range(len(pairs))]
+        assert jaccard_join.linked(pa.array([p for p, _ in pairs], pa.string()), pa.array([q for _, q in pairs], pa.string()), n, percent).tolist() == want
+
+
+def test_long_runs_are_cut_into_tiles(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 3)
+    for n, percent in ((4, 85), (2, 50), (1, 30)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(docs, n, percent).collect()}
+        assert got == plain_components(rows, n, percent)
+    few = spark.createDataFrame([(k % 2, i) for k in range(2) for i in range(7 * k + 4)], "g int, id long")
+    few = few.join(few.groupBy("g").count().withColumnRenamed("count", "k"), "g")
+    got = sorted((r.i.g, r.i.id, r.j.id) for r in jaccard_join.tile_pairs(few, "g", "k", "id", 3).collect())
+    assert got == [(g, i, j) for g, m in ((0, 4), (1, 11)) for i in range(m) for j in range(i + 1, m)]
+
+
+def test_many_buckets(spark, docs, rows, monkeypatch):
+    """Buckets of a few bytes, several to a partition."""
+    monkeypatch.setattr(common, "BUCKET", 500)
+    monkeypatch.setattr(common, "PARTITIONS", 5)
+    monkeypatch.setattr(jaccard_join, "PARTITIONS", 5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(docs).collect()}
+    assert got == plain_components(rows, 4, 85)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == plain_repeats(rows, 100)
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    t = [prose(k, 30) for k in range(4)]
+    rows = [(1, t[0]), (5, t[0]), (5, t[1]), (6, t[1]), (7, t[2]), (7, t[3]), (9, t[3] + " x")]
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (5, 1), (5, 5), (6, 5), (7, 7), (7, 7), (9, 7)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_jaccard_chains(spark, seed):
     """Chains and families whose members only link over others, at sizes near the threshold."""
@@ -141,11 +243,25 @@ def test_hot_groups_and_filters(spark):
     ids = spark.range(0, 6000, 7).withColumnRenamed("id", "doc_id")
     docs = spark.range(6000).withColumnRenamed("id", "doc_id")
     bits = common.id_filter(ids)
+    assert bits.maps.count() <= 1 + bits.bits // 32768
     maybe = {r.doc_id for r in common.maybe_in(docs, bits).collect()}
     assert maybe >= set(range(0, 6000, 7)) and len(maybe) < 1000
     assert {r.doc_id for r in common.maybe_in(docs, bits, negate=True).collect()} == set(range(6000)) - maybe
 
 
+def test_columns_keep_their_names(spark):
+    """Columns named as the operators' own pass."""
+    names = ["_sl_id", "_sl_bucket", "_sl_map", "_SL_TEXT", "_fm_items", "_fmn_words"]
+    docs = spark.createDataFrame([(i, f"some text {i % 5}", *range(6)) for i in range(20)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    gone = docs.filter("doc_id < 3").select("doc_id")
+    left = common.without(common.Workspace(spark, "test"), docs, gone)
+    assert left.columns == docs.columns and {tuple(r)[2:] for r in left.collect()} == {tuple(range(6))} and left.count() == 17
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(5)) and {tuple(r)[2:] for r in kept.collect()} == {tuple(range(6))}
+    clean = fm_decontam.drop_contaminated(docs, spark.createDataFrame([(1, "some text 3")], "item_id long, text string"))
+    assert clean.columns == docs.columns and clean.count() == 16 and {tuple(r)[2:] for r in clean.collect()} == {tuple(range(6))}
+
+
 def plain_repeats(rows, length):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
@@ -178,6 +294,28 @@ def test_repeats_in_small_alphabets(spark, seed):
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.collect()} == plain_repeats(rows, 50)
 
 
+def test_passages_of_many_documents(spark, rows, monkeypatch):
+    """Grams above FAMILY go by their windows."""
+    r = random.Random(3)
+    shared = prose("shared", 40)
+    some = [(k, f"{prose(k, r.randrange(20))} {shared[r.randrange(20):]} {prose(-k, r.randrange(20))}") for k in range(150)] + [(1000 + i, t) for i, t in rows]
+    docs = spark.createDataFrame(some, "doc_id long, text string").repartition(7)
+    for most, windows in ((10, 200_000), (2, 300)):
+        monkeypatch.setattr(suffix_dedup, "FAMILY", most)
+        monkeypatch.setattr(suffix_dedup, "WINDOWS", windows)
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeats(docs).collect()}
+        assert got == plain_repeats(some, 100)
+
+
+def test_long_strings(spark):
+    """Suffixes of more than 255 bytes."""
+    r = random.Random(7)
+    t = "".join(r.choices("abcdef ", k=5000))
+    rows = [(1, t), (2, t[:900] + "x" + t[1500:]), (3, t[400:1100])]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 600, 40).collect()}
+    assert got == plain_repeats(rows, 600)
+
+
 def test_repeats_edges(clash, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
     got = suffix_dedup.remove_repeats(clash, with_bytes=True)

@@ -2,8 +2,12 @@
 
 import hashlib
 import heapq
+import os
+import pickle
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -12,10 +16,11 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
+from texts import twins
 from tokenizers import Tokenizer
 
-from strandlake.llm import fm_decontam, html_extract, huffman_ids, langid, quality, sentencepiece_viterbi, sharding
-from strandlake.llm.common import Workspace, word_hashes
+from strandlake.llm import common, fm_decontam, html_extract, huffman_ids, langid, quality, sentencepiece_viterbi, sharding
+from strandlake.llm.common import Workspace, eight, word_hashes
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", " ", "  a", "a  ", "\n\n x", "don't we'll I'm  ok\t\tq", "<|endoftext|> hi", "日本語 text", "a_b __c 12a3 ½", "É'S 'S 's", "▁x ▁", "ÿ×÷Ø", "a\r\n b \r", "\x00\x01 z", " 's  's", "é ȷ ɐ", "a \n", "\t\t", "a\t b", "ɏ x", "x  \n  y"]
@@ -84,6 +89,18 @@ def test_files(spark, docs, rows):
     assert {r.id: r.length for r in spark.read.parquet(ws.path("code")).collect()} == {int(k): int(lengths[k]) for k in np.flatnonzero(lengths)}
 
 
+def test_files_are_all_that_the_reader_needs(spark, docs, rows, tmp_path):
+    out = f"file://{tmp_path}/ids"
+    first = huffman_ids.encode_documents(docs, BYTES, out).collect()
+    again = huffman_ids.load_ids(spark.newSession(), out, with_ids=True).collect()
+    assert sorted(x[:4] for x in map(tuple, again)) == sorted(map(tuple, first)) and len(first) == len(rows)
+    assert sorted(os.listdir(tmp_path / "ids")) == ["code", "files"]
+    code = "import sys; from pyspark.sql import SparkSession; from strandlake.llm import huffman_ids\ns = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\nprint(sum(r.ids_crc32 for r in huffman_ids.load_ids(s, sys.argv[1]).collect()))"
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))}
+    other = subprocess.run([sys.executable, "-c", code, out], capture_output=True, text=True, env=env, timeout=150)
+    assert other.stdout.split()[-1] == str(sum(r.ids_crc32 for r in first)), other.stderr
+
+
 def test_files_edges(clash, empty):
     assert huffman_ids.encode_documents(empty, BYTES).count() == 0
     got = huffman_ids.encode_documents(clash, BYTES).orderBy("start").collect()
@@ -130,6 +147,51 @@ def test_pieces_of_documents(docs, clash, empty, rows):
     assert sentencepiece_viterbi.encode(clash, PIECES).count() == clash.count()
 
 
+# ---------------------------------------------------------------- words by their bytes
+def weak(load, starts, ends):
+    """Hashes of longer words that are nearly all the same."""
+    h = word_hashes(load, starts, ends)
+    return np.where(ends - starts > 7, h & np.uint64(1), h)
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(common, "word_hashes", weak)
+    monkeypatch.setattr(fm_decontam, "word_hashes", weak)
+    a, b = twins()
+    texts = [a, b, f"{a} {b}", "nevertheless notwithstanding", "notwithstanding nevertheless nevertheless", "x" * 300, "x" * 299 + "y", *noise(200, 4)]
+    tok = Tokenizer.from_file(BYTES)
+    tok.encode_special_tokens = True
+    e = huffman_ids.Encoder(BYTES)
+    for some in (texts, texts[::-1]):
+        assert e.encode(some) == [np.array(x.ids, dtype="<u4").tobytes() for x in tok.encode_batch(some, add_special_tokens=False)]
+    m, lib = sentencepiece_viterbi.Pieces(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for some in (texts, texts[::-1]):
+        for t, raw in zip(some, m.encode(some)):
+            assert np.frombuffer(raw, "<i4").tolist() == lib.encode(t) and m.decode(np.frombuffer(raw, "<i4").tolist()) == t.encode()
+    col = pa.array(texts)
+    buf, offs = common.flat(col)
+    starts, ends, _ = common.words(buf, offs, common.SPACE)
+    words_ = [buf[i:j].tobytes() for i, j in zip(starts, ends)]
+    u, first, back = common.distinct(common.eight(buf), starts, ends)
+    assert (np.diff(u.astype(object)) >= 0).all() and [words_[first[k]] for k in back] == words_ and len(first) == len(set(words_))
+    w = fm_decontam.Windows(pa.array([1, 2]), pa.array([a, "nevertheless notwithstanding"]))
+    assert [x for x in fm_decontam.hits(pa.array([a, b, "notwithstanding nevertheless notwithstanding"]), w)[2]] == [{1}, set(), {2}]
+    lang = langid.distinct_words(buf, offs)
+    assert [buf[i:j].tobytes() for i, j in zip(lang[0][lang[2]], lang[1][lang[2]])] == words_
+    assert quality.variety(back, np.array([0, len(back)]))[0][0] == len(set(words_))
+
+
+def test_twins(spark):
+    a, b = twins()
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{b} {a}")], "doc_id long, text string")
+    tok = Tokenizer.from_file(BYTES)
+    got = {r.doc_id: r for r in huffman_ids.encode_documents(docs, BYTES).collect()}
+    assert [got[i].n_tokens for i in (1, 2, 3)] == [len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in (a, b, f"{b} {a}")]
+    assert all(r.round_trip for r in sentencepiece_viterbi.encode_decode(docs, PIECES).collect())
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert {r.doc_id for r in fm_decontam.contamination(docs, bench).filter("contaminated").collect()} == {1, 3}
+
+
 # ---------------------------------------------------------------- html
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h2>Site name</h2></header><nav><ul><li>Home</li><li>About</li></ul></nav><div class="cookie-notice">We use cookies</div>
@@ -273,20 +335,21 @@ def test_forward_against_brute_force():
     number = {p: i for i, p in enumerate(vocab)}
     prob = np.random.default_rng(0).random((len(vocab), 2)) / 100
     m = langid.Model(["a", "b"], np.zeros(2), prob, lattice)
-    words = ["thntion", "é", "the", "a" * 300, "größe", "日本"]
+    r = random.Random(3)
+    words = ["thntion", "é", "the", "a" * 300, "größe", "日本", "".join(r.choices("thenation", k=250)), "".join(r.choices("thenation", k=langid.APART + 1)), "".join(r.choices("日本語テキスト", k=700))]
     raw = "".join(words).encode()
     sizes = np.array([len(w.encode()) for w in words])
     ends = np.cumsum(sizes)
     got = m.log_words(np.frombuffer(raw, np.uint8), ends - sizes, ends)
     for k, w in enumerate(words):
-        want = np.zeros(2)
-        for lo in range(0, sizes[k], langid.SLICE):
-            b = b" " + w.encode()[lo : lo + langid.SLICE]
-            alpha = [np.ones(2)] + [np.zeros(2)] * len(b)
-            for j in range(1, len(b) + 1):
-                alpha[j] = sum((alpha[i] * prob[number[b[i:j]]] for i in range(max(0, j - lattice.longest), j) if b[i:j] in number), np.zeros(2))
-            want += np.log(alpha[-1])
-        assert np.allclose(got[k], want)
+        b = b" " + w.encode()  # whole, whatever its length
+        alpha, shift = [np.ones(2)] + [np.zeros(2)] * len(b), np.zeros(2)
+        for j in range(1, len(b) + 1):
+            alpha[j] = sum((alpha[i] * prob[number[b[i:j]]] for i in range(max(0, j - lattice.longest), j) if b[i:j] in number), np.zeros(2))
+            if alpha[j].min() < 1e-100:
+                by = alpha[j]
+                shift, alpha[max(0, j - lattice.longest) : j + 1] = shift + np.log(by), [a / by for a in alpha[max(0, j - lattice.longest) : j + 1]]
+        assert np.allclose(got[k], np.log(alpha[-1]) + shift)
 
 
 def test_expected_counts_add_up():
@@ -298,14 +361,23 @@ def test_expected_counts_add_up():
     assert np.allclose(sizes @ got, [4 + 12, 6 + 9])  # every byte and mark is covered once by each word's pieces
 
 
+def test_expected_counts_of_long_words():
+    """A word apart and the same among others: the same posterior counts."""
+    lattice = langid.Lattice(langid.vocabulary(PIECES))
+    raw = ("thenation" * 9).encode()
+    buf, s, e = np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)])
+    near = langid.expected(lattice, buf, s, e, np.ones((1, 1)))
+    piece, post = langid.expected_word(lattice, np.concatenate([[np.uint8(langid.MARK)], buf]), np.array([langid.PER_BYTE**k / lattice.n for k in range(lattice.longest + 1)]))
+    assert len(raw) <= langid.APART and np.allclose(near[:, 0], np.bincount(piece, weights=post, minlength=lattice.n))
+
+
 def test_long_words_do_not_underflow():
     vocab = langid.vocabulary(PIECES)
     lattice = langid.Lattice(vocab)
     number = {p: i for i, p in enumerate(vocab)}
-    words = ["កខគឃងចឆជ" * 8, "ກຂຄງຈ" * 12, "-" * 190, "the"]
+    words = ["កខគឃងចឆជ" * 8, "ກຂຄງຈ" * 12, "-" * 190, "the", "ກຂຄງຈ" * 900, "thenation" * 40]
     raw = "".join(words).encode()
     sizes = np.array([len(w.encode()) for w in words])
-    assert sizes.max() <= langid.SLICE
     ends = np.cumsum(sizes)
     buf = np.frombuffer(raw, np.uint8)
     lens = np.array([len(p) for p in vocab])
@@ -318,6 +390,8 @@ def test_long_words_do_not_underflow():
     got = langid.Model(["a", "b"], np.zeros(2), prob, lattice).log_words(buf, ends - sizes, ends)
     for k, w in enumerate(words):
         b = b" " + w.encode()
+        if len(b) > 2000:
+            continue
         alpha = [np.zeros(2)]
         for j in range(1, len(b) + 1):
             alpha.append(np.logaddexp.reduce([alpha[i] + np.log(prob[number[b[i:j]]]) for i in range(max(0, j - lattice.longest), j) if b[i:j] in number]))
@@ -385,6 +459,25 @@ def test_contamination(spark, docs, rows, part):
         assert sum(e - s for s, e in zip(x.starts, x.ends)) == x.n_hit and all(a < b for a, b in zip(x.ends, x.starts[1:]))
 
 
+def test_test_set_in_ten_parts(spark, docs, rows):
+    """Items over ten parts: one part on the driver at a time, and the same result as in one."""
+    r = random.Random(5)
+    items = [(k, " ".join(rows[k % len(rows)][1].split()[r.randrange(3) :][:15])) for k in range(200) if rows[k % len(rows)][1]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    part = sum(len(t.encode()) for _, t in items) // 10 + 1
+    assert fm_decontam.part_count(bench, part) == len(fm_decontam.part_numbers(bench, 10)) == 10
+    got = sorted((tuple(x)[:6] for x in fm_decontam.contamination(docs, bench, part).collect()), key=repr)
+    assert got == plain_hits(rows, items)
+
+
+def test_broadcast_of_a_test_set_is_a_few_times_its_text():
+    r = random.Random(6)
+    vocab = [f"w{k}" for k in range(20000)]
+    text = [" ".join(r.choices(vocab, k=60)) for _ in range(4000)]
+    size = len(pickle.dumps(fm_decontam.Windows(pa.array(range(len(text))), pa.array(text))))
+    assert size <= 12 * sum(map(len, text)), size / sum(map(len, text))
+
+
 def test_contamination_edges(spark, clash, empty):
     bench = spark.createDataFrame([(1, "only here")], "item_id long, text string")
     assert fm_decontam.contamination(empty, bench).count() == 0
@@ -462,6 +555,6 @@ def test_shards_edges(clash, empty):
 
 def test_word_hashes_stand_anywhere():
     raw = np.frombuffer(b"abc xabc", np.uint8)
-    h = word_hashes(raw, np.array([0, 5, 4]), np.array([3, 8, 8]))
+    h = word_hashes(eight(raw), np.array([0, 5, 4]), np.array([3, 8, 8]))
     assert h[0] == h[1] != h[2]
-    assert len(word_hashes(np.zeros(0, np.uint8), np.zeros(0, int), np.zeros(0, int))) == 0 and isinstance(pa.array([1]), pa.Array)
+    assert len(word_hashes(eight(np.zeros(0, np.uint8)), np.zeros(0, int), np.zeros(0, int))) == 0 and isinstance(pa.array([1]), pa.Array)

@@ -51,8 +51,10 @@ PERCENT = 85
 HEAVY_LOCAL = 3
 HEAVY_MOST = 1 << 18
 SLICE = 2_000_000
-#: Keys of heavy shingles begin here; they have several documents, so their groups are dealt by group to all buckets.
+#: Keys of heavy shingles begin here.
 HEAVY = np.uint64(1 << 63)
+#: Shingles with so many documents are dealt by group, to all buckets: their runs need no bucket to be found.
+SPREAD = 10_000
 #: Most central groups of a run that round 1 tries; round 2 has no such bound.
 CENTRES = 3
 #: Classes of hashes in which a set's shingles are counted before two texts are compared.
@@ -139,6 +141,7 @@ class Order:
         self.heavy = heavy[by]
         rank = np.empty(len(heavy), dtype=np.uint64)
         rank[np.lexsort((heavy, counts))] = np.arange(len(heavy), dtype=np.uint64)
+        self.spread = HEAVY + np.uint64((counts < SPREAD).sum())  # the keys of shingles that many documents have
         self.rank = rank[by]
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[(heavy & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
@@ -244,7 +247,7 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
 
         def out():
             key, gid, length = (np.concatenate([x[k] for x in held]) for k in range(3))
-            to = (mix(key ^ np.where(key >= HEAVY, mix(gid), np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
+            to = (mix(key ^ np.where(key >= order.value.spread, mix(gid), np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(to, kind="stable")
             cut = np.searchsorted(to[by], np.arange(buckets + 1))
             key, gid, length = key[by], gid[by], length[by]
@@ -312,7 +315,7 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         twin = np.zeros(len(key), dtype=bool)
         twin[1:] = key[1:] == key[:-1]
         twin[:-1] |= twin[1:]
-        twin |= key >= HEAVY  # other groups may be in other buckets
+        twin |= key >= order.value.spread  # other groups may be in other buckets
         key, by = key[twin], by[twin]
         gid, length = gid[by], length[by]
         by = np.lexsort((gid, key))
@@ -323,7 +326,7 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         if not len(key):
             return
         of = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
-        several = (np.bincount(of)[of] > 1) | (key >= HEAVY)
+        several = (np.bincount(of)[of] > 1) | (key >= order.value.spread)
         key, gid, length = key[several], gid[several], length[several]
         for a in range(0, len(key), 100_000):
             z = a + 100_000

@@ -196,16 +196,54 @@ def family_repeats(family: dict, length: int):
 
 
 _NULL = (1 << 63) - 1
-_SPANS = "doc_id long, h long, spans binary"
-
-
-def _span_rows(spans: dict[tuple[int, int], list[int]]) -> pa.RecordBatch:
-    keys = list(spans)
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([np.array(spans[k], dtype="<i8").tobytes() for k in keys], pa.binary())], ["doc_id", "h", "spans"])
+_SPANS = "shard int, spans binary"
+
+
+def _span_rows(spans: dict[tuple[int, int], list[int]], shards: int) -> list[tuple[int, bytes]]:
+    """Spans by shard of the document, packed as rows (doc_id, h, start, end)."""
+    if not spans:
+        return []
+    keys, n = np.array(list(spans), dtype=np.int64), np.array([len(x) // 2 for x in spans.values()])
+    rows = np.column_stack([np.repeat(keys, n, axis=0), np.concatenate([np.array(x, dtype=np.int64) for x in spans.values()]).reshape(-1, 2)]).astype("<i8")
+    to = (mix(rows[:, 0].copy().view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    rows, to = rows[by], to[by]
+    cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    return [(int(to[a]), rows[a:z].tobytes()) for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(to)])]
+
+
+def _span_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["shard", "spans"])
+
+
+def gathered(batches):
+    """(doc_id, h, spans) of packed rows, which come sorted by shard: a row for each document."""
+
+    def result(blobs):
+        if not blobs:
+            return
+        rows = np.concatenate([np.frombuffer(x, "<i8") for x in blobs]).reshape(-1, 4)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        cut = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
+        pairs = np.ascontiguousarray(rows[:, 2:])
+        blobs = [pairs[a:z].tobytes() for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)])]
+        for lo in range(0, len(cut), 1000):
+            at = cut[lo : lo + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[at, 0]), pa.array(rows[at, 1]), pa.array(blobs[lo : lo + 1000], pa.binary())], ["doc_id", "h", "spans"])
+
+    shard, blobs = None, []
+    for b in batches:
+        for to, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if to != shard:
+                yield from result(blobs)
+                shard, blobs = to, []
+            blobs.append(blob)
+    yield from result(blobs)
+    give_back()
 
 
 def repeats(ws: Workspace, texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, h, spans) of texts (doc_id, h, text): packed pairs of start and end, several rows for a document."""
+    """(doc_id, h, spans) of texts (doc_id, h, text): packed pairs of start and end, which may overlap."""
     spark = texts.sparkSession
     buckets = bucket_count(spark, text_bytes(texts))
     flow_schema = "bucket int, part long, kind int, blob binary"
@@ -358,7 +396,7 @@ def repeats(ws: Workspace, texts: DataFrame, length: int = LENGTH, gram: int = G
                 numbers: dict[tuple[int, int], int] = {}
                 run = pack_run([(r, l, numbers.setdefault(d, len(numbers)), p) for r, l, d, p in entries])
                 rows.append((b, None, None, None, run, np.array(list(numbers), dtype="<i8").tobytes()))
-            rows += [(-1, d, h, np.array(x, dtype="<i8").tobytes(), None, None) for (d, h), x in spans.items()]
+            rows += [(-1, shard, None, packed, None, None) for shard, packed in _span_rows(spans, buckets)]
             yield from batches_of(rows)
 
         for b in pieces(batches):
@@ -408,16 +446,11 @@ def repeats(ws: Workspace, texts: DataFrame, length: int = LENGTH, gram: int = G
                     spans.setdefault(later[0], []).extend((later[1] - len(left), later[1] + len(right)))
             end()
             if spans:
-                yield _span_rows(spans)
+                yield _span_batch(_span_rows(spans, buckets))
 
         bucket, runs = None, []
         for b in batches:
-            kinds = np.asarray(b.column(0))
-            if (kinds < 0).any():
-                local = b.filter(pa.array(kinds < 0))
-                yield pa.RecordBatch.from_arrays([local.column(1), local.column(2), local.column(3)], ["doc_id", "h", "spans"])
-            sent = b.filter(pa.array(kinds >= 0))
-            for to, run, docs in zip(sent.column(0).to_pylist(), sent.column(4).to_pylist(), sent.column(5).to_pylist()):
+            for to, run, docs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if to != bucket:
                     if runs:
                         yield from repeat_rows(runs)
@@ -430,14 +463,16 @@ def repeats(ws: Workspace, texts: DataFrame, length: int = LENGTH, gram: int = G
         give_back()
 
     runs = ws.put(some.select("doc_id", "h", "text", "anchors").mapInArrow(sort_runs, run_schema), "runs", compression="zstd")
-    to = F.when(F.col("bucket") < 0, F.xxhash64("doc_id")).otherwise(F.col("bucket"))
-    out = dealt(runs.filter("bucket > -2"), to, buckets).sortWithinPartitions("bucket").mapInArrow(merge, _SPANS)
+    sent = runs.filter("bucket >= 0").select("bucket", "run", "docs")
+    out = dealt(sent, F.col("bucket"), buckets).sortWithinPartitions("bucket").mapInArrow(merge, _SPANS)
+    out = out.unionByName(runs.filter("bucket = -1").select(F.col("doc_id").cast("int").alias("shard"), "spans"))
     windows = runs.filter("bucket = -2").select("doc_id", "h", F.col("spans").alias("at"), F.col("run").alias("w"), F.xxhash64("run").alias("wh"))
-    return out.unionByName(window_repeats(ws, windows, length))
+    out = out.unionByName(window_repeats(ws, windows, length, buckets))
+    return dealt(out, F.col("shard"), buckets).sortWithinPartitions("shard").mapInArrow(gathered, "doc_id long, h long, spans binary")
 
 
-def window_repeats(ws: Workspace, windows: DataFrame, length: int) -> DataFrame:
-    """Spans of windows (doc_id, h, at, w, wh) of hot grams, at most one of each slice, that aren't the earliest of equal
+def window_repeats(ws: Workspace, windows: DataFrame, length: int, shards: int) -> DataFrame:
+    """Packed spans of windows (doc_id, h, at, w, wh) of hot grams, at most one of each slice, that aren't the earliest of equal
     ones. Windows whose hash has no second row don't move."""
     shared = windows.groupBy("wh").agg(F.count("*").alias("n")).filter("n > 1").select("wh")
     shared = ws.put(shared, "hot-windows", compression="zstd")
@@ -458,14 +493,14 @@ def window_repeats(ws: Workspace, windows: DataFrame, length: int) -> DataFrame:
             for doc, h, at in zip(*(b.column(k).to_pylist() for k in range(3))):
                 spans.setdefault((doc, h), []).extend((at, at + length))
             if spans:
-                yield _span_rows(spans)
+                yield _span_batch(_span_rows(spans, shards))
 
     return later.select("doc_id", "h", "at").mapInArrow(pack, _SPANS)
 
 
-def _cut(text: bytes, blobs: list[bytes]) -> tuple[bytes, int, list[tuple[int, int]]]:
+def _cut(text: bytes, spans: bytes) -> tuple[bytes, int, list[tuple[int, int]]]:
     """What is left, how many bytes went, and the maximal runs that went."""
-    pairs = np.concatenate([np.frombuffer(x, "<i8") for x in blobs]).reshape(-1, 2)
+    pairs = np.frombuffer(spans, "<i8").reshape(-1, 2)
     cover = np.zeros(len(text) + 1, dtype=np.int32)
     np.add.at(cover, pairs[:, 0], 1)
     np.add.at(cover, pairs[:, 1], -1)
@@ -481,22 +516,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     text = text_column(docs)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.xxhash64(text, F.lit(5)).alias("h"), text.cast("binary").alias("text"))
     spans = ws.put(repeats(ws, texts, length, gram), "spans", compression="zstd")
-    marked = id_filter(spans.select("doc_id").distinct(), "doc_id", ws, "marked")
+    marked = id_filter(spans, "doc_id", ws, "marked")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def cut(batches):
         for b in pieces(batches):
             rows = []
-            for raw, blobs in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                kept, gone, parts = _cut(raw, blobs) if blobs else (raw, 0, [])
+            for raw, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                kept, gone, parts = _cut(raw, blob) if blob else (raw, 0, [])
                 rows.append((len(raw), gone, len(parts), hashlib.sha256(kept).hexdigest(), kept))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols][: len(names)], names)
 
-    gathered = spans.groupBy("doc_id", "h").agg(F.collect_list("spans").alias("spans"))
-    touched = maybe_in(texts, marked).join(gathered, ["doc_id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    touched = maybe_in(texts, marked).join(spans, ["doc_id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
     whole = maybe_in(texts, marked, negate=True)
     size = F.octet_length("text").cast("long")
     cols = ["doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")]

@@ -1,14 +1,19 @@
 """Command line: every stage as a program, and the three entries as chains. Stage tables are Parquet folders.
 
     python -m strandlake strand    --events events.tsv --out DIR
-    python -m strandlake collapse  --strand DIR --summary s.tsv --reference r.fa --out DIR [--shift 2]
+    python -m strandlake collapse  --strand DIR --summary s.tsv --reference r.fa --out DIR [--shift 2] [--strict]
     python -m strandlake standardize --collapsed DIR --polya p.tsv --raw raw.parquet --kmer-index k.csv --out DIR
     python -m strandlake border    --reads DIR --out DIR [--peak-distance 10]
-    python -m strandlake segment   --reads DIR --border DIR --out DIR [--no-compat]
-    python -m strandlake align     --blocks DIR --kmer-model m.csv --out DIR [--variant two|one|ivt|reverse_ivt]
-    python -m strandlake sites     --alignment DIR --kmer-index k.csv --kmer-model m.csv --out DIR
+    python -m strandlake states    --states states.parquet --out DIR
+    python -m strandlake segment   --reads DIR --border DIR --out DIR [--no-compat] [--strict]
+    python -m strandlake align     --blocks DIR --kmer-model m.csv --out DIR [--variant two|one|ivt|reverse_ivt] [--text DIR]
+    python -m strandlake sites     --alignment DIR --kmer-index k.csv --kmer-model m.csv --out DIR [--text] [--strict]
     python -m strandlake mixture   --sites DIR --kmer GGACT --kmer-model m.csv --out DIR
     python -m strandlake rates     --sites DIR --out DIR
+
+``states`` makes borders from 0/1 states (read_id, states) that another program found, in the place of ``border``. ``--text``
+writes, and reads, an alignment as text with six significant digits. ``--strict``: a contig or k-mer that a table lacks is
+an error; without it its rows drop out, and are listed.
 """
 
 from __future__ import annotations
@@ -25,12 +30,13 @@ from .sources import readers, sinks
 # Options of each command; those without a default are required.
 OPTIONS = {
     "strand": {"events": None},
-    "collapse": {"strand": None, "summary": None, "reference": None, "shift": 2},
+    "collapse": {"strand": None, "summary": None, "reference": None, "shift": 2, "strict": False},
     "standardize": {"collapsed": None, "polya": None, "raw": None, "kmer-index": None},
     "border": {"reads": None, "peak-distance": 10},
-    "segment": {"reads": None, "border": None, "compat": True},
-    "align": {"blocks": None, "kmer-model": None, "variant": "two"},
-    "sites": {"alignment": None, "kmer-index": None, "kmer-model": None},
+    "states": {"states": None},
+    "segment": {"reads": None, "border": None, "compat": True, "strict": False},
+    "align": {"blocks": None, "kmer-model": None, "variant": "two", "text": ""},
+    "sites": {"alignment": None, "kmer-index": None, "kmer-model": None, "text": False, "strict": False},
     "mixture": {"sites": None, "kmer": None, "kmer-model": None},
     "rates": {"sites": None},
 }
@@ -46,6 +52,8 @@ def stage(spark: SparkSession, name: str, a: argparse.Namespace) -> dict[str, Da
         summary = readers.read_summary(spark, a.summary)
         collapsed = runs.collapse_events(reads.in_summary(table(f"{a.strand}/events"), summary, "read_index"), a.shift)
         reference = readers.fasta(spark, a.reference)
+        if a.strict:
+            runs.require_none(runs.missing_contigs(collapsed, reference), "contigs")
         return {"events": collapsed, "reads": runs.summarise_reads(collapsed, summary, reference, a.shift), "missing": runs.missing_contigs(collapsed, reference)}
     if name == "standardize":
         events = runs.gather_events(table(f"{a.collapsed}/events"), table(f"{a.collapsed}/reads"), readers.kmer_index(spark, a.kmer_index))
@@ -53,15 +61,29 @@ def stage(spark: SparkSession, name: str, a: argparse.Namespace) -> dict[str, Da
     if name == "border":
         some = readers.normalized_reads(table(a.reads)).select("read_id", F.col("normalized.signal").alias("signal"))
         return {"peaks": signal.pick_peaks(some, ["read_id"], distance=a.peak_distance), "border": signal.initial_border(some, ["read_id"], distance=a.peak_distance)}
+    if name == "states":
+        return {"border": signal.border_from_states(table(a.states), ["read_id"])}
     if name == "segment":
         some = readers.normalized_reads(table(a.reads)).select("read_id", "event", F.col("normalized.signal").alias("signal"))
         states = segment.segment_reads(some.join(table(f"{a.border}/border"), "read_id"), ["read_id"], compat=a.compat)
-        return {"": entries.blocks_of(some, states)}
+        blocks = entries.blocks_of(some, states)
+        if a.strict:
+            runs.require_none(entries.invalid_reads(states, blocks), "valid states or blocks of reads")
+        return {"": blocks}
     if name == "align":
         kept = entries.align_ready(table(a.blocks))
-        return {"": align.align_reads(kept, align.model_dict(readers.kmer_model(spark, a.kmer_model)), ["read_index", "read_id", "contig"], a.variant, origin="origin")}
+        rows = align.align_reads(kept, align.model_dict(readers.kmer_model(spark, a.kmer_model)), ["read_index", "read_id", "contig"], a.variant, origin="origin")
+        if a.text:
+            sinks.write_alignment(rows.withColumnRenamed("read_id", "read_name"), a.text)
+        return {"": rows}
     if name == "sites":
-        return {"": runs.collapse_alignment(table(a.alignment), readers.kmer_index(spark, a.kmer_index), readers.kmer_model(spark, a.kmer_model))}
+        rows = readers.alignment_table(spark, a.alignment) if a.text else table(a.alignment)
+        index, model = readers.kmer_index(spark, a.kmer_index), readers.kmer_model(spark, a.kmer_model)
+        if a.strict:
+            seen = rows.filter("kmer is not null and kmer != '-'")
+            for dimension in (index, model):
+                runs.require_none(runs.missing_kmers(seen, dimension), "k-mers")
+        return {"": runs.collapse_alignment(rows, index, model)}
     if name == "mixture":
         chosen = reads.one_kmer(table(a.sites), a.kmer).select("kmer", "mean")
         fixed = reads.one_kmer(readers.kmer_model(spark, a.kmer_model), a.kmer).select("kmer", F.col("mean_un").alias("fixed_mean"))

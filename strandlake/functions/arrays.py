@@ -73,30 +73,35 @@ def consistent_blocks(blocks: Column) -> Column:
     return F.forall(blocks, lambda b: b["start"] + b["len"] <= b["end"])
 
 
+#: Letters of a slice of a sequence: a substring is found by walking from the beginning of what it is cut from.
+SLICE = 256
+
+
+def kmers_of(seq: Column, k: int = 5, each=lambda kmer, place: kmer) -> Column:
+    """The k-mers of a sequence in order, in time proportional to its length: it is cut into slices that overlap by k - 1.
+    ``each`` makes an element of a k-mer and its place."""
+    starts = F.when(F.length(seq) >= k, F.sequence(F.lit(0), F.length(seq) - k, F.lit(SLICE))).otherwise(F.array().cast("array<int>"))
+    slices = F.transform(starts, lambda s: F.struct(s.alias("at"), F.substring(seq, s + 1, F.lit(SLICE + k - 1)).alias("part")))
+    return F.flatten(F.transform(slices, lambda x: F.transform(F.sequence(F.lit(0), F.length(x["part"]) - k), lambda i: each(F.substring(x["part"], i + 1, F.lit(k)), x["at"] + i))))
+
+
 def windows_of(seq: Column, k: int = 5, gap: bool = False, origin: int = 0) -> Column:
     """k-mers centred at each base with their positions; those with N are left out but the position advances.
     ``gap`` puts the gap k-mer with position -1 before them."""
     half = k // 2
-    n = F.length(seq)
-    all_ = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.struct(F.substring(seq, i, F.lit(k)).alias("kmer"), (i - 1 + half + origin).cast("int").alias("pos")))
+    all_ = kmers_of(seq, k, lambda kmer, place: F.struct(kmer.alias("kmer"), (place + half + origin).cast("int").alias("pos")))
     all_ = F.filter(all_, lambda w: ~w["kmer"].contains("N"))
-    none = F.array().cast("array<struct<kmer:string,pos:int>>")
-    all_ = F.when(n >= k, all_).otherwise(none)
     return F.concat(F.array(F.struct(F.lit("-").alias("kmer"), F.lit(-1).alias("pos"))), all_) if gap else all_
 
 
-def null_block_first(blocks: Column, null_block: Column) -> Column:
-    """Blocks in reverse order behind a null block, as the aligner takes them."""
-    return F.concat(F.array(null_block), F.reverse(blocks))
-
-
 def mean_of(a: Column) -> Column:
     return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a))
 
 
 def std_of(a: Column) -> Column:
-    """Population standard deviation, two passes."""
-    return F.when(F.size(a) > 0, F.sqrt(F.aggregate(F.transform(a, lambda x: F.pow(x - mean_of(a), 2)), F.lit(0.0), lambda s, x: s + x) / F.size(a)))
+    """Population standard deviation, two passes; the mean is worked out once and bound by an array of one."""
+    spread = lambda m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a))
+    return F.when(F.size(a) > 0, F.get(F.transform(F.array(mean_of(a)), spread), F.lit(0)))
 
 
 def to_picoampere(signal: Column, offset: Column, range_: Column, digitisation: Column) -> Column:

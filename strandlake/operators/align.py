@@ -30,39 +30,53 @@ def align_reads(reads: DataFrame, model: dict[str, tuple[float, float, float, fl
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reads.select(*keys).schema.fields)
     columns = [x.split()[0] for x in _ROWS.split(", ")]
 
+    def path_rows(r):
+        """One read's rows."""
+        key = [getattr(r, k) for k in keys]
+        blocks, kmer = list(r[len(keys)]) if r[len(keys)] is not None else [], list(r[len(keys) + 1]) if r[len(keys) + 1] is not None else []
+        origin_ = r[len(keys) + 2]
+        if variant == "reverse_ivt":
+            kmer = kmer[::-1]
+        else:
+            blocks = blocks[::-1]
+        if not blocks or not kmer:
+            return
+        models = np.array([model[k["kmer"]] for k in kmer], dtype=float)
+        path = K.align(
+            np.array([b["mu"] for b in blocks], dtype=float),
+            models if variant == "two" else models[:, :2],
+            (K.MATCH, K.STAY) if one_way else (K.MATCH, K.STAY, K.GAP, K.SKIP),
+            -6.0 if one_way else -4.941642,
+            {"ivt": 400, "reverse_ivt": 1}.get(variant),
+        )
+        for n, (_, b, k) in enumerate(path):
+            block, word = (blocks[b] if b >= 0 else None), (kmer[k] if k >= 0 else None)
+            yield (
+                (*key, word["kmer"] if word else None, int(word["pos"]) - 2 + int(origin_) if word else None)
+                + ((block["mu"], block["sigma"], block["start"], block["end"], block["len"]) if block else (0.0, 0.0, None, None, None))
+                + (n,)
+            )
+
     def run(frames):
         for pdf in frames:
-            out = []
+            out: list = []
             for r in pdf.itertuples(index=False):
-                key = [getattr(r, k) for k in keys]
-                blocks, kmer = list(r[len(keys)]) if r[len(keys)] is not None else [], list(r[len(keys) + 1]) if r[len(keys) + 1] is not None else []
-                origin_ = r[len(keys) + 2]
-                if variant == "reverse_ivt":
-                    kmer = kmer[::-1]
-                else:
-                    blocks = blocks[::-1]
-                if not blocks or not kmer:
-                    continue
-                models = np.array([model[k["kmer"]] for k in kmer], dtype=float)
-                path = K.align(
-                    np.array([b["mu"] for b in blocks], dtype=float),
-                    models if variant == "two" else models[:, :2],
-                    (K.MATCH, K.STAY) if one_way else (K.MATCH, K.STAY, K.GAP, K.SKIP),
-                    -6.0 if one_way else -4.941642,
-                    {"ivt": 400, "reverse_ivt": 1}.get(variant),
-                )
-                for n, (_, b, k) in enumerate(path):
-                    block, word = (blocks[b] if b >= 0 else None), (kmer[k] if k >= 0 else None)
-                    out.append(
-                        (*key, word["kmer"] if word else None, int(word["pos"]) - 2 + int(origin_) if word else None)
-                        + ((block["mu"], block["sigma"], block["start"], block["end"], block["len"]) if block else (0.0, 0.0, None, None, None))
-                        + (n,)
-                    )
+                out += path_rows(r)
+                if len(out) >= 50_000:  # rows don't pile up over a batch of reads
+                    yield pd.DataFrame(out, columns=[*keys, *columns], dtype=object)
+                    out = []
             yield pd.DataFrame(out, columns=[*keys, *columns], dtype=object)
 
     return rows.mapInPandas(run, f"{kinds}, {_ROWS}")
 
 
+#: The k-mers of five letters over A, C, G, T and the one that stands for none.
+MODELS = 4**5 + 1
+
+
 def model_dict(kmer_model: DataFrame) -> dict[str, tuple[float, float, float, float]]:
-    """The k-mer table on the driver: at most 1025 rows by its alphabet."""
-    return {r.kmer: (r.mean_un, r.stdv_un, r.mean_mod, r.stdv_mod) for r in kmer_model.limit(1025).collect()}
+    """The k-mer table on the driver. A table of more rows than there are k-mers is none: an error."""
+    rows = kmer_model.limit(MODELS + 1).collect()
+    if len(rows) > MODELS:
+        raise ValueError(f"the k-mer table has more than {MODELS} rows")
+    return {r.kmer: (r.mean_un, r.stdv_un, r.mean_mod, r.stdv_mod) for r in rows}

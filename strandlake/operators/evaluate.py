@@ -28,15 +28,23 @@ def _curve(df: DataFrame, score: str, label: str) -> DataFrame:
     return _cumulated(rows)
 
 
+#: Ranges that scores are cumulated in.
+RANGES = 64
+
+
 def _cumulated(rows: DataFrame) -> DataFrame:
-    """Cumulated sums over falling scores in two steps: inside ranges of the score, and over the ranges' totals."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, F.col("score").desc()).withColumn("_part", F.spark_partition_id())
+    """Cumulated sums over falling scores in two steps: inside ranges of the score, and over the ranges' totals. The
+    ranges' bounds are numbers that the plan holds, so both steps see the same ones."""
+    bounds = sorted(set(rows.approxQuantile("score", [k / RANGES for k in range(1, RANGES)], 0.2 / RANGES) or []))
+    place = F.lit(0)
+    if bounds:
+        edges = F.array(*[F.lit(float(b)) for b in bounds])
+        place = F.aggregate(edges, F.lit(0), lambda n, b: n + (F.col("score") > b).cast("int"))
+    placed = rows.withColumn("_part", place)
     w = Window.partitionBy("_part").orderBy(F.col("score").desc())
-    inside = dealt.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("q").over(w))
-    ranges = dealt.groupBy("_part").agg(F.sum("p").alias("p_"), F.sum("q").alias("q_"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    inside = placed.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("q").over(w))
+    ranges = placed.groupBy("_part").agg(F.sum("p").alias("p_"), F.sum("q").alias("q_"))
+    before = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
     ranges = ranges.select("_part", F.coalesce(F.sum("p_").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("q_").over(before), F.lit(0)).alias("fp0"))
     return inside.join(F.broadcast(ranges), "_part").select("score", "p", "q", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("fp") + F.col("fp0")).alias("fp"))
 

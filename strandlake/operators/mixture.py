@@ -1,7 +1,8 @@
 """Two-component normal mixtures of one-dimensional values in which the first mean is fixed; one fit per group.
 
-Values are first counted (they have 3 decimals), so a fit sees a weighted histogram; expectation and maximisation run in
-NumPy per group. The start is deterministic: a two-means split of the values, the side nearer the fixed mean first.
+Values are first counted, so a fit sees a weighted histogram; expectation and maximisation run in NumPy per group. The
+first start is deterministic: a two-means split of the values, the side nearer the fixed mean first. RESTARTS - 1 more
+begin with two-means from random centres, by a fixed seed; the fit with the highest bound stays (of equal ones the first).
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Tolerance, rounds, regularisation, largest deviation, parameters counted by the criterion.
-TOLERANCE, ROUNDS, REGULAR, MOST_SIGMA, PARAMETERS = 1e-3, 100, 1e-6, 4.0, 5
+TOLERANCE, ROUNDS, REGULAR, MOST_SIGMA, PARAMETERS, RESTARTS = 1e-3, 100, 1e-6, 4.0, 5, 10
 
 
-def split(values: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """True for the values of the upper cluster of two-means."""
-    a, b = values.min(), values.max()
+def split(values: np.ndarray, weight: np.ndarray, a: float | None = None, b: float | None = None) -> np.ndarray:
+    """True for the values of the upper cluster of two-means, from the extremes or the given centres a < b."""
+    a, b = values.min() if a is None else a, values.max() if b is None else b
     for _ in range(100):
         up = np.abs(values - b) < np.abs(values - a)
         if up.all() or not up.any():
@@ -31,9 +32,19 @@ def split(values: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.abs(values - b) < np.abs(values - a)
 
 
-def fit(values: np.ndarray, weight: np.ndarray, fixed: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE):
+def fit(values: np.ndarray, weight: np.ndarray, fixed: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE, restarts: int = RESTARTS):
     """(mean1, sigma1, weight1, mean2, sigma2, weight2, bic, bounds): bounds are the mean log-likelihoods per round."""
-    up = split(values, weight)
+    best = _fit(values, weight, fixed, split(values, weight), rounds, tolerance)
+    rng = np.random.default_rng(0)
+    for _ in range(restarts - 1 if len(values) > 2 else 0):
+        centres = np.sort(rng.choice(values, 2, replace=False, p=weight / weight.sum()))
+        got = _fit(values, weight, fixed, split(values, weight, *centres), rounds, tolerance)
+        if got[-1][-1] > best[-1][-1] + 1e-12:
+            best = got
+    return best
+
+
+def _fit(values: np.ndarray, weight: np.ndarray, fixed: float, up: np.ndarray, rounds: int, tolerance: float):
     first = up if weight[up].sum() and abs(np.average(values[up], weights=weight[up]) - fixed) < abs(np.average(values[~up], weights=weight[~up]) - fixed) else ~up
     r = np.column_stack([first, ~first]).astype(float)
     total = weight.sum()
@@ -58,10 +69,12 @@ def fit(values: np.ndarray, weight: np.ndarray, fixed: float, rounds: int = ROUN
     return float(mean[0]), float(sd[0]), float(share[0]), float(mean[1]), float(sd[1]), float(share[1]), bic, bounds
 
 
-def fixed_mean_mixtures(rows: DataFrame, group: str, value: str, fixed: DataFrame) -> DataFrame:
+def fixed_mean_mixtures(rows: DataFrame, group: str, value: str, fixed: DataFrame, places: int | None = None) -> DataFrame:
     """(group, mean1, sigma1, weight1, mean2, sigma2, weight2, bic, n): parameters rounded to 2 places. fixed: (group,
-    fixed_mean). A group's histogram has at most as many rows as it has different values at 3 decimals."""
-    counts = rows.select(group, (F.rint(F.col(value) * 1000) / 1000).alias("v")).filter("v is not null").groupBy(group, "v").agg(F.count("*").cast("double").alias("w"))
+    fixed_mean). A group's histogram is one task's and has a row for each different value: levels of collapsed runs have
+    three decimals, so it is small; for values of any precision ``places`` rounds them first."""
+    level = F.col(value) if places is None else F.rint(F.col(value) * 10.0**places) / 10.0**places
+    counts = rows.select(group, level.cast("double").alias("v")).filter("v is not null and not isnan(v)").groupBy(group, "v").agg(F.count("*").cast("double").alias("w"))
     kind = rows.schema[group].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -69,7 +82,7 @@ def fixed_mean_mixtures(rows: DataFrame, group: str, value: str, fixed: DataFram
         got = fit(pdf["v"].to_numpy(), pdf["w"].to_numpy(), float(pdf["fixed_mean"].iloc[0]))
         return pd.DataFrame([[pdf[group].iloc[0], *[round(x, 2) for x in got[:6]], round(got[6], 6), int(pdf["w"].sum())]], columns=[group, "mean1", "sigma1", "weight1", "mean2", "sigma2", "weight2", "bic", "n"])
 
-    return counts.join(F.broadcast(fixed), group).groupBy(group).applyInPandas(one, f"{group} {kind}, mean1 double, sigma1 double, weight1 double, mean2 double, sigma2 double, weight2 double, bic double, n long")
+    return counts.join(fixed, group).groupBy(group).applyInPandas(one, f"{group} {kind}, mean1 double, sigma1 double, weight1 double, mean2 double, sigma2 double, weight2 double, bic double, n long")
 
 
 def next_model(model: DataFrame, fits: DataFrame) -> DataFrame:

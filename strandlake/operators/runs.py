@@ -53,8 +53,8 @@ def collapse_alignment(alignment: DataFrame, kmer_index: DataFrame, kmer_model:
     block go before runs are found; runs whose lengths add up to 0 go after."""
     rows = alignment.filter("kmer is not null and kmer != '-' and end is not null and end != -1")
     out = collapse_runs(rows, ["read_index"], ["row_no"], ["contig", "kmer", "pos"], "mu", F.col("len"), "start", "end").filter("event_len != 0")
-    # 1025 rows each by the k-mer alphabet
-    out = out.join(F.broadcast(kmer_index), "kmer").join(F.broadcast(kmer_model), "kmer")
+    # k-mer tables have 1025 rows by their alphabet: small enough for the planner to broadcast; larger ones it shuffles
+    out = out.join(kmer_index, "kmer").join(kmer_model, "kmer")
     state = modification_state(F.col("mean"), F.col("mean_un"), F.col("stdv_un"), F.col("mean_mod"), F.col("stdv_mod"))
     return out.select(
         F.col("read_index").alias("read_idx"), "contig", "pos", "kmer", F.col("index").alias("kmer_idx"), "mean", "start_idx", "end_idx", F.col("event_len").cast("int").alias("event_len"), state.alias("mod"), F.col("first_row.row_no").alias("row_no")
@@ -63,7 +63,7 @@ def collapse_alignment(alignment: DataFrame, kmer_index: DataFrame, kmer_model:
 
 def missing_kmers(rows: DataFrame, dimension: DataFrame) -> DataFrame:
     """k-mers that a dimension lacks: a check that would otherwise be a lookup error."""
-    return rows.select("kmer").distinct().join(F.broadcast(dimension), "kmer", "left_anti")
+    return rows.select("kmer").distinct().join(dimension, "kmer", "left_anti")
 
 
 def summarise_reads(collapsed: DataFrame, summary: DataFrame, reference: DataFrame, shift: int = 2) -> DataFrame:
@@ -80,13 +80,20 @@ def summarise_reads(collapsed: DataFrame, summary: DataFrame, reference: DataFra
     return reads.select("contig", "read_index", "strand", "trans_position_start", "trans_position_end", "start_idx", "end_idx", "read_name", "fast5_path", ref.alias("ref"))
 
 
+def require_none(missing: DataFrame, what: str) -> None:
+    """Raises a lookup error that names some of the keys that a table lacks."""
+    some = [str(r[0]) for r in missing.limit(5).collect()]
+    if some:
+        raise KeyError(f"{what} missing: {', '.join(some)}")
+
+
 def missing_contigs(collapsed: DataFrame, reference: DataFrame) -> DataFrame:
     return collapsed.select("contig").distinct().join(reference.select(F.col("id").alias("contig")), "contig", "left_anti")
 
 
 def gather_events(collapsed: DataFrame, event_summary: DataFrame, kmer_index: DataFrame) -> DataFrame:
     """(read_name, event struct): a read's collapsed rows as an array; of a name with several (read, contig) the largest."""
-    rows = collapsed.join(F.broadcast(kmer_index), "kmer")
+    rows = collapsed.join(kmer_index, "kmer")
     item = F.struct("row_no", "pos", F.col("index").alias("kmer_idx"), "mean", "start_idx", "end_idx")
     reads = rows.groupBy(F.col("read_idx").alias("read_index"), "contig").agg(F.array_sort(F.collect_list(item)).alias("events"))
     reads = reads.join(event_summary.drop("contig"), "read_index")

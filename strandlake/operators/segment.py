@@ -1,5 +1,5 @@
 """Two-level segmentation of reads and what follows from it. A read is independent of all others, so the recursion runs
-where the read's row is: no shuffle, one read in memory at a time."""
+where the read's row is: no shuffle, a slice of reads at a time, whose windows are fitted together."""
 
 from __future__ import annotations
 
@@ -10,17 +10,17 @@ from pyspark.sql.window import Window
 
 from ..functions.arrays import blocks_in_range
 from . import kernels as K
-from .signal import per_read
+from .signal import per_read, per_reads
 
 
 def segment_reads(reads: DataFrame, keys: list[str], signal: str = "signal", border: str = "border", compat: bool = True) -> DataFrame:
     """(keys, final_border, states): both null for reads that can't be segmented."""
 
-    def one(x: np.ndarray, b: np.ndarray):
-        got = K.segment(x.astype(float), b.astype(np.int64), compat)
-        return None if got is None else (got[0].tolist(), got[1].tolist())
+    def some(held):
+        got = K.segment_many([(x.astype(float), b.astype(np.int64)) for x, b in held], compat)
+        return [None if g is None else (g[0].tolist(), g[1].tolist()) for g in got]
 
-    return per_read(reads, keys, [signal, border], one, "final_border array<int>, states array<int>")
+    return per_reads(reads, keys, [signal, border], some, "final_border array<int>, states array<int>")
 
 
 def forward_scores(rows: DataFrame, keys: list[str], signal: str = "signal") -> DataFrame:

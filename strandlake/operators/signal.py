@@ -107,41 +107,73 @@ def _polya(raw: np.ndarray, start: int, end: int):
     return float(np.mean(smooth)), float(np.std(rest[(rest >= lo) & (rest <= hi)])), None
 
 
-def standardize(reads: DataFrame) -> DataFrame:
-    """Adds ``normalized`` (null for reads without polyA or that are refused) and ``refused`` (why) to reads with
-    ``polya`` coordinates. The signal's arithmetic stays in the engine; two numbers a read come from NumPy."""
-    pa_signal = reads.withColumn("_pa", to_picoampere(F.col("signal"), F.col("offset"), F.col("range"), F.col("digitisation")))
+def polya_levels(signal: Column, start: Column, end: Column) -> Column:
+    """Level and spread of the polyA part of a signal, or why a read is refused (struct mu, sigma, refused); nulls without
+    coordinates."""
 
     @F.pandas_udf("mu double, sigma double, refused string")
     def levels(signal: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
         rows = [(None, None, None) if s is None or pd.isna(a) or pd.isna(z) else _polya(np.asarray(s, dtype=float), int(a), int(z)) for s, a, z in zip(signal, start, end)]
         return pd.DataFrame(rows, columns=["mu", "sigma", "refused"])
 
-    out = pa_signal.withColumn("_l", levels("_pa", "polya.start", "polya.end"))
+    return levels(signal, start, end)
+
+
+def standardized(current: Column, mu: Column, sigma: Column) -> Column:
+    """A signal moved to the standard level and spread, to three decimals."""
+    return F.transform(current, lambda x: F.rint(((x - mu) / sigma * STANDARD_SIGMA + STANDARD_MU) * 1e3) / 1e3)
+
+
+def standardize(reads: DataFrame) -> DataFrame:
+    """Adds ``normalized`` (null for reads without polyA or that are refused) and ``refused`` (why) to reads with
+    ``polya`` coordinates. The signal's arithmetic stays in the engine; two numbers a read come from NumPy."""
+    pa_signal = reads.withColumn("_pa", to_picoampere(F.col("signal"), F.col("offset"), F.col("range"), F.col("digitisation")))
+    out = pa_signal.withColumn("_l", polya_levels(F.col("_pa"), F.col("polya.start"), F.col("polya.end")))
     mu, sigma = F.col("_l.mu"), F.col("_l.sigma")
-    scaled = F.transform("_pa", lambda x: F.rint(((x - mu) / sigma * STANDARD_SIGMA + STANDARD_MU) * 1e3) / 1e3)
+    scaled = standardized(F.col("_pa"), mu, sigma)
     rounded = lambda c: F.rint(c * 1e5) / 1e5
     normal = F.struct(scaled.alias("signal"), F.col("polya.start").alias("polya_start"), F.col("polya.end").alias("polya_end"), rounded(mu).alias("polya_mu"), rounded(sigma).alias("polya_sigma"))
     return out.withColumn("normalized", F.when(mu.isNotNull(), normal)).withColumn("refused", F.col("_l.refused")).drop("_pa", "_l")
 
 
-def per_read(reads: DataFrame, keys: list[str], arrays: list[str], function, schema: str) -> DataFrame:
-    """Maps reads (rows with array columns) by a NumPy function of the arrays; no shuffle. function returns one tuple of
-    the columns in schema behind the keys, or None for a failed read (nulls)."""
+#: Samples that are worked on at once: a batch of reads is cut into slices of about so many.
+SAMPLES = 500_000
+
+
+def per_reads(reads: DataFrame, keys: list[str], arrays: list[str], function, schema: str) -> DataFrame:
+    """Maps slices of reads (rows with array columns) by a NumPy function; no shuffle. function takes a list of reads (a
+    list of arrays each) and returns for each a tuple of the columns in schema behind the keys, or None for a failed
+    read (nulls). Reads with a null array fail without a call. A slice has SAMPLES samples, or one longer read."""
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reads.select(*keys).schema.fields)
 
     def run(frames):
         for pdf in frames:
-            rows = []
-            for row in pdf[arrays].itertuples(index=False):
-                got = None if any(x is None for x in row) else function(*[np.asarray(x) for x in row])
-                rows.append(got if got is not None else (None,) * len(names))
-            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(rows, columns=names, dtype=object)], axis=1)
+            held, size = [], 0
+            for i, row in enumerate(pdf[arrays].itertuples(index=False)):
+                held.append((i, row))
+                size += 0 if row[0] is None else len(row[0])
+                if size >= SAMPLES:
+                    yield result(pdf, held)
+                    held, size = [], 0
+            if held:
+                yield result(pdf, held)
+
+    def result(pdf, held):
+        some = [[np.asarray(x) for x in row] for _, row in held if not any(x is None for x in row)]
+        got = iter(function(some))
+        rows = [None if any(x is None for x in row) else next(got) for _, row in held]
+        rows = [x if x is not None else (None,) * len(names) for x in rows]
+        return pd.concat([pdf[keys].iloc[[i for i, _ in held]].reset_index(drop=True), pd.DataFrame(rows, columns=names, dtype=object)], axis=1)
 
     return reads.select(*keys, *arrays).mapInPandas(run, f"{kinds}, {schema}")
 
 
+def per_read(reads: DataFrame, keys: list[str], arrays: list[str], function, schema: str) -> DataFrame:
+    """per_reads for a function of one read's arrays."""
+    return per_reads(reads, keys, arrays, lambda some: [function(*x) for x in some], schema)
+
+
 def pick_peaks(reads: DataFrame, keys: list[str], signal: str = "signal", distance: int = 10) -> DataFrame:
     """(keys, peaks): places of slope peaks, no two closer than the distance."""
     return per_read(reads, keys, [signal], lambda x: (K.peaks(K.box(np.abs(K.slope(x.astype(float))), 3), distance).tolist(),), "peaks array<int>")

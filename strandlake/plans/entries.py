@@ -1,8 +1,8 @@
 """The three end-to-end entries, as chains of DataFrame stages.
 
 Reads are independent of each other, so every stage keeps the partitioning by read where it can: the run windows and the
-aggregations behind them share one shuffle, the per-read kernels need none. Only the k-mer tables (1025 rows) are
-broadcast. Stage results are written as Parquet where an entry ends; nothing is collected but those tables.
+aggregations behind them share one shuffle, the per-read kernels need none. The k-mer tables (1025 rows) travel with the
+tasks. Stage results are written as Parquet where an entry ends; nothing is collected but those tables.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import consistent_blocks, valid_states
 from ..operators import align as AL
 from ..operators import mixture, reads, runs, segment, signal
 from ..sources.readers import normalized_reads
@@ -47,6 +48,13 @@ def blocks_of(some: DataFrame, states: DataFrame) -> DataFrame:
     return some.join(blocks, "read_id", "left")
 
 
+def invalid_reads(states: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Read ids whose states (read_id, states) or blocks (read_id, blocks) can't be: a first state that is none of 1 to 4,
+    another beyond 0 to 4, a block that holds more samples than it is long. Failed reads (nulls) aren't invalid."""
+    bad = states.filter("states is not null").filter(~valid_states(F.col("states"))).select("read_id")
+    return bad.unionByName(blocks.filter("blocks is not null").filter(~consistent_blocks(F.col("blocks"))).select("read_id")).distinct()
+
+
 def blocks_to_sites(segmented: DataFrame, kmer_index: DataFrame, kmer_model: DataFrame, variant: str = "two") -> DataFrame:
     """Entry C: blocks of segmented reads to one row per read and position with its modification state."""
     aligned = AL.align_reads(align_ready(segmented), AL.model_dict(kmer_model), ["read_index", "read_id", "contig"], variant, origin="origin")

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from .functions import arrays as A
 from .functions import scalars as C
 from .operators import align, evaluate, mixture, reads, runs, segment, signal
+from .operators import kernels as K
 from .sources.readers import last_wins
 
 QUERIES: dict = {}
@@ -76,22 +77,29 @@ def event_run_collapse(spark, sf_dir):
 )
 def alignment_run_collapse(spark, sf_dir):
     """Unaligned rows go before runs are found, runs without length after."""
-    rows = events(spark, sf_dir).filter("event_type != 'view'")
-    out = runs.collapse_runs(rows, READ, ORDER, ["event_type"], "value", F.col("k"), "event_id", "event_id").filter("event_len != 0")
-    return out.select("user_id", "event_type", "mean", "start_idx", "end_idx", "event_len")
+    e = events(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy(*READ).orderBy(*ORDER))
+    rows = e.select(F.col("user_id").alias("read_index"), F.lit("t").alias("contig"), F.when(F.col("event_type") == "view", "-").otherwise(F.col("event_type")).alias("kmer"), F.lit(0).alias("pos"), F.col("value").alias("mu"), F.col("event_id").alias("start"), F.col("event_id").alias("end"), F.col("k").alias("len"), place.alias("row_no"))
+    kinds = e.select(F.col("event_type").alias("kmer")).distinct()
+    model = kinds.select("kmer", *[F.lit(1.0).alias(c) for c in ("mean_un", "stdv_un", "mean_mod", "stdv_mod")])
+    out = runs.collapse_alignment(rows, kinds.withColumn("index", F.lit(0)), model)
+    return out.select(F.col("read_idx").alias("user_id"), F.col("kmer").alias("event_type"), "mean", "start_idx", "end_idx", F.col("event_len").cast("long").alias("event_len"))
 
 
 @query(
-    f"""SELECT user_id, arg_min(event_type, place) AS first_kmer, arg_max(event_type, place) AS last_kmer, min(event_id) AS start_idx,
-           max(event_id) AS end_idx, count(*) AS rows, any_value(c_name) AS read_name
-    FROM {_NUMBERED} JOIN customer ON c_custkey = user_id GROUP BY user_id"""
+    f"""WITH r AS (SELECT user_id, first(k ORDER BY place) AS fk, first(event_id ORDER BY place) AS fe, last(k ORDER BY place) AS lk, last(event_id ORDER BY place) AS le FROM {_NUMBERED} GROUP BY user_id)
+    SELECT user_id, fk AS trans_position_start, lk AS trans_position_end, least(fe, le) AS start_idx, greatest(fe, le) AS end_idx, c_name AS read_name, c_mktsegment AS fast5_path,
+           CASE WHEN fk >= 2 THEN substr(repeat('ACGT', 100), fk - 1, lk - fk + 5) END AS ref
+    FROM r JOIN customer ON c_custkey = user_id"""
 )
 def read_summary(spark, sf_dir):
-    """First and last k-mer and extent of each read, with the summary's name."""
-    e = events(spark, sf_dir)
-    order = F.struct(*ORDER)
-    out = e.groupBy("user_id").agg(F.min_by("event_type", order).alias("first_kmer"), F.max_by("event_type", order).alias("last_kmer"), F.min("event_id").alias("start_idx"), F.max("event_id").alias("end_idx"), F.count("*").alias("rows"))
-    return out.join(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("read_name")), "user_id")
+    """First and last position and extent of each read, with the summary's names and its slice of the reference."""
+    place = F.row_number().over(Window.partitionBy(*READ).orderBy(*ORDER))
+    e = events(spark, sf_dir).select(F.col("user_id").alias("read_idx"), F.lit("t").alias("contig"), F.col("k").alias("pos"), F.col("event_id").alias("start_idx"), F.col("event_id").alias("end_idx"), place.alias("row_no"))
+    summary = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("read_index"), F.col("c_name").alias("read_name"), F.col("c_mktsegment").alias("fast5_path"))
+    reference = spark.range(1).select(F.lit("t").alias("id"), F.lit("ACGT" * 100).alias("seq"))
+    out = runs.summarise_reads(e, summary, reference)
+    return out.select(F.col("read_index").alias("user_id"), "trans_position_start", "trans_position_end", "start_idx", "end_idx", "read_name", "fast5_path", "ref")
 
 
 def _stranded(spark, sf_dir):
@@ -153,23 +161,27 @@ def last_write_wins(spark, sf_dir):
 
 
 @query(
-    """SELECT o.o_orderkey, c.c_name, coalesce(l.n_lines, 0) AS n_lines FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_acctbal > 0
-       LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON o.o_orderkey = l.l_orderkey"""
+    """SELECT c.c_name AS read_id, e.n, CASE WHEN p.c_name IS NULL THEN NULL ELSE p.a END AS polya_start, CASE WHEN p.c_name IS NULL THEN NULL ELSE p.z END AS polya_end
+       FROM customer c LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE value > 100 GROUP BY 1) e ON c.c_custkey = e.user_id
+       LEFT JOIN (SELECT c_name, c_nationkey AS a, c_nationkey + 50 AS z FROM customer WHERE c_acctbal > 0) p ON c.c_name = p.c_name"""
 )
 def enrich_left(spark, sf_dir):
-    """Two left joins whose side columns are null where absent."""
-    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    c = load(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    lines = load(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"))
-    return o.join(c, "o_custkey", "left").join(lines, "o_orderkey", "left").select("o_orderkey", "c_name", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+    """Reads with their events and polyA coordinates, each null where absent."""
+    c = load(spark, sf_dir, "customer")
+    raw = c.select(F.col("c_name").alias("read_id"))
+    counts = load(spark, sf_dir, "events").filter("value > 100").groupBy(F.col("user_id").alias("c_custkey")).agg(F.count("*").alias("n"))
+    read_events = counts.join(c, "c_custkey").select(F.col("c_name").alias("read_name"), "n")
+    polya = c.filter("c_acctbal > 0").select(F.col("c_name").alias("readname"), F.col("c_nationkey").cast("double").alias("polya_start"), (F.col("c_nationkey") + 50).cast("double").alias("transcript_start"))
+    return reads.enrich(raw, read_events, polya).select("read_id", "n", F.col("polya.start").alias("polya_start"), F.col("polya.end").alias("polya_end"))
 
 
 @query("WITH d AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS kmer_idx FROM (SELECT DISTINCT event_type FROM events)) SELECT event_id, kmer_idx FROM events JOIN d USING (event_type)")
 def lookup_kmer_index(spark, sf_dir):
-    """k-mer to number through a broadcast dimension (a handful of event types)."""
+    """k-mer to number through a dimension (a handful of event types, numbered as one sorted array)."""
     e = load(spark, sf_dir, "events")
-    d = e.select("event_type").distinct().withColumn("kmer_idx", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("long"))
-    return e.select("event_id", "event_type").join(d, "event_type").select("event_id", "kmer_idx")
+    d = e.select("event_type").distinct().agg(F.array_sort(F.collect_list("event_type")).alias("kinds"))
+    d = d.select(F.posexplode("kinds").alias("kmer_idx", "event_type"))
+    return e.select("event_id", "event_type").join(d, "event_type").select("event_id", F.col("kmer_idx").cast("long").alias("kmer_idx"))
 
 
 @query("SELECT page_id, regexp_extract(split_part(url, '#', 1), '([^/]*)$', 1) AS base FROM pages")
@@ -242,7 +254,7 @@ def signal_scale(spark, sf_dir):
     """Conversion to current and standardization of array signals."""
     e = load(spark, sf_dir, "embeddings")
     pa = A.to_picoampere(F.transform("embedding", lambda x: x.cast("double")), F.lit(3), F.lit(2.5), F.lit(8))
-    return e.select("vec_id", F.transform(pa, lambda x: F.rint((x - 0.9) / 0.7 * 1.67 * 1000 + 108900) / 1000).alias("signal"))
+    return e.select("vec_id", signal.standardized(pa, F.lit(0.9), F.lit(0.7)).alias("signal"))
 
 
 @query("SELECT vec_id, round(list_avg(embedding) + 1e-9, 6) AS mean, round(list_stddev_pop(embedding) + 1e-9, 6) AS sigma FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS embedding FROM embeddings)")
@@ -293,9 +305,19 @@ def _signals(spark, sf_dir):
     return e.select("user_id", F.transform("s", lambda x: x["value"]).alias("signal"))
 
 
-@query()
+@query(
+    f"""WITH m AS (SELECT user_id, row_number() OVER w - 1 AS place, sum(abs(slope)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS y FROM ({_SLOPE})
+              WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    f AS (SELECT *, CASE WHEN lag(y) OVER w IS NOT DISTINCT FROM y THEN 0 ELSE 1 END AS brk FROM m WINDOW w AS (PARTITION BY user_id ORDER BY place)),
+    g AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS flat FROM f),
+    t AS (SELECT user_id, flat, any_value(y) AS y, min(place) AS a, max(place) AS b FROM g GROUP BY 1, 2),
+    n AS (SELECT *, lag(y) OVER w AS before, lead(y) OVER w AS after FROM t WINDOW w AS (PARTITION BY user_id ORDER BY flat)),
+    tops AS (SELECT user_id, list([CAST((a + b) // 2 AS INTEGER)] ORDER BY y DESC, a DESC) AS ps FROM n WHERE y > before AND y > after GROUP BY 1)
+    SELECT u.user_id, CASE WHEN ps IS NULL THEN [] ELSE list_sort(list_reduce(ps, lambda kept, p: CASE WHEN len(list_filter(kept, lambda q: abs(q - p[1]) < 10)) > 0 THEN kept ELSE list_concat(kept, p) END)) END AS peaks
+    FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN tops USING (user_id)"""
+)
 def peak_pick(spark, sf_dir):
-    """Slope peaks at least 10 samples apart (a greedy recursion: tested against brute force)."""
+    """Slope peaks at least 10 samples apart: of two nearer ones the lower goes, the highest first."""
     return signal.pick_peaks(_signals(spark, sf_dir), READ)
 
 
@@ -315,10 +337,19 @@ def trimmed_std(spark, sf_dir):
     return signal.trimmed_std(load(spark, sf_dir, "events"), "value", READ).select("user_id", "n", R6(F.col("sigma")).alias("sigma"), R6(F.col("sigma_trimmed")).alias("sigma_trimmed"))
 
 
-@query("SELECT user_id, CASE WHEN stddev_pop(value) < 60 THEN round(avg(value) + 1e-9, 6) END AS level FROM events GROUP BY user_id")
+@query(
+    f"""WITH p AS (SELECT vec_id, i, CAST(embedding[1 + i % 64] AS DOUBLE) + CASE WHEN vec_id % 3 = 0 THEN i % 7 * 9 ELSE 0 END AS x FROM embeddings, range(0, 128) t(i)),
+    b AS (SELECT vec_id, i, x, sum(x) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING) / 50 AS m FROM p),
+    r AS (SELECT vec_id, m, x - m AS d FROM b WHERE i >= 32 AND i < 96),
+    q AS (SELECT vec_id, avg(m) AS mu, stddev_pop(d) AS sd, quantile_cont(d, 0.05) AS lo, quantile_cont(d, 0.95) AS hi FROM r GROUP BY 1)
+    SELECT q.vec_id, CASE WHEN sd < 3 THEN round(mu + 1e-9, 6) END AS mu, CASE WHEN sd < 3 THEN round(stddev_pop(d) + 1e-9, 6) END AS sigma, CASE WHEN NOT sd < 3 THEN 'noisy' END AS refused
+    FROM q JOIN r ON q.vec_id = r.vec_id AND d BETWEEN lo AND hi GROUP BY q.vec_id, sd, mu"""
+)
 def sigma_gate(spark, sf_dir):
-    """A read is only kept if its spread is below a bound."""
-    return load(spark, sf_dir, "events").groupBy("user_id").agg(F.when(F.stddev_pop("value") < 60, R6(F.avg("value"))).alias("level"))
+    """Level and spread of a read's polyA signal; a read whose spread is too large is refused."""
+    x = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.get("embedding", i % 64).cast("double") + F.when(F.col("vec_id") % 3 == 0, i % 7 * 9).otherwise(0))
+    levels = load(spark, sf_dir, "embeddings").select("vec_id", signal.polya_levels(x, F.lit(0), F.lit(128)).alias("l"))
+    return levels.select("vec_id", R6(F.col("l.mu")).alias("mu"), R6(F.col("l.sigma")).alias("sigma"), F.col("l.refused").alias("refused"))
 
 
 _BORDERS = f"""s AS (SELECT *, CASE WHEN value > 100 THEN 1 ELSE 0 END AS state FROM {_NUMBERED}),
@@ -431,24 +462,38 @@ def segments_in_range(spark, sf_dir):
 
 @query()
 def segment_read(spark, sf_dir):
-    """Two-level segmentation (tested against brute force)."""
+    """Two-level segmentation (tested against a plain loop over reads and windows)."""
     s = _signals(spark, sf_dir).withColumn("n", F.size("signal"))
     border = F.concat(F.array(F.lit(0)), F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.floor(F.col("n") / 7) - 1, F.lit(1))), lambda i: F.array((i * 7 - 2).cast("int"), (i * 7).cast("int")))), F.array("n"))
     return segment.segment_reads(s.withColumn("border", border), READ)
 
 
-@query()
+_STATES = range(1, 5)
+_PRIOR_SQL = [str(x) for x in K.PRIOR]
+_MOVED = ["(" + " + ".join(f"acc[{i}] * {K.MOVES[i - 1][j - 1]}" for i in _STATES) + f") * x[{j}]" for j in _STATES]
+_FIRST = [f"{_PRIOR_SQL[j - 1]} * x[{j}]" for j in _STATES]
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+    p AS (SELECT vec_id, e, list_avg(e) AS mu, greatest(list_stddev_pop(e), 0.1) AS sd FROM v),
+    d AS (SELECT vec_id, list_transform(e, lambda x: [greatest(exp(-0.5 * power((x - mu) / sd, 2)) / (sd * sqrt(2 * pi())), {K.FLOOR}), {K.FLOOR}, {K.FLOOR}, {K.NOISE}, 0.0]) AS xs FROM p),
+    s AS (SELECT vec_id, len(xs) AS n, list_reduce(list_prepend([0.0, 0.0, 0.0, 0.0, 0.0], xs),
+              lambda acc, x: list_transform([CASE WHEN acc[5] = 0 AND acc[1] = 0 THEN [{', '.join(_FIRST)}] ELSE [{', '.join(_MOVED)}] END],
+                                            lambda a: [a[1] / list_sum(a), a[2] / list_sum(a), a[3] / list_sum(a), a[4] / list_sum(a), acc[5] + ln(list_sum(a))])[1]) AS z FROM d)
+    SELECT vec_id, round(z[5] / n + 1e-9, 6) AS loglik FROM s"""
+)
 def hmm_forward_loglik(spark, sf_dir):
-    """Mean forward log-likelihood of each signal (tested against the sum over all state paths)."""
+    """Mean forward log-likelihood of each signal (also tested against the sum over all state paths)."""
     e = load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("signal"))
-    return segment.forward_scores(e, ["vec_id"])
+    return segment.forward_scores(e, ["vec_id"]).select("vec_id", R6(F.col("loglik")).alias("loglik"))
 
 
 @query()
 def dp_align(spark, sf_dir):
     """Blocks of each signal aligned to a short sequence (tested against a plain triple loop)."""
     e = load(spark, sf_dir, "embeddings")
-    block = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct((i * 4).alias("start"), (i * 4 + 4).alias("end"), (F.get("embedding", i * 4).cast("double") * 10 + 100).alias("mu"), F.lit(1.0).alias("sigma"), F.lit(4).alias("len")))
+    block = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("embedding") / 4) - 1, F.lit(0)).cast("int")), lambda i: F.struct((i * 4).alias("start"), (i * 4 + 4).alias("end"), (F.get("embedding", i * 4).cast("double") * 10 + 100).alias("mu"), F.lit(1.0).alias("sigma"), F.lit(4).alias("len")))
     e = e.select("vec_id", block.alias("blocks"), F.lit("ACGTTGCAACGT").alias("reference"))
     model = {"".join(w): (90.0 + (i % 23), 2.5, 90.0 + (i % 29), 3.0) for i, w in enumerate(__import__("itertools").product("ACGT", repeat=5))}
     return align.align_reads(e, model, ["vec_id"])
@@ -462,7 +507,7 @@ _ACGT = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
 def kmer_count(spark, sf_dir):
     """All 5-mers of all sequences; partial counts before the shuffle, at most 1024 keys after it."""
     d = load(spark, sf_dir, "documents").select(C.to_acgt(F.col("text")).alias("s"))
-    return d.select(F.explode(A.windows_of(F.col("s")))).groupBy(F.col("col.kmer").alias("kmer")).agg(F.count("*").alias("n"))
+    return d.select(F.explode(A.kmers_of(F.col("s"))).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, reverse(translate({_ACGT}, 'ACGT', 'TGCA')) AS rc FROM documents")
@@ -470,9 +515,9 @@ def revcomp(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", C.reverse_complement(C.to_acgt(F.col("text"))).alias("rc"))
 
 
-@query(f"SELECT doc_id, list_transform(string_split(substr({_ACGT}, 1, 50), ''), lambda c: instr('ACGTN', c)) AS ids FROM documents WHERE length({_ACGT}) > 0")
+@query(f"SELECT doc_id, list_transform(string_split({_ACGT}, ''), lambda c: instr('ACGTN', c)) AS ids FROM documents WHERE length({_ACGT}) > 0")
 def base_ids(spark, sf_dir):
-    """Ids of every letter of each sequence. The SQL beside it still stops at letter 50: see REPLY_r01.md."""
+    """Ids of every letter of each sequence."""
     d = load(spark, sf_dir, "documents").select("doc_id", C.to_acgt(F.col("text")).alias("s")).filter("length(s) > 0")
     return d.select("doc_id", C.base_ids(F.col("s")).alias("ids"))
 
@@ -482,16 +527,16 @@ def base_ids(spark, sf_dir):
     SELECT kmer FROM k WHERE lang = 'en' INTERSECT SELECT kmer FROM k WHERE lang = 'de'"""
 )
 def kmer_intersection(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("lang", F.explode(A.windows_of(C.to_acgt(F.col("text"))))).select("lang", F.col("col.kmer").alias("kmer"))
+    d = load(spark, sf_dir, "documents").select("lang", F.explode(A.kmers_of(C.to_acgt(F.col("text")))).alias("kmer"))
     return evaluate.common_kmers(d.filter("lang = 'en'"), d.filter("lang = 'de'"))
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT event_type AS kmer FROM events WHERE user_id % 2 = 0), b AS (SELECT DISTINCT event_type AS kmer FROM events WHERE value > 400)
+    """WITH a AS (SELECT DISTINCT event_type AS kmer FROM events), b AS (SELECT DISTINCT event_type AS kmer FROM events WHERE value > 400)
        SELECT kmer, CASE WHEN kmer IN (SELECT kmer FROM b) THEN 1 ELSE 0 END AS common FROM a"""
 )
 def common_kmer_tag(spark, sf_dir):
-    """The event types of all users. The SQL beside it still has even users only: see REPLY_r01.md."""
+    """The event types of all users, and whether they are among those of high events."""
     e = load(spark, sf_dir, "events").select(F.col("event_type").alias("kmer"), "value")
     return evaluate.tag_common(e.select("kmer").distinct(), e.filter("value > 400").select("kmer"))
 
@@ -556,10 +601,11 @@ def density_hist(spark, sf_dir):
 
 @query()
 def gmm_fixed_mean(spark, sf_dir):
-    """A mixture per event type whose first mean is fixed (tested for a rising bound and against a plain loop)."""
+    """A mixture per event type whose first mean is fixed (tested for a rising bound and against a plain loop). Values are
+    rounded to three decimals, as collapsed levels are."""
     e = load(spark, sf_dir, "events").withColumn("value", F.col("value") / 10)
     fixed = e.groupBy("event_type").agg(C.round_np(F.avg("value"), 2).alias("fixed_mean"))
-    return mixture.fixed_mean_mixtures(e, "event_type", "value", fixed)
+    return mixture.fixed_mean_mixtures(e, "event_type", "value", fixed, places=3)
 
 
 @query("SELECT lang, n, CAST(sum(n) OVER (ORDER BY lang) AS BIGINT) AS running FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")

@@ -12,9 +12,13 @@ from ..functions.scalars import basename
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_no, value) of a text file in file order: the one place where a per-partition counter is needed."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0]))
-    return spark.createDataFrame(lines, "row_no long, value string")
+    """(row_no, value) of text files in the order of their names. Lines are numbered where they are read; the number of
+    lines of each block of a file, a row for each block, gives where its numbers begin. No line leaves the engine."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    blocks = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(blocks, ["_file", "_block"]).select((F.col("_id") - F.col("_first") + F.col("_before")).alias("row_no"), "value")
 
 
 def delimited(spark: SparkSession, path: str, columns: str, sep: str = "\t", header: bool = True) -> DataFrame:
@@ -38,6 +42,7 @@ def event_table(spark, path):
 
 
 def stranded_event_table(spark, path):
+    """Events that have their strand already, as `sinks.write_text` leaves them."""
     return delimited(spark, path, S.EVENT_COLUMNS + ", map_strand string")
 
 
@@ -91,6 +96,7 @@ def kmer_index(spark, path) -> DataFrame:
 
 
 def transcript_index(spark, path) -> DataFrame:
+    """(index, transcript): the numbers that transcripts are known by."""
     return delimited(spark, path, "index int, transcript string", ",").drop("row_no")
 
 

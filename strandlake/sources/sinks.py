@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import GAP_KMER, MISSING
+from ..functions.scalars import six_digits
+from ..schema import ALIGNMENT_COLUMNS, GAP_KMER, MISSING, struct
 
 
 def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
@@ -31,6 +32,17 @@ def with_sentinels(alignment: DataFrame) -> DataFrame:
     return alignment.fillna({"kmer": GAP_KMER, "pos": MISSING, "start": MISSING, "end": MISSING, "len": MISSING, "mu": 0.0, "sigma": 0.0})
 
 
+def write_alignment(alignment: DataFrame, path: str) -> None:
+    """An alignment as text for exchange: no header, sentinels for nulls, levels with six significant digits (what
+    `readers.alignment_table` reads back; averages of such levels are averages of rounded ones)."""
+    rows = with_sentinels(alignment)
+    for c in ("mu", "sigma"):
+        rows = rows.withColumn(c, six_digits(F.col(c)))
+    # a file for each range of reads, in the order of the reads and their rows
+    rows = rows.repartitionByRange("read_index").sortWithinPartitions("read_index", "row_no")
+    write_text(rows.select(*[f.name for f in struct(ALIGNMENT_COLUMNS).fields]), path, header=False)
+
+
 def failed_as_minus_one(df: DataFrame, values: str) -> DataFrame:
     """A failed read's null array as [-1]."""
     return df.withColumn(values, F.coalesce(F.col(values), F.array(F.lit(-1)).cast(df.schema[values].dataType)))

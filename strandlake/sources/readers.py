@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,9 +32,14 @@ def delimited(spark: SparkSession, path: str, columns: str, sep: str = "\t", hea
         first = rows.filter("row_no = 0").select("parts").first()
         if first is None or first.parts != names:
             raise ValueError(f"header of {path} isn't {names}")
-        rows = rows.filter("row_no > 0")
-    rows = rows.filter(F.size("parts") == len(fields))
-    return rows.select(*[F.get("parts", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)], "row_no")
+    return _cast(rows, fields, F.col("row_no") > 0 if header else F.lit(True))
+
+
+def _cast(rows: DataFrame, fields: list, held: Column) -> DataFrame:
+    """The fields of the rows that have all of them. A field is null where its row goes, so that a filter on a column,
+    which the planner may move before the rows are numbered or counted, casts no header and no broken line."""
+    held = held & (F.size("parts") == len(fields))
+    return rows.filter(held).select(*[F.when(held, F.get("parts", F.lit(i))).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)], "row_no")
 
 
 def event_table(spark, path):
@@ -80,8 +85,8 @@ def collapsed_table(spark, path) -> DataFrame:
 def alignment_table(spark, path) -> DataFrame:
     """No header; a trailing separator on each line."""
     fields = S.struct(S.ALIGNMENT_COLUMNS).fields
-    rows = numbered_lines(spark, path).withColumn("parts", F.split(F.regexp_replace("value", "\\s+$", ""), "\t")).filter(F.size("parts") == len(fields))
-    return rows.select(*[F.get("parts", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)], "row_no")
+    rows = numbered_lines(spark, path).withColumn("parts", F.split(F.regexp_replace("value", "\\s+$", ""), "\t"))
+    return _cast(rows, fields, F.lit(True))
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -5,16 +5,20 @@ before and the open elements. Elements that are never article text (menus, heade
 adverts, scripts, styles, reader comments; by tag, role, or words of class and id) are left out as they open. Inside an
 article or main element only whole words of CLEAR count, and no heading or section goes by the slug that is its id.
 A form is left out unless it holds an article or main element or more than half of the text.
-The ratio of text to tags per line is smoothed with a Gaussian kernel, and a two-means threshold splits lines into
-content and rest. The region is the article or main element with the most smoothed content, with its sibling articles;
-in pages without such, the deepest element that holds REGION of the content, grown towards the root: at each parent the
-blocks beside it join unless they are boilerplate (most of their text is links, or a rights notice). Where a parent has
-such blocks, those that join have prose or lie between others that join or are headings before them. All lines of the
-region are returned in page order: short paragraphs between long ones are not dropped.
+The ratio of text to tags per line is smoothed with a Gaussian kernel, and a two-means threshold of its logarithm splits
+lines into content and rest. Content weighs by its smoothed ratio times its length. The region is the article or main element with
+the most content (of equal ones the first in the page), with its sibling articles, if these hold ARTICLE of the page's
+content; in other pages the deepest element that holds REGION of the content, grown towards the root: at each parent
+the blocks beside it join that are content by half of their text or have prose, lie between such blocks, or are headings
+before them, but no boilerplate (most of its text is links, or a rights notice). Where that element is the body itself,
+its blocks are chosen likewise. All lines of
+the region are returned in page order: short paragraphs between long ones are not dropped. Where all lines have one
+smoothed ratio all are content.
 
 White space inside a block becomes one space (a <br> is white space), blocks are joined by a line feed, character
-references are decoded. Null and empty html, and pages without text, give the empty string. Nothing is capped. Rows
-that repeat, null ids and urls pass through; extra columns are ignored.
+references are decoded. Null and empty html, and pages without text, give the empty string. Nothing is capped: a page
+of any length is read whole, one page at a time. Rows that repeat, null ids and urls pass through; extra columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from .common import pieces
 
 #: Share of the content's smoothed mass that a region without article or main element has to hold.
 REGION = 0.75
+#: Share of the content's smoothed mass that an article or main element has to hold, with its sibling articles.
+ARTICLE = 0.25
 SIGMA = 1.5
 #: A line is prose if it has so many letters outside links, or is a sentence.
 PROSE = 80
@@ -76,6 +82,7 @@ class Page(HTMLParser):
         self.linked = 0
         self.made = 0
         self.kind: dict[int, bool] = {0: False}  # element -> whether it is an article or main element
+        self.roots: set[int] = {0}  # the page, html and body
         self.headings: set[int] = set()
         self.links: set[int] = set()
         self.forms: set[int] = set()  # what they hold decides at the end of the page
@@ -137,6 +144,8 @@ class Page(HTMLParser):
             left = False  # an article's own heading
         self.made += 1
         self.kind[self.made] = main
+        if tag in ("html", "body"):
+            self.roots.add(self.made)
         if form:
             self.forms.add(self.made)
         if tag in HEADINGS:
@@ -228,6 +237,11 @@ def clutter(some: list[tuple[str, int, tuple[int, ...], int]]) -> bool:
     return 2 * sum(k for *_, k in some) > sum(len(t) for t, *_ in some) or all(2 * k > len(t) or RIGHTS.search(t) for t, _, _, k in some)
 
 
+def mostly(some: list[tuple[str, int, tuple[int, ...], int]], content: list[bool]) -> bool:
+    """Whether content lines hold at least half of a block's text."""
+    return 2 * sum(len(line[0]) for line, c in zip(some, content) if c) >= sum(len(line[0]) for line in some)
+
+
 def prose(line: tuple[str, int, tuple[int, ...], int]) -> bool:
     text, _, _, linked = line
     return 2 * linked <= len(text) and not RIGHTS.search(text) and (len(text) - linked >= PROSE or bool(SENTENCE.match(text)))
@@ -258,25 +272,28 @@ def with_siblings(page: Page, lines, region: int) -> set[int]:
     return keep
 
 
-def grown(page: Page, lines, region: int) -> set[int]:
-    """Lines of a region and of the blocks beside it and its ancestors that are no boilerplate."""
+def grown(page: Page, lines, region: int, content: list[bool]) -> set[int]:
+    """Lines of a region and of the blocks beside it and its ancestors that are no boilerplate. content: whether a line's
+    smoothed ratio lies above the threshold."""
     keep = {i for i, line in enumerate(lines) if region in line[2]}
     path = lines[min(keep)][2]
-    for at in range(path.index(region) - 1, -1, -1):
+    at = path.index(region)
+    if region in page.roots and any(content[i] or prose(lines[i]) for i in keep):
+        keep, at = set(), at + 1  # the article has no element of its own: its blocks are chosen too
+    for at in range(at - 1, -1, -1):
         blocks = children(lines, path, at)
         inside = [not keep.isdisjoint(b) for b in blocks]
         bad = [not k and clutter([lines[i] for i in b]) for k, b in zip(inside, blocks)]
-        if any(bad):
-            good = [k or not x and any(prose(lines[i]) for i in b) for k, x, b in zip(inside, bad, blocks)]
-            first, last = good.index(True), len(good) - good[::-1].index(True)
-            while first and not bad[first - 1] and all(not page.headings.isdisjoint(lines[i][2]) for i in blocks[first - 1]):
-                first -= 1
-            joins = [first <= k < last and not x for k, x in enumerate(bad)]
-        else:
-            joins = [True] * len(blocks)
-        for b, join, k in zip(blocks, joins, inside):
-            if join and not k:
-                keep.update(b)
+        good = [k or not x and (mostly([lines[i] for i in b], [content[i] for i in b]) or any(prose(lines[i]) for i in b)) for k, x, b in zip(inside, bad, blocks)]
+        if not any(good):
+            keep.update(i for b in blocks for i in b if content[i] or prose(lines[i]))
+            continue
+        first, last = good.index(True), len(good) - good[::-1].index(True)
+        while first and not bad[first - 1] and all(not page.headings.isdisjoint(lines[i][2]) for i in blocks[first - 1]):
+            first -= 1
+        for k in range(first, last):
+            if not bad[k] and not inside[k]:
+                keep.update(blocks[k])
     return keep
 
 
@@ -296,27 +313,23 @@ def extract(html: str | None) -> str:
     if not lines:
         return ""
     dense = smoothed([len(t) / max(1, tags) for t, tags, *_ in lines])
-    cut = threshold(dense)
+    cut = math.expm1(threshold([math.log1p(d) for d in dense])) - 1e-9
+    own = [d * len(line[0]) if d >= cut else 0.0 for line, d in zip(lines, dense)]
+    whole = sum(own)
     mass: dict[int, float] = {}
-    whole = 0.0
-    for (text, _, path, _), d in zip(lines, dense):
-        m = d * len(text) if d >= cut else 0.0
-        whole += m
+    for (_, _, path, _), m in zip(lines, own):
         for n in path:
             mass[n] = mass.get(n, 0.0) + m
     named = [n for n in mass if page.kind[n]]
-    if named:
-        # of nested elements with the same content the outer one, as page order has it first
-        keep = with_siblings(page, lines, max(named, key=lambda n: (mass[n], -n)))
-    elif whole:
+    # of nested elements with the same content the outer one, as page order has it first
+    keep = with_siblings(page, lines, max(named, key=lambda n: (mass[n], -n))) if named else set()
+    if not keep or sum(own[i] for i in keep) < ARTICLE * whole:
         region = max(n for n in mass if mass[n] >= REGION * whole)
         under = [p for _, _, p, _ in lines if region in p]
         if len(under) == 1 and under[0][-1] == region and region:
             # a region of one block: its parent holds the other blocks of the text
             region = under[0][-2]
-        keep = grown(page, lines, region)
-    else:
-        keep = set(range(len(lines)))
+        keep = grown(page, lines, region, [d >= cut for d in dense])
     return "\n".join(line[0] for i, line in enumerate(lines) if i in keep)
 
 

@@ -3,8 +3,9 @@
 The vocabulary's pieces (and every single byte) cover a marked word, its bytes after one marker, in many ways. Each
 language has a probability for every piece; a forward pass over the byte positions sums the probability of all
 segmentations of a word, for all languages at once and rescaled so that no word underflows, and a text's score is the sum
-of its words' logarithms plus the logarithm of the language's share. Words and pieces are told apart by their bytes. Probabilities come from expected piece counts: a forward and a backward pass over the
-training words under a uniform prior over pieces, whose posterior counts are added up per language and smoothed.
+of its words' logarithms plus the logarithm of the language's share. Words and pieces are told apart by their bytes.
+Probabilities come from expected piece counts: a forward and a backward pass over the training words under a uniform
+prior over pieces, whose posterior counts are added up per language and smoothed.
 
 Languages are learnt from rows with a lang whose crc32(doc_id as text) mod 4 is not 2: all of them up to about SAMPLE
 rows a language, else those with the smallest hashes in expectation SAMPLE. lang, source and doc_id are no inputs of a

@@ -13,8 +13,9 @@ that is compatible with the state it extends. Compatibility of two pieces is wor
 
 A character that no piece covers becomes its UTF-8 bytes' pieces. Decoding joins the pieces, puts spaces for marks and
 drops the dummy space. encode and decode are exact inverses on every text: a literal mark character in a text is encoded
-by its bytes. Null and empty texts have no pieces. Rows that repeat have the same result; extra columns are ignored;
-nothing is capped.
+by its bytes. Null and empty texts have no pieces. Rows that repeat have the same result; ties between pieces don't
+arise under a model's own rule; long texts are cut into words and encoded whole. An empty table gives no rows. Extra
+columns are ignored; nothing is capped.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_dedup import plain_components, plain_exact
 from test_text import good_and_bad, plain_hits
 
@@ -56,3 +57,27 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 100
+
+
+def test_stages_on_odd_tables(spark, folder, clash, empty):
+    """Clashing columns, null ids, null texts, rows that repeat, and a table without rows: every stage works, all but the
+    last return the columns that they got and texts as they were."""
+    at, _ = folder
+    odd = clash.withColumns({c: F.lit(3) for c in ("_sl_bucket", "_sl_map", "_sl_id", "_sl_text", "ends", "pieces", "component_id", "group_size", "item_id")})
+    texts = {(r.doc_id, r.text) for r in odd.collect()}
+    for docs in (odd, empty):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, at)
+            rows = out.collect()
+            if k < 4:
+                assert out.columns == docs.columns and {(r.doc_id, r.text) for r in rows} <= texts
+            assert bool(rows) == (docs is odd)
+
+
+def test_without_labels_and_items(spark, folder, tmp_path):
+    """No label: nothing is rejected. No test item: nothing is contaminated."""
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == docs.count()
+    assert corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).count() == docs.count()

@@ -10,7 +10,9 @@
 
 ``run`` applies the stages to ``documents``; each result is written as Parquet in the shared folder and read again as
 the next stage's input, so that the lineage ends there. Rows without text are empty texts; rows without id pass the
-stages that go by id.
+stages that go by id. Rows that repeat an id and its text share one fate in every stage (ties go by doc_id). Long texts are
+judged whole. Tables without rows are allowed: no documents give no rows, no labels reject nothing, no test items
+contaminate nothing. Extra columns of documents, whatever their names, pass all stages but the last, which drops them.
 """
 
 from __future__ import annotations

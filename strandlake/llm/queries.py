@@ -1,4 +1,4 @@
-"""The ten queries over the driver's tables, and DuckDB SQL for those that SQL can express."""
+"""The queries over the driver's tables, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from .html_extract import html_extract
 from .huffman_ids import encode_documents
 from .jaccard_join import similar_components
 from .langid import language
+from .periodic_runs import digests, periodic_runs, with_repeats
 from .quality import quality
 from .sentencepiece_viterbi import encode_decode
 from .sharding import shard
@@ -60,6 +61,10 @@ def op10_sharding(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark, sf_dir):
+    return digests(periodic_runs(with_repeats(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_ids": op2_token_ids,
@@ -71,6 +76,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sharding": op10_sharding,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

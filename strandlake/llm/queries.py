@@ -11,6 +11,7 @@ from .html_extract import html_extract
 from .huffman_ids import encode_documents
 from .jaccard_join import similar_components
 from .langid import language
+from .lexical_search import search
 from .periodic_runs import digests, periodic_runs, with_repeats
 from .quality import quality
 from .sentencepiece_viterbi import encode_decode
@@ -61,6 +62,10 @@ def op10_sharding(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark, sf_dir):
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return digests(periodic_runs(with_repeats(table(spark, sf_dir, "documents"))))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sharding": op10_sharding,
+    "op12_lexical_search": op12_lexical_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -107,6 +113,17 @@ SQL = {
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM w LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
     """,
+    "op12_lexical_search": rf"""
+        WITH d AS MATERIALIZED (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+        s AS (SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS terms FROM d WHERE len(ws) > 0),
+        p AS MATERIALIZED (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS t FROM d) GROUP BY 1, 2, 3),
+        w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY 1), s),
+        q AS (SELECT DISTINCT item_id, unnest({_ALNUM}) AS t FROM benchmark),
+        r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // terms))))) AS BIGINT) AS score
+              FROM q JOIN p USING (t) JOIN w USING (t), s GROUP BY 1, 2)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM r WHERE score > 0 QUALIFY rank <= 10
+    """,
     "op1_exact_dedup": r"""
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256

@@ -14,6 +14,7 @@ from .langid import language
 from .lexical_search import search
 from .periodic_runs import digests, periodic_runs, with_repeats
 from .quality import quality
+from .quality_rules import quality_rules
 from .sentencepiece_viterbi import encode_decode
 from .sharding import shard
 from .suffix_dedup import remove_repeats
@@ -62,6 +63,10 @@ def op10_sharding(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_lexical_search(spark, sf_dir):
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sharding": op10_sharding,
+    "op11_quality_rules": op11_quality_rules,
     "op12_lexical_search": op12_lexical_search,
     "op13_periodic_runs": op13_periodic_runs,
 }

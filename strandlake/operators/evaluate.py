@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import list_literal, round_np, site_label
+from ..tables import stored
 
 
 def site_rates(cells: DataFrame, site: str, state: str) -> DataFrame:
@@ -21,32 +22,33 @@ def wide_to_long(df: DataFrame, keys: list[str], columns: list[str], name: str =
     return df.unpivot(keys, columns, name, value)
 
 
-def _curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Distinct scores, falling, with cumulated true and false positives. Rows of a score are added up first, so the
-    window sorts no more rows than there are scores."""
-    rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q"))
-    return _cumulated(rows)
+def cumulated(rows: DataFrame, order: str, sums: dict[str, str], falling: bool = False) -> DataFrame:
+    """rows (one for each value of ``order``) with running sums, {new column: column}, in that order. Rows are written once
+    as ranges of the order; each range cumulates its own and adds the totals of the ranges before it, of which there are as
+    many as shuffle partitions. No task holds more than a range."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    key = F.col(order).desc() if falling else F.col(order).asc()
+    placed = stored(rows.repartitionByRange(n, key).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_{k}") for k, c in enumerate(sums.values())])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in range(len(sums))])
+    inside = Window.partitionBy("_range").orderBy(key)
+    held = placed.select(*placed.columns, *[F.sum(c).over(inside).alias(f"_own{k}") for k, c in enumerate(sums.values())])
+    both = held.join(F.broadcast(totals), "_range")
+    return both.select(*rows.columns, *[(F.col(f"_own{k}") + F.col(f"_{k}")).alias(name) for k, name in enumerate(sums)])
 
 
-#: Ranges that scores are cumulated in.
-RANGES = 64
+def _curve(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Distinct scores, falling, with cumulated true and false positives. Rows of a score are added up first, so no more
+    rows than there are scores are ordered."""
+    rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q"))
+    return cumulated(rows, "score", {"tp": "p", "fp": "q"}, falling=True)
 
 
-def _cumulated(rows: DataFrame) -> DataFrame:
-    """Cumulated sums over falling scores in two steps: inside ranges of the score, and over the ranges' totals. The
-    ranges' bounds are numbers that the plan holds, so both steps see the same ones."""
-    bounds = sorted(set(rows.approxQuantile("score", [k / RANGES for k in range(1, RANGES)], 0.2 / RANGES) or []))
-    place = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(float(b)) for b in bounds])
-        place = F.aggregate(edges, F.lit(0), lambda n, b: n + (F.col("score") > b).cast("int"))
-    placed = rows.withColumn("_part", place)
-    w = Window.partitionBy("_part").orderBy(F.col("score").desc())
-    inside = placed.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("q").over(w))
-    ranges = placed.groupBy("_part").agg(F.sum("p").alias("p_"), F.sum("q").alias("q_"))
-    before = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
-    ranges = ranges.select("_part", F.coalesce(F.sum("p_").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("q_").over(before), F.lit(0)).alias("fp0"))
-    return inside.join(F.broadcast(ranges), "_part").select("score", "p", "q", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("fp") + F.col("fp0")).alias("fp"))
+def selected(df: DataFrame, flag: str = "select") -> DataFrame:
+    """Rows that a curve is made of: those marked 1 that have no null."""
+    return df.filter(F.col(flag) == 1).na.drop()
 
 
 def roc_auc(df: DataFrame, score: str, label: str, places: int = 3) -> DataFrame:
@@ -83,8 +85,7 @@ def tag_common(a: DataFrame, common: DataFrame, key: str = "kmer") -> DataFrame:
 
 def label_frequency(df: DataFrame, label: str) -> DataFrame:
     """(label, n, running): counts and their running sum in the labels' order (one row per label)."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    return counts.withColumn("running", F.sum("n").over(Window.orderBy(label)))
+    return cumulated(df.groupBy(label).agg(F.count("*").alias("n")), label, {"running": "n"})
 
 
 def site_labels(df: DataFrame, kmers: str, positions: str) -> Column:

@@ -87,15 +87,15 @@ def alignment_run_collapse(spark, sf_dir):
 
 
 @query(
-    f"""WITH r AS (SELECT user_id, first(k ORDER BY place) AS fk, first(event_id ORDER BY place) AS fe, last(k ORDER BY place) AS lk, last(event_id ORDER BY place) AS le FROM {_NUMBERED} GROUP BY user_id)
+    f"""WITH r AS (SELECT user_id, CAST(first(k + place ORDER BY place) AS INTEGER) AS fk, first(event_id ORDER BY place) AS fe, CAST(last(k + place ORDER BY place) AS INTEGER) AS lk, last(event_id ORDER BY place) AS le FROM {_NUMBERED} GROUP BY user_id)
     SELECT user_id, fk AS trans_position_start, lk AS trans_position_end, least(fe, le) AS start_idx, greatest(fe, le) AS end_idx, c_name AS read_name, c_mktsegment AS fast5_path,
-           CASE WHEN fk >= 2 THEN substr(repeat('ACGT', 100), fk - 1, lk - fk + 5) END AS ref
+           CASE WHEN fk >= 2 THEN substr(repeat('ACGT', 100), CAST(fk - 1 AS BIGINT), CAST(greatest(0, lk - fk + 5) AS BIGINT)) END AS ref
     FROM r JOIN customer ON c_custkey = user_id"""
 )
 def read_summary(spark, sf_dir):
     """First and last position and extent of each read, with the summary's names and its slice of the reference."""
     place = F.row_number().over(Window.partitionBy(*READ).orderBy(*ORDER))
-    e = events(spark, sf_dir).select(F.col("user_id").alias("read_idx"), F.lit("t").alias("contig"), F.col("k").alias("pos"), F.col("event_id").alias("start_idx"), F.col("event_id").alias("end_idx"), place.alias("row_no"))
+    e = events(spark, sf_dir).select(F.col("user_id").alias("read_idx"), F.lit("t").alias("contig"), (F.col("k") + place - 1).alias("pos"), F.col("event_id").alias("start_idx"), F.col("event_id").alias("end_idx"), place.alias("row_no"))
     summary = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("read_index"), F.col("c_name").alias("read_name"), F.col("c_mktsegment").alias("fast5_path"))
     reference = spark.range(1).select(F.lit("t").alias("id"), F.lit("ACGT" * 100).alias("seq"))
     out = runs.summarise_reads(e, summary, reference)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import list_literal, round_np, site_label
-from ..tables import stored
+from ..tables import discard, stored
 
 
 def site_rates(cells: DataFrame, site: str, state: str) -> DataFrame:
@@ -22,21 +22,31 @@ def wide_to_long(df: DataFrame, keys: list[str], columns: list[str], name: str =
     return df.unpivot(keys, columns, name, value)
 
 
+#: Rows that one task cumulates.
+RANGE_ROWS = 1_000_000
+
+
 def cumulated(rows: DataFrame, order: str, sums: dict[str, str], falling: bool = False) -> DataFrame:
-    """rows (one for each value of ``order``) with running sums, {new column: column}, in that order. Rows are written once
-    as ranges of the order; each range cumulates its own and adds the totals of the ranges before it, of which there are as
-    many as shuffle partitions. No task holds more than a range."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    """rows (one for each value of ``order``) with running sums, {new column: column}, in that order. Rows are written
+    once; where they are more than RANGE_ROWS, as ranges of the order, each of which cumulates its own and adds the totals
+    of the ranges before it."""
     key = F.col(order).desc() if falling else F.col(order).asc()
-    placed = stored(rows.repartitionByRange(n, key).withColumn("_range", F.spark_partition_id()), "ranges")
-    totals = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_{k}") for k, c in enumerate(sums.values())])
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_range", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in range(len(sums))])
+    placed = stored(rows, "counts")
+    n = -(-placed.count() // RANGE_ROWS)
+    if n > 1:
+        ranges = stored(placed.repartitionByRange(n, key).withColumn("_range", F.spark_partition_id()), "ranges")
+        discard(placed)
+        placed = ranges
+    else:
+        placed = placed.withColumn("_range", F.lit(0))
     inside = Window.partitionBy("_range").orderBy(key)
     held = placed.select(*placed.columns, *[F.sum(c).over(inside).alias(f"_own{k}") for k, c in enumerate(sums.values())])
-    both = held.join(F.broadcast(totals), "_range")
-    return both.select(*rows.columns, *[(F.col(f"_own{k}") + F.col(f"_{k}")).alias(name) for k, name in enumerate(sums)])
+    if n <= 1:
+        return held.select(*rows.columns, *[F.col(f"_own{k}").alias(name) for k, name in enumerate(sums)])
+    totals = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_{k}") for k, c in enumerate(sums.values())])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in range(len(sums))])
+    return held.join(F.broadcast(totals), "_range").select(*rows.columns, *[(F.col(f"_own{k}") + F.col(f"_{k}")).alias(name) for k, name in enumerate(sums)])
 
 
 def _curve(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from .functions import arrays as A
 from .functions import scalars as C
-from .operators import align, evaluate, mixture, reads, runs, segment, signal
+from .operators import align, borders, evaluate, mixture, reads, runs, segment, signal
 from .operators import kernels as K
 from .sources.readers import last_wins
 
@@ -305,26 +305,56 @@ def _signals(spark, sf_dir):
     return e.select("user_id", F.transform("s", lambda x: x["value"]).alias("signal"))
 
 
-@query(
-    f"""WITH m AS (SELECT user_id, row_number() OVER w - 1 AS place, sum(abs(slope)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS y FROM ({_SLOPE})
+def _places(spark, sf_dir):
+    """Sample rows (user_id, place, value)."""
+    place = (F.row_number().over(Window.partitionBy(*READ).orderBy(*ORDER)) - 1).cast("long")
+    return load(spark, sf_dir, "events").select("user_id", place.alias("place"), "value")
+
+
+_PEAKS = f"""m AS (SELECT user_id, row_number() OVER w - 1 AS place, sum(abs(slope)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS y FROM ({_SLOPE})
               WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     f AS (SELECT *, CASE WHEN lag(y) OVER w IS NOT DISTINCT FROM y THEN 0 ELSE 1 END AS brk FROM m WINDOW w AS (PARTITION BY user_id ORDER BY place)),
     g AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS flat FROM f),
     t AS (SELECT user_id, flat, any_value(y) AS y, min(place) AS a, max(place) AS b FROM g GROUP BY 1, 2),
     n AS (SELECT *, lag(y) OVER w AS before, lead(y) OVER w AS after FROM t WINDOW w AS (PARTITION BY user_id ORDER BY flat)),
-    tops AS (SELECT user_id, list([CAST((a + b) // 2 AS INTEGER)] ORDER BY y DESC, a DESC) AS ps FROM n WHERE y > before AND y > after GROUP BY 1)
-    SELECT u.user_id, CASE WHEN ps IS NULL THEN [] ELSE list_sort(list_reduce(ps, lambda kept, p: CASE WHEN len(list_filter(kept, lambda q: abs(q - p[1]) < 10)) > 0 THEN kept ELSE list_concat(kept, p) END)) END AS peaks
-    FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN tops USING (user_id)"""
-)
+    tops AS (SELECT user_id, list([CAST((a + b) // 2 AS INTEGER)] ORDER BY y DESC, a DESC) AS ps FROM n WHERE y > before AND y > after GROUP BY 1),
+    k AS (SELECT u.user_id, CASE WHEN ps IS NULL THEN [] ELSE list_sort(list_reduce(ps, lambda kept, p: CASE WHEN len(list_filter(kept, lambda q: abs(q - p[1]) < 10)) > 0 THEN kept ELSE list_concat(kept, p) END)) END AS peaks
+    FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN tops USING (user_id))"""
+
+
+@query(f"WITH {_PEAKS} SELECT user_id, peaks FROM k")
 def peak_pick(spark, sf_dir):
     """Slope peaks at least 10 samples apart: of two nearer ones the lower goes, the highest first."""
-    return signal.pick_peaks(_signals(spark, sf_dir), READ)
+    rows = _places(spark, sf_dir)
+    peaks = borders.pick_peaks(rows, READ).groupBy(*READ).agg(F.array_sort(F.collect_list(F.col("place").cast("int"))).alias("peaks"))
+    return rows.select(*READ).distinct().join(peaks, READ, "left").select("user_id", F.coalesce("peaks", F.array().cast("array<int>")).alias("peaks"))
 
 
-@query()
+_PART = "FILTER (s.place {0})"
+_FLAT = "CASE WHEN count(*) FILTER (s.place {0}) > 0 THEN {1} - var_pop(value) FILTER (s.place {0}) / 8 ELSE 0 END"
+_LINE = "BETWEEN st AND en"
+
+
+@query(
+    f"""WITH {_PEAKS}, s AS (SELECT user_id, place, value FROM {_NUMBERED}), z AS (SELECT user_id, max(place) + 1 AS n FROM s GROUP BY 1),
+    p AS (SELECT k.user_id, n, unnest(peaks[2:len(peaks) - 1]) AS p FROM k JOIN z USING (user_id)),
+    c AS (SELECT user_id, p, st, en, greatest(0, p - 8) AS lo, least(n - 1, p + 8) AS hi FROM p, range(0, 8) a(i), range(1, 9) b(j), LATERAL (SELECT p - 8 + i AS st, p + j AS en)
+          WHERE st >= greatest(0, p - 8) AND en <= least(n - 1, p + 8) AND en - st > 2),
+    r AS (SELECT c.user_id, p, st, en, regr_sxx(value, s.place) {_PART.format(_LINE)} AS sxx, regr_sxy(value, s.place) {_PART.format(_LINE)} AS sxy, regr_syy(value, s.place) {_PART.format(_LINE)} AS syy,
+              {_FLAT.format("< st", "w")} + {_FLAT.format("> en AND s.place < hi", "w")} AS flanks, any_value(w) AS w
+          FROM c JOIN s ON s.user_id = c.user_id AND s.place BETWEEN lo AND hi, (SELECT -0.5 * (ln(2 * pi()) + 2 * ln(2)) AS w) GROUP BY c.user_id, p, st, en, w),
+    l AS (SELECT *, CASE WHEN sxy / sxx >= 0 THEN greatest(sxy / sxx, 5) ELSE least(sxy / sxx, -5) END AS b FROM r),
+    best AS (SELECT user_id, arg_max(row(st, en), row(w - (syy - 2 * b * sxy + b * b * sxx) / (8 * (en + 1 - st)) + flanks, -st, -en)) AS x FROM l GROUP BY user_id, p),
+    o AS (SELECT DISTINCT user_id, unnest(range(x[1], x[2] + 1)) AS place FROM best),
+    y AS (SELECT s.user_id, s.place, CASE WHEN o.place IS NULL THEN 0 ELSE 1 END AS state FROM s LEFT JOIN o ON o.user_id = s.user_id AND o.place = s.place),
+    e AS (SELECT user_id, min(place) FILTER (state = 0) AS a, max(place) FILTER (state = 0) AS b FROM y GROUP BY 1),
+    v AS (SELECT y.user_id, place, CASE WHEN place BETWEEN a AND b THEN state ELSE 0 END AS state FROM y JOIN e USING (user_id)),
+    d AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY place) AS before FROM v)
+    SELECT user_id, list_sort(list_concat(list(CAST(place AS INTEGER)) FILTER (before IS NULL OR before <> state), [CAST(max(place) + 1 AS INTEGER)])) AS border FROM d GROUP BY user_id"""
+)
 def initial_border(spark, sf_dir):
-    """Borders from transition windows (tested against brute force)."""
-    return signal.initial_border(_signals(spark, sf_dir), READ)
+    """Borders from the best transition windows around all inner peaks."""
+    return borders.initial_border(_places(spark, sf_dir), READ)
 
 
 @query(

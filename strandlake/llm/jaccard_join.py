@@ -8,8 +8,10 @@ same for all, so the list of frequent shingles can be bounded (HEAVY_MOST) witho
 
 Documents with the same size and prefix are one group; inside it, documents with the same sequence of words (by a 128-bit
 cryptographic digest) are one class with the smallest doc_id as representative. Prefix shingles of groups (never of
-copies) are dealt by shingle; a shingle's groups are a run. Shingles are numbered by 63-bit hashes up to here; whether two
-texts link is decided by their words, compared byte by byte.
+copies) are dealt by shingle; a shingle's groups are a run. Shingles are numbered by 63-bit hashes up to here. Equal hashes
+inside a text are compared by their bytes, and shingles that share a hash get a key each (the k-th of a hash the same key in
+every text): so sizes are exact, and texts have at least as many keys in common as shingles, as the filter needs. Whether
+two texts link is decided by their words, compared byte by byte.
 
 Linked classes are found in two rounds, so that k near copies cost about k checks and not k * k:
 1. Each group is checked with one central group: of the groups with the most shared prefix shingles in its runs (a text
@@ -28,8 +30,8 @@ each pair of tiles is a task's. Buckets and partitions follow the bytes of the t
 Null and empty texts, and texts without words, have an empty set and link with nothing; long texts are taken whole. Ties
 (groups that are equally central) are broken by the groups' hashes, and don't touch the result. Rows that repeat an id
 and its text are one document; rows that repeat an id with another text are rows of their own with the component of
-their text, but where both are the smallest id of their class the id is one node. Null ids come after all others as
-representatives and are returned with component null unless linked. Extra columns are ignored; an empty table gives no rows.
+their text. Rows without id take part like any others and can join what links with them; their component is the smallest id
+that they reach, null if they reach none. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HOT_LEAST, LOWER, PARTITIONS, SPACE, Workspace, attach_groups, bucket_count, components, dealt, distinct, eight, flat, give_back, id_filter, maybe_in, mix, pieces, ranges, text_bytes, text_column, without, word_hashes, words
+from .common import HOT_LEAST, LOWER, PARTITIONS, SPACE, Workspace, attach_groups, bucket_count, components, dealt, distinct, eight, flat, give_back, id_filter, maybe_in, mix, pieces, ranges, same_bytes, text_bytes, text_column, without, word_hashes, words
 
 N = 4
 PERCENT = 85
@@ -61,6 +63,8 @@ CENTRES = 3
 TALLIES = 128
 #: Runs up to this size are paired by whole arrays, runs above TILE by tiles in different tasks.
 SHORT, TILE = 12, 4096
+#: Pairs that a task holds before it hands them on.
+HELD = 500_000
 #: Copies at most that are made of a text so that its pairs aren't one task's.
 SALTS = 4096
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
@@ -79,12 +83,13 @@ def _cut(col: pa.Array, n: int):
 
 def shingles(col: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """63-bit hashes of all shingles (not distinct yet), and each text's bounds in them."""
-    return _hashed(_cut(col, n), n)
+    parts = _cut(col, n)
+    return _hashed(parts, n, eight(parts[0]))
 
 
-def _hashed(parts, n: int) -> tuple[np.ndarray, np.ndarray]:
-    buf, starts, ends, _, first, have, bounds = parts
-    m = word_hashes(eight(buf), starts, ends)
+def _hashed(parts, n: int, load: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    _, starts, ends, _, first, have, bounds = parts
+    m = word_hashes(load, starts, ends)
     if not len(m):
         return np.zeros(0, np.uint64), bounds
     h = have.astype(np.uint64)
@@ -94,6 +99,30 @@ def _hashed(parts, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h) >> np.uint64(1), bounds
 
 
+def more_keys(parts, n: int, load: np.ndarray, h: np.ndarray, a: int, z: int) -> np.ndarray:
+    """Keys for the different shingles of one text (its occurrences are a .. z - 1) that share a hash: one for each but the
+    first. Equal hashes are compared by the words' bytes, so a text has as many keys as it has shingles, and two texts have
+    at least as many keys in common as shingles."""
+    buf, starts, ends, _, first, have, _ = parts
+    by = np.argsort(h[a:z], kind="stable")
+    heads = np.concatenate([[True], h[a:z][by][1:] != h[a:z][by][:-1]])
+    i, j = a + by, a + by[np.flatnonzero(heads)[np.cumsum(heads) - 1]]
+    i, j = i[i != j], j[i != j]
+    same, size = np.ones(len(i), dtype=bool), ends - starts
+    for k in range(min(n, int(have[a]))):
+        p, q = first[i] + k, first[j] + k
+        same &= size[p] == size[q]
+        live = np.flatnonzero(same)
+        same[live] = same_bytes(load, starts[p[live]], load, starts[q[live]], size[p[live]])
+    if same.all():
+        return np.zeros(0, np.uint64)
+    raw, kinds = buf.tobytes(), {}
+    for x in np.flatnonzero(np.isin(h[a:z], h[i[~same]])).tolist():
+        w = range(int(first[a + x]), int(first[a + x] + have[a + x]))
+        kinds.setdefault(int(h[a + x]), set()).add(b" ".join(raw[starts[k] : ends[k]] for k in w))
+    return np.array([int(mix(np.array([u], np.uint64) * np.uint64(3) + np.uint64(k))[0]) >> 1 for u, some in kinds.items() for k in range(1, len(some))], np.uint64)
+
+
 def sequences(parts) -> np.ndarray:
     """A 128-bit digest of each text's words (joined by one space), as two numbers."""
     buf, starts, ends, at, *_ = parts
@@ -257,7 +286,8 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
 
         for b in pieces(batches):
             cut = _cut(b.column(1), n)
-            h, bounds = _hashed(cut, n)
+            load = eight(cut[0])
+            h, bounds = _hashed(cut, n, load)
             key = order.value.keys(h)
             rows = b.num_rows
             count, sequence = np.zeros(rows, np.int64), sequences(cut)
@@ -265,6 +295,10 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
             tally = [b""] * rows
             for i in range(rows):
                 o = _unique(key[bounds[i] : bounds[i + 1]])
+                if len(o) < bounds[i + 1] - bounds[i]:  # a shingle occurs again, or two of them share a hash
+                    more = more_keys(cut, n, load, h, int(bounds[i]), int(bounds[i + 1]))
+                    if len(more):
+                        o = _unique(np.concatenate([o, more]))
                 k = len(o)
                 if not k:
                     continue
@@ -336,9 +370,10 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     flow = ws.put(flow, "flow", compression="zstd")
     docrows = flow.filter("kind = 0").select("doc_id", "n", "gid", "last", "tally", F.struct("s1", "s2", "n").alias("class"))
     classes = docrows.filter("n > 0").groupBy("class", "gid", "n", "last").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.min("tally").alias("tally"))
-    classes = ws.put(classes.filter("rep is not null"), "classes", compression="zstd")
+    classes = ws.put(classes.withColumn("node", F.monotonically_increasing_id()), "classes", compression="zstd")
+    lost = not classes.filter("rep is null").isEmpty()  # classes that only rows without id have
 
-    lead = classes.groupBy("gid").agg(F.min("rep").alias("lead"), F.count("*").alias("k"), F.min("last").alias("last"))
+    lead = classes.groupBy("gid").agg(F.min("node").alias("lead"), F.count("*").alias("k"), F.min("last").alias("last"))
     lead = ws.put(lead, "lead", compression="zstd")
 
     def unpack(batches):
@@ -414,14 +449,14 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
     across = pairs.join(lead.select(F.col("gid").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("gid").alias("b"), F.col("lead").alias("y")), "b").select("x", "y")
     several = lead.filter("k > 1").select("gid", "lead")
-    inside = classes.join(several, "gid").filter("rep != lead").select(F.col("lead").alias("x"), F.col("rep").alias("y"))
-    tallies = classes.select("rep", "n", "tally", F.col("class.s1").alias("s1"))
-    checked = verify(ws, texts, tallies, across.unionByName(inside).distinct(), "round1", n, percent)
+    inside = classes.join(several, "gid").filter("node != lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
+    tallies = classes.select("node", "rep", "n", "tally", F.col("class.s1").alias("s1"))
+    checked = verify(ws, texts, tallies, across.unionByName(inside).distinct(), "round1", n, percent, lost)
     links = ws.put(checked, "links1") if checked is not None else spark.createDataFrame([], "a long, b long")
     comp = components(ws, links, "comp1") if checked is not None else spark.createDataFrame([], "id long, component long")
 
     # round 2: what round 1 hasn't connected
-    of = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("gid", "n", "last", "rep", F.coalesce("component", "rep").alias("comp"))
+    of = classes.join(comp.withColumnRenamed("id", "node"), "node", "left").select("gid", "n", "last", "node", F.coalesce("component", "node").alias("comp"))
     of = ws.put(of, "of", compression="zstd")
     state = of.groupBy("gid").agg(F.min("comp").alias("comp"), (F.min("comp") != F.max("comp")).alias("mixed"))
     entries = ws.put(entries.join(state, "gid"), "entries2", compression="zstd")
@@ -431,6 +466,7 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         """Pairs of groups of a run in different components (or in several) that can still link."""
         for (key, gid, size, last, rank, comp_, mixed), spans in _by_run(batches, 7):
             made: list = []
+            size_ = 0
 
             def add(i, j):
                 open__ = (comp_[j] != comp_[i]) | mixed[j] | mixed[i]
@@ -438,12 +474,16 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
                 ok = able(size, last, rank, i, j)
                 i, j = i[ok], j[ok]
                 made.append((np.minimum(gid[i], gid[j]), np.maximum(gid[i], gid[j])))
+                return len(i)
 
             i, j, long_ = short_pairs(key, spans)
-            add(i, j)
+            size_ += add(i, j)
             for a, z in long_:
                 for i in range(a, z - 1):
-                    add(i, np.arange(i + 1, a + int(np.searchsorted(size[a:z], size[i] * 100 // percent, "right"))))
+                    size_ += add(i, np.arange(i + 1, a + int(np.searchsorted(size[a:z], size[i] * 100 // percent, "right"))))
+                    if size_ > HELD:  # pairs don't pile up over long runs
+                        yield counted(made)
+                        made, size_ = [], 0
             yield counted(made)
 
     short = (entries.join(long_keys, "key", "left_anti") if any_long else entries).join(open_, "key", "left_semi")
@@ -457,25 +497,30 @@ def similar_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         met = met.filter((F.col("i.comp") != F.col("j.comp")) | F.col("i.mixed") | F.col("j.mixed")).filter(able_here(percent, i, j))
         cross = cross.unionByName(met.select(F.least("i.gid", "j.gid").alias("a"), F.greatest("i.gid", "j.gid").alias("b")))
     cross = cross.distinct()
-    one = of.select(F.col("gid").alias("a"), F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    two = of.select(F.col("gid").alias("b"), F.col("rep").alias("y"), F.col("comp").alias("cy"))
+    one = of.select(F.col("gid").alias("a"), F.col("node").alias("x"), F.col("comp").alias("cx"))
+    two = of.select(F.col("gid").alias("b"), F.col("node").alias("y"), F.col("comp").alias("cy"))
     across = cross.join(one, "a").join(two, "b").filter("cx != cy").select("x", "y")
     torn = state.filter("mixed").select("gid")
     if not torn.isEmpty():
-        torn = of.join(torn, "gid").select("gid", "rep", "comp")
+        torn = of.join(torn, "gid").select("gid", "node", "comp")
         torn = ws.put(torn.join(torn.groupBy("gid").agg(F.count("*").alias("k")), "gid"), "torn")
-        inside = tile_pairs(torn, "gid", "k", "rep").filter("i.comp != j.comp").select(F.least("i.rep", "j.rep").alias("x"), F.greatest("i.rep", "j.rep").alias("y"))
+        inside = tile_pairs(torn, "gid", "k", "node").filter("i.comp != j.comp").select(F.least("i.node", "j.node").alias("x"), F.greatest("i.node", "j.node").alias("y"))
         across = across.unionByName(inside)
-    more = verify(ws, texts, tallies, across.distinct(), "round2", n, percent)
+    more = verify(ws, texts, tallies, across.distinct(), "round2", n, percent, lost)
     if more is not None:
         more = ws.put(more, "links2")
     if more is not None and not more.isEmpty():
         comp = components(ws, links.unionByName(more), "comp2")
 
-    final = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("class", "rows", F.coalesce("component", "rep").alias("component"))
-    total = final.agg(F.sum("rows")).first()[0] or 0
+    # a component's name is its smallest id; one of rows without id alone has none
+    joined = ws.put(classes.join(comp.withColumnRenamed("id", "node"), "node").select("node", "component", "rep"), "joined", compression="zstd")
+    names = ws.put(joined.groupBy("component").agg(F.min("rep").alias("name"), F.count("*").alias("k")), "names")
+    total = names.agg(F.sum("k")).first()[0] or 0
+    named = attach_groups(joined.select("node", "component"), names, "component", "k", total).select("node", "name")
+    final = classes.join(named, "node", "left").select("class", "rows", F.coalesce("name", "rep").alias("component"))
+    total = classes.agg(F.sum("rows")).first()[0] or 0
     some = attach_groups(docrows.filter("n > 0"), final, "class", "rows", total)
-    out = some.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = some.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.unionByName(docrows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
@@ -504,13 +549,14 @@ def promising(ws: Workspace, pairs: DataFrame, total: int, tallies: DataFrame, p
     """Pairs whose sets can overlap enough: two sets have at most as many shingles in common as the sum over TALLIES
     classes of hashes of the smaller counts. Exact: no pair that links goes (a count at its limit counts as any). Ids with
     many pairs are no single task's."""
-    side = tallies.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("tally").alias("tx"), F.col("s1").alias("sx"))
+    side = tallies.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("tally").alias("tx"), F.col("s1").alias("sx"), F.col("rep").alias("rx"))
     if total <= HOT_LEAST:  # no id has more pairs than that
         rows = pairs.join(side, "x")
     else:
         mine = pairs.groupBy("x").agg(F.count("*").alias("pairs"))
         rows = attach_groups(pairs, ws.put(mine.join(side, "x"), f"{name}-x"), "x", "pairs", total)
-    rows = rows.join(tallies.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("tally").alias("ty"), F.col("s1").alias("sy")), "y").select("x", "y", "nx", "ny", "tx", "ty", "sx", "sy")
+    other = tallies.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("tally").alias("ty"), F.col("s1").alias("sy"), F.col("rep").alias("ry"))
+    rows = rows.join(other, "y").select("x", "y", "nx", "ny", "tx", "ty", "sx", "sy", "rx", "ry")
 
     def bound(batches):
         for b in batches:
@@ -520,14 +566,15 @@ def promising(ws: Workspace, pairs: DataFrame, total: int, tallies: DataFrame, p
             tx, ty = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, TALLIES).astype(np.int64) for k in (4, 5))
             most = np.where((tx == 65535) | (ty == 65535), np.maximum(nx, ny)[:, None], np.minimum(tx, ty)).sum(axis=1)
             kept = b.filter(pa.array(((100 + percent) * np.minimum(most, np.minimum(nx, ny)) >= percent * (nx + ny))))
-            yield pa.RecordBatch.from_arrays([kept.column(k) for k in (0, 1, 6, 7)], ["x", "y", "sx", "sy"])
+            yield pa.RecordBatch.from_arrays([kept.column(k) for k in (0, 1, 6, 7, 8, 9)], ["x", "y", "sx", "sy", "rx", "ry"])
 
-    return rows.mapInArrow(bound, "x long, y long, sx long, sy long")
+    return rows.mapInArrow(bound, "x long, y long, sx long, sy long, rx long, ry long")
 
 
-def verify(ws: Workspace, texts: DataFrame, tallies: DataFrame, pairs: DataFrame, name: str, n: int, percent: int) -> DataFrame | None:
-    """The pairs (x, y) of ids whose texts link, as (a, b); None if there are no pairs. A text goes once to each salt that its pairs use, SALTS at
-    most; of an id with several texts, the one of the class that was paired."""
+def verify(ws: Workspace, texts: DataFrame, tallies: DataFrame, pairs: DataFrame, name: str, n: int, percent: int, lost: bool) -> DataFrame | None:
+    """The pairs (x, y) of classes whose texts link, as (a, b); None if there are no pairs. A text goes once to each salt
+    that its pairs use, SALTS at most; of an id with several texts, the one of the class that was paired. ``lost``: some
+    classes have no id; their texts are found by their digest."""
     pairs = ws.put(pairs, f"{name}-all")
     total = pairs.count()
     if not total:
@@ -535,7 +582,7 @@ def verify(ws: Workspace, texts: DataFrame, tallies: DataFrame, pairs: DataFrame
     pairs = promising(ws, pairs, total, tallies, percent, name)
     salt = lambda of: F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int")
     pairs = ws.put(pairs.withColumn("ux", salt("y")).withColumn("uy", salt("x")), f"{name}-pairs")
-    ids = pairs.select(F.col("x").alias("doc_id"), F.col("sx").alias("s1")).unionByName(pairs.select(F.col("y").alias("doc_id"), F.col("sy").alias("s1"))).distinct()
+    ids = pairs.select(F.col("x").alias("node"), F.col("rx").alias("doc_id"), F.col("sx").alias("s1")).unionByName(pairs.select(F.col("y").alias("node"), F.col("ry").alias("doc_id"), F.col("sy").alias("s1"))).distinct()
     ids = ws.put(ids, f"{name}-ids")
 
     def classed(batches):
@@ -543,11 +590,14 @@ def verify(ws: Workspace, texts: DataFrame, tallies: DataFrame, pairs: DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(sequences(_cut(b.column(1), n))[:, 0])], ["doc_id", "text", "s1"])
 
     some = maybe_in(texts.filter("doc_id is not null"), id_filter(ids, "doc_id", ws, f"{name}-bits")).join(ids.select("doc_id").distinct(), "doc_id")
-    some = some.mapInArrow(classed, "doc_id long, text string, s1 long").join(ids, ["doc_id", "s1"]).dropDuplicates(["doc_id", "s1"])
-    some = ws.put(some, f"{name}-texts", compression="zstd")
-    left = pairs.select("x", "sx", "ux").distinct().join(some.select(F.col("doc_id").alias("x"), F.col("s1").alias("sx"), F.col("text").alias("tx")), ["x", "sx"])
-    right = pairs.select("y", "sy", "uy").distinct().join(some.select(F.col("doc_id").alias("y"), F.col("s1").alias("sy"), F.col("text").alias("ty")), ["y", "sy"])
-    both = pairs.join(right, ["y", "sy", "uy"]).join(left, ["x", "sx", "ux"]).select("x", "y", "tx", "ty")
+    some = some.mapInArrow(classed, "doc_id long, text string, s1 long").join(ids, ["doc_id", "s1"]).select("node", "text")
+    if lost:
+        without_id = texts.filter("doc_id is null").mapInArrow(classed, "doc_id long, text string, s1 long").drop("doc_id")
+        some = some.unionByName(without_id.join(ids.filter("doc_id is null").select("node", "s1"), "s1").select("node", "text"))
+    some = ws.put(some.dropDuplicates(["node"]), f"{name}-texts", compression="zstd")
+    left = pairs.select("x", "ux").distinct().join(some.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
+    right = pairs.select("y", "uy").distinct().join(some.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
+    both = pairs.join(right, ["y", "uy"]).join(left, ["x", "ux"]).select("x", "y", "tx", "ty")
 
     def check(batches):
         for b in pieces(batches, "ty", 1 << 20):

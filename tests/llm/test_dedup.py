@@ -165,6 +165,37 @@ def test_words_are_compared_by_bytes(spark):
     assert jaccard_join.linked(pa.array([a, a, a]), pa.array([b, a, a + " x"]), 4, 85).tolist() == [False, True, False]
 
 
+def test_shingles_that_share_a_hash(spark):
+    """Two words of one hash in one text: sets keep their sizes and links aren't lost; more than two likewise."""
+    x, y = "kpvphwnkmmmmmmmm", "dxbwlnciluz2wu6q"
+    bufs = [common.word_hashes(common.eight(np.frombuffer(w.encode(), np.uint8)), np.array([0]), np.array([len(w)]))[0] for w in (x, y)]
+    assert bufs[0] == bufs[1]
+    rows = [(1, f"{x} {y}"), (2, f"{y} {x}")]
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == [(1, 2, 1), (2, 2, 1)]
+    w = [f"w{k}" for k in range(34)]
+    for other in (y, "ordinary"):
+        rows = [(1, " ".join([*w, x, other, "one"])), (2, " ".join([*w, "two", "three", "four"])), (3, " ".join([*w, x, other, "five"]))]
+        got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == [(1, 37, 1), (2, 37, 1), (3, 37, 1)]
+    rows = [(1, f"a b c {x} d e f {y} a b c {y} d e f {x}"), (2, f"a b c {x} d e f {y} a b c {y} d e f {x} z"), (3, f"a b c {y} d e f {y} a b c {y} d e f {y}")]
+    for n, percent in ((4, 85), (2, 50), (1, 30)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()}
+        assert got == plain_components(rows, n, percent)
+
+
+def test_rows_without_id_are_nodes(spark):
+    """1 - null - 2 is one component; what only rows without id have has no name; copies without id join their text's."""
+    w = [f"w{k}" for k in range(60)]
+    one, bridge, two = w, [*w[:55], *"abcde"], [*w[:50], *"abcdefghij"]
+    rows = [(1, " ".join(one)), (None, " ".join(bridge)), (2, " ".join(two)), (None, "only these words here"), (None, "only these words here"), (7, "alone is this text"), (None, "alone is this text"), (None, ""), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert not jaccard_join.linked(pa.array([" ".join(one)]), pa.array([" ".join(two)]), 1, 80)[0]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_components(frame, 1, 80).collect()), key=str)
+    assert got == sorted([(1, 60, 1), (None, 60, 1), (2, 60, 1), (None, 4, None), (None, 4, None), (7, 4, 7), (None, 4, 7), (None, 0, None), (None, 0, None)], key=str)
+    assert sorted(r.doc_id for r in jaccard_join.one_of_each(frame, 1, 80).collect() if r.doc_id is not None) == [1, 7]
+
+
 def test_links_of_pairs(rows):
     r = random.Random(2)
     pairs = [(r.choice(rows)[1], r.choice(rows)[1]) for _ in range(300)] + [(t, t) for _, t in rows]

@@ -67,6 +67,10 @@ CLEAR = frozenset(
     "related-posts related-articles related-links related-stories recommended-posts recommended-articles footer entry-footer post-footer article-footer pagination pager toolbar widget widgets "
     "subscribe signup popup modal skip-link outbrain taboola".split()
 )
+#: Names of notices, adverts and comments, whose blocks inside articles go unless they hold much of it.
+NOTES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|notices?|comments?|repl(?:y|ies)|respond)(?:$|[\s_-])")
+#: Share of an article's other text that such a block may hold and still go.
+NOTE = 0.25
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 MAIN = re.compile(r"(?:^|\s)(?:articleBody|article-?body|post-?content|entry-?content|article-?content|main-?content)(?:$|\s)")
 
@@ -86,6 +90,7 @@ class Page(HTMLParser):
         self.headings: set[int] = set()
         self.links: set[int] = set()
         self.forms: set[int] = set()  # what they hold decides at the end of the page
+        self.suspects: dict[int, bool] = {}  # blocks in articles with a name of boilerplate -> whether of a note
 
     def line(self) -> None:
         if self.parts:
@@ -103,7 +108,11 @@ class Page(HTMLParser):
         words = set(classes.split())
         section = tag == "section" or "section" in words
         if any(self.kind[n] for _, n, _ in self.stack):
-            return not CLEAR.isdisjoint(words if section else words | set(name.split()))
+            if not CLEAR.isdisjoint(words if section else words | set(name.split())):
+                return True
+            if tag in BLOCK and not section:  # its text decides at the end of the page
+                self.suspects[self.made + 1] = tag != "p" and bool(NOTES.search(f"{classes} {name}"))
+            return False
         return not section or bool(BOILER.search(classes)) or name in CLEAR
 
     def pop_to(self, k: int) -> None:
@@ -205,6 +214,33 @@ def without_forms(page: Page) -> list[tuple[str, int, tuple[int, ...], int]]:
     return out
 
 
+def without_suspects(page: Page, lines: list) -> list[tuple[str, int, tuple[int, ...], int]]:
+    """The lines but for blocks inside articles whose name and text both speak of boilerplate: most of it is links; or it has
+    some links and half the article's text per tag at most; or it is a note of at most NOTE of the article's other text."""
+    if page.suspects.keys().isdisjoint(n for *_, path, _ in lines for n in path):
+        return lines
+    sums: dict[int, list[int]] = {}  # characters, tags and characters in links of suspects and articles
+    home: dict[int, int] = {}
+    for t, tags, path, linked in lines:
+        article = 0
+        for n in path:
+            if n in page.suspects:
+                home[n] = article
+            if n in page.suspects or page.kind[n]:
+                article = n if page.kind[n] else article
+                have = sums.setdefault(n, [0, 0, 0])
+                for k, x in enumerate((len(t), max(1, tags), linked)):
+                    have[k] += x
+    gone = set()
+    for n, at in home.items():
+        (size, tags, linked), (whole, all_tags, _) = sums[n], sums[at]
+        rest = whole - size
+        thin = linked > 0 and 2 * size * max(1, all_tags - tags) < rest * tags
+        if 2 * linked > size or thin or page.suspects[n] and size <= NOTE * rest:
+            gone.add(n)
+    return [line for line in lines if gone.isdisjoint(line[2])]
+
+
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     """Gaussian smoothing over lines; at the ends the kernel is renormalised."""
     reach = math.ceil(3 * sigma)
@@ -309,7 +345,7 @@ def extract(html: str | None) -> str:
         page.feed(html.replace("<![", "&lt;!["))
         page.close()
     page.line()
-    lines = without_forms(page)
+    lines = without_suspects(page, without_forms(page))
     if not lines:
         return ""
     dense = smoothed([len(t) / max(1, tags) for t, tags, *_ in lines])

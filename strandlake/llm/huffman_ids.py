@@ -70,14 +70,16 @@ def encoder_of(path: str) -> "Encoder":
 
 class Encoder:
     """Ids of whole chunks of texts. A byte scan cuts texts of safe characters without apostrophes as the pattern does;
-    other texts are cut by WORDS, and texts with characters outside the safe set go to the library whole."""
+    other texts are cut by WORDS, and texts with characters outside the safe set, or with the text of an added token (an id of
+    its own), go to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         vocab = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocab.values(), default=0) + 1, dtype=np.int64)  # bytes that each id stands for
         for token, i in vocab.items():
@@ -115,13 +117,17 @@ class Encoder:
         """All ids of the texts, an end id after each, and where each text's ids begin (one more than texts)."""
         buf, offs = flat(col)
         n = len(offs) - 1
-        odd = np.zeros(n, dtype=bool)
+        odd, held = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
         starts, at = np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
         if len(buf):
             bad = _BAD[buf]
             after = buf[1:]
             bad[:-1] |= ((buf[:-1] == 0xC3) & ((after == 0x97) | (after == 0xB7))) | ((buf[:-1] == 0xC9) & (after > 0x8F))
             odd[np.searchsorted(offs, np.flatnonzero(bad), "right") - 1] = True
+            if self.added:  # an added token is cut out before all else; one that seems to cross texts does no harm
+                for m in self.added.finditer(buf):
+                    held[np.searchsorted(offs, [m.start(), m.end() - 1], "right") - 1] = True
+                odd |= held
             cls = _CLASS[buf]
             start = np.empty(len(buf), dtype=bool)
             start[0] = True
@@ -168,7 +174,7 @@ class Encoder:
             return ids, begin
         which = np.flatnonzero(odd)
         texts = [buf[offs[k] : offs[k + 1]].tobytes().decode() for k in which]
-        cut = [None if UNSAFE.search(t) else WORDS.findall(t) for t in texts]
+        cut = [None if held[k] or UNSAFE.search(t) else WORDS.findall(t) for k, t in zip(which, texts)]
         some = sorted({w for ws in cut if ws for w in ws})
         of = dict(zip(some, self.words(some))).__getitem__
         whole = iter(self.library([t for t, ws in zip(texts, cut) if ws is None]))

@@ -33,9 +33,17 @@ def noise(n, seed=1):
 
 
 # ---------------------------------------------------------------- ids
+def test_added_tokens_are_ids():
+    """The plain call of the library: the text of an added token is one id, wherever it stands."""
+    e = huffman_ids.Encoder(BYTES)
+    texts = ["<|endoftext|>", "a<|endoftext|>b c", "x <|endof", "text|> y", "<|endoftext|><|endoftext|> q <|endoftext", "plain words"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)]
+    tok = Tokenizer.from_file(BYTES)
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts] and got[0] == [50256]
+
+
 def test_encoder_is_the_library():
     tok = Tokenizer.from_file(BYTES)
-    tok.encode_special_tokens = True
     texts = ODD + noise(1500)
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
     e = huffman_ids.Encoder(BYTES)
@@ -76,7 +84,6 @@ def test_blocks_round_trip(sizes):
 
 def test_files(spark, docs, rows):
     tok = Tokenizer.from_file(BYTES)
-    tok.encode_special_tokens = True
     ws = Workspace(spark, "test")
     files, lengths = huffman_ids.write_ids(docs, BYTES, ws)
     got = {r.doc_id: r for r in huffman_ids.read_ids(files, lengths, with_ids=True).collect()}
@@ -160,7 +167,6 @@ def test_equal_hashes_are_told_apart(monkeypatch):
     a, b = twins()
     texts = [a, b, f"{a} {b}", "nevertheless notwithstanding", "notwithstanding nevertheless nevertheless", "x" * 300, "x" * 299 + "y", *noise(200, 4)]
     tok = Tokenizer.from_file(BYTES)
-    tok.encode_special_tokens = True
     e = huffman_ids.Encoder(BYTES)
     for some in (texts, texts[::-1]):
         assert e.encode(some) == [np.array(x.ids, dtype="<u4").tobytes() for x in tok.encode_batch(some, add_special_tokens=False)]
@@ -278,6 +284,20 @@ def test_pages(spark):
     assert html_extract.html_extract(df.limit(0)).count() == 0
 
 
+def test_notes_inside_articles_go_by_name_and_text():
+    """Notices, adverts and comments go; what only sounds like them, or holds much of the article, stays."""
+    before = "<html><body><article><h1>T</h1><p>" + "A long paragraph of prose that goes on and on. " * 6 + "</p>"
+    after = "<p>" + "More of the same prose follows here. " * 5 + "</p></article></body></html>"
+    out = ['<div class="notice">We use cookies.</div>', '<div class="comment">Nice post!</div>', '<div id="comment-17"><p>Me too.</p></div>', '<div class="ad-box"><a href=x>Buy now</a></div>', '<div class="promo"><p>Half price today.</p></div>', '<div class="share-me social"><a href=x>Post it</a> <a href=y>Mail it</a></div>']
+    stay = ['<section id="discussion"><p>What follows.</p></section>', '<h2 id="related-work">Related work</h2>', '<p class="alert">Take care.</p>', '<div id="job-search"><p>How people look for jobs.</p></div>', '<p class="notice">Prose that is called so.</p>', '<div class="comment"><p>' + "An article that quotes a comment at length. " * 12 + "</p></div>"]
+    for mid in out:
+        assert len(html_extract.extract(before + mid + after).split("\n")) == 3, mid
+    for mid in stay:
+        assert len(html_extract.extract(before + mid + after).split("\n")) == 4, mid
+    many = html_extract.extract(before + "".join(f'<div id="comment-{k}"><p>Reader {k} says so.</p></div>' for k in range(2000)) + after)
+    assert "Reader" not in many and many.endswith("here.")
+
+
 # ---------------------------------------------------------------- quality
 def good_and_bad(n):
     r = random.Random(2)

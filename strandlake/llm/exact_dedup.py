@@ -1,9 +1,11 @@
 """Exact deduplication by a log-structured merge index, with DataFrame operations only.
 
-The rows of a table are dealt to memtables by the task that reads them, without a shuffle. Each task flushes its part of a
-memtable as a run sorted by digest, with a Bloom filter of the run's digests in the file (level 0). Compactions take MEMTABLES /
-STEPS memtables each and merge their runs with the level before: one entry for each digest, sorted, with the smallest
-identifier and the number of rows; partial aggregates keep a digest with a third of all rows from being one task's work.
+A memtable is what TASKS tasks read. Each task flushes its part as a run sorted by digest, with a Bloom filter of the run's
+digests in the file (level 0), without a shuffle. Compaction is tiered: all memtables of a tier are merged at once, FAN to
+a sorted run of the next, until one level is left, so an entry is written as often as the number of memtables has digits to
+the base FAN: once up to TASKS * FAN tasks. An entry is a digest with its smallest identifier and its number of rows;
+partial aggregates keep a digest with a third of all rows from being one task's work. Rows that are flushed later are
+merged with the level in the same way (``compact``).
 
 All rows are then resolved through the index: a filter of the digests that have several rows rules out all others, which
 are resolved where they are, and only what it lets pass meets the entries in a join. If a row's entry names another row (a
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import HOT_LEAST, Workspace, attach_groups, free_name, id_filter, maybe_in, text_column
 
-#: Memtables of a query, and the compactions that merge them.
-MEMTABLES, STEPS = 4, 2
+#: Tasks whose rows are one memtable, and memtables that one compaction merges.
+TASKS, FAN = 64, 16
 ENTRY = "digest binary, keep_id long, n long"
 #: Bits of the filter of one file of the index.
 FILE_BITS, _PER_MAP = 1 << 20, 32768
@@ -67,16 +69,40 @@ class DigestIndex:
             self.ws.put(files.groupBy("file", "bucket").agg(F.bitmap_construct_agg("p").alias("bitmap")), name)
         return self.ws.get(name, "file string, bucket int, bitmap binary")
 
-    def flush(self, docs: DataFrame, memtables: int = 1) -> DataFrame:
-        """Sorted runs with their filters, one for each task: no shuffle. Returns (doc_id, digest) of the rows."""
+    def flush(self, docs: DataFrame, memtables: int = 1, tasks: int | None = None) -> DataFrame:
+        """Sorted runs with their filters, one for each task: no shuffle. Tasks are dealt to ``memtables``, or ``tasks`` of
+        them to each. Returns (doc_id, digest) of the rows."""
         self.flushed += 1
         table = f"level0-{self.flushed}"
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(self.digest(normalised(docs))).alias("digest"))
-        rows = rows.withColumn("memtable", F.pmod(F.spark_partition_id(), F.lit(memtables)).cast("int")).sortWithinPartitions("memtable", "digest", "doc_id")
+        memtable = F.floor(F.spark_partition_id() / tasks) if tasks else F.pmod(F.spark_partition_id(), F.lit(memtables))
+        rows = rows.withColumn("memtable", memtable.cast("int")).sortWithinPartitions("memtable", "digest", "doc_id")
         self._written(rows, table)
+        if tasks:
+            memtables = 1 + (self.ws.get(table, "doc_id long, digest binary, memtable int").agg(F.max("memtable")).first()[0] or 0)
         self.runs += [f"{table}/memtable={k}" for k in range(memtables)]
         return self.ws.get(table, "doc_id long, digest binary, memtable int").select("doc_id", "digest")
 
+    def build(self, docs: DataFrame, tasks: int | None = None, fan: int | None = None) -> DataFrame:
+        """Flushes the rows of a table and merges all memtables, tier by tier, into the first level; (doc_id, digest)."""
+        tasks, fan = tasks or TASKS, fan or FAN
+        rows = self.flush(docs, tasks=tasks)
+        table, n = f"level0-{self.flushed}", len(self.runs)
+        parts = self.ws.get(table, "doc_id long, digest binary, memtable int").select("memtable", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+        tier = 0
+        while n > fan:
+            merged = parts.groupBy(F.floor(F.col("memtable") / fan).cast("int").alias("memtable"), "digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+            tier, n = tier + 1, -(-n // fan)
+            self._written(merged.sortWithinPartitions("memtable", "digest"), f"tier-{tier}")
+            if tier > 1:
+                self.ws.drop(f"tier-{tier - 1}")
+            parts = self.ws.get(f"tier-{tier}", f"{ENTRY}, memtable int")
+        self.compacted += 1
+        self.runs, self.level = [], f"level1-{self.compacted}"
+        merged = parts.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")).sortWithinPartitions("digest")
+        self._written(merged, self.level)
+        return rows
+
     def compact(self, most: int | None = None) -> DataFrame:
         """Merges the oldest ``most`` memtables (all, if None) with the level before: (digest, keep_id, n), sorted. Runs
         that were merged, and the level before, aren't read again."""
@@ -168,9 +194,7 @@ def exact_dedup(docs: DataFrame, bits: int = 256) -> DataFrame:
     spark = docs.sparkSession
     ws = Workspace(spark, "exact")
     index = DigestIndex(spark, ws, bits)
-    rows = index.flush(docs, MEMTABLES)
-    for _ in range(STEPS):
-        index.compact(MEMTABLES // STEPS)
+    rows = index.build(docs)
     found = ws.put(index.resolve(rows), "found", compression="zstd")
     differ = differing(ws, docs, index, found)
     if differ.isEmpty():

@@ -96,6 +96,23 @@ def plain_groups(rows):
     return out
 
 
+@pytest.mark.parametrize("tasks,fan,tiers", [(1, 2, 3), (2, 3, 1), (64, 16, 0)])
+def test_tiers_give_one_level(spark, docs, rows, tasks, fan, tiers):
+    """However memtables are cut and merged, the level has one entry for each text; an empty table gives an empty level."""
+    ws = common.Workspace(spark, "test")
+    index = exact_dedup.DigestIndex(spark, ws)
+    index.build(docs.repartition(10), tasks, fan)
+    assert index.level == "level1-1" and not index.runs and all(ws.exists(f"tier-{k}") == (k == tiers) for k in range(1, 5))
+    want: dict = {}
+    for i, t in rows:
+        have = want.get(norm(t), (i, 0))
+        want[norm(t)] = min(have[0], i), have[1] + 1
+    got = {bytes(r.digest): (r.keep_id, r.n) for r in ws.get(index.level, exact_dedup.ENTRY).collect()}
+    assert got == {hashlib.sha256(t if isinstance(t, bytes) else t.encode()).digest(): x for t, x in want.items()}
+    none = exact_dedup.DigestIndex(spark, common.Workspace(spark, "none"))
+    assert none.build(docs.limit(0), tasks, fan).count() == 0 and none.ws.get(none.level, exact_dedup.ENTRY).count() == 0
+
+
 def test_lookup_opens_only_files_that_may_hold_a_digest(spark):
     ws = common.Workspace(spark, "test")
     index = exact_dedup.DigestIndex(spark, ws)

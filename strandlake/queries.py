@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from .functions import arrays as A
 from .functions import scalars as C
-from .operators import align, borders, evaluate, mixture, reads, runs, segment, signal
+from .functions.kmers import kmer_text, packed_kmers
+from .operators import align, borders, evaluate, intervals, mixture, reads, runs, segment, signal
 from .operators import kernels as K
 from .sources.readers import last_wins
 
@@ -490,6 +491,34 @@ def segments_in_range(spark, sf_dir):
     return b.select("user_id", F.size("blocks").cast("long").alias("blocks"), F.array_min(start).alias("low"), F.array_max(start).alias("high"))
 
 
+@query(
+    f"""WITH {_TEN}, g AS (SELECT user_id, event_id, place + k % 3 AS low, place + k AS high FROM {_NUMBERED} WHERE k % 5 > 0)
+    SELECT t.user_id, event_id, block_no, start FROM t JOIN g ON t.user_id = g.user_id AND t.start BETWEEN g.low AND g.high"""
+)
+def blocks_in_ranges(spark, sf_dir):
+    """Blocks joined with the ranges of their read that their start lies in, through bins."""
+    s, blocks = _ten(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER)) - 1
+    ranges = events(spark, sf_dir).withColumn("place", place).filter("k % 5 > 0").select("user_id", "event_id", (F.col("place") + F.col("k") % 3).alias("low"), (F.col("place") + F.col("k")).alias("high"))
+    found = intervals.rows_in_ranges(blocks.select("user_id", "block_no", "start"), ranges, ["user_id"], "start", "low", "high")
+    return found.select("user_id", "event_id", "block_no", "start")
+
+
+@query(
+    f"""WITH {_TEN}, h AS (SELECT user_id, event_id, place AS low, place + k AS high FROM {_NUMBERED})
+    SELECT t.user_id, count(*) AS pairs, CAST(sum(least("end" - 1, high) - greatest(start, low) + 1) AS BIGINT) AS shared
+    FROM t JOIN h ON t.user_id = h.user_id AND start <= high AND low <= "end" - 1 GROUP BY 1"""
+)
+def block_overlaps(spark, sf_dir):
+    """Samples that blocks and events' extents share, over all overlapping pairs of a read."""
+    s, blocks = _ten(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER)) - 1
+    extents = events(spark, sf_dir).withColumn("low", place).select("user_id", "event_id", "low", (F.col("low") + F.col("k")).alias("high"))
+    blocks = blocks.select("user_id", "block_no", "start", (F.col("end") - 1).alias("last"))
+    pairs = intervals.overlap_join(blocks, extents, ["user_id"], ("start", "last"), ("low", "high"))
+    return pairs.groupBy("user_id").agg(F.count("*").alias("pairs"), F.sum(F.least("last", "high") - F.greatest("start", "low") + 1).cast("long").alias("shared"))
+
+
 @query()
 def segment_read(spark, sf_dir):
     """Two-level segmentation (tested against a plain loop over reads and windows)."""
@@ -537,7 +566,20 @@ _ACGT = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
 def kmer_count(spark, sf_dir):
     """All 5-mers of all sequences; partial counts before the shuffle, at most 1024 keys after it."""
     d = load(spark, sf_dir, "documents").select(C.to_acgt(F.col("text")).alias("s"))
-    return d.select(F.explode(A.kmers_of(F.col("s"))).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    counts = packed_kmers(d, "s").groupBy("kmer").agg(F.count("*").alias("n"))
+    return counts.select(kmer_text(F.col("kmer")).alias("kmer"), "n")
+
+
+@query(
+    f"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, substr(s, i, 7) AS kmer FROM (SELECT doc_id, s, unnest(range(1, length(s) - 5)) AS i
+        FROM (SELECT doc_id, regexp_replace(upper(text), '[^ACGTN]', '', 'g') AS s FROM documents)) WHERE substr(s, i, 7) NOT LIKE '%N%' AND substr(s, i, 4) IN ('GGAC', 'CATG')"""
+)
+def motif_places(spark, sf_dir):
+    """Places of 7-mers that begin with a motif of four, N breaking them: prefixes of packed numbers."""
+    d = load(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGTN]", "").alias("s"))
+    motifs = [sum("ACGT".index(c) << 2 * (3 - i) for i, c in enumerate(m)) for m in ("GGAC", "CATG")]
+    found = packed_kmers(d, "s", 7, ["doc_id"]).filter(F.shiftright("kmer", 6).isin(motifs))
+    return found.select("doc_id", "place", kmer_text(F.col("kmer"), 7).alias("kmer"))
 
 
 @query(f"SELECT doc_id, reverse(translate({_ACGT}, 'ACGT', 'TGCA')) AS rc FROM documents")
@@ -557,8 +599,9 @@ def base_ids(spark, sf_dir):
     SELECT kmer FROM k WHERE lang = 'en' INTERSECT SELECT kmer FROM k WHERE lang = 'de'"""
 )
 def kmer_intersection(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("lang", F.explode(A.kmers_of(C.to_acgt(F.col("text")))).alias("kmer"))
-    return evaluate.common_kmers(d.filter("lang = 'en'"), d.filter("lang = 'de'"))
+    d = load(spark, sf_dir, "documents").filter("lang in ('en', 'de')").select("lang", C.to_acgt(F.col("text")).alias("s"))
+    d = packed_kmers(d, "s", 5, ["lang"]).select("lang", "kmer").distinct()  # 1024 numbers a language at most
+    return evaluate.common_kmers(d.filter("lang = 'en'"), d.filter("lang = 'de'")).select(kmer_text(F.col("kmer")).alias("kmer"))
 
 
 @query(

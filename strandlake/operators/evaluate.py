@@ -124,30 +124,3 @@ def reorder(df: DataFrame, key: str, order: list) -> DataFrame:
     """Rows whose key is in the list, numbered by its place."""
     places = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(order)], f"{key} {df.schema[key].dataType.simpleString()}, place int")
     return df.join(F.broadcast(places), key)
-
-
-def bicluster(matrix: DataFrame, key: str, columns: list[str], rows: int = 6, cols: int = 3):
-    """(row labels, column labels) of a 0/1 matrix that fits the driver: the log interaction matrix, its leading singular
-    vectors, two-means style clustering of both sides. For the matrices of one gene; not for whole tables."""
-    import numpy as np
-
-    pdf = matrix.select(key, *columns).toPandas().sort_values(key)
-    x = np.log1p(np.maximum(pdf[columns].to_numpy(dtype=float), 0) + 1)
-    x = x - x.mean(axis=0) - x.mean(axis=1, keepdims=True) + x.mean()
-    u, s, v = np.linalg.svd(x, full_matrices=False)
-    k = min(max(1, int(np.ceil(np.log2(max(rows, cols)))) + 1), len(s))
-
-    def cluster(points, n):
-        centre = points[[0]]  # each next centre is the point farthest from those before
-        while len(centre) < min(n, len(points)):
-            centre = np.vstack([centre, points[((points[:, None, :] - centre[None]) ** 2).sum(axis=2).min(axis=1).argmax()]])
-        label = np.zeros(len(points), dtype=int)
-        for _ in range(100):
-            new = ((points[:, None, :] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
-            if (new == label).all():
-                break
-            label = new
-            centre = np.array([points[label == c].mean(axis=0) if (label == c).any() else centre[c] for c in range(len(centre))])
-        return label
-
-    return dict(zip(pdf[key], cluster(u[:, :k] * s[:k], rows).tolist())), dict(zip(columns, cluster(v[:k].T * s[:k], cols).tolist()))

@@ -8,7 +8,7 @@ from strandlake import queries
 from strandlake import schema as S
 from strandlake.functions import arrays as A
 from strandlake.functions import scalars as C
-from strandlake.operators import align, evaluate, mixture, reads, runs, segment, signal
+from strandlake.operators import align, bicluster, evaluate, mixture, reads, runs, segment, signal
 from strandlake.plans import entries
 from strandlake.sources import readers, sinks
 
@@ -299,9 +299,44 @@ def test_checks_and_order(spark):
     assert one(evaluate.unique_check(a, "k")).is_unique is False
     assert [(r.k, r.n, r.running) for r in evaluate.label_frequency(a, "k").orderBy("k").collect()] == [(1, 2, 2), (2, 1, 3)]
     assert {(r.k, r.place) for r in evaluate.reorder(a, "k", [2, 1]).collect()} == {(2, 0), (1, 1)}
+
+
+
+def planted(n, sites, seed=0, noise=0.03):
+    """Rows of six kinds and sites of three, each block of the matrix with a rate of its own."""
+    r = np.random.default_rng(seed)
+    rates = np.array([[0.95, 0.05, 0.1], [0.05, 0.95, 0.1], [0.1, 0.05, 0.95], [0.95, 0.95, 0.05], [0.05, 0.95, 0.95], [0.95, 0.05, 0.95]])
+    kinds, of = np.repeat(np.arange(6), n), np.arange(sites) % 3
+    x = (rates[kinds][:, of] + r.normal(0, noise, (6 * n, sites))).round(6)
+    by = r.permutation(6 * n)
+    return [(int(i), *x[i].tolist()) for i in by], kinds, of
+
+
+def agree(a, b):
+    """Whether two labellings are the same but for names."""
+    return len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+def test_bicluster_finds_planted_blocks(spark):
+    rows, kinds, of = planted(40, 12)
+    names = [f"s{k}" for k in range(12)]
+    m = spark.createDataFrame(rows, "r int, " + ", ".join(f"{c} double" for c in names)).repartition(5)
+    labels, cols = bicluster.bicluster(m, "r", names)
+    got = {x.r: x.label for x in labels.collect()}
+    assert agree([got[i] for i in range(240)], kinds.tolist()) and agree([cols[c] for c in names], of.tolist())
+    again, same = bicluster.bicluster(m.repartition(2), "r", names)
+    assert {x.r: x.label for x in again.collect()} == got and same == cols  # however rows are dealt
+
+
+def test_bicluster_of_few_and_constant_cells(spark):
     m = spark.createDataFrame([(i, int(i < 3), int(i < 3), int(i >= 3)) for i in range(6)], "r int, a int, b int, c int")
-    rows, cols = evaluate.bicluster(m, "r", ["a", "b", "c"], 2, 2)
+    labels, cols = bicluster.bicluster(m, "r", ["a", "b", "c"], 2, 2)
+    rows = {x.r: x.label for x in labels.collect()}
     assert cols["a"] == cols["b"] != cols["c"] and rows[0] == rows[1] != rows[5]
+    labels, cols = bicluster.bicluster(m.selectExpr("r", "1 as a", "1 as b"), "r", ["a", "b"])
+    assert {x.label for x in labels.collect()} == {0} and set(cols.values()) == {0}
+    labels, cols = bicluster.bicluster(m.limit(0), "r", ["a", "b"])
+    assert labels.count() == 0 and set(cols.values()) == {0}
 
 
 def test_streaming_runs_match_batch(spark, tmp_path):

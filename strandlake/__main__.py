@@ -9,11 +9,13 @@
     python -m strandlake align     --blocks DIR --kmer-model m.csv --out DIR [--variant two|one|ivt|reverse_ivt] [--text DIR]
     python -m strandlake sites     --alignment DIR --kmer-index k.csv --kmer-model m.csv --out DIR [--text] [--strict]
     python -m strandlake mixture   --sites DIR --kmer GGACT --kmer-model m.csv --out DIR
+    python -m strandlake refine    --blocks DIR --kmers GGACT,AGACT --kmer-index k.csv --kmer-model m.csv --versions DIR --out DIR [--rounds 10]
     python -m strandlake rates     --sites DIR --out DIR
 
 ``states`` makes borders from 0/1 states (read_id, states) that another program found, in the place of ``border``. ``--text``
 writes, and reads, an alignment as text with six significant digits. ``--strict``: a contig or k-mer that a table lacks is
-an error; without it its rows drop out, and are listed.
+an error; without it its rows drop out, and are listed. ``strand`` lists the lines that it can't read, with what is wrong. ``refine``
+goes on from the last version of the k-mer table that it finds.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schema as S
 from .operators import align, evaluate, mixture, reads, runs, segment, signal
 from .plans import entries
 from .sources import readers, sinks
@@ -38,6 +41,7 @@ OPTIONS = {
     "align": {"blocks": None, "kmer-model": None, "variant": "two", "text": ""},
     "sites": {"alignment": None, "kmer-index": None, "kmer-model": None, "text": False, "strict": False},
     "mixture": {"sites": None, "kmer": None, "kmer-model": None},
+    "refine": {"blocks": None, "kmers": None, "kmer-index": None, "kmer-model": None, "versions": None, "rounds": 10, "variant": "two"},
     "rates": {"sites": None},
 }
 
@@ -46,8 +50,9 @@ def stage(spark: SparkSession, name: str, a: argparse.Namespace) -> dict[str, Da
     """The tables that a command writes, by the name of their folder below --out ("" is --out itself)."""
     table = spark.read.parquet
     if name == "strand":
-        stranded = reads.add_strand(readers.event_table(spark, a.events))
-        return {"events": reads.mapped_forward(stranded), "quality": reads.strand_quality(readers.event_table(spark, a.events))}
+        lines = readers.with_reasons(spark, a.events, S.EVENT_COLUMNS)
+        good = readers.accepted(lines)
+        return {"events": reads.mapped_forward(reads.add_strand(good)), "quality": reads.strand_quality(good), "rejected": readers.rejected(lines)}
     if name == "collapse":
         summary = readers.read_summary(spark, a.summary)
         collapsed = runs.collapse_events(reads.in_summary(table(f"{a.strand}/events"), summary, "read_index"), a.shift)
@@ -89,6 +94,10 @@ def stage(spark: SparkSession, name: str, a: argparse.Namespace) -> dict[str, Da
         fixed = reads.one_kmer(readers.kmer_model(spark, a.kmer_model), a.kmer).select("kmer", F.col("mean_un").alias("fixed_mean"))
         fits = mixture.fixed_mean_mixtures(chosen, "kmer", "mean", fixed)
         return {"fit": fits, "model": mixture.next_model(readers.kmer_model(spark, a.kmer_model), fits), "histogram": evaluate.density_histogram(chosen, "kmer", "mean")}
+    if name == "refine":
+        index, ready = readers.kmer_index(spark, a.kmer_index), table(a.blocks)
+        model = entries.refine(lambda m: entries.blocks_to_sites(ready, index, m, a.variant), readers.kmer_model(spark, a.kmer_model), a.kmers.split(","), a.versions, a.rounds)
+        return {"": model}
     rows = table(a.sites).withColumn("site", F.concat_ws("_", "contig", "kmer", "pos"))
     return {"": evaluate.site_rates(rows, "site", "mod")}
 

@@ -1,4 +1,4 @@
-"""The three end-to-end entries, as chains of DataFrame stages.
+"""The three end-to-end entries, as chains of DataFrame stages, and the loop of align and fit over versions of the k-mer table.
 
 Reads are independent of each other, so every stage keeps the partitioning by read where it can: the run windows and the
 aggregations behind them share one shuffle, the per-read kernels need none. The k-mer tables (1025 rows) travel with the
@@ -7,7 +7,9 @@ tasks. Stage results are written as Parquet where an entry ends; nothing is coll
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import consistent_blocks, valid_states
@@ -74,3 +76,51 @@ def reestimate(sites: DataFrame, kmer_model: DataFrame, kmers: list[str]) -> Dat
     chosen = sites.filter(F.col("kmer").isin(kmers)).select("kmer", "mean")
     fixed = kmer_model.filter(F.col("kmer").isin(kmers)).select("kmer", F.col("mean_un").alias("fixed_mean"))
     return mixture.next_model(kmer_model, mixture.fixed_mean_mixtures(chosen, "kmer", "mean", fixed))
+
+
+#: A k-mer counts as settled when none of its parameters moves by more.
+SETTLED = 0.05
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the k-mer tables in a folder that were written whole."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    done = [n for n in names if n.startswith("model-") and fs.exists(sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return sorted(int(n.removeprefix("model-")) for n in done)
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(kmer, change): the largest move of a k-mer's parameters between two tables."""
+    columns = ["mean_un", "stdv_un", "mean_mod", "stdv_mod"]
+    old = before.select("kmer", *[F.col(c).alias(f"_{c}") for c in columns])
+    return after.join(old, "kmer").select("kmer", F.greatest(*[F.abs(F.col(c) - F.col(f"_{c}")) for c in columns]).alias("change"))
+
+
+def refine(align: Callable[[DataFrame], DataFrame], kmer_model: DataFrame, kmers: list[str], folder: str, rounds: int = 10, settled: float = SETTLED) -> DataFrame:
+    """The k-mer table after rounds of align and fit, until no parameter of the chosen k-mers moves by more than ``settled``
+    or the folder has ``rounds`` versions beyond the first. ``align`` makes sites (kmer, mean, ...) with a k-mer table, as
+    `blocks_to_sites` does.
+
+    Every version is a table of its own below the folder, written before it is used: model-0 is the table given, and a
+    run that was stopped goes on from the last version that was written whole (kmer_model is only read for model-0). Each
+    round reads one version and writes the next, so no lineage grows over rounds."""
+    spark = kmer_model.sparkSession
+    have = versions(spark, folder)
+    if not have:
+        kmer_model.select("kmer", "mean_un", "stdv_un", "mean_mod", "stdv_mod").write.mode("overwrite").parquet(f"{folder}/model-0")
+        have = [0]
+    k = have[-1]
+    at = lambda v: spark.read.parquet(f"{folder}/model-{v}")
+    while k < rounds and not (k and _quiet(at(k - 1), at(k), kmers, settled)):
+        reestimate(align(at(k)), at(k), kmers).write.mode("overwrite").parquet(f"{folder}/model-{k + 1}")
+        k += 1
+    return at(k)
+
+
+def _quiet(before: DataFrame, after: DataFrame, kmers: list[str], settled: float) -> bool:
+    return changes(before, after).filter(F.col("kmer").isin(kmers)).filter(F.col("change") > settled).isEmpty()

@@ -1,4 +1,5 @@
-"""Scans. Text inputs keep their line order in ``row_no``; malformed lines are left out, as a count check shows."""
+"""Scans. Text inputs keep their line order in ``row_no``; malformed lines are left out of the tables, and `with_reasons`
+returns them with what is wrong with them, so that lines, header, good and bad rows add up (`line_counts`)."""
 
 from __future__ import annotations
 
@@ -25,14 +26,56 @@ def delimited(spark: SparkSession, path: str, columns: str, sep: str = "\t", hea
     """A table of exactly these columns. The header must be the columns' names; lines with another number of fields are
     left out, fields that can't be cast raise (ANSI)."""
     fields = S.struct(columns).fields
-    rows = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", "[\\r\\n]+$", ""))
-    rows = rows.withColumn("parts", F.split("value", sep, -1))
+    return _cast(_split_lines(spark, path, fields, sep, header), fields, F.col("row_no") > 0 if header else F.lit(True))
+
+
+def _split_lines(spark: SparkSession, path: str, fields: list, sep: str, header: bool) -> DataFrame:
+    """(row_no, value, parts) of every line, after a look at the header."""
+    clean = F.regexp_replace("value", "[\\r\\n]+$", "")
     if header:
         names = [f.name for f in fields]
-        first = rows.filter("row_no = 0").select("parts").first()
-        if first is None or first.parts != names:
+        if first_line(spark, path, clean) != sep.join(names):
             raise ValueError(f"header of {path} isn't {names}")
-    return _cast(rows, fields, F.col("row_no") > 0 if header else F.lit(True))
+    rows = numbered_lines(spark, path).withColumn("value", clean)
+    return rows.withColumn("parts", F.split("value", "\\Q" + sep + "\\E", -1))
+
+
+def first_line(spark: SparkSession, path: str, value: Column) -> str | None:
+    """The first line of the first file: no more than its first block is opened."""
+    files = spark.read.text(path).inputFiles()
+    rows = spark.read.text(min(files)).filter(F.col("_metadata.file_block_start") == 0).select(value.alias("v")).take(1) if files else []
+    return rows[0].v if rows else None
+
+
+def with_reasons(spark: SparkSession, path: str, columns: str, sep: str = "\t", header: bool = True) -> DataFrame:
+    """Every line of a table but its header: the columns, row_no, ``reason`` and ``line``. reason is null for a row that
+    `delimited` would return; otherwise it says how many fields the line has, or which field can't be cast, and the columns
+    are null. One scan gives both kinds."""
+    fields = S.struct(columns).fields
+    rows = _split_lines(spark, path, fields, sep, header)
+    if header:
+        rows = rows.filter("row_no > 0")
+    text = [F.get("parts", F.lit(i)) for i in range(len(fields))]
+    cast = [t.try_cast(f.dataType) for t, f in zip(text, fields)]
+    bad = F.coalesce(*[F.when(t.isNotNull() & c.isNull(), F.concat(F.lit(f"{f.name}: "), t)) for t, c, f in zip(text, cast, fields)])
+    reason = F.when(F.size("parts") != len(fields), F.concat(F.size("parts").cast("string"), F.lit(f" of {len(fields)} fields"))).otherwise(bad)
+    rows = rows.withColumn("reason", reason)
+    return rows.select(*[F.when(F.col("reason").isNull(), c).alias(f.name) for c, f in zip(cast, fields)], "row_no", "reason", F.col("value").alias("line"))
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    return rows.filter("reason is null").drop("reason", "line")
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    """(row_no, reason, line)."""
+    return rows.filter("reason is not null").select("row_no", "reason", "line")
+
+
+def line_counts(rows: DataFrame) -> DataFrame:
+    """(reason kind, lines): good rows, and bad ones by what is wrong with them."""
+    kind = F.when(F.col("reason").isNull(), "good").when(F.col("reason").contains(" of "), "fields").otherwise(F.substring_index("reason", ":", 1))
+    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("lines"))
 
 
 def _cast(rows: DataFrame, fields: list, held: Column) -> DataFrame:

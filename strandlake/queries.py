@@ -674,13 +674,46 @@ def density_hist(spark, sf_dir):
 
 @query()
 def gmm_fixed_mean(spark, sf_dir):
-    """A mixture per event type whose first mean is fixed (tested for a rising bound and against a plain loop). Values are
-    rounded to three decimals, as collapsed levels are."""
+    """A mixture per event type whose first mean is fixed (tested for a rising bound). Values are rounded to three decimals,
+    as collapsed levels are."""
     e = load(spark, sf_dir, "events").withColumn("value", F.col("value") / 10)
     fixed = e.groupBy("event_type").agg(C.round_np(F.avg("value"), 2).alias("fixed_mean"))
     return mixture.fixed_mean_mixtures(e, "event_type", "value", fixed, places=3)
 
 
+_EM = """least(q1 / (n1 + {e}) + 1e-6, 16), a / (n2 + {e}), least(greatest((q2 - 2 * (a / (n2 + {e})) * a + power(a / (n2 + {e}), 2) * n2) / (n2 + {e}), 0) + 1e-6, 16),
+           (n1 + {e}) / n, (n2 + {e}) / n""".format(e=mixture._EPS)
+_UP = "CASE WHEN (v > cut) = up THEN {0} ELSE {1} END"
+
+
+@query(
+    f"""WITH RECURSIVE fixed AS (SELECT event_type AS g, round_even(avg(value / 10) * 100, 0) / 100 AS f FROM events GROUP BY 1),
+    h AS MATERIALIZED (SELECT g, f, round_even(value / 10 * 1000, 0) / 1000 AS v, CAST(count(*) AS DOUBLE) AS w FROM events JOIN fixed ON g = event_type WHERE value IS NOT NULL GROUP BY 1, 2, 3),
+    c AS (SELECT g, f, n, s, lo + (hi - lo) * s / 11 AS cut FROM (SELECT g, f, min(v) AS lo, max(v) AS hi, sum(w) AS n FROM h GROUP BY 1, 2), range(1, 11) t(s)),
+    d AS (SELECT c.g, c.f, n, s, cut, coalesce(abs(sum(w * v) FILTER (v > cut) / sum(w) FILTER (v > cut) - c.f) < abs(sum(w * v) FILTER (v <= cut) / sum(w) FILTER (v <= cut) - c.f), false) AS up
+          FROM c JOIN h ON h.g = c.g GROUP BY c.g, c.f, n, s, cut),
+    z AS (SELECT d.g, d.f, n, s, sum({_UP.format("w", "0")}) AS n1, sum({_UP.format("0", "w")}) AS n2, sum({_UP.format("0", "w * (v - d.f)")}) AS a,
+              sum({_UP.format("w * (v - d.f) * (v - d.f)", "0")}) AS q1, sum({_UP.format("0", "w * (v - d.f) * (v - d.f)")}) AS q2 FROM d JOIN h ON h.g = d.g GROUP BY d.g, d.f, n, s),
+    m(k, g, f, n, s, bound, done, v1, m, v2, p1, p2, y1, ym, y2, x1, x2) AS (
+        SELECT 0, g, f, n, s, CAST(NULL AS DOUBLE), false, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, {_EM} FROM z
+        UNION ALL
+        SELECT k + 1, g, f, n, s, now, coalesce(abs(now - bound) < 1e-3, false) OR k >= 100, y1, ym, y2, x1, x2, {_EM} FROM (
+            SELECT k, g, f, n, s, bound, y1, ym, y2, x1, x2, sum(w * l) / n AS now, sum(w * exp(l1 - l)) AS n1, sum(w * exp(l2 - l)) AS n2, sum(w * exp(l2 - l) * u) AS a, sum(w * exp(l1 - l) * u * u) AS q1, sum(w * exp(l2 - l) * u * u) AS q2
+            FROM (SELECT *, greatest(l1, l2) + ln(exp(l1 - greatest(l1, l2)) + exp(l2 - greatest(l1, l2))) AS l FROM (
+                SELECT m.*, w, v - m.f AS u, -0.5 * (ln(2 * pi()) + ln(y1) + (v - m.f) * (v - m.f) / y1) + ln(x1) AS l1, -0.5 * (ln(2 * pi()) + ln(y2) + (v - m.f - ym) * (v - m.f - ym) / y2) + ln(x2) AS l2
+                FROM m JOIN h ON h.g = m.g WHERE NOT done))
+            GROUP BY k, g, f, n, s, bound, y1, ym, y2, x1, x2)),
+    b AS (SELECT g, arg_max(row(f, n, v1, m, v2, p1, p2, bound), row(bound, -s)) AS r FROM m WHERE done GROUP BY g)
+    SELECT g AS event_type, round_even(r[1] * 100, 0) / 100 AS mean1, round_even(sqrt(r[3]) * 100, 0) / 100 AS sigma1, round_even(r[6] * 100, 0) / 100 AS weight1, round_even((r[1] + r[4]) * 100, 0) / 100 AS mean2,
+           round_even(sqrt(r[5]) * 100, 0) / 100 AS sigma2, round_even(r[7] * 100, 0) / 100 AS weight2, round(-2 * r[8] * r[2] + 5 * ln(r[2]), 3) AS bic, CAST(r[2] AS BIGINT) AS n FROM b"""
+)
+def gmm_groups(spark, sf_dir):
+    """The same for all types and ten starts at once: a round is one aggregate over the counted values of all groups."""
+    e = load(spark, sf_dir, "events").withColumn("value", F.col("value") / 10)
+    fixed = e.groupBy("event_type").agg(C.round_np(F.avg("value"), 2).alias("fixed_mean"))
+    return mixture.mixtures_of_groups(e, "event_type", "value", fixed, places=3).withColumn("bic", F.round("bic", 3))
+
+
 @query("SELECT lang, n, CAST(sum(n) OVER (ORDER BY lang) AS BIGINT) AS running FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")
 def label_frequency(spark, sf_dir):
     return evaluate.label_frequency(load(spark, sf_dir, "documents"), "lang")

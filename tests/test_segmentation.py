@@ -180,3 +180,25 @@ def test_restarts_keep_the_best_fit():
         one, ten = (mixture.fit(v, w.astype(float), 100.0, restarts=k) for k in (1, 10))
         assert ten[-1][-1] >= one[-1][-1] - 1e-12 and ten == mixture.fit(v, w.astype(float), 100.0)
         assert all(b >= a - 1e-9 for a, b in zip(ten[-1], ten[-1][1:]))
+
+
+def test_mixtures_of_all_groups_at_once(spark):
+    """Groups of their own sizes and places; each fit is as good at least as the one of its histogram alone."""
+    r = np.random.default_rng(8)
+    rows, want = [], {}
+    for name, f, m, n in (("a", 120.0, 112.0, 400), ("b", 95.0, 104.0, 150), ("c", 80.0, 80.0, 60)):
+        x = np.round(np.concatenate([r.normal(f, 1.5, n), r.normal(m, 2.0, n // 2)]), 2)
+        rows += [(name, float(v)) for v in x]
+        v, w = np.unique(x, return_counts=True)
+        want[name] = mixture.fit(v, w.astype(float), f), len(x)
+    rows += [("a", None), ("b", math.nan), ("d", 1.0), ("one", 5.0)]
+    fixed = spark.createDataFrame([("a", 120.0), ("b", 95.0), ("c", 80.0), ("none", 1.0), ("one", 5.0)], "k string, fixed_mean double")
+    df = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    got = {g.k: g for g in mixture.mixtures_of_groups(df, "k", "x", fixed, starts=3).collect()}
+    assert set(got) == {"a", "b", "c", "one"}
+    for name, (fit, n) in want.items():
+        g = got[name]
+        assert g.n == n and g.mean1 == fit[0] and g.bic < fit[6] + 4e-3 * n
+        if name != "c":
+            assert abs(g.mean2 - fit[3]) < 0.3 and abs(g.weight1 - fit[2]) < 0.04
+    assert mixture.mixtures_of_groups(df.limit(0), "k", "x", fixed, starts=2).count() == 0

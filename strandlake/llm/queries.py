@@ -119,6 +119,21 @@ SQL = {
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM w LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
     """,
+    # bytes as hexadecimal digits, so that a place is found without decoding
+    "op9_suffix_dedup": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        w AS MATERIALIZED (SELECT doc_id, p, substr(x, CAST(2 * p + 1 AS BIGINT), 200) AS s FROM d, unnest(range(0, n - 99)) t(p)),
+        f AS (SELECT s, min(row(doc_id, p)) AS one FROM w GROUP BY s HAVING count(*) > 1),
+        r AS MATERIALIZED (SELECT w.doc_id, w.p FROM w JOIN f USING (s) WHERE row(w.doc_id, w.p) <> one),
+        i AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS brk FROM r),
+        j AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM i),
+        g AS MATERIALIZED (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS z FROM j GROUP BY 1, 2),
+        k AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi FROM g UNION ALL SELECT doc_id, max(z), CAST(NULL AS BIGINT) FROM g GROUP BY 1),
+        y AS (SELECT k.doc_id, string_agg(substr(x, CAST(2 * lo + 1 AS BIGINT), CAST(2 * (coalesce(hi, n) - lo) AS BIGINT)), '' ORDER BY lo) AS kept FROM k JOIN d USING (doc_id) GROUP BY 1),
+        c AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM g GROUP BY 1)
+        SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN y USING (doc_id)
+    """,
     "op12_lexical_search": rf"""
         WITH d AS MATERIALIZED (SELECT doc_id, {_ALNUM} AS ws FROM documents),
         s AS (SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS terms FROM d WHERE len(ws) > 0),

@@ -11,8 +11,10 @@ doc_id, as law `bytes` can't hold with them whole. All other groups stay in one
 Law `bytes`: the shards' sizes are near equal. Slots: 0, 1, ... in each shard, by the item's place and then by doc_id;
 each chunk of rows that is numbered in one task has at most 1/NUMBERED of all rows, about.
 
-Null text is empty: size 1. Null ids come first in their chunk. Rows that repeat are rows of their own. Extra columns
-are ignored; an empty table gives no rows; with fewer items than shards some shards stay empty.
+Null text is empty: size 1. Null ids come first in their chunk. Rows that repeat are rows of their own. Ties: items of
+equal bytes are packed in the order of their names, and of equal shards the first takes an item. Very long texts are items like
+any other; one row that is larger than a shard's room can't be cut, so its shard is as large as it and the law holds
+for the other shards alone. Tokens are words here (runs without ASCII white space). Extra columns are ignored; an empty table gives no rows; with fewer items than shards some shards stay empty.
 """
 
 from __future__ import annotations

@@ -568,6 +568,44 @@ def test_shards_cut_only_what_does_not_fit(spark, groups, share, cut):
     assert len(sizes) == 8 and max(sizes.values()) <= 1.02 * min(sizes.values())
 
 
+def plain_pack(vectors, shards):
+    """Largest in bytes first, to the shard of the highest dot product with what is left among those where it fits."""
+    total = [max(1, sum(v[c] for v in vectors)) for c in range(3)]
+    left, out = [[1.0] * 3 for _ in range(shards)], [None] * len(vectors)
+    for i in sorted(range(len(vectors)), key=lambda i: -vectors[i][0] / total[0] * shards):
+        share = [vectors[i][c] / total[c] * shards for c in range(3)]
+        rest = [[a - b for a, b in zip(row, share)] for row in left]
+        fit = [k for k in range(shards) if min(rest[k]) >= -1e-9]
+        if fit:
+            k = max(fit, key=lambda k: (round(sum(a * b for a, b in zip(left[k], share)), 12), -k))
+        else:
+            k = max(range(shards), key=lambda k: (rest[k][0] + 1e-6 * sum(rest[k]), -k))
+        out[i], left[k] = k, rest[k]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_packing_against_a_plain_packer(seed):
+    r = random.Random(seed)
+    vectors = [(r.randrange(1, 5000), r.randrange(0, 900), r.randrange(1, 9)) for _ in range(r.choice([1, 7, 60, 300]))]
+    for shards in (2, 5, 8):
+        assert sharding.pack(np.array(vectors, dtype=float), shards).tolist() == plain_pack(vectors, shards)
+
+
+def test_shards_balance_bytes_tokens_and_rows(spark):
+    """All three sums are near equal, and nearer in tokens and rows than by bytes alone; a long text is one row like any."""
+    r = random.Random(6)
+    rows = [(i, " ".join("x" * r.choice([1, 30]) for _ in range(r.randrange(1, 200)))) for i in range(3000)] + [(5000, " ".join("x" * r.choice([1, 30]) for _ in range(9000)))]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    sums = np.zeros((8, 3))
+    for x in got:
+        sums[x.shard] += (x.size, len(text[x.doc_id].split()), 1)
+    share = sums / sums.sum(axis=0) * 8
+    assert np.abs(share[:, 0] - 1).max() < 0.02
+    assert np.abs(share[:, 1] - 1).max() < 0.15 and np.abs(np.delete(share[:, 2], int(share[:, 2].argmin())) - 1).max() < 0.15
+
+
 def test_shards_edges(clash, empty):
     assert sharding.shard(empty).count() == 0
     assert sharding.shard(clash).count() == clash.count()

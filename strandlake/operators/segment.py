@@ -38,6 +38,29 @@ def forward_scores(rows: DataFrame, keys: list[str], signal: str = "signal") ->
     return per_read(rows, keys, [signal], one, "loglik double")
 
 
+def window_fits(rows: DataFrame, keys: list[str], signal: str = "signal", rounds: int = 20) -> DataFrame:
+    """(keys, mu, sigma, loglik, states): every signal as one window without neighbours, after so many rounds of hard
+    re-estimation from its own mean and deviation (at least 0.1). Windows of fewer than SHORTEST samples keep these, with
+    SHORT_SCORE and no states; empty ones are nulls."""
+
+    def some(held):
+        live = [x.astype(float) for (x,) in held if len(x)]
+        if not live:
+            return [None] * len(held)
+        size = np.array([len(x) for x in live])
+        ends = np.cumsum(size)
+        mu, sd = np.array([x.mean() for x in live]), np.array([max(x.std(), 0.1) for x in live])
+        none = np.tile(K.NO_NEIGHBOUR, (len(live), 1))
+        got = iter(zip(*K.fit_windows(np.concatenate(live), ends - size, ends, mu, sd, none, none, rounds)))
+        out = []
+        for (x,) in held:
+            m, s, score, states = next(got) if len(x) else (None, None, None, None)
+            out.append((m, s, score, None if states is None else states.tolist()))
+        return out
+
+    return per_reads(rows, keys, [signal], some, "mu double, sigma double, loglik double, states array<int>")
+
+
 def block_statistics(samples: DataFrame, keys: list[str]) -> DataFrame:
     """From sample rows (keys, block_no, value, state): mean, population deviation and count of samples in state 1
     (current), 2 (previous), 3 (next) of each block; 0 where there is none."""

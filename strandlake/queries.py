@@ -548,6 +548,36 @@ def hmm_forward_loglik(spark, sf_dir):
     return segment.forward_scores(e, ["vec_id"]).select("vec_id", R6(F.col("loglik")).alias("loglik"))
 
 
+_LAST = [f"acc[len(acc) - {5 - i}]" for i in _STATES]  # the last step's four, before its scale
+_THEN = ["(" + " + ".join(f"{_LAST[i - 1]} * {K.MOVES[i - 1][j - 1]}" for i in _STATES) + f") * x[{j}]" for j in _STATES]
+_BACK = ["(" + " + ".join(f"{K.MOVES[i - 1][j - 1]} * x[{j}] * acc[len(acc) - {4 - j}]" for j in _STATES) + ") / x[5]" for i in _STATES]
+
+
+@query(
+    f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 20) AS e FROM embeddings),
+    r(k, vec_id, e, mu, sd, loglik, states) AS (
+        SELECT 0, vec_id, e, list_avg(e), greatest(list_stddev_pop(e), 0.1), CAST(NULL AS DOUBLE), CAST(NULL AS INTEGER[]) FROM v
+        UNION ALL
+        SELECT k + 1, vec_id, e, list_avg(own), CASE WHEN len(own) > 0 THEN least(4, greatest(1, list_stddev_pop(own))) ELSE sd END, loglik, states
+        FROM (SELECT *, list_transform(list_filter(range(1, n + 1), lambda t: states[t] = 1), lambda t: e[t]) AS own
+        FROM (SELECT *, list_transform(range(1, n + 1), lambda t: list_position([al[5 * t - 4] * be[4 * (n - t) + 1], al[5 * t - 3] * be[4 * (n - t) + 2], al[5 * t - 2] * be[4 * (n - t) + 3], al[5 * t - 1] * be[4 * (n - t) + 4]],
+                  greatest(al[5 * t - 4] * be[4 * (n - t) + 1], al[5 * t - 3] * be[4 * (n - t) + 2], al[5 * t - 2] * be[4 * (n - t) + 3], al[5 * t - 1] * be[4 * (n - t) + 4]))) AS states,
+                  list_sum(list_transform(range(1, n + 1), lambda t: ln(al[5 * t]))) / n AS loglik
+        FROM (SELECT *, list_reduce(list_prepend([1.0::DOUBLE, 1.0, 1.0, 1.0], list_transform(range(n, 1, -1), lambda t: list_concat(xs[t], [al[5 * t]]))),
+                  lambda acc, x: list_concat(acc, [{', '.join(_BACK)}])) AS be
+        FROM (SELECT *, list_reduce(list_prepend(CAST([] AS DOUBLE[]), xs), lambda acc, x: list_concat(acc, list_transform([CASE WHEN len(acc) = 0 THEN [{', '.join(_FIRST)}] ELSE [{', '.join(_THEN)}] END],
+                  lambda a: [a[1] / list_sum(a), a[2] / list_sum(a), a[3] / list_sum(a), a[4] / list_sum(a), list_sum(a)])[1])) AS al
+        FROM (SELECT k, vec_id, e, mu, sd, len(e) AS n, list_transform(e, lambda x: [greatest(coalesce(exp(-0.5 * power((x - mu) / sd, 2)) / (sd * sqrt(2 * pi())), 0), {K.FLOOR}), {K.FLOOR}, {K.FLOOR}, {K.NOISE}]) AS xs FROM r WHERE k < 20)))))
+    )
+    SELECT vec_id, round(mu + 1e-9, 6) AS mu, round(sd + 1e-9, 6) AS sigma, round(loglik + 1e-9, 6) AS loglik, states FROM r WHERE k = 20"""
+)
+def hmm_window_fit(spark, sf_dir):
+    """Twenty rounds of forward and backward passes and hard re-estimation of each signal as one window."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 20).alias("signal"))
+    out = segment.window_fits(e, ["vec_id"])
+    return out.select("vec_id", R6(F.col("mu")).alias("mu"), R6(F.col("sigma")).alias("sigma"), R6(F.col("loglik")).alias("loglik"), "states")
+
+
 @query()
 def dp_align(spark, sf_dir):
     """Blocks of each signal aligned to a short sequence (tested against a plain triple loop)."""

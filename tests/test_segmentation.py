@@ -171,6 +171,18 @@ def test_forward_scores_in_the_engine(spark):
     assert got[9] is None
 
 
+def test_window_fits_in_the_engine(spark):
+    """Rounds of hard re-estimation against plain loops; short, empty and null signals."""
+    r = np.random.default_rng(14)
+    rows = [(k, [float(v) for v in r.normal(100, 4, n)]) for k, n in enumerate((4, 5, 30, 80))] + [(7, [1.0, 2.0]), (8, []), (9, None)]
+    got = {x.k: x for x in segment.window_fits(spark.createDataFrame(rows, "k int, signal array<double>"), ["k"], rounds=6).collect()}
+    for k, x in rows[:4]:
+        score, states, mu, sd = window(x, float(np.mean(x)), max(float(np.std(x)), 0.1), (-2000.0, 2.0), (-2000.0, 2.0), 6)
+        assert (got[k].mu, got[k].sigma, got[k].loglik) == pytest.approx((mu, sd, score), nan_ok=True) and got[k].states == states
+    assert (got[7].mu, got[7].sigma, got[7].loglik, got[7].states) == (1.5, 0.5, -10.0, None)
+    assert all(got[k].mu is None and got[k].loglik is None for k in (8, 9))
+
+
 def test_restarts_keep_the_best_fit():
     """Ten starts are at least as good as the first alone, and the same every time."""
     for seed in range(12):

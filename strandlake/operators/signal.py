@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -140,33 +141,44 @@ def standardize(reads: DataFrame) -> DataFrame:
 SAMPLES = 500_000
 
 
+def lists(col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The values of a list column, and where each row's begin and end in them; a null row is empty."""
+    offsets = np.asarray(col.offsets).astype(np.int64)
+    return col.values, offsets[:-1], np.where(np.asarray(col.is_null()), offsets[:-1], offsets[1:])
+
+
+_ARROW = {"int": pa.int32(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+
+
 def per_reads(reads: DataFrame, keys: list[str], arrays: list[str], function, schema: str) -> DataFrame:
     """Maps slices of reads (rows with array columns) by a NumPy function; no shuffle. function takes a list of reads (a
     list of arrays each) and returns for each a tuple of the columns in schema behind the keys, or None for a failed
-    read (nulls). Reads with a null array fail without a call. A slice has SAMPLES samples, or one longer read."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    read (nulls). Reads with a null array fail without a call. A slice has SAMPLES samples, or one longer read. Arrays are
+    views of the batch, and results become columns at once: nothing is a row of Python objects."""
+    names, kinds_ = zip(*[x.split() for x in schema.split(", ")])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reads.select(*keys).schema.fields)
 
-    def run(frames):
-        for pdf in frames:
-            held, size = [], 0
-            for i, row in enumerate(pdf[arrays].itertuples(index=False)):
-                held.append((i, row))
-                size += 0 if row[0] is None else len(row[0])
-                if size >= SAMPLES:
-                    yield result(pdf, held)
-                    held, size = [], 0
-            if held:
-                yield result(pdf, held)
-
-    def result(pdf, held):
-        some = [[np.asarray(x) for x in row] for _, row in held if not any(x is None for x in row)]
-        got = iter(function(some))
-        rows = [None if any(x is None for x in row) else next(got) for _, row in held]
-        rows = [x if x is not None else (None,) * len(names) for x in rows]
-        return pd.concat([pdf[keys].iloc[[i for i, _ in held]].reset_index(drop=True), pd.DataFrame(rows, columns=names, dtype=object)], axis=1)
-
-    return reads.select(*keys, *arrays).mapInPandas(run, f"{kinds}, {schema}")
+    def run(batches):
+        for b in batches:
+            columns = [lists(b.column(len(keys) + k)) for k in range(len(arrays))]
+            lost = np.zeros(b.num_rows, dtype=bool)
+            for k in range(len(arrays)):
+                lost |= np.asarray(b.column(len(keys) + k).is_null())
+            held = [(values.to_numpy(zero_copy_only=False), a, z) for values, a, z in columns]
+            done = np.concatenate([[0], np.cumsum(held[0][2] - held[0][1])])
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(done, done[at] + SAMPLES, "right")) - 1)
+                to = min(to, b.num_rows)
+                some = [i for i in range(at, to) if not lost[i]]
+                got = dict(zip(some, function([[x[a[i] : z[i]] for x, a, z in held] for i in some])))
+                rows = [got.get(i) or (None,) * len(names) for i in range(at, to)]
+                out = [pa.array([r[c] for r in rows], _ARROW[kind]) for c, kind in enumerate(kinds_)]
+                part = b.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *out], [*b.schema.names[: len(keys)], *names])
+                at = to
+
+    return reads.select(*keys, *arrays).mapInArrow(run, f"{kinds}, {schema}")
 
 
 def per_read(reads: DataFrame, keys: list[str], arrays: list[str], function, schema: str) -> DataFrame:

@@ -10,12 +10,14 @@
     python -m strandlake sites     --alignment DIR --kmer-index k.csv --kmer-model m.csv --out DIR [--text] [--strict]
     python -m strandlake mixture   --sites DIR --kmer GGACT --kmer-model m.csv --out DIR
     python -m strandlake refine    --blocks DIR --kmers GGACT,AGACT --kmer-index k.csv --kmer-model m.csv --versions DIR --out DIR [--rounds 10]
+    python -m strandlake reconcile --tables reads=DIR,blocks=DIR --out DIR [--key read_id]
     python -m strandlake rates     --sites DIR --out DIR
 
 ``states`` makes borders from 0/1 states (read_id, states) that another program found, in the place of ``border``. ``--text``
 writes, and reads, an alignment as text with six significant digits. ``--strict``: a contig or k-mer that a table lacks is
 an error; without it its rows drop out, and are listed. ``strand`` lists the lines that it can't read, with what is wrong. ``refine``
-goes on from the last version of the k-mer table that it finds.
+goes on from the last version of the k-mer table that it finds. ``reconcile`` counts each key's rows in the tables of several stages and says
+whether they agree.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ OPTIONS = {
     "sites": {"alignment": None, "kmer-index": None, "kmer-model": None, "text": False, "strict": False},
     "mixture": {"sites": None, "kmer": None, "kmer-model": None},
     "refine": {"blocks": None, "kmers": None, "kmer-index": None, "kmer-model": None, "versions": None, "rounds": 10, "variant": "two"},
+    "reconcile": {"tables": None, "key": "read_id"},
     "rates": {"sites": None},
 }
 
@@ -98,6 +101,9 @@ def stage(spark: SparkSession, name: str, a: argparse.Namespace) -> dict[str, Da
         index, ready = readers.kmer_index(spark, a.kmer_index), table(a.blocks)
         model = entries.refine(lambda m: entries.blocks_to_sites(ready, index, m, a.variant), readers.kmer_model(spark, a.kmer_model), a.kmers.split(","), a.versions, a.rounds)
         return {"": model}
+    if name == "reconcile":
+        stages = dict(x.split("=", 1) for x in a.tables.split(","))
+        return {"": evaluate.reconcile({stage: table(path).select(a.key) for stage, path in stages.items()}, a.key)}
     rows = table(a.sites).withColumn("site", F.concat_ws("_", "contig", "kmer", "pos"))
     return {"": evaluate.site_rates(rows, "site", "mod")}
 

@@ -31,7 +31,7 @@ def packed_kmers(rows: DataFrame, seq: str, k: int = 5, keep: list[str] | None =
     if not 1 <= k <= 15:
         raise ValueError("a k-mer has 1 to 15 bases")
     step = LETTERS - k + 1
-    clean = F.regexp_replace(F.col(seq), "[^ACGT]", "N")
+    clean = F.when(F.col(seq).rlike("[^ACGT]"), F.regexp_replace(F.col(seq), "[^ACGT]", "N")).otherwise(F.col(seq))
     out = rows.select(*(keep or []), clean.cast("binary").alias("_s")).filter(F.octet_length("_s") >= k)
     out = out.select("*", F.explode(F.sequence(F.lit(0), F.octet_length("_s") - k, F.lit(step))).alias("_at"))
     out = out.select(*(keep or []), "_at", F.substring("_s", F.col("_at") + 1, F.lit(LETTERS)).cast("string").alias("_w"))

@@ -87,3 +87,12 @@ def test_running_sums_over_many_ranges(spark, monkeypatch):
             want.append((s, tp, fp))
         assert got == want
     assert evaluate.cumulated(df.limit(0), "s", {"tp": "p"}).count() == 0
+
+
+def test_stages_are_reconciled(spark, tmp_path):
+    """Reads that a stage lost, or has twice, are named."""
+    for name, ids in (("reads", "abcd"), ("blocks", "abd"), ("sites", "aabbd")):
+        spark.createDataFrame([(x, 1) for x in ids], "read_id string, n int").write.parquet(str(tmp_path / name))
+    main(["reconcile", "--tables", ",".join(f"{x}={tmp_path / x}" for x in ("reads", "blocks", "sites")), "--out", str(tmp_path / "o")])
+    got = {r.read_id: (r.reads, r.blocks, r.sites, r.complete) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    assert got == {"a": (1, 1, 2, False), "b": (1, 1, 2, False), "c": (1, 0, 0, False), "d": (1, 1, 1, True)}

@@ -30,27 +30,44 @@ def difference(a: Column) -> Column:
     return F.zip_with(F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), lambda y, x: y - x)
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is worked out once: in a lambda a plain expression is worked out again for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def state_border(states: Column) -> Column:
     """0, every index where a 0/1 state changes, and the length: sorted."""
-    changes = F.filter(F.sequence(F.lit(1), F.size(states) - 1), lambda i: F.get(states, i) != F.get(states, i - 1))
-    changes = F.when(F.size(states) > 1, changes).otherwise(F.array().cast("array<int>"))
-    return F.array_sort(F.concat(F.array(F.lit(0)), changes, F.array(F.size(states))))
+
+    def border(s: Column) -> Column:
+        changes = F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(s, i) != F.get(s, i - 1))
+        changes = F.when(F.size(s) > 1, changes).otherwise(F.array().cast("array<int>"))
+        return F.array_sort(F.concat(F.array(F.lit(0)), changes, F.array(F.size(s))))
+
+    return bound(states, border)
 
 
 def base_ends(states: Column) -> Column:
     """Leading and trailing runs of state 1 become 0, so that both ends are base; all ones become zeros."""
-    first = F.array_position(states, 0) - 1
-    last = F.size(states) - F.array_position(F.reverse(states), 0)
-    return F.when(first < 0, F.transform(states, lambda x: x * 0)).otherwise(F.transform(states, lambda x, i: F.when((i < first) | (i > last), x * 0).otherwise(x)))
+
+    def based(s: Column) -> Column:
+        ends = F.struct((F.array_position(s, 0) - 1).alias("first"), (F.size(s) - F.array_position(F.reverse(s), 0)).alias("last"))
+        inside = lambda e: F.transform(s, lambda x, i: F.when((e["first"] < 0) | (i < e["first"]) | (i > e["last"]), x * 0).otherwise(x))
+        return bound(ends, inside)
+
+    return bound(states, based)
 
 
 def border_blocks(border: Column, transitions: bool = False) -> Column:
     """Base blocks (pairs from even places) or the transitions between them."""
-    n = (F.size(border) / 2).cast("int")
-    if transitions:
-        pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.get(border, 2 * i - 1).alias("start"), F.get(border, 2 * i).alias("end")))
-        return F.when(n > 1, pairs).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(border, 2 * i).alias("start"), F.get(border, 2 * i + 1).alias("end")))
+
+    def blocks(b: Column) -> Column:
+        n = (F.size(b) / 2).cast("int")
+        if transitions:
+            pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.get(b, 2 * i - 1).alias("start"), F.get(b, 2 * i).alias("end")))
+            return F.when(n > 1, pairs).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(b, 2 * i).alias("start"), F.get(b, 2 * i + 1).alias("end")))
+
+    return bound(border, blocks)
 
 
 def valid_border(border: Column) -> Column:
@@ -99,9 +116,9 @@ def mean_of(a: Column) -> Column:
 
 
 def std_of(a: Column) -> Column:
-    """Population standard deviation, two passes; the mean is worked out once and bound by an array of one."""
+    """Population standard deviation, two passes; the mean is worked out once."""
     spread = lambda m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a))
-    return F.when(F.size(a) > 0, F.get(F.transform(F.array(mean_of(a)), spread), F.lit(0)))
+    return F.when(F.size(a) > 0, bound(mean_of(a), spread))
 
 
 def to_picoampere(signal: Column, offset: Column, range_: Column, digitisation: Column) -> Column:

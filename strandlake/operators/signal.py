@@ -75,6 +75,19 @@ def changes(df: DataFrame, state: str, read, order, name: str = "border_no") ->
     return df.filter(F.col("_before").isNull() | (F.col("_before") != F.col(state))).drop("_before").withColumn(name, F.row_number().over(_order(read, "place")) - 1)
 
 
+def base_blocks(df: DataFrame, state: str, read, order) -> DataFrame:
+    """(read, block_no, start, end): the base blocks of 0/1 states, one a row. Leading and trailing runs of state 1 count as
+    base, as does a read of ones only; a block goes from one run of zeros to where the next run begins. No read is an array."""
+    keys = [read] if isinstance(read, str) else read
+    runs = changes(df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))), state, read, order, "_run")
+    w = _order(read, "place")
+    runs = runs.withColumn("_next", F.lead("place").over(w)).withColumn("_after", F.lead("place", 2).over(w))
+    base = runs.filter((F.col(state) == 0) | ((F.col("_run") == 0) & F.col("_next").isNull()))
+    start = F.when(F.col("_run") < 2, 0).otherwise(F.col("place")).cast("long")
+    end = F.when(F.col("_after").isNull(), F.col("_n")).otherwise(F.col("_next")).cast("long")
+    return base.select(*keys, F.floor(F.col("_run") / 2).cast("long").alias("block_no"), start.alias("start"), end.alias("end"))
+
+
 def neighbour_parameters(blocks: DataFrame, read: str, block: str) -> DataFrame:
     """Parameters of the blocks before and after; the fixed values of no neighbour at the ends."""
     w = _order(read, block)

@@ -2,7 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from strandlake import queries
+from strandlake.functions import arrays as A
 from strandlake.operators import borders as B
 from strandlake.operators import kernels as K
 from strandlake.operators import signal
@@ -78,3 +81,33 @@ def test_stretches_at_the_ends_are_base(spark):
     windows = spark.createDataFrame([(1, 0, 4), (1, 3, 8), (1, 10, 12), (1, 13, 15), (1, 25, 29), (2, 0, 29)], "read int, start long, end long")
     got = {r.read: r.border for r in B.borders_of(windows, sizes, ["read"]).collect()}
     assert got == {1: [0, 10, 16, 30], 2: [0, 30], 3: [0, 30]}
+
+
+def plain_blocks(states):
+    """Base blocks of one read's states by a loop."""
+    zeros = [i for i, s in enumerate(states) if s == 0]
+    s = [x if zeros and zeros[0] <= i <= zeros[-1] else 0 for i, x in enumerate(states)]
+    border = [0, *[i for i in range(1, len(s)) if s[i] != s[i - 1]], len(s)]
+    return [(border[k], border[k + 1]) for k in range(0, len(border), 2)]
+
+
+def test_base_blocks_of_long_reads(spark, tmp_path):
+    """Work follows the number of states: neither the array functions nor the query work out a read's states again for each
+    of them. Reads without zeros, of one event, without user and events without value are there too."""
+    r = np.random.default_rng(5)
+    some = {1: r.integers(0, 2, 4000).tolist(), 2: [1] * 9, 3: [0] * 9, 4: [1], 5: [0], 6: [1, 1, 0, 1, 0, 0, 1], 7: [1, 0, 1], 8: [0, 1]}
+    got: dict = {}
+    rows = spark.createDataFrame([(i, s) for i, s in some.items()], "read int, s array<int>")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    twice = F.transform("s", lambda x: x * 2)
+    blocks = A.border_blocks(A.state_border(A.base_ends(twice)))
+    assert plan(rows.select(blocks)).count("transform(s#") == plan(rows.select(twice)).count("transform(s#") == 1
+    for x in rows.select("read", A.border_blocks(A.state_border(A.base_ends(F.col("s")))).alias("b")).collect():
+        assert [tuple(b) for b in x.b] == plain_blocks(some[x.read]), x.read
+    events = [(i, k, None if k % 5 == 0 and not v else 120.0 if v else 80.0) for i, s in [*some.items(), (None, [0, 1, 0])] for k, v in enumerate(s)]
+    events = [(e, i, k, v) for e, (i, k, v) in enumerate(events)]
+    spark.createDataFrame(events, "event_id long, user_id long, k long, value double").selectExpr("event_id", "timestamp_seconds(k) AS ts", "user_id", "value").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for x in queries.blocks_from_border(spark, str(tmp_path)).orderBy("user_id", "block_no").collect():
+        assert x.block_no == len(got.setdefault(x.user_id, []))
+        got[x.user_id].append((x.start, x.end))
+    assert got == {i: plain_blocks(s) for i, s in some.items()}
